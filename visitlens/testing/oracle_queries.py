@@ -254,3 +254,116 @@ FROM g""", indicators_cte("g", team_fu) + ",\n" + indicators_cte("g_all", "fu"))
     S["atomic_tasks"] = with_base(atomic_sql("tasks_dirty", "||", ","))
     S["atomic_occupations"] = with_base(atomic_sql("occupations", "||", "|"))
     return S
+
+
+# ── normaliser (brute force: every admissible key pair gets an exact LCS) ────
+from visitlens.constants import SIMILARITY_THRESHOLD as T  # noqa: E402
+from visitlens.testing.oracle_sql import strip  # noqa: E402
+
+LCS_SQL = ("list_reduce(range(1, length({a}) + 1), lambda prev, i: list_reduce(range(1, length({b}) + 1), "
+           "lambda acc, j: list_append(acc, CASE WHEN substr({a}, i::INT, 1) = substr({b}, j::INT, 1) "
+           "THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[-1]) END), [0::BIGINT]), "
+           "list_transform(range(0, length({b}) + 1), lambda z: 0::BIGINT))[-1]")
+
+
+def token_sort_sql(e: str) -> str:
+    return (f"array_to_string(list_sort(string_split_regex(trim(regexp_replace(lower({e}), "
+            f"'[^\\p{{L}}\\p{{N}}_]', ' ', 'g')), ' +')), ' ')")
+
+
+def atomic_from(src: str, col: str, outer: str, inner: str) -> str:
+    items = (f"SELECT unnest(flatten(list_transform(string_split({col}, {q(outer)}), "
+             f"lambda x: string_split(x, {q(inner)})))) AS item FROM {src} WHERE {col} IS NOT NULL")
+    return f"SELECT DISTINCT value FROM (SELECT {normalize('item')} AS value FROM ({items})) WHERE value <> ''"
+
+
+def norm_ctes(p: str, values_sql: str) -> str:
+    """CTE chain <p>v, <p>k, <p>ok, <p>sym, <p>canon, <p>near, <p>prop."""
+    lcs = LCS_SQL.format(a="a.ts", b="b.ts")
+    return f"""
+{p}v AS (SELECT value, {token_sort_sql('value')} AS ts FROM ({values_sql})),
+{p}k AS (SELECT DISTINCT ts, length(ts) AS n FROM {p}v),
+{p}pairs AS (SELECT a.ts AS ta, b.ts AS tb, a.n AS na, b.n AS nb, {lcs} AS lcs
+  FROM {p}k a JOIN {p}k b ON a.ts < b.ts AND a.n > 0 AND b.n > 0
+   AND least(a.n, b.n) * {200 - T} >= {T} * greatest(a.n, b.n)),
+{p}ok AS (SELECT * FROM {p}pairs WHERE 200 * lcs >= {T} * (na + nb)),
+{p}sym AS (SELECT ta AS x, tb AS y, CAST(200 AS DOUBLE) * lcs / (na + nb) AS score FROM {p}ok
+  UNION ALL SELECT tb, ta, CAST(200 AS DOUBLE) * lcs / (na + nb) FROM {p}ok
+  UNION ALL SELECT ts, ts, CAST(100 AS DOUBLE) FROM {p}k),
+{p}best AS (SELECT ts, arg_max(value, {{'l': length(value), 's': value}}) AS best FROM {p}v GROUP BY ts),
+{p}rep AS (SELECT s.x, arg_max(b.best, {{'l': length(b.best), 's': b.best}}) AS rep
+  FROM {p}sym s JOIN {p}best b ON s.y = b.ts GROUP BY s.x),
+{p}canon AS (SELECT DISTINCT r.rep AS canonical FROM {p}v JOIN {p}rep r ON {p}v.ts = r.x),
+{p}mc AS (SELECT v.ts, min(c.canonical) AS mc FROM {p}canon c JOIN {p}v v ON v.value = c.canonical GROUP BY v.ts),
+{p}near AS (SELECT x, mc, score FROM (SELECT s.x, m.mc, s.score,
+    row_number() OVER (PARTITION BY s.x ORDER BY s.score DESC, m.mc) AS rn
+  FROM {p}sym s JOIN {p}mc m ON s.y = m.ts) WHERE rn = 1),
+{p}prop AS (SELECT v.value AS variante, n.mc AS canonical_propuesto,
+    CAST(round_even(n.score, 0) AS INTEGER) AS similitud
+  FROM {p}v v JOIN {p}near n ON v.ts = n.x
+  WHERE v.value NOT IN (SELECT canonical FROM {p}canon) AND n.score >= {T})"""
+
+
+RAW_DIRTY = "(SELECT center_id, occupations AS ocupaciones, tasks_dirty AS tareas FROM plan_raw)"
+
+
+def _rewrite(cell: str, m: str, outer: str, inner: str) -> str:
+    key = normalize("it")
+    item = f"CASE WHEN {strip('it')} = '' THEN '' ELSE upper(coalesce(map_extract({m}, {key})[1], {key})) END"
+    parts = (f"list_transform(string_split({cell}, {q(outer)}), lambda p: array_to_string("
+             f"list_transform(string_split(p, {q(inner)}), lambda it: {item}), {q(inner)}))")
+    return f"CASE WHEN {cell} IS NULL OR {strip(cell)} = '' THEN {cell} ELSE array_to_string({parts}, {q(outer)}) END"
+
+
+def _canon_ctes() -> str:
+    t = norm_ctes("t", atomic_from(RAW_DIRTY, "tareas", "||", ","))
+    o = norm_ctes("o", atomic_from(RAW_DIRTY, "ocupaciones", "||", "|"))
+    maps = f"""
+omap AS (SELECT map_from_entries(list({{'k': {strip('variante')}, 'v': {strip('canonical_propuesto')}}})) AS m FROM oprop),
+tmap AS (SELECT map_from_entries(list({{'k': {strip('variante')}, 'v': {strip('canonical_propuesto')}}})) AS m FROM tprop),
+canon_rows AS (SELECT r.center_id, r.ocupaciones AS occ_before, r.tareas AS tasks_before,
+    {_rewrite('r.ocupaciones', 'omap.m', '||', '||')} AS occupations,
+    {_rewrite('r.tareas', 'tmap.m', '||', ',')} AS tasks
+  FROM {RAW_DIRTY} r, omap, tmap)"""
+    return t + ",\n" + o + ",\n" + maps
+
+
+def build_extra() -> dict[str, str]:
+    S = {}
+    t_ctes = norm_ctes("t", atomic_from(RAW_DIRTY, "tareas", "||", ","))
+    S["similar_pairs"] = with_base("""
+SELECT least(ta, tb) AS key_a, greatest(ta, tb) AS key_b, CAST(lcs AS INTEGER) AS lcs,
+       CAST(round_even(CAST(200 AS DOUBLE) * lcs / (na + nb), 0) AS INTEGER) AS similarity FROM tok""", t_ctes)
+    S["canonical_proposals"] = with_base("SELECT * FROM tprop", t_ctes)
+    o_ctes = norm_ctes("o", atomic_from(RAW_DIRTY, "ocupaciones", "||", "|"))
+    S["occupation_proposals"] = with_base("SELECT * FROM oprop", o_ctes)
+    stats = []
+    for p, name in [("o", "ocupaciones"), ("t", "tareas")]:
+        stats.append(f"""SELECT {q(name)} AS column, (SELECT count(*) FROM {p}v) AS n_values,
+       (SELECT count(*) FROM {p}canon) AS n_clusters,
+       (SELECT count(*) FROM {p}v) - (SELECT count(*) FROM {p}canon) AS n_variants,
+       (SELECT count(*) FROM {p}prop) AS n_proposals""")
+    S["cluster_stats"] = with_base("\nUNION ALL\n".join(stats), t_ctes + ",\n" + o_ctes)
+    S["canonicalized"] = with_base("SELECT center_id, occupations, tasks FROM canon_rows", _canon_ctes())
+    S["change_stats"] = with_base("""
+SELECT count(*) FILTER (WHERE coalesce(occupations, '') <> coalesce(occ_before, '')) AS changed_ocupaciones,
+       count(*) FILTER (WHERE coalesce(tasks, '') <> coalesce(tasks_before, '')) AS changed_tareas
+FROM canon_rows""", _canon_ctes())
+    S["payload_rows"] = """
+SELECT user_id AS batch_user, CAST(floor(event_id / 64) AS BIGINT) AS chunk,
+       CAST(row_number() OVER (PARTITION BY user_id, floor(event_id / 64) ORDER BY event_id) - 1 AS INTEGER) AS row_no,
+       CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props
+FROM events"""
+    S["payload_ack"] = """
+SELECT user_id AS batch_user, CAST(floor(event_id / 64) AS BIGINT) AS chunk,
+       '{"success":true,"rows_written":' || CAST(count(*) AS VARCHAR) || '}' AS ack
+FROM events GROUP BY user_id, floor(event_id / 64)"""
+    S["sink_refresh"] = build()["followup_detail"]
+    S["sink_append"] = with_base(f"""
+SELECT strftime(planned_date, '%d-%m-%Y') AS date_text, region, specialist, employer, center_name, commune,
+       address, CAST(men AS VARCHAR) AS men, CAST(women AS VARCHAR) AS women,
+       CAST(coalesce(men, 0.0) + coalesce(women, 0.0) AS VARCHAR) AS total_workers FROM {PROG}""")
+    S["table_info"] = with_base("""
+SELECT count(*) AS rows, coalesce(NULLIF(CAST(min_by(region, center_id) AS VARCHAR), ''), 'sin datos') AS updated
+FROM fu""")
+    return S

@@ -310,3 +310,105 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "atomic_tasks": q_atomic_tasks,
     "atomic_occupations": q_atomic_occupations,
 }
+
+
+# ── normaliser ──────────────────────────────────────────────────────────────
+from visitlens.operators.similarity_join import cluster  # noqa: E402
+from visitlens.plans.normalizer import (phase1_proposals, phase1_stats, phase2_apply,  # noqa: E402
+                                        phase2_changes)
+
+
+def _raw_dirty(spark, d):
+    return plan_raw(spark, d, dirty_tasks=True)
+
+
+def q_similar_pairs(spark, d):
+    pairs = cluster(atomic_values(_raw_dirty(spark, d), "tareas", "||", ","))["pairs"]
+    return pairs.select(F.least("ts_a", "ts_b").alias("key_a"), F.greatest("ts_a", "ts_b").alias("key_b"),
+                        F.col("lcs").cast("int").alias("lcs"), F.rint("score").cast("int").alias("similarity"))
+
+
+def q_canonical_proposals(spark, d):
+    return phase1_proposals(_raw_dirty(spark, d))["tareas"]
+
+
+def q_occupation_proposals(spark, d):
+    return phase1_proposals(_raw_dirty(spark, d))["ocupaciones"]
+
+
+def q_cluster_stats(spark, d):
+    return phase1_stats(_raw_dirty(spark, d))
+
+
+def q_canonicalized(spark, d):
+    raw = _raw_dirty(spark, d)
+    out = phase2_apply(raw, phase1_proposals(raw), key="ID-CT")
+    return out.select(F.col("ID-CT").alias("center_id"), F.col("ocupaciones").alias("occupations"),
+                      F.col("tareas").alias("tasks"))
+
+
+def q_change_stats(spark, d):
+    raw = _raw_dirty(spark, d)
+    out = phase2_apply(raw, phase1_proposals(raw), key="ID-CT", keep_original=True)
+    return phase2_changes(out, ["ocupaciones", "tareas"])
+
+
+# ── payloads and sinks ──────────────────────────────────────────────────────
+from visitlens.session import scratch_path  # noqa: E402
+from visitlens.sources.payload import build_payload, payload_to_rows, result_envelope  # noqa: E402
+from visitlens.sources.sinks import append_rows, init_table, refresh_table, table_info  # noqa: E402
+
+PAYLOAD_COLUMNS = ["event_id", "user_id", "event_type", "props"]
+PAYLOAD_CHUNK = 64
+
+
+def _payloads(spark, d):
+    ev = table(spark, d, "events").withColumn("chunk", F.floor(F.col("event_id") / PAYLOAD_CHUNK).cast("bigint"))
+    return build_payload(ev, ["user_id", "chunk"], PAYLOAD_COLUMNS, "event_id")
+
+
+def q_payload_rows(spark, d):
+    p = _payloads(spark, d).withColumnRenamed("user_id", "batch_user")
+    return payload_to_rows(p, "payload", PAYLOAD_COLUMNS, keep=["batch_user", "chunk"])
+
+
+def q_payload_ack(spark, d):
+    rows = payload_to_rows(_payloads(spark, d), "payload", PAYLOAD_COLUMNS, keep=["chunk"])
+    counts = rows.groupBy(F.col("user_id").cast("bigint").alias("batch_user"), "chunk").agg(F.count(F.lit(1)).alias("rows_written"))
+    return counts.select("batch_user", "chunk", result_envelope("rows_written").alias("ack"))
+
+
+def q_sink_refresh(spark, d):
+    path = scratch_path(spark, "followup_detail")
+    refresh_table(R.followup_detail(followup(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+def q_sink_append(spark, d):
+    path = scratch_path(spark, "visit_detail")
+    detail = R.visit_detail(_prog(spark, d))
+    init_table(spark, detail.columns, path)
+    append_rows(detail.filter(F.col("date_text").substr(4, 2) <= "06"), path)
+    append_rows(detail.filter(~(F.col("date_text").substr(4, 2) <= "06")), path)
+    return spark.read.parquet(path)
+
+
+def q_table_info(spark, d):
+    path = scratch_path(spark, "followup_info")
+    refresh_table(R.followup_detail(followup(spark, d)), path)
+    return table_info(spark.read.parquet(path), "center_id")
+
+
+QUERIES.update({
+    "similar_pairs": q_similar_pairs,
+    "canonical_proposals": q_canonical_proposals,
+    "occupation_proposals": q_occupation_proposals,
+    "cluster_stats": q_cluster_stats,
+    "canonicalized": q_canonicalized,
+    "change_stats": q_change_stats,
+    "payload_rows": q_payload_rows,
+    "payload_ack": q_payload_ack,
+    "sink_refresh": q_sink_refresh,
+    "sink_append": q_sink_append,
+    "table_info": q_table_info,
+})
