@@ -48,7 +48,9 @@ def normalize_text(c: ColumnOrName) -> Column:
 
     Deletion runs after collapsing, so a deleted character between two
     spaces leaves a double space (same as the source application)."""
-    t = F.lower(strip(c))
+    # A leading strip is not needed: every later step maps whitespace runs to
+    # one space and the final trim removes the ones at both ends.
+    t = F.lower(_c(c))
     t = strip_accents(t)
     t = collapse_whitespace(t)
     t = F.regexp_replace(t, f"[^{NORMALIZE_KEEP_CLASS}]", "")

@@ -100,6 +100,33 @@ def specialist_vs_team(fu_filtered: DataFrame, fu_all: DataFrame) -> DataFrame:
                       "efficiency")
 
 
+def specialist_vs_team_selection(fu: DataFrame, selection: dict) -> DataFrame:
+    """P6 in one scan of the follow-up: per specialist, the indicators of the
+    rows passing ``selection`` and the % goal over *all* rows (for the team
+    mean); the mean is a global aggregate of that one small result."""
+    from visitlens.operators.filters import _match
+    conds = [c for c in (_match(fu, k, v) for k, v in selection.items()) if c is not None]
+    sel = F.lit(True)
+    for c in conds:
+        sel = sel & c
+    pillars = [p for p in PILLARS if p in fu.columns]
+    goal = F.coalesce(F.col("goal_met"), F.lit(False)) if "goal_met" in fu.columns else F.lit(False)
+    agg = (fu.filter(F.col("specialist").isNotNull()).groupBy("specialist")
+             .agg(F.count(F.lit(1)).alias("centers_all"), F.count_if(goal).alias("goals_all"),
+                  F.count_if(sel).alias("centers"), F.count_if(sel & any_flag(pillars)).alias("with_any"),
+                  F.count_if(sel & goal).alias("goals")))
+    agg = agg.withColumn("goal10_all", tenths(F.col("goals_all"), F.col("centers_all")))
+    mean = agg.agg(F.coalesce(F.try_divide(F.sum("goal10_all"), F.count(F.lit(1)).cast("double")),
+                              F.lit(0.0)).alias("mean_goal10"))
+    out = attach_scalars(agg.filter(F.col("centers") > 0), mean)
+    return out.select(
+        "specialist", "centers", "with_any",
+        pct(F.col("with_any"), F.col("centers")).alias("pct_start"), "goals",
+        pct(F.col("goals"), F.col("centers")).alias("pct_goal"),
+        (F.rint(tenths(F.col("goals"), F.col("centers")) - F.col("mean_goal10")) / 10).alias("vs_team_pp"),
+        pct(F.col("goals"), F.col("with_any")).alias("efficiency"))
+
+
 def pillar_progress(fu: DataFrame) -> DataFrame:
     """long table specialist x pillar -> count and % of the specialist's
     centres.  One aggregation, then ``unpivot`` of the four pillar counts."""

@@ -74,7 +74,7 @@ def cases_per_group(df: DataFrame, key: str = "employer", col: str = "case_ids")
             .groupBy(key).agg(F.count_distinct("case_id").alias("n_cases")))
 
 
-def split_nested_unstripped(col: str, seps: list[str]):
+def split_nested_unstripped(col, seps: list[str]):
     """Split level by level *without* stripping between levels (the
     normaliser's extraction does this; normalisation strips afterwards)."""
     arr = split_literal(col, seps[0])
@@ -85,10 +85,30 @@ def split_nested_unstripped(col: str, seps: list[str]):
 
 def atomic_values(df: DataFrame, col: str, outer: str = OUTER_SEP, inner: str = ",") -> DataFrame:
     """distinct normalised non-blank items of a multi-valued column
-    (NULL cells skipped).  Column ``value``."""
+    (NULL cells skipped).  Column ``value``.
+
+    Raw items are de-duplicated first (map-side), so the six-regex
+    normalisation runs once per distinct spelling, not once per occurrence."""
     items = (df.select(F.col(col).cast("string").alias("cell"))
                .filter(F.col("cell").isNotNull())
-               .select(F.explode(split_nested_unstripped("cell", [outer, inner])).alias("item")))
+               .select(F.explode(split_nested_unstripped("cell", [outer, inner])).alias("item"))
+               .distinct())
     return (items.select(normalize_text("item").alias("value"))
                  .filter(F.col("value") != "")
                  .distinct())
+
+
+def atomic_values_by_column(df: DataFrame, seps: dict[str, tuple[str, str]]) -> DataFrame:
+    """F20 for several columns in one scan: (column, value) pairs."""
+    cols = [c for c in seps if c in df.columns]
+    per_col = F.array(*[
+        F.struct(F.lit(c).alias("column"),
+                 F.when(F.col(f"`{c}`").isNull(), F.array().cast("array<string>"))
+                  .otherwise(split_nested_unstripped(F.col(f"`{c}`").cast("string"), list(seps[c]))).alias("items"))
+        for c in cols])
+    items = (df.select(F.explode(per_col).alias("s"))
+               .select(F.col("s.column").alias("column"), F.explode("s.items").alias("item"))
+               .distinct())
+    return (items.select("column", normalize_text("item").alias("value"))
+                 .filter(F.col("value") != "")
+                 .distinct())

@@ -82,29 +82,37 @@ def facet_options(df: DataFrame, selection: dict[str, object | None],
 def validate_selection(df: DataFrame, selection: dict[str, object | None],
                        facets: list[str] = FACETS) -> dict[str, object | None]:
     """In facet order, reset a selection that is not among its available
-    options (given the other selections); repeat until stable, at most k rounds.
-
-    Works on the distinct facet tuples (one aggregation, cached) and asks one
-    existence question per check — a handful of tiny jobs, no row reaches the
-    driver."""
+    options (given the other active selections); repeat until stable, at most
+    k rounds.
+
+    The active selections are always a subset of the initial ones, and a
+    selection is available exactly when some row matches all active
+    selections.  So one aggregation answers "does any row match subset S"
+    for every subset S of the initial selections (at most 2^k conditional
+    counts, k = 5), and the reset rounds are replayed on those booleans."""
     facets = [f for f in facets if f in df.columns]
     sel = {f: selection.get(f) for f in facets}
-    tuples = df.select(*facets).distinct().cache()
-    try:
-        for _ in range(len(facets)):
-            changed = False
-            for f in facets:
-                if sel[f] is None:
-                    continue
-                conds = [F.col(f) == F.lit(sel[f])]
-                conds += [F.col(g) == F.lit(sel[g]) for g in facets if g != f and sel[g] is not None]
-                if tuples.filter(and_all(conds)).limit(1).count() == 0:
-                    sel[f] = None
-                    changed = True
-            if not changed:
-                break
-    finally:
-        tuples.unpersist()
+    chosen = [f for f in facets if sel[f] is not None]
+    if not chosen:
+        return sel
+    match = {f: F.coalesce(F.col(f) == F.lit(sel[f]), F.lit(False)) for f in chosen}
+    subsets = []
+    for mask in range(1, 1 << len(chosen)):
+        subsets.append(frozenset(f for i, f in enumerate(chosen) if mask >> i & 1))
+    aggs = [F.max(and_all([match[f] for f in sorted(s)])).alias(f"s{i}") for i, s in enumerate(subsets)]
+    row = df.agg(*aggs).collect()[0]  # one row of at most 31 booleans
+    exists = {s: bool(row[f"s{i}"]) for i, s in enumerate(subsets)}
+    for _ in range(len(facets)):
+        changed = False
+        for f in facets:
+            if sel[f] is None:
+                continue
+            active = frozenset(g for g in chosen if sel[g] is not None)
+            if not exists[active]:
+                sel[f] = None
+                changed = True
+        if not changed:
+            break
     return sel
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from visitlens.constants import SIMILARITY_THRESHOLD
 from visitlens.operators.aggregates import change_stats
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
-from visitlens.operators.cells import atomic_values
+from visitlens.operators.cells import atomic_values_by_column
 from visitlens.operators.similarity_join import cluster, propose
 from visitlens.session import checkpoint_dir
 from visitlens.sources.sinks import write_tables
@@ -27,15 +27,22 @@ PHASE1_SEPS = {"ocupaciones": ("||", "|"), "tareas": ("||", ",")}
 PHASE2_SEPS = {"ocupaciones": ("||", "||"), "tareas": ("||", ",")}
 
 
+def vocabulary(raw: DataFrame, seps: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Distinct normalised labels of every phase-1 column, from ONE scan of the
+    raw table, pinned with a reliable checkpoint: (column, value)."""
+    checkpoint_dir(raw.sparkSession)
+    return atomic_values_by_column(raw, seps or PHASE1_SEPS).checkpoint()
+
+
 def phase1_proposals(raw: DataFrame, threshold: int = SIMILARITY_THRESHOLD,
                      seps: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
     """One proposals table (variante, canonical_propuesto, similitud) per column."""
     out = {}
-    checkpoint_dir(raw.sparkSession)
-    for col, (outer, inner) in (seps or PHASE1_SEPS).items():
+    vocab = vocabulary(raw, seps)
+    for col in (seps or PHASE1_SEPS):
         if col not in raw.columns:
             continue
-        p = propose(atomic_values(raw, col, outer, inner), "value", threshold)
+        p = propose(vocab.filter(F.col("column") == col), "value", threshold)
         # the proposals are phase 1's durable output: materialise them once
         out[col] = p.select(F.col("variant").alias("variante"), F.col("canonical").alias("canonical_propuesto"),
                             F.col("similarity").alias("similitud")).checkpoint()
@@ -46,10 +53,11 @@ def phase1_stats(raw: DataFrame, threshold: int = SIMILARITY_THRESHOLD,
                  seps: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """F24 per column: (column, n_values, n_clusters, n_variants, n_proposals)."""
     frames = []
-    for col, (outer, inner) in (seps or PHASE1_SEPS).items():
+    vocab = vocabulary(raw, seps)
+    for col in (seps or PHASE1_SEPS):
         if col not in raw.columns:
             continue
-        c = cluster(atomic_values(raw, col, outer, inner), "value", threshold)
+        c = cluster(vocab.filter(F.col("column") == col), "value", threshold)
         counts = (c["labels"].select(F.lit(1).alias("kind"))
                   .unionByName(c["canonicals"].select(F.lit(2).alias("kind")))
                   .unionByName(c["proposals"].select(F.lit(3).alias("kind"))))

@@ -49,6 +49,9 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     def agg_sorted(c, sep):
         return F.array_join(F.array_sort(F.collect_list(c)), sep)
 
+    # one shuffle: hash-partitioning on the order key satisfies both grouping
+    # levels (order, case) and (order), and the later join on the order key
+    lines = lines.repartition("l_orderkey")
     per_case = lines.groupBy("l_orderkey", "folio").agg(
         agg_sorted("occ", " | ").alias("occ"), agg_sorted("task", ", ").alias("task"),
         agg_sorted("task_dirty", ", ").alias("task_dirty"), agg_sorted("diag", ", ").alias("diag"),

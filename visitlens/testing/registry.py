@@ -239,8 +239,7 @@ def q_specialist_indicators(spark, d):
 
 
 def q_specialist_vs_team(spark, d):
-    f = followup(spark, d)
-    return A.specialist_vs_team(apply_filters(f, TEAM_FILTER), f)
+    return A.specialist_vs_team_selection(followup(spark, d), TEAM_FILTER)
 
 
 def q_pillar_long(spark, d):
@@ -315,7 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ── normaliser ──────────────────────────────────────────────────────────────
 from visitlens.operators.similarity_join import cluster  # noqa: E402
 from visitlens.plans.normalizer import (phase1_proposals, phase1_stats, phase2_apply,  # noqa: E402
-                                        phase2_changes)
+                                        phase2_changes, vocabulary)
 
 
 def _raw_dirty(spark, d):
@@ -323,7 +322,8 @@ def _raw_dirty(spark, d):
 
 
 def q_similar_pairs(spark, d):
-    pairs = cluster(atomic_values(_raw_dirty(spark, d), "tareas", "||", ","))["pairs"]
+    vocab = vocabulary(_raw_dirty(spark, d)).filter(F.col("column") == "tareas")
+    pairs = cluster(vocab)["pairs"]
     return pairs.select(F.least("ts_a", "ts_b").alias("key_a"), F.greatest("ts_a", "ts_b").alias("key_b"),
                         F.col("lcs").cast("int").alias("lcs"), F.rint("score").cast("int").alias("similarity"))
 
