@@ -17,13 +17,16 @@ from visitlens.operators.pareto import pareto, pareto_concentration
 from visitlens.operators.shape import row_total, select_existing
 
 
-def visit_detail(prog: DataFrame) -> DataFrame:
-    """P3 table: formatted date, place, specialist, workers and their total
-    (sorting by the real date, quirk Q7, is left to the consumer)."""
+def visit_detail(prog: DataFrame, sort: bool = False) -> DataFrame:
+    """P3 table: formatted date, place, specialist, workers and their total.
+    ``sort`` orders by the real date (quirk Q7: not by the day-first text)."""
     out = prog.select(format_date("planned_date", "dd-MM-yyyy").alias("date_text"), "region",
                       "specialist", "employer", "center_name", "commune", "address", "men", "women",
-                      row_total("men", "women").alias("total_workers"))
-    return out
+                      row_total("men", "women").alias("total_workers"),
+                      F.col("planned_date").alias("__d"))
+    if sort:
+        out = out.orderBy("__d")
+    return out.drop("__d")
 
 
 def followup_detail(fu: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ def indicators_page(fu: DataFrame, selection: dict) -> dict[str, DataFrame]:
     """P6 + P7: indicators vs the unfiltered team mean, pillar progress."""
     f = apply_filters(fu, selection)
     return {
-        "indicators": A.specialist_vs_team(f, fu),
+        "indicators": A.specialist_vs_team_selection(fu, selection),
         "team_mean": A.team_mean(A.specialist_indicators(fu)),
         "pillar_long": A.pillar_progress(f),
         "pillar_wide": A.pillar_wide(f),
