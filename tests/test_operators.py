@@ -23,9 +23,12 @@ def test_clean_plan_defaults_and_quirks(spark):
     rows = [
         ("04-03-2026", "13.0", None, "E1", "F1 || F2", "soldar, pintar || cargar", "HOMBRO_DER", None, "12"),
         ("por definir", "10.05", "Ana", "E2", None, None, None, "Macul", "abc"),
-        (None, None, None, None, None, None, None, None, None),  # all NULL -> dropped (Q4)
+        (None, None, None, None, None, None, None, None, None),  # all NULL
     ]
-    p = clean_plan(raw_plan(spark, rows)).orderBy("employer").collect()
+    # Q4: by default no row is dropped (the source drops after adding defaults)
+    kept = clean_plan(raw_plan(spark, rows)).collect()
+    assert len(kept) == 3 and sum(r.specialist == "No Asignado" for r in kept) == 2
+    p = clean_plan(raw_plan(spark, rows), drop_empty=True).orderBy("employer").collect()
     assert len(p) == 2
     a, b = p
     assert a.planned_date.isoformat() == "2026-03-04" and a.month == 3 and a.month_name == "Marzo"

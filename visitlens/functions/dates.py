@@ -24,10 +24,26 @@ DATE_PATTERNS = [
 ]
 
 
+# Digit shape of the strings each pattern can accept (a superset: one-letter
+# fields take one or two digits, yyyy four, yy two).  A pattern is only tried
+# on strings of its shape, so non-matching rows never reach the parser's
+# failure path (a thrown-and-caught exception per attempt).
+_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yy": r"^\d{1,2}-\d{1,2}-\d{2}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy-M-d HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+}
+
+
 def parse_date_flexible(c) -> Column:
     """Mixed-format text -> DATE; blank or unparseable -> NULL."""
     s = strip(_c(c))
-    attempts = [F.try_to_timestamp(s, F.lit(p)) for p in DATE_PATTERNS]
+    attempts = [F.when(s.rlike(_SHAPES[p]), F.try_to_timestamp(s, F.lit(p))) for p in DATE_PATTERNS]
     return F.coalesce(*attempts).cast("date")
 
 

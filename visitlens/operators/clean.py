@@ -34,13 +34,18 @@ def clean_region(c) -> "F.Column":
     return strip_point_zero(F.coalesce(c.cast("string"), F.lit(K.REGION_NULL)))
 
 
-def clean_plan(raw: DataFrame, keep_extra: bool = False) -> DataFrame:
-    """A1 cleaning: headers trimmed then aliases renamed (Q12), all-NULL raw
-    rows dropped (Q4), case cells defaulted to ``''``, region/specialist/
-    account/holding/commune defaults, flexible date + month, numeric worker
-    counts via ``try_cast``."""
+def clean_plan(raw: DataFrame, keep_extra: bool = False, drop_empty: bool = False) -> DataFrame:
+    """A1 cleaning: headers trimmed then aliases renamed (Q12), case cells
+    defaulted to ``''``, region/specialist/account/holding/commune defaults,
+    flexible date + month, numeric worker counts via ``try_cast``.
+
+    Q4: the source drops all-empty rows only *after* adding constant columns,
+    so no row is ever dropped; that is the default here, and it keeps column
+    pruning (a two-column report reads two columns).  ``drop_empty=True``
+    removes rows whose raw cells are all NULL, which reads every column."""
     df = rename_headers(strip_headers(raw), K.HEADER_ALIASES)
-    df = drop_empty_rows(df)
+    if drop_empty:
+        df = drop_empty_rows(df)
     cols = set(df.columns)
 
     out = {}
