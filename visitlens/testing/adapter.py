@@ -12,13 +12,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlens.session import spread
+
 # Segment labels assigned to lines by ``l_partkey % 6`` (RODILLA is not in the
 # anatomical order list, so it exercises the "unknown last" rule).
 FIXTURE_SEGMENTS = ["HOMBRO_DER", "CODO_IZQ", "MANO_DER", "CERVICAL", "LUMBAR", "RODILLA"]
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Reuse the (lazy, immutable) DataFrame object of an input within one
+    session: the plan is built and analysed once, every action still reads
+    and computes everything.  Nothing is cached as data."""
+    k = (id(spark._jsparkSession),) + key
+    if k not in _FRAMES:
+        _FRAMES[k] = build()
+    return _FRAMES[k]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _memo(spark, ("table", sf_dir, name), lambda: _table(spark, sf_dir, name))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the test files are single row groups (one task each): spread them so
+    # per-row work uses every core; a no-op for inputs with enough splits
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _s(c):
@@ -86,6 +107,10 @@ def _holding_raw():
 
 def plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool = False) -> DataFrame:
     """One raw plan row per order, headers as a delimited export has them."""
+    return _memo(spark, ("plan_raw", sf_dir, dirty_tasks), lambda: _plan_raw(spark, sf_dir, dirty_tasks))
+
+
+def _plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool) -> DataFrame:
     k7 = F.col("o_orderkey") % 7
     planned = (F.when(k7 == 0, F.lit(None).cast("string"))
                 .when(k7 == 1, F.lit(""))
@@ -119,6 +144,10 @@ def plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool = False) -> Dat
 
 def followup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw follow-up row per order, every cell text."""
+    return _memo(spark, ("followup_raw", sf_dir), lambda: _followup_raw(spark, sf_dir))
+
+
+def _followup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     spellings = ["TRUE", "verdadero ", "1", "FALSE", "si", "", None]
 
     def pillar(i: int):

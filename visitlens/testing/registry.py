@@ -41,11 +41,13 @@ TEAM_FILTER = {"account": "MACHINERY"}
 
 
 def plan(spark: SparkSession, d: str, dirty_tasks: bool = False) -> DataFrame:
-    return clean_plan(plan_raw(spark, d, dirty_tasks=dirty_tasks))
+    from visitlens.testing.adapter import _memo
+    return _memo(spark, ("plan", d, dirty_tasks), lambda: clean_plan(plan_raw(spark, d, dirty_tasks=dirty_tasks)))
 
 
 def followup(spark: SparkSession, d: str) -> DataFrame:
-    return type_followup(followup_raw(spark, d))
+    from visitlens.testing.adapter import _memo
+    return _memo(spark, ("followup", d), lambda: type_followup(followup_raw(spark, d)))
 
 
 def _iso(c: str):
