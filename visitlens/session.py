@@ -63,19 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = 1 << 20) -> DataFrame:
-    """Round-robin repartition an under-partitioned input (e.g. one small
-    file with one row group, which Spark reads as a single task) to the
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition an under-partitioned input (e.g. one file
+    with one row group, which Spark reads as a single task) to the
     cluster's default parallelism, so per-row work runs on every core.
 
     A no-op when the input already has enough partitions — a large table
-    never pays this shuffle — and for inputs under ``min_bytes`` (Catalyst's
-    planned size, no job), which are cheaper to process in one task or are
-    broadcast anyway.  It does not keep row order: do not use it before an
-    operator that relies on file order (``load_canonical_map`` without
-    ``order_col``)."""
+    never pays this shuffle.  Meant for inputs with heavy per-row work, not
+    for small dimension tables that are broadcast anyway.  It does not keep
+    row order: do not use it before an operator that relies on file order
+    (``load_canonical_map`` without ``order_col``)."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min_bytes:
-        return df
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -19,27 +19,34 @@ from visitlens.session import spread
 FIXTURE_SEGMENTS = ["HOMBRO_DER", "CODO_IZQ", "MANO_DER", "CERVICAL", "LUMBAR", "RODILLA"]
 
 
-_FRAMES: dict[tuple, DataFrame] = {}
+_FRAMES: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Reuse the (lazy, immutable) DataFrame object of an input within one
     session: the plan is built and analysed once, every action still reads
-    and computes everything.  Nothing is cached as data."""
-    k = (id(spark._jsparkSession),) + key
-    if k not in _FRAMES:
-        _FRAMES[k] = build()
-    return _FRAMES[k]
+    and computes everything.  Nothing is cached as data.  The session is
+    held with the frame, so a later session never gets a stale plan."""
+    hit = _FRAMES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, build())
+        _FRAMES[key] = hit
+    return hit[1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _memo(spark, ("table", sf_dir, name), lambda: _table(spark, sf_dir, name))
 
 
+# Fact-sized test tables.  The files are single row groups (one task each):
+# spreading them lets per-row work use every core; a no-op for inputs with
+# enough splits.  Dimension tables are left alone (they are broadcast).
+SPREAD_TABLES = {"orders", "lineitem", "documents", "events", "pages"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # the test files are single row groups (one task each): spread them so
-    # per-row work uses every core; a no-op for inputs with enough splits
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def _s(c):

@@ -316,7 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ── normaliser ──────────────────────────────────────────────────────────────
 from visitlens.operators.similarity_join import cluster  # noqa: E402
 from visitlens.plans.normalizer import (phase1_proposals, phase1_stats, phase2_apply,  # noqa: E402
-                                        phase2_changes, vocabulary)
+                                        phase2_changes, vocabulary, PHASE1_SEPS)
 
 
 def _raw_dirty(spark, d):
@@ -324,18 +324,18 @@ def _raw_dirty(spark, d):
 
 
 def q_similar_pairs(spark, d):
-    vocab = vocabulary(_raw_dirty(spark, d)).filter(F.col("column") == "tareas")
+    vocab = vocabulary(_raw_dirty(spark, d), {"tareas": PHASE1_SEPS["tareas"]})
     pairs = cluster(vocab)["pairs"]
     return pairs.select(F.least("ts_a", "ts_b").alias("key_a"), F.greatest("ts_a", "ts_b").alias("key_b"),
                         F.col("lcs").cast("int").alias("lcs"), F.rint("score").cast("int").alias("similarity"))
 
 
 def q_canonical_proposals(spark, d):
-    return phase1_proposals(_raw_dirty(spark, d))["tareas"]
+    return phase1_proposals(_raw_dirty(spark, d), seps={"tareas": PHASE1_SEPS["tareas"]})["tareas"]
 
 
 def q_occupation_proposals(spark, d):
-    return phase1_proposals(_raw_dirty(spark, d))["ocupaciones"]
+    return phase1_proposals(_raw_dirty(spark, d), seps={"ocupaciones": PHASE1_SEPS["ocupaciones"]})["ocupaciones"]
 
 
 def q_cluster_stats(spark, d):
