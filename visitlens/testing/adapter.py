@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Fact-sized test tables.  The files are single row groups (one task each):
 # spreading them lets per-row work use every core; a no-op for inputs with
 # enough splits.  Dimension tables are left alone (they are broadcast).
-SPREAD_TABLES = {"orders", "lineitem", "documents", "events", "pages"}
+SPREAD_TABLES = {"orders", "documents", "events", "pages"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
