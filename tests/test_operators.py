@@ -102,6 +102,7 @@ def test_distinct_cases(spark):
     df = spark.createDataFrame([("F1 || F2", "E1"), ("F1||F1", "E2"), ("||", None), (" ", "E1")],
                                "case_ids string, employer string")
     assert count_distinct_cases(df).collect()[0].n_cases == 2
+    assert count_distinct_cases(df, approx=True).collect()[0].n_cases == 2
     per = {r.employer: r.n_cases for r in cases_per_group(df, "employer").collect()}
     assert per == {"E1": 2, "E2": 1}
 

@@ -17,9 +17,11 @@ def test_payload_roundtrip(spark):
                                 ('{"headers":["a","b"],"rows":[]}',), ('{"headers":["a","b"]}',)], "payload string")
     rows = payload_to_rows(df).orderBy("row_no").collect()
     assert [(r.row_no, r.a, r.b) for r in rows] == [(0, "1", "2"), (1, "3", "4")]
-    src = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 12, "z")], "g int, o int, v string")
+    src = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 12, "z"), (1, 12, "w")], "g int, o int, v string")
     p = build_payload(src, ["g"], ["o", "v"], "o").orderBy("g").collect()
-    assert json.loads(p[0].payload) == {"headers": ["o", "v"], "rows": [["10", "x"], ["11", "y"]]}
+    assert json.loads(p[0].payload) == {"headers": ["o", "v"], "rows": [["10", "x"], ["11", "y"], ["12", "w"]]}
+    chunks = build_payload(src, ["g"], ["o", "v"], "o", chunk_rows=2).filter("g = 1").orderBy("chunk").collect()
+    assert [len(json.loads(c.payload)["rows"]) for c in chunks] == [2, 1]
 
 
 def test_sinks(spark, tmpdir_path):

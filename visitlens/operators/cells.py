@@ -55,11 +55,15 @@ def case_ids(df: DataFrame, col: str = "case_ids", keep: list[str] | None = None
     return explode_tokens(df, col, [OUTER_SEP], keep=keep, alias="case_id")
 
 
-def count_distinct_cases(df: DataFrame, col: str = "case_ids") -> DataFrame:
-    """number of distinct case ids (one row, ``n_cases``)."""
+def count_distinct_cases(df: DataFrame, col: str = "case_ids", approx: bool = False,
+                         rsd: float = 0.01) -> DataFrame:
+    """number of distinct case ids (one row, ``n_cases``).  ``approx``
+    opts into HyperLogLog++ (``approx_count_distinct``, relative error ``rsd``),
+    which needs no shuffle of the ids."""
     if col not in df.columns:
         return df.sparkSession.createDataFrame([(0,)], "n_cases bigint")
-    return case_ids(df, col).agg(F.count_distinct("case_id").alias("n_cases"))
+    agg = F.approx_count_distinct("case_id", rsd) if approx else F.count_distinct("case_id")
+    return case_ids(df, col).agg(agg.alias("n_cases"))
 
 
 def cases_per_group(df: DataFrame, key: str = "employer", col: str = "case_ids") -> DataFrame:

@@ -29,11 +29,17 @@ def payload_to_rows(df: DataFrame, col: str = "payload", columns: list[str] | No
 
 
 def build_payload(df: DataFrame, batch_cols: list[str], columns: list[str], order_col: str,
-                  alias: str = "payload") -> DataFrame:
-    """The inverse: one JSON payload per batch (rows ordered by ``order_col``)."""
+                  alias: str = "payload", chunk_rows: int = 1000) -> DataFrame:
+    """The inverse: JSON payloads of positional rows ordered by ``order_col``.
+
+    Every batch is cut into chunks by ``floor(order_col / chunk_rows)``
+    (``order_col`` numeric, unique within a batch), so no payload — and no
+    collected group — holds more than ``chunk_rows`` rows, however large one
+    batch is.  The chunk number is returned as column ``chunk``."""
+    chunk = F.floor(F.col(order_col) / F.lit(chunk_rows)).cast("bigint")
     row = F.struct(F.col(order_col).alias("__o"), F.array(*[F.col(c).cast("string") for c in columns]).alias("__a"))
-    agg = df.groupBy(*batch_cols).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    return agg.select(*batch_cols, F.to_json(F.struct(
+    agg = df.groupBy(*batch_cols, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    return agg.select(*batch_cols, "chunk", F.to_json(F.struct(
         F.array(*[F.lit(c) for c in columns]).alias("headers"),
         F.transform("__rows", lambda r: r["__a"]).alias("rows"))).alias(alias))
 

@@ -365,8 +365,8 @@ PAYLOAD_CHUNK = 64
 
 
 def _payloads(spark, d):
-    ev = table(spark, d, "events").withColumn("chunk", F.floor(F.col("event_id") / PAYLOAD_CHUNK).cast("bigint"))
-    return build_payload(ev, ["user_id", "chunk"], PAYLOAD_COLUMNS, "event_id")
+    return build_payload(table(spark, d, "events"), ["user_id"], PAYLOAD_COLUMNS, "event_id",
+                         chunk_rows=PAYLOAD_CHUNK)
 
 
 def q_payload_rows(spark, d):
