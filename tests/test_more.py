@@ -51,12 +51,15 @@ def test_reports_compose(spark):
     p, f = plan(spark, SF), followup(spark, SF)
     sel = {"specialist": None, "account": "MACHINERY"}
     pages = [R.programme_page(p, sel), R.followup_page(p, f, sel), R.indicators_page(f, sel),
-             R.case_page(p, sel, segment="LUMBAR", dimension="tasks"), R.drill_page(p, sel, "diagnoses", "Brand#2")]
+             R.case_page(p, sel, segment="LUMBAR", dimension="tasks"), R.drill_page(p, sel, "diagnoses", "Brand#2"),
+             R.pareto_drill_page(p, sel, "MANO_DER"), {"sheet": R.plan_sheet(p)}]
     for page in pages:
         for name, df in page.items():
             assert df.count() >= 0, name
     d = R.visit_detail(p.filter(F.col("planned_date").isNotNull()), sort=True).limit(50).collect()
     dates = [tuple(reversed(x.date_text.split("-"))) for x in d]
     assert dates == sorted(dates)
+    ind = [r.pct_goal for r in R.indicators_page(f, sel)["indicators"].collect()]
+    assert ind == sorted(ind, reverse=True)
     mean = R.indicators_page(f, {})["team_mean"].collect()[0]
     assert 0 <= mean.team_mean_pct <= 100

@@ -76,7 +76,8 @@ def facet_options(df: DataFrame, selection: dict[str, object | None],
               .select(F.explode(pairs).alias("p"))
               .filter(F.col("p.ok") & F.col("p.value").isNotNull())
               .select(F.col("p.facet").alias("facet"), F.col("p.value").alias("value"))
-              .distinct())
+              .distinct()
+              .orderBy("facet", "value"))
 
 
 def validate_selection(df: DataFrame, selection: dict[str, object | None],

@@ -74,8 +74,10 @@ def followup_page(plan: DataFrame, fu: DataFrame, selection: dict, month: int |
 def indicators_page(fu: DataFrame, selection: dict) -> dict[str, DataFrame]:
     """P6 + P7: indicators vs the unfiltered team mean, pillar progress."""
     f = apply_filters(fu, selection)
+    ind = A.specialist_vs_team_selection(fu, selection)
     return {
-        "indicators": A.specialist_vs_team_selection(fu, selection),
+        "indicators": ind.orderBy(F.col("pct_goal").desc(), "specialist"),   # H5 table
+        "indicators_chart": ind.orderBy(F.col("pct_goal").asc(), "specialist"),  # H5 chart
         "team_mean": A.team_mean(A.specialist_indicators(fu)),
         "pillar_long": A.pillar_progress(f),
         "pillar_wide": A.pillar_wide(f),
@@ -111,3 +113,23 @@ def drill_page(plan: DataFrame, selection: dict, by: str = "segments", value: st
         "tasks": multi_value_ranking(drill, "tasks", ","),
         "records": drill_records(drill),
     }
+
+
+def pareto_drill_page(plan: DataFrame, selection: dict, segment: str | None = None,
+                      dimension: str = "occupations") -> dict[str, DataFrame]:
+    """Pareto and drill-down on the same segment subset (P9 + P10)."""
+    out = {f"pareto_{k}": v for k, v in case_page(plan, selection, segment, dimension).items()}
+    out.update({f"drill_{k}": v for k, v in drill_page(plan, selection, "segments", segment).items()})
+    return out
+
+
+def plan_sheet(plan: DataFrame, path: str | None = None) -> DataFrame:
+    """The plain plan sheet (existing columns, by real date); written to
+    ``path`` when given (A5)."""
+    cols = ["planned_date", "region", "specialist", "account", "holding", "employer", "center_name",
+            "address", "commune", "men", "women"]
+    sheet = select_existing(plan, cols).orderBy("planned_date")
+    if path:
+        from visitlens.sources.sinks import refresh_table
+        refresh_table(sheet, path)
+    return sheet
