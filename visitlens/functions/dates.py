@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitlens.constants import MONTH_NAMES_ES
+from visitlens.constants import MONTH_NAMES_ES, WHITESPACE_CLASS
 from visitlens.functions.text import _c, strip
 
 # Ordered attempts: ISO, day-first with dashes, day-first with slashes, then a
@@ -40,10 +40,17 @@ _SHAPES = {
 }
 
 
+def _guard(p: str) -> str:
+    """The shape of ``p`` with optional surrounding whitespace, tested on the
+    raw text: only the branch whose guard matches strips and parses."""
+    body = _SHAPES[p][1:-1]
+    return f"^{WHITESPACE_CLASS}*{body}{WHITESPACE_CLASS}*$"
+
+
 def parse_date_flexible(c) -> Column:
     """Mixed-format text -> DATE; blank or unparseable -> NULL."""
-    s = strip(_c(c))
-    attempts = [F.when(s.rlike(_SHAPES[p]), F.try_to_timestamp(s, F.lit(p))) for p in DATE_PATTERNS]
+    raw = _c(c)
+    attempts = [F.when(raw.rlike(_guard(p)), F.try_to_timestamp(strip(raw), F.lit(p))) for p in DATE_PATTERNS]
     return F.coalesce(*attempts).cast("date")
 
 

@@ -41,8 +41,11 @@ def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str
 
 
 def _rewrite_item(item: Column, lookup) -> Column:
-    key = normalize_text(item)
-    return F.when(strip(item) == "", F.lit("")).otherwise(F.upper(F.coalesce(lookup(key), key)))
+    # bind the normalised key once (a one-element transform acts as a let):
+    # it is needed for the lookup and as the fallback value
+    mapped = F.element_at(F.transform(F.array(normalize_text(item)),
+                                      lambda key: F.upper(F.coalesce(lookup(key), key))), 1)
+    return F.when(strip(item) == "", F.lit("")).otherwise(mapped)
 
 
 def _blank_cell(c: Column) -> Column:
