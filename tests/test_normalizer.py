@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from visitlens.functions.similarity import lcs_length
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map

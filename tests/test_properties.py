@@ -10,7 +10,6 @@ import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from visitlens.functions import normalize_text, split_tokens
 from visitlens.operators.pareto import pareto_from_ranking

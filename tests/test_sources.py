@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from visitlens.sources.payload import build_payload, payload_to_rows
 from visitlens.sources.readers import read_delimited_skip, read_followup, read_plan, register, sql
