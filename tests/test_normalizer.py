@@ -107,3 +107,14 @@ def test_phase2_reference_separators_pin(spark):
     # Q9: phase 2 splits occupations by "||" only, so "A | B" is one item
     assert out.ocupaciones == "SOLDADORES  PINTOR||PINTOR"
     assert out.tareas == "SOLDAR,PINTAR"
+
+
+def test_join_path_equals_literal_path_on_fixture(spark):
+    raw = plan_raw(spark, "/root/testdata/sf0.001", dirty_tasks=True)
+    props = phase1_proposals(raw)
+    m = load_canonical_map(props["tareas"])
+    lit = canonicalize_cell(raw, "tareas", m, "||", ",", out="new", key="ID-CT")
+    big = canonicalize_cell(raw, "tareas", m, "||", ",", out="new", key="ID-CT", literal_max_rows=0)
+    a = {r["ID-CT"]: r["new"] for r in lit.select("ID-CT", "new").collect()}
+    b = {r["ID-CT"]: r["new"] for r in big.select("ID-CT", "new").collect()}
+    assert a == b and len(a) == raw.count()

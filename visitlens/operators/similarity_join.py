@@ -156,8 +156,10 @@ def cluster(values: DataFrame, col: str = "value", threshold: int = SIMILARITY_T
     pairs = similar_keys(keys, threshold).checkpoint()
     sym = _symmetric(pairs, keys)
     reps = choose_canonicals(labels, sym)
+    # the canonical set feeds the anti-join, the nearest-canonical search and
+    # the statistics: materialise it once (vocabulary-sized)
     canon = (reps.select(F.col("rep").alias("canonical")).distinct()
-                 .join(labels.select(F.col("value").alias("canonical"), "ts"), "canonical"))
+                 .join(labels.select(F.col("value").alias("canonical"), "ts"), "canonical")).checkpoint()
     near = nearest_canonical(sym, canon)
     variants = labels.join(canon.select(F.col("canonical").alias("value")), "value", "left_anti")
     proposals = (variants.join(near, variants.ts == near.x)
