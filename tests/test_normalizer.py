@@ -118,3 +118,22 @@ def test_join_path_equals_literal_path_on_fixture(spark):
     a = {r["ID-CT"]: r["new"] for r in lit.select("ID-CT", "new").collect()}
     b = {r["ID-CT"]: r["new"] for r in big.select("ID-CT", "new").collect()}
     assert a == b and len(a) == raw.count()
+
+
+def test_blocked_equals_brute_force_long_labels(spark):
+    rnd = random.Random(11)
+    words = ["operador", "maquina", "auxiliar", "bodega", "soldador", "pintor", "carga", "manual",
+             "de", "la", "grua", "horquilla"]
+    keys = set()
+    for _ in range(220):
+        w = list(" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 7))))
+        for _ in range(rnd.randint(0, 6)):
+            i = rnd.randrange(len(w))
+            if rnd.random() < 0.5:
+                del w[i]
+            else:
+                w.insert(i, rnd.choice("aeiou rs"))
+        keys.add(ts_py("".join(w)))
+    keys.discard("")
+    assert max(len(k) for k in keys) > 40
+    assert blocked_pairs(spark, keys) == brute_pairs(keys)

@@ -15,9 +15,10 @@ Lossless blocked self-join (never a cross join):
    most q grams, so two matching keys share a gram among the first
    ``q*D(n) + 1`` grams of each under one global rarest-first order
    (occurrences numbered, so multisets are respected).  Prefix grams are
-   equi-joined on ``(gram, partner length)`` — the probe side is exploded
-   over its admissible partner lengths, which splits a frequent gram by
-   length instead of letting it form one huge join group.
+   equi-joined on ``(gram, length band)`` — the probe side is exploded over
+   the few geometric bands its admissible partner lengths overlap, which
+   splits a frequent gram by length instead of letting it form one huge
+   join group, at a replication of 3-4 rows per prefix gram.
 4. Keys with no guarantee (at most ``q*D(n)`` grams: only one-character keys
    for T = 88) are equi-joined on length with every key of admissible length.
 5. Candidates are verified with the exact LCS (Arrow UDF) and the rational
@@ -60,6 +61,14 @@ def _len_hi(n, t: int):
     return F.floor(n * F.lit(200 - t) / F.lit(t)).cast("int")
 
 
+BAND_RATIO = 1.1
+
+
+def _band(n):
+    """Geometric length band (~10 % wide); monotone in n."""
+    return F.floor(F.log(BAND_RATIO, n.cast("double"))).cast("int")
+
+
 def _len_lo(n, t: int):
     """Shortest admissible partner length of a key of length n."""
     return F.ceil(n * F.lit(t) / F.lit(200 - t)).cast("int")
@@ -86,10 +95,16 @@ def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD, q: i
                 .withColumn("r", F.row_number().over(w))
                 .filter(F.col("r") <= F.lit(q) * _max_edits(F.col("n"), threshold) + 1)
                 .select("ts", "n", "g"))
+    # equi-join on (gram, length band): the probe side lists the bands that
+    # overlap its admissible partner lengths [n, hi(n)] (3-4 geometric bands),
+    # the exact length bound is re-checked after the join
     probe = prefix.select(F.col("ts").alias("ts_a"), F.col("n").alias("n_a"), "g",
-                          F.explode(F.sequence(F.col("n"), _len_hi(F.col("n"), threshold))).alias("m"))
-    build = prefix.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_m"), F.col("g").alias("g_b"))
-    by_gram = (probe.join(build, (probe.g == build.g_b) & (probe.m == build.n_m))
+                          F.explode(F.sequence(_band(F.col("n")), _band(_len_hi(F.col("n"), threshold))))
+                           .alias("band"))
+    build = prefix.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_m"), F.col("g").alias("g_b"),
+                          _band(F.col("n")).alias("band_b"))
+    by_gram = (probe.join(build, (probe.g == build.g_b) & (probe.band == build.band_b))
+                    .filter((F.col("n_m") >= F.col("n_a")) & (F.col("n_m") <= _len_hi(F.col("n_a"), threshold)))
                     .filter((F.col("n_a") < F.col("n_m")) | (F.col("ts_a") < F.col("ts_b")))
                     .select("ts_a", "n_a", "ts_b", F.col("n_m").alias("n_b")))
 
