@@ -169,3 +169,20 @@ def test_kpis_empty_followup(spark):
     assert r.scheduled == 1 and r.goals_met is None and r.n_cases == 1 and r.employers_with_cases == 1
     k = A.kpi_followup(plan.limit(0), fu).collect()[0]
     assert k.universe == 0 and k.progress_pct == 0.0 and k.pillar_1_pct == 0.0
+
+
+def test_headers_trimmed_before_alias_rename(spark):
+    # Q12: " Region " is trimmed first, then renamed to the accented header
+    df = spark.createDataFrame([("7.0", "x")], "` Region ` string, `Nombre Empleador ` string")
+    r = clean_plan(df).collect()[0]
+    assert r.region == "7" and r.employer == "x"
+
+
+def test_month_filter_population_q8(spark):
+    # Q8: the month filter narrows the scheduled plan only; goals come from the whole follow-up
+    plan = spark.createDataFrame([("2026-01-05", 1, False, "E", ""), ("2026-02-05", 2, False, "E", "")],
+                                 "d string, month int, has_case boolean, employer string, case_ids string")
+    plan = plan.withColumn("planned_date", F.to_date("d")).drop("d")
+    fu = spark.createDataFrame([(True, "x"), (True, "y")], "goal_met boolean, visit_status string")
+    r = A.kpi_global(plan, fu, month=1).collect()[0]
+    assert (r.scheduled, r.goals_met, r.goal_pct) == (1, 2, 200.0)
