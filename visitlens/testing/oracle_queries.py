@@ -363,6 +363,13 @@ FROM events GROUP BY user_id, floor(event_id / 64)"""
 SELECT strftime(planned_date, '%d-%m-%Y') AS date_text, region, specialist, employer, center_name, commune,
        address, CAST(men AS VARCHAR) AS men, CAST(women AS VARCHAR) AS women,
        CAST(coalesce(men, 0.0) + coalesce(women, 0.0) AS VARCHAR) AS total_workers FROM {PROG}""")
+    base = build()
+    S["plan_csv_roundtrip"] = base["plan_clean"]
+    S["followup_csv_roundtrip"] = base["followup_typed"]
+    S["sql_view"] = base["by_region"]
+    S["canonical_lookup"] = with_base(
+        "SELECT v.value, coalesce(p.canonical_propuesto, v.value) AS canonical "
+        "FROM tv v LEFT JOIN tprop p ON v.value = p.variante", t_ctes)
     S["table_info"] = with_base("""
 SELECT count(*) AS rows, coalesce(NULLIF(CAST(min_by(region, center_id) AS VARCHAR), ''), 'sin datos') AS updated
 FROM fu""")

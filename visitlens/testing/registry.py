@@ -414,3 +414,57 @@ QUERIES.update({
     "sink_append": q_sink_append,
     "table_info": q_table_info,
 })
+
+
+# ── sources through real files, SQL views, dictionary lookups ─────────────
+from visitlens.operators.lookup import lookup  # noqa: E402
+from visitlens.sources.readers import read_followup, read_plan, register, sql  # noqa: E402
+
+CSV_WRITE = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _as_csv(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.options(**CSV_WRITE).mode("overwrite").csv(path)
+    return path
+
+
+def q_plan_csv_roundtrip(spark, d):
+    """A1: the raw plan sheet written as CSV, scanned all-STRING and typed."""
+    p = read_plan(spark, _as_csv(spark, plan_raw(spark, d), "plan_csv"))
+    return p.select("center_id", _iso("planned_date"), F.col("month").cast("string").alias("month"),
+                    "month_name", "region", "specialist", "account", "holding", "employer", "center_name",
+                    "address", "commune", "men", "women", "has_case", "case_ids", "occupations", "tasks",
+                    "diagnoses", "segments")
+
+
+def q_followup_csv_roundtrip(spark, d):
+    """A2: the raw follow-up sheet written as CSV, scanned all-STRING and typed."""
+    f = read_followup(spark, _as_csv(spark, followup_raw(spark, d), "followup_csv"))
+    return f.select("region", "specialist", "account", "holding", "employer", "center_id",
+                    "center_name", "commune", "visit_status", "goal_met", "pillar_1", "pillar_2",
+                    "pillar_3", "pillar_4", _iso("diffusion_date"), _iso("cutoff_date"))
+
+
+def q_sql_view(spark, d):
+    """The typed plan registered as a view and queried with SQL."""
+    register(plan(spark, d), "visit_plan")
+    return sql(spark, "SELECT region, count(*) AS cnt FROM visit_plan "
+                      "WHERE planned_date IS NOT NULL GROUP BY region")
+
+
+def q_canonical_lookup(spark, d):
+    """Every task label mapped through the proposals (missing -> itself)."""
+    raw = _raw_dirty(spark, d)
+    seps = {"tareas": PHASE1_SEPS["tareas"]}
+    props = phase1_proposals(raw, seps=seps)["tareas"]
+    labels = vocabulary(raw, seps).select("value")
+    return lookup(labels, "value", props, "variante", "canonical_propuesto", out="canonical")
+
+
+QUERIES.update({
+    "plan_csv_roundtrip": q_plan_csv_roundtrip,
+    "followup_csv_roundtrip": q_followup_csv_roundtrip,
+    "sql_view": q_sql_view,
+    "canonical_lookup": q_canonical_lookup,
+})
