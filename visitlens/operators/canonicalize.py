@@ -7,9 +7,10 @@ as it is.
 
 Two physical paths, chosen behind a checked size bound:
 
-* small map (the usual reviewed vocabulary, hundreds of rows): the map is
-  folded into one literal ``MAP`` value and the rewrite is a single
-  projection — no shuffle, no join;
+* small map (the usual reviewed vocabulary, up to 20k rows): the map is
+  built on the executors as one ``MAP`` value, attached with a one-row
+  broadcast, and the rewrite is a single projection — no shuffle of the
+  cells;
 * large map: cells are exploded to (row, case, item) with positions, looked
   up with a join (broadcast only if the map is small enough, else a
   shuffle join that AQE can split on skew), re-assembled per row and joined
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.text import normalize_text, split_literal, strip
-from visitlens.operators.lookup import broadcast_if_small
+from visitlens.operators.lookup import attach_scalars, broadcast_if_small
 from visitlens.session import checkpoint_dir
 
 LITERAL_MAP_MAX_ROWS = 20_000
@@ -52,9 +53,14 @@ def _blank_cell(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-def canonicalize_with_map(cell: Column, mapping: dict[str, str], outer: str = "||", inner: str = ",") -> Column:
-    """N4 as one expression over a literal map (folded to a single constant)."""
-    if mapping:
+def canonicalize_with_map(cell: Column, mapping: dict[str, str] | Column, outer: str = "||",
+                          inner: str = ",") -> Column:
+    """N4 as one expression over a map: a Python dict (folded to one literal)
+    or a ``MAP<STRING,STRING>`` column."""
+    if isinstance(mapping, Column):
+        m = mapping
+        lookup = lambda key: F.try_element_at(m, key)
+    elif mapping:
         kv = []
         for k, v in mapping.items():
             kv += [F.lit(k), F.lit(v)]
@@ -77,9 +83,13 @@ def canonicalize_cell(df: DataFrame, col: str, mapping: DataFrame, outer: str =
     out = out or col
     small = mapping.limit(literal_max_rows + 1).count() <= literal_max_rows
     if small:
-        # bounded by the check above: at most literal_max_rows pairs reach the driver
-        pairs = {r["variant"]: r["canonical"] for r in mapping.select("variant", "canonical").collect()}
-        return df.withColumn(out, canonicalize_with_map(F.col(col), pairs, outer, inner))
+        # The map is built on the executors as ONE row (bounded by the check
+        # above) and attached with a one-row broadcast: no shuffle of the
+        # cells, nothing passes through the driver.
+        m_row = mapping.agg(F.map_from_entries(F.collect_list(F.struct(
+            F.col("variant").cast("string"), F.col("canonical").cast("string")))).alias("__m"))
+        res = attach_scalars(df, m_row)
+        return res.withColumn(out, canonicalize_with_map(F.col(col), F.col("__m"), outer, inner)).drop("__m")
     return _canonicalize_by_join(df, col, mapping, outer, inner, out, key)
 
 
