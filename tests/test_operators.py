@@ -80,6 +80,12 @@ def test_pareto_keeps_top_and_ties_by_name(spark):
     assert cum == sorted(cum)  # monotone
 
 
+def test_pareto_requires_bound(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        pareto_from_ranking(ranking_of(spark, {"a": 1}), top=None)
+
+
 def test_pareto_concentration(spark):
     p = pareto_from_ranking(ranking_of(spark, {"a": 5, "b": 3, "c": 2}))
     r = pareto_concentration(p).collect()[0]

@@ -18,7 +18,12 @@ from visitlens.operators.cells import multi_value_ranking, ranked
 def pareto_from_ranking(ranking: DataFrame, top: int = PARETO_TOP, cut: float = PARETO_CUT) -> DataFrame:
     """G1-G4 over a (name, cnt) ranking: rank, % of the kept rows' total
     (rounded half-even to 0.1), cumulative % of the *rounded* values (summed
-    exactly in tenths), vital = cumulative <= cut."""
+    exactly in tenths), vital = cumulative <= cut.
+
+    ``top`` is required: it bounds the rows that reach the un-partitioned
+    windows (a full ranking would land in one task)."""
+    if not isinstance(top, int) or top <= 0:
+        raise ValueError("pareto needs a positive top-n bound")
     kept = ranked(ranking, top)
     order = Window.orderBy(F.col("cnt").desc(), F.col("name").asc())
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
