@@ -72,3 +72,14 @@ def test_streaming_ingest_idempotent(spark, tmpdir_path):
     q = start_payload_ingest(spark, src, table, ["k", "v"], ckpt)  # nothing new
     q.awaitTermination(120)
     assert spark.read.parquet(table).count() == 6
+
+
+def test_partitioned_refresh_prunes(spark, tmpdir_path):
+    from visitlens.testing.registry import plan
+    path = os.path.join(tmpdir_path, "plan_by_region")
+    p = plan(spark, "/root/testdata/sf0.001").select("center_id", "region", "specialist")
+    n = refresh_table(p, path, partition_by=["region"])
+    t = spark.read.parquet(path).filter("region = '3'")
+    plan_text = t._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(region" in plan_text
+    assert t.count() == p.filter("region = '3'").count() and n == p.count()

@@ -11,20 +11,28 @@ from pyspark.sql.types import StringType, StructField, StructType
 from visitlens.constants import NO_DATA
 
 
-def _write(df: DataFrame, path: str, mode: str, fmt: str = "parquet") -> int:
+def _write(df: DataFrame, path: str, mode: str, fmt: str = "parquet",
+           partition_by: list[str] | None = None) -> int:
     obs = Observation()
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt).save(path)
+    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)
     return int(obs.get["rows"])
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:
+def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
+                 partition_by: list[str] | None = None) -> dict[str, int]:
     """A5: several named outputs in one export: ``<path>/<name>`` each."""
-    return {name: _write(df, f"{path.rstrip('/')}/{name}", "overwrite", fmt) for name, df in tables.items()}
+    return {name: _write(df, f"{path.rstrip('/')}/{name}", "overwrite", fmt, partition_by)
+            for name, df in tables.items()}
 
 
-def refresh_table(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Replace header and all rows; returns rows written."""
-    return _write(df, path, "overwrite", fmt)
+def refresh_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> int:
+    """Replace header and all rows; returns rows written.  ``partition_by``
+    (e.g. ``["region"]``) lays the table out by that column, so readers that
+    filter on it prune whole directories."""
+    return _write(df, path, "overwrite", fmt, partition_by)
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> int:
