@@ -70,18 +70,14 @@ def clean_plan(raw: DataFrame, keep_extra: bool = False, drop_empty: bool = Fals
                      else F.lit(None).cast("double"))
     for header, name in K.CASE_COLUMNS.items():
         out[name] = F.coalesce(_s(header), F.lit("")) if header in cols else F.lit("")
-    typed = df.select(*[v.alias(k) for k, v in out.items()])
-    typed = typed.withColumn("has_case", has_case("case_ids")).select(*PLAN_COLUMNS)
+    extra = []
     if keep_extra:
         used = {K.H_CENTER_ID, K.H_PLANNED, K.H_REGION, K.H_SPECIALIST, K.H_ACCOUNT, K.H_HOLDING,
                 K.H_EMPLOYER, K.H_CENTER_NAME, K.H_ADDRESS, K.H_COMMUNE, K.H_COMMUNE_2, K.H_MEN,
                 K.H_WOMEN, *K.CASE_COLUMNS}
         extra = [c for c in df.columns if c not in used and c not in PLAN_COLUMNS]
-        if extra:
-            typed = df.select(*[v.alias(k) for k, v in out.items()],
-                              *[F.col(f"`{c}`") for c in extra])
-            typed = typed.withColumn("has_case", has_case("case_ids")).select(*PLAN_COLUMNS, *extra)
-    return typed
+    typed = df.select(*[v.alias(k) for k, v in out.items()], *[F.col(f"`{c}`") for c in extra])
+    return typed.withColumn("has_case", has_case("case_ids")).select(*PLAN_COLUMNS, *extra)
 
 
 def type_followup(raw: DataFrame) -> DataFrame:

@@ -25,6 +25,14 @@ from visitlens.operators.filters import (apply_filters, contains_filter, facet_o
 from visitlens.operators.pareto import pareto, pareto_concentration
 from visitlens.plans import reports as R
 from visitlens.testing.adapter import followup_raw, plan_raw, table
+from visitlens.operators.similarity_join import cluster
+from visitlens.plans.normalizer import (phase1_proposals, phase1_stats, phase2_apply,
+                                        phase2_changes, vocabulary, PHASE1_SEPS)
+from visitlens.session import scratch_path
+from visitlens.sources.payload import build_payload, payload_to_rows, result_envelope
+from visitlens.sources.sinks import append_rows, init_table, refresh_table, table_info
+from visitlens.operators.lookup import lookup
+from visitlens.sources.readers import read_followup, read_plan, register, sql
 
 # Fixed parameters of the registered queries (a user's dashboard selections).
 SELECTION = {"specialist": "ERG-5", "account": "MACHINERY", "holding": None, "employer": None,
@@ -314,9 +322,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 # ── normaliser ──────────────────────────────────────────────────────────────
-from visitlens.operators.similarity_join import cluster  # noqa: E402
-from visitlens.plans.normalizer import (phase1_proposals, phase1_stats, phase2_apply,  # noqa: E402
-                                        phase2_changes, vocabulary, PHASE1_SEPS)
 
 
 def _raw_dirty(spark, d):
@@ -356,9 +361,6 @@ def q_change_stats(spark, d):
 
 
 # ── payloads and sinks ──────────────────────────────────────────────────────
-from visitlens.session import scratch_path  # noqa: E402
-from visitlens.sources.payload import build_payload, payload_to_rows, result_envelope  # noqa: E402
-from visitlens.sources.sinks import append_rows, init_table, refresh_table, table_info  # noqa: E402
 
 PAYLOAD_COLUMNS = ["event_id", "user_id", "event_type", "props"]
 PAYLOAD_CHUNK = 64
@@ -417,8 +419,6 @@ QUERIES.update({
 
 
 # ── sources through real files, SQL views, dictionary lookups ─────────────
-from visitlens.operators.lookup import lookup  # noqa: E402
-from visitlens.sources.readers import read_followup, read_plan, register, sql  # noqa: E402
 
 CSV_WRITE = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
