@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.session import spread
-
 # Segment labels assigned to lines by ``l_partkey % 6`` (RODILLA is not in the
 # anatomical order list, so it exercises the "unknown last" rule).
 FIXTURE_SEGMENTS = ["HOMBRO_DER", "CODO_IZQ", "MANO_DER", "CERVICAL", "LUMBAR", "RODILLA"]
@@ -44,9 +42,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SPREAD_TABLES = {"orders", "documents", "events", "pages"}
 
 
+def _spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a single-split *file scan* by hash of a per-row id.
+
+    The id depends only on the split and the row position in it, so a retried
+    scan task reproduces it (deterministic for a file scan — use on scans
+    only).  Because Catalyst treats the id as non-deterministic, filters of
+    the later cleaning stay above the exchange and run on every core instead
+    of in the single scan task."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return (df.withColumn("__sid", F.monotonically_increasing_id())
+              .repartition(target, "__sid").drop("__sid"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
+    return _spread_scan(df) if name in SPREAD_TABLES else df
 
 
 def _s(c):
