@@ -455,11 +455,9 @@ def q_sql_view(spark, d):
 
 def q_canonical_lookup(spark, d):
     """Every task label mapped through the proposals (missing -> itself)."""
-    raw = _raw_dirty(spark, d)
-    seps = {"tareas": PHASE1_SEPS["tareas"]}
-    props = phase1_proposals(raw, seps=seps)["tareas"]
-    labels = vocabulary(raw, seps).select("value")
-    return lookup(labels, "value", props, "variante", "canonical_propuesto", out="canonical")
+    vocab = vocabulary(_raw_dirty(spark, d), {"tareas": PHASE1_SEPS["tareas"]})
+    props = cluster(vocab)["proposals"]
+    return lookup(vocab.select("value"), "value", props, "variant", "canonical", out="canonical")
 
 
 QUERIES.update({
