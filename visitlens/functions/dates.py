@@ -9,9 +9,12 @@ from visitlens.constants import MONTH_NAMES_ES, WHITESPACE_CLASS
 from visitlens.functions.text import _c, strip
 
 # Ordered attempts: ISO, day-first with dashes, day-first with slashes, then a
-# fixed, order-independent fallback list (month-first slashes, two-digit
-# years, year-first slashes, ISO with time).  One-letter M/d accept one or two
-# digits, as the source application's parser does.
+# fixed, order-independent fallback list standing in for the source's free
+# day-first parse: month-first slashes, two-digit years (day-first, then
+# month-first), dotted dates (day-first, then month-first), compact
+# yyyyMMdd, day-first dates with a time, and year-first dates read as
+# year-month-day (a deliberate choice: a lone free parse would read
+# "2026/3/4" as year-day-month).  One-letter M/d accept one or two digits.
 DATE_PATTERNS = [
     "yyyy-M-d",
     "d-M-yyyy",
@@ -19,6 +22,12 @@ DATE_PATTERNS = [
     "M/d/yyyy",
     "d-M-yy",
     "d/M/yy",
+    "M/d/yy",
+    "d.M.yyyy",
+    "M.d.yyyy",
+    "yyyyMMdd",
+    "d-M-yyyy HH:mm:ss",
+    "d/M/yyyy HH:mm:ss",
     "yyyy/M/d",
     "yyyy-M-d HH:mm:ss",
 ]
@@ -35,6 +44,12 @@ _SHAPES = {
     "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "d-M-yy": r"^\d{1,2}-\d{1,2}-\d{2}$",
     "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "M.d.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "d-M-yyyy HH:mm:ss": r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$",
+    "d/M/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
     "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
     "yyyy-M-d HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
 }

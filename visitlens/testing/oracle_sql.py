@@ -52,7 +52,9 @@ SEG_LIST = "[" + ", ".join(q(s) for s in FIXTURE_SEGMENTS) + "]"
 SEG_ORDER_LIST = "[" + ", ".join(q(s) for s in K.SEGMENT_ORDER) + "]"
 MONTHS_LIST = "[" + ", ".join(q(m) for m in K.MONTH_NAMES_ES) + "]"
 
-DATE_FMTS = ["%Y-%m-%d", "%d-%m-%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S"]
+DATE_FMTS = ["%Y-%m-%d", "%d-%m-%Y", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%y", "%d/%m/%y", "%m/%d/%y",
+             "%d.%m.%Y", "%m.%d.%Y", "%Y%m%d", "%d-%m-%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S",
+             "%Y/%m/%d", "%Y-%m-%d %H:%M:%S"]
 
 
 def parse_date(e: str) -> str:
