@@ -83,3 +83,19 @@ def test_partitioned_refresh_prunes(spark, tmpdir_path):
     plan_text = t._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(region" in plan_text
     assert t.count() == p.filter("region = '3'").count() and n == p.count()
+
+
+def test_read_delimited_skip_multi_split(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "big.csv")
+    n = 60000
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("preamble 1\npreamble 2\npreamble 3\n")
+        f.write("id,label\n")
+        for i in range(n):
+            f.write(f"{i},label number {i} with some padding text\n")
+    assert os.path.getsize(p) > 2_000_000
+    df = read_delimited_skip(spark, p, 3)
+    assert df.columns == ["id", "label"]
+    got = df.selectExpr("count(*) AS c", "min(cast(id AS int)) AS lo", "max(cast(id AS int)) AS hi",
+                        "count(DISTINCT id) AS d").collect()[0]
+    assert (got.c, got.lo, got.hi, got.d) == (n, 0, n - 1, n)
