@@ -390,10 +390,13 @@ def q_sink_refresh(spark, d):
 
 def q_sink_append(spark, d):
     path = scratch_path(spark, "visit_detail")
-    detail = R.visit_detail(_prog(spark, d))
-    init_table(spark, detail.columns, path)
-    append_rows(detail.filter(F.col("date_text").substr(4, 2) <= "06"), path)
-    append_rows(detail.filter(~(F.col("date_text").substr(4, 2) <= "06")), path)
+    detail = R.visit_detail(_prog(spark, d)).persist()  # feeds two appends
+    try:
+        init_table(spark, detail.columns, path)
+        append_rows(detail.filter(F.col("date_text").substr(4, 2) <= "06"), path)
+        append_rows(detail.filter(~(F.col("date_text").substr(4, 2) <= "06")), path)
+    finally:
+        detail.unpersist()
     return spark.read.parquet(path)
 
 
