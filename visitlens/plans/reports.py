@@ -1,4 +1,4 @@
-"""Report compositions (P1-P10).  Each returns a dict of lazy DataFrames;
+"""Report compositions (P1-P12).  Each returns a dict of lazy DataFrames;
 nothing is computed until the caller runs an action.  Cache the typed plan
 when several reports of one page read it."""
 
