@@ -25,10 +25,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(SQL)
+    own = {k for k in E.queries() if not k.startswith("op") and k != "pipeline"}
+    assert own <= set(SQL) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
     got = E.queries()[key](spark, SF).toPandas()
     exp = con.execute(SQL[key]).df()
