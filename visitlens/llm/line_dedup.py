@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, cut
 
 MIN_CHARS = 10
 #: Frequent hashes taken out of the range partitioning; bounds the broadcast.
@@ -58,7 +58,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as do rows that repeat an id.  Repeated rows get one bitmap, rows of one id
     with different texts one each.  Empty input gives no rows.
     """
-    lines = _lines(docs, id_col, text_col, min_chars)
+    # small rows, read three times: split and hash the texts once
+    lines = cut(_lines(docs, id_col, text_col, min_chars))
     sketch = lines.agg(F.expr(f"approx_top_k(h1, {hot_keys}, {SKETCH_ITEMS})").alias("top"))
     hot = sketch.select(F.explode("top").alias("t")).select(F.col("t.item").alias("h1"))
     # doc_id and its NULL as one ordered value: NULL last
