@@ -16,7 +16,8 @@ and bucket, cut by hash, with as many buckets as the number of signatures
 asks for.  A signature that many sets of one batch share is sent once, with a
 mark.  Then
 
-* groups of up to ``SMALL`` sets give all their pairs;
+* groups of up to ``SMALL`` sets give all their pairs, and a pair stays if it
+  shares more of them than both sets could have left out;
 * larger groups matter only to sets whose signatures are so common that they
   cannot leave them all out (members of large groups of near copies).  Those
   keep their rarest ones, are compared with the group's first member, and,
@@ -45,7 +46,7 @@ from .components import connected_components
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
-SMALL = 16
+SMALL = 32
 #: Signatures of a bucket, on average; of a batch of blocks, at least.
 BUCKET_SIGNATURES = 4_000_000
 BATCH_SIGNATURES = 3_000_000
@@ -257,8 +258,9 @@ def _unpack(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of small groups (``a, b``) and members of large ones (``a``, its
-    ``band`` and the group ``gid``) of one bucket."""
+    """Pairs of small groups (``a, b, band`` and their ``hits``, the groups they
+    share) and members of large ones (``a, band`` and the group ``gid``) of one
+    bucket."""
     keys, band, sig = _unpack(block)
     common = np.unique(np.concatenate([np.frombuffer(x, "uint32") for x in block["common"]] + [np.zeros(0, "uint32")]))
     # only signatures that occur more than once, or elsewhere, matter
@@ -276,19 +278,27 @@ def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, int)
     size = np.diff(np.append(first, len(sig)))
     large = (size > SMALL) | np.isin(sig[first], common)
-    pairs = [np.zeros((0, 2), "int64")]
+    low, high = [np.zeros(0, int)], [np.zeros(0, int)]
     for n in range(2, SMALL + 1):
         at = first[(size == n) & ~large]
         for i in range(n):
             for j in range(i + 1, n):
-                pairs.append(np.stack((keys[at + i], keys[at + j]), axis=1))
-    pair = np.unique(np.concatenate(pairs), axis=0)
+                low.append(at + i)
+                high.append(at + j)
+    i, j = np.concatenate(low), np.concatenate(high)
+    i, j = i[band[i] == band[j]], j[band[i] == band[j]]
+    order = np.lexsort((band[i], keys[j], keys[i]))
+    i, j = i[order], j[order]
+    new = np.flatnonzero(np.concatenate(([True], (keys[i[1:]] != keys[i[:-1]]) | (keys[j[1:]] != keys[j[:-1]])
+                                         | (band[i[1:]] != band[i[:-1]])))) if len(i) else np.zeros(0, int)
+    hits, i, j = np.diff(np.append(new, len(i))), i[new], j[new]
     member = np.repeat(large, size)
     gid = (np.int64(key[0]) << np.int64(32)) | sig[member].astype("int64")
-    return pd.DataFrame({"a": np.concatenate((pair[:, 0], keys[member])),
-                         "b": pd.array(np.concatenate((pair[:, 1], np.zeros(member.sum(), "int64"))), dtype="Int64"),
-                         "band": np.concatenate((np.zeros(len(pair), "int32"), band[member].astype("int32"))),
-                         "gid": np.concatenate((np.full(len(pair), -1), gid))})
+    return pd.DataFrame({"a": np.concatenate((keys[i], keys[member])),
+                         "b": np.concatenate((keys[j], np.zeros(member.sum(), "int64"))),
+                         "band": np.concatenate((band[i], band[member])).astype("int32"),
+                         "gid": np.concatenate((np.full(len(i), -1), gid)),
+                         "hits": np.concatenate((hits, np.zeros(member.sum(), "int64")))})
 
 
 def common_members(buckets: int):
@@ -344,24 +354,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = nodes.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_SIGNATURES))
     blocks = signature_blocks(rows.where(F.col("doc_id").isNotNull()), buckets, words, percent)
-    schema = "a long, b long, band int, gid long"
+    schema = "a long, b long, band int, gid long, hits long"
     blocks = cut(blocks)
     met = cut(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, schema))
-    small = met.where("gid < 0").select("a", "b").distinct()
-
-    # members of large groups that cannot do without them keep their rarest
     members = (met.where("gid >= 0").select("a", "band", "gid")
                .unionByName(blocks.where("bucket < 0").select("keys", "bands", "found")
                             .mapInPandas(common_members(buckets), "a long, band int, gid long")).distinct())
+
+    # a linked pair agrees on more than slack signatures; those not in a small group are in a large one
+    per_band = (nodes.select(F.col("k1").alias("a"), F.explode(F.array(
+        F.struct(F.col("band").alias("band"), F.col("slack0").alias("slack")),
+        F.struct((F.col("band") + 1).alias("band"), F.col("slack1").alias("slack")))).alias("s"))
+        .groupBy("a", "s.band").agg(F.min("s.slack").alias("slack")))
+    large = members.groupBy("a", "band").agg(F.count("*").alias("large"))
+    spare = cut(per_band.join(large, ["a", "band"], "left")
+                .select("a", "band", (F.col("slack") - F.coalesce("large", F.lit(0))).alias("spare"), "large"))
+    other = spare.select(F.col("a").alias("b"), "band", F.col("spare").alias("spare2"))
+    small = (met.where("gid < 0").groupBy("a", "b", "band").agg(F.sum("hits").alias("hits"))
+             .join(spare.drop("large"), ["a", "band"]).join(other, ["b", "band"])
+             .where("hits > spare AND hits > spare2").select("a", "b").distinct())
+
+    # members of large groups that cannot do without them keep their rarest
     sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
-    slack = (nodes.groupBy("k1").agg(F.min("band").alias("own"), F.min("slack0").alias("slack0"), F.min("slack1").alias("slack1"))
-             .withColumnRenamed("k1", "a"))
-    per_set = Window.partitionBy("a", "band")
-    heavy = cut(members.join(sizes, "gid").join(slack, "a")
-                .withColumn("spare", F.when(F.col("band") == F.col("own"), F.col("slack0")).otherwise(F.col("slack1")))
-                .withColumn("large", F.count("*").over(per_set))
-                .withColumn("nth", F.row_number().over(per_set.orderBy("size", "gid")))
-                .where(F.col("nth") <= F.col("large") - F.col("spare")).select("a", "gid"))
+    heavy = cut(members.join(spare.where("spare < 0"), ["a", "band"]).join(sizes, "gid")
+                .withColumn("nth", F.row_number().over(Window.partitionBy("a", "band").orderBy("size", "gid")))
+                .where(F.col("nth") <= -F.col("spare")).select("a", "gid"))
     star = (heavy.join(heavy.groupBy("gid").agg(F.min("a").alias("center")), "gid").where("a <> center")
             .select(F.least("a", "center").alias("a"), F.greatest("a", "center").alias("b")))
 
