@@ -20,12 +20,11 @@ mark.  Then
   shares more of them than both sets could have left out;
 * larger groups matter only to sets whose signatures are so common that they
   cannot leave them all out (members of large groups of near copies).  Those
-  keep their rarest ones, are compared with the group's first member, and,
-  where that leaves a group in several components, across these components.
+  keep their rarest ones, and sets connected by these are compared chunk by
+  chunk, each two chunks of a connected region in one row of a join.
 
-Every pair is verified on the whole sets.  Components need no more links than
-that: a pair is skipped only when it agrees in a small group or is already
-connected.
+Every pair is verified on the whole sets; one that is already connected need
+not be, as the result are components.
 """
 
 from __future__ import annotations
@@ -52,6 +51,8 @@ BUCKET_SIGNATURES = 4_000_000
 BATCH_SIGNATURES = 3_000_000
 #: Sets in one batch that share a signature before it is sent once for all.
 COMMON = 64
+#: Sets of a region that are compared with as many others in one row.
+CHUNK = 512
 #: Ids of sets to verify that are broadcast to pick their texts; beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -373,32 +374,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = (met.where("gid < 0").groupBy("a", "b", "band").agg(F.sum("hits").alias("hits"))
              .join(spare.drop("large"), ["a", "band"]).join(other, ["b", "band"])
              .where("hits > spare AND hits > spare2").select("a", "b").distinct())
+    small = cut(small)
 
     # members of large groups that cannot do without them keep their rarest
     sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
     heavy = cut(members.join(spare.where("spare < 0"), ["a", "band"]).join(sizes, "gid")
                 .withColumn("nth", F.row_number().over(Window.partitionBy("a", "band").orderBy("size", "gid")))
                 .where(F.col("nth") <= -F.col("spare")).select("a", "gid"))
-    star = (heavy.join(heavy.groupBy("gid").agg(F.min("a").alias("center")), "gid").where("a <> center")
-            .select(F.least("a", "center").alias("a"), F.greatest("a", "center").alias("b")))
-
-    pairs = cut(small.unionByName(star).distinct())
-    sets = _sets(rows, nodes, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(heavy.select("a")).distinct(), words)
-    links = cut(verify(pairs, sets, percent))
+    sets = _sets(rows, nodes, small.select("a").unionByName(small.select(F.col("b").alias("a")))
+                 .unionByName(heavy.select("a")).distinct(), words)
+    links = cut(verify(small, sets, percent).unionByName(_links_of_groups(heavy, sets, percent)))
     classes = cut(connected_components(links, "x", "y"))
-
-    # large groups that fall into several components: pairs across them
-    labelled = (heavy.join(nodes.select(F.col("k1").alias("a"), "node"), "a")
-                .join(classes, "node", "left").select("gid", "a", F.coalesce("component", "node").alias("component")))
-    split = labelled.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
-    apart = cut(labelled.join(split, "gid"))
-    if not apart.isEmpty():
-        other = apart.select("gid", F.col("a").alias("b"), F.col("component").alias("other"))
-        across = (apart.join(other, "gid").where("component < other")
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        more = verify(across, sets, percent)
-        classes = cut(connected_components(links.unionByName(more), "x", "y"))
-
     to_class = nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     return (described.join(to_class, ["k1", "k2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
@@ -406,6 +392,85 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     .alias("component_id")))
 
 
+def _links_of_groups(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): links that span the components of sets that share large groups.
+
+    Sets connected by such groups form a region; a region is cut into chunks
+    by hash, every two chunks meet in one row, and a meeting sends on a
+    spanning forest of its links: linear in the chunk, not its pairs.
+    """
+    star = (heavy.join(heavy.groupBy("gid").agg(F.min("a").alias("center")), "gid").where("a <> center")
+            .select("a", "center").distinct())
+    regions = cut(connected_components(star, "a", "center"))
+    chunks = regions.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = (sets.join(regions.withColumnRenamed("node", "k1"), "k1").join(chunks, "component")
+              .withColumn("chunk", F.pmod(F.xxhash64("k1", "node"), F.col("chunks")).cast("int"))
+              .select(F.col("component").alias("region"), "chunk", "node", "n", "features"))
+
+    def pack(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], key[1], frame["node"].to_numpy("int64").tobytes(), frame["n"].to_numpy("int64").tobytes(),
+                              b"".join(frame["features"]))], columns=["region", "chunk", "nodes", "sizes", "features"])
+
+    packed = cut(placed.groupBy("region", "chunk").applyInPandas(pack, "region long, chunk int, nodes binary, sizes binary, features binary"))
+    card = packed.select("region", "chunk")
+    meetings = card.join(card.withColumnRenamed("chunk", "chunk2"), "region").where("chunk <= chunk2")
+    other = packed.select("region", F.col("chunk").alias("chunk2"), F.col("nodes").alias("nodes2"), F.col("sizes").alias("sizes2"),
+                          F.col("features").alias("features2"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                mine, theirs = _split(r.sizes, r.features), _split(r.sizes2, r.features2)
+                found = spanning_links(mine, None if r.chunk == r.chunk2 else theirs, percent)
+                x, y = np.frombuffer(r.nodes, "int64"), np.frombuffer(r.nodes2, "int64")
+                yield pd.DataFrame({"x": x[[i for i, _ in found]], "y": y[[j for _, j in found]]}, dtype="int64")
+
+    return (meetings.join(packed, ["region", "chunk"]).join(other, ["region", "chunk2"])
+            .select("chunk", "nodes", "sizes", "features", "chunk2", "nodes2", "sizes2", "features2")
+            .mapInPandas(compare, "x long, y long"))
+
+
+def _split(sizes: bytes, features: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(features, _U), np.cumsum(np.frombuffer(sizes, "int64"))[:-1])
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set, the parity of its number of features in each of 2048 cells.
+    Two sets' parities differ in at most as many cells as the sets in features."""
+    return np.array([np.packbits(np.bincount((f >> _U(5)).astype("int64") & 2047, minlength=2048).astype("uint8") & 1).view(_U)
+                     for f in sets])
+
+
+def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Positions of verified links that span all links of two lists of sets,
+    or of one where ``theirs`` is None.  Pairs whose parities differ too often
+    are out; of the rest those not yet connected are compared in full."""
+    one = theirs is None
+    theirs = mine if one else theirs
+    p, q = _parities(mine), _parities(theirs)
+    a, b = np.array([len(f) for f in mine]), np.array([len(f) for f in theirs])
+    limit = (a[:, None] + b[None, :]) * (100 - percent) // (100 + percent)
+    open_ = np.array([np.bitwise_count(q ^ x).sum(axis=1, dtype="int64") for x in p]) <= limit
+    if one:
+        open_ = np.triu(open_, 1)
+    label = np.arange(len(mine) if one else len(mine) + len(theirs))
+    shift, found = 0 if one else len(mine), []
+    while True:
+        open_ &= label[:len(mine), None] != label[None, shift:shift + len(theirs)]
+        rows = np.flatnonzero(open_.any(axis=1))
+        if not len(rows):
+            return found
+        for i, j in zip(rows.tolist(), open_[rows].argmax(axis=1).tolist()):
+            if label[i] == label[shift + j]:
+                continue
+            open_[i, j] = False
+            both = len(np.intersect1d(mine[i], theirs[j], assume_unique=True))
+            if 100 * both >= percent * (len(mine[i]) + len(theirs[j]) - both):
+                found.append((i, j))
+                lo, hi = sorted((label[i], label[shift + j]))
+                label[label == hi] = lo
+
+
 def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(k1, node, n, features) of the sets to verify, read from their texts again."""
     chosen = cut(nodes.join(wanted.withColumnRenamed("a", "k1"), "k1").select("k1", "k2", "node", "n"))
