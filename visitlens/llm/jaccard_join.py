@@ -47,13 +47,13 @@ WORDS = 5
 PERCENT = 75
 SMALL = 32
 #: Signatures of a bucket, on average; of a batch of blocks, at least.
-BUCKET_SIGNATURES = 4_000_000
-BATCH_SIGNATURES = 3_000_000
+BUCKET_SIGNATURES = 2_000_000
+BATCH_SIGNATURES = 1_500_000
 #: Sets in one batch that share a signature before it is sent once for all.
 COMMON = 64
 #: Sets of a region that are compared with as many others in one row.
 CHUNK = 512
-#: Ids of sets to verify that are broadcast to pick their texts; beyond, a shuffle join.
+#: Ids (of sets to verify, of rows to drop) that are broadcast to pick texts; beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -493,9 +493,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay when one document of each group of near
     copies does: those with the group's smallest id.  Rows with a NULL id
     stay; of rows that repeat a kept id all stay."""
-    found = (jaccard_components(docs, id_col, text_col, **params).where("doc_id = component_id")
-             .select(F.col("doc_id").alias("kept_id")).distinct())
+    gone = cut(jaccard_components(docs, id_col, text_col, **params).where("doc_id <> component_id")
+               .select(F.col("doc_id").alias("gone_id")).distinct())
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"))
-    stays = own.where(F.col("own_id").isNotNull()).join(found.hint("shuffle_hash"), F.col("own_id") == F.col("kept_id"), "left_semi")
-    return (stays.unionByName(own.where(F.col("own_id").isNull()))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return (own.join(side, F.col("own_id") == F.col("gone_id"), "left_anti")
             .select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
