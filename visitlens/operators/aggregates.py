@@ -168,20 +168,22 @@ def crosstab_flag(fu: DataFrame, row: str = "region", flag: str = "goal_met") ->
               .agg(F.count_if(~f).alias("n_false"), F.count_if(f).alias("n_true")))
 
 
-def _plan_counts(plan: DataFrame, month: int | None) -> DataFrame:
-    """Scheduled rows (optionally one month), distinct cases over all rows and
-    distinct employers among rows with cases — one scan, one job."""
+def _scheduled_count(plan: DataFrame, month: int | None) -> DataFrame:
+    """Scheduled rows, optionally of one month: nothing but the plan rows."""
     sched = F.col("planned_date").isNotNull()
     if month is not None:
         sched = sched & (F.col("month") == month)
-    toks = non_blank_tokens("case_ids", [OUTER_SEP])
-    ex = plan.select(sched.alias("sched"), "has_case", "employer",
-                     F.posexplode_outer(toks).alias("pos", "case_id"))
-    first = F.col("pos").isNull() | (F.col("pos") == 0)
-    return ex.agg(
-        F.count_if(first & F.col("sched")).alias("scheduled"),
-        F.count_distinct("case_id").alias("n_cases"),
-        F.count_distinct(F.when(F.col("has_case"), F.col("employer"))).alias("employers_with_cases"))
+    return plan.agg(F.count_if(sched).alias("scheduled"))
+
+
+def _case_count(plan: DataFrame) -> DataFrame:
+    """Distinct cases, combined map-side (one distinct: no expanded rows)."""
+    return (plan.select(F.explode(non_blank_tokens("case_ids", [OUTER_SEP])).alias("case_id"))
+            .agg(F.count_distinct("case_id").alias("n_cases")))
+
+
+def _employer_count(plan: DataFrame, name: str) -> DataFrame:
+    return plan.agg(F.count_distinct("employer").alias(name))
 
 
 def _fu_counts(fu: DataFrame) -> DataFrame:
@@ -200,9 +202,10 @@ def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Data
     """scheduled visits; goals met and % of the scheduled plan (NULL
     when there is no follow-up data, Q17); distinct cases; employers with
     cases (0 when there is no case).  Populations as in the source (Q8)."""
-    p = _plan_counts(plan, month)
-    f = _fu_counts(fu)
-    both = attach_scalars(p, f)
+    # one-row aggregates side by side
+    both = attach_scalars(_scheduled_count(plan, month), _fu_counts(fu))
+    both = attach_scalars(both, _case_count(plan))
+    both = attach_scalars(both, _employer_count(plan.filter("has_case"), "employers_with_cases"))
     has_fu = F.col("fu_rows") > 0
     return both.select(
         "scheduled",
@@ -216,9 +219,7 @@ def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Data
 def kpi_followup(plan: DataFrame, fu: DataFrame, month: int | None = None) -> DataFrame:
     """plan universe, goals, overdue visits, progress % and the four
     pillar sums with their % of the universe."""
-    p = _plan_counts(plan, month).select("scheduled")
-    f = _fu_counts(fu)
-    both = attach_scalars(p, f)
+    both = attach_scalars(_scheduled_count(plan, month), _fu_counts(fu))
     cols = [F.col("scheduled").alias("universe"), "goals", "overdue",
             pct(F.col("goals"), F.col("scheduled")).alias("progress_pct")]
     for p_ in PILLARS:
@@ -227,14 +228,10 @@ def kpi_followup(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Da
 
 
 def case_summary(df: DataFrame) -> DataFrame:
-    """distinct cases, distinct employers and visits of a subset, in one
-    scan (visits are counted once per row, not per exploded case)."""
-    toks = non_blank_tokens("case_ids", [OUTER_SEP])
-    ex = df.select("employer", F.posexplode_outer(toks).alias("pos", "case_id"))
-    first = F.col("pos").isNull() | (F.col("pos") == 0)
-    return ex.agg(F.count_distinct("case_id").alias("n_cases"),
-                  F.count_distinct("employer").alias("n_employers"),
-                  F.count_if(first).alias("n_visits"))
+    """distinct cases, distinct employers and visits of a subset, as
+    one-row aggregates side by side."""
+    both = attach_scalars(_case_count(df), _employer_count(df, "n_employers"))
+    return attach_scalars(both, row_count(df, "n_visits"))
 
 
 def status_count(df: DataFrame, value: str = OVERDUE_STATUS, col: str = "visit_status") -> DataFrame:

@@ -5,16 +5,11 @@ normalize(item)))``; items and cases are re-joined with the *bare*
 separators, positions and empty items kept; a NULL or blank cell is left
 as it is.
 
-Two physical paths, chosen behind a checked size bound:
-
-* small map (the usual reviewed vocabulary, up to 20k rows): the map is
-  built on the executors as one ``MAP`` value, attached with a one-row
-  broadcast, and the rewrite is a single projection — no shuffle of the
-  cells;
-* large map: cells are exploded to (row, case, item) with positions, looked
-  up with a join (broadcast only if the map is small enough, else a
-  shuffle join that AQE can split on skew), re-assembled per row and joined
-  back on the row key.
+The rewrite works on *distinct* cells: distinct cell -> explode to (case,
+item) with positions -> join the map -> re-assemble -> join back on the cell
+value.  It needs no row id, gives the same result at every map size, and a
+cell that a third of all rows hold is rewritten once; in the join back its
+partner is a single row, so a skewed partition can be split.
 """
 
 from __future__ import annotations
@@ -22,99 +17,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.constants import NA_TOKENS
 from visitlens.functions.text import normalize_text, split_literal, strip
-from visitlens.operators.lookup import attach_scalars, broadcast_if_small
-from visitlens.session import checkpoint_dir
-
-LITERAL_MAP_MAX_ROWS = 20_000
 
 
 def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str = "canonical_propuesto",
-                       order_col: str | None = None) -> DataFrame:
-    """A4: reviewed proposals -> (variant, canonical): rows with a NULL key or
-    value dropped, both trimmed, the last duplicate key (by ``order_col``,
-    default the input order) wins."""
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    d = (df.filter(F.col(variant).isNotNull() & F.col(canonical).isNotNull())
-           .select(strip(F.col(variant).cast("string")).alias("variant"),
-                   strip(F.col(canonical).cast("string")).alias("canonical"), order.alias("__ord")))
-    return d.groupBy("variant").agg(F.max_by("canonical", "__ord").alias("canonical"))
+                       order_col: str = "orden") -> DataFrame:
+    """A4: reviewed proposals -> (variant, canonical): rows with a NULL or NA
+    key or value dropped, both trimmed, the last duplicate key by ``order_col``
+    wins (``write_proposals`` numbers the rows; equal numbers: the larger
+    canonical).  Without that column there is no order to speak of, so a
+    duplicate key takes its largest canonical."""
+    order = F.col(order_col) if order_col in df.columns else F.lit(0)
 
+    def cell(c: str) -> Column:
+        v = strip(F.col(c).cast("string"))
+        return F.when(~F.col(c).cast("string").isin(NA_TOKENS), v)
 
-def _rewrite_item(item: Column, lookup) -> Column:
-    # bind the normalised key once (a one-element transform acts as a let):
-    # it is needed for the lookup and as the fallback value
-    mapped = F.element_at(F.transform(F.array(normalize_text(item)),
-                                      lambda key: F.upper(F.coalesce(lookup(key), key))), 1)
-    return F.when(strip(item) == "", F.lit("")).otherwise(mapped)
+    d = df.select(cell(variant).alias("variant"), cell(canonical).alias("canonical"), order.alias("__ord"))
+    return (d.filter(F.col("variant").isNotNull() & F.col("canonical").isNotNull())
+             .groupBy("variant").agg(F.max_by("canonical", F.struct("__ord", "canonical")).alias("canonical")))
 
 
 def _blank_cell(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-def canonicalize_with_map(cell: Column, mapping: dict[str, str] | Column, outer: str = "||",
-                          inner: str = ",") -> Column:
-    """N4 as one expression over a map: a Python dict (folded to one literal)
-    or a ``MAP<STRING,STRING>`` column."""
-    if isinstance(mapping, Column):
-        m = mapping
-        lookup = lambda key: F.try_element_at(m, key)
-    elif mapping:
-        kv = []
-        for k, v in mapping.items():
-            kv += [F.lit(k), F.lit(v)]
-        m = F.create_map(*kv)
-        lookup = lambda key: F.try_element_at(m, key)
-    else:
-        lookup = lambda key: F.lit(None).cast("string")
-    parts = F.transform(split_literal(cell, outer),
-                        lambda part: F.array_join(F.transform(split_literal(part, inner),
-                                                              lambda it: _rewrite_item(it, lookup)), inner))
-    return F.when(_blank_cell(cell), cell).otherwise(F.array_join(parts, outer))
+def rewritten_cells(cells: DataFrame, mapping: DataFrame, outer: str = "||", inner: str = ",") -> DataFrame:
+    """(cell, rewritten) of the distinct non-blank values of the one-column
+    frame ``cells``."""
+    col = cells.columns[0]
+    distinct = cells.select(F.col(f"`{col}`").alias("cell")).filter(~_blank_cell(F.col("cell"))).distinct()
+    parts = distinct.select("cell", F.posexplode(split_literal(F.col("cell"), outer)).alias("i", "part"))
+    items = (parts.select("cell", "i", F.posexplode(split_literal(F.col("part"), inner)).alias("j", "item"))
+             .select("cell", "i", "j", normalize_text("item").alias("key"), (strip(F.col("item")) == "").alias("blank")))
+    table = mapping.select(F.col("variant").alias("key"), "canonical")
+    label = F.when(F.col("blank"), F.lit("")).otherwise(F.upper(F.coalesce("canonical", "key")))
+
+    def joined(c: str, sep: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda t: t["v"]), sep)
+
+    cases = (items.join(table, "key", "left").select("cell", "i", F.struct("j", label.alias("v")).alias("t"))
+             .groupBy("cell", "i").agg(joined("t", inner).alias("v")))
+    return (cases.select("cell", F.struct("i", "v").alias("t")).groupBy("cell")
+            .agg(joined("t", outer).alias("rewritten")))
 
 
 def canonicalize_cell(df: DataFrame, col: str, mapping: DataFrame, outer: str = "||", inner: str = ",",
-                      out: str | None = None, key: str | None = None,
-                      literal_max_rows: int = LITERAL_MAP_MAX_ROWS) -> DataFrame:
+                      out: str | None = None) -> DataFrame:
     """N4 over a DataFrame; ``mapping`` has columns (variant, canonical) unique
-    on variant.  ``key`` (a unique row id) is only used by the large-map path;
-    without it a row id is assigned and pinned with a reliable checkpoint."""
+    on variant.  NULL and blank cells bypass the join and stay as they are."""
     out = out or col
-    small = mapping.limit(literal_max_rows + 1).count() <= literal_max_rows
-    if small:
-        # The map is built on the executors as ONE row (bounded by the check
-        # above) and attached with a one-row broadcast: no shuffle of the
-        # cells, nothing passes through the driver.
-        m_row = mapping.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.col("variant").cast("string"), F.col("canonical").cast("string")))).alias("__m"))
-        res = attach_scalars(df, m_row)
-        return res.withColumn(out, canonicalize_with_map(F.col(col), F.col("__m"), outer, inner)).drop("__m")
-    return _canonicalize_by_join(df, col, mapping, outer, inner, out, key)
-
-
-def _canonicalize_by_join(df: DataFrame, col: str, mapping: DataFrame, outer: str, inner: str,
-                          out: str, key: str | None) -> DataFrame:
-    if key is None:
-        checkpoint_dir(df.sparkSession)
-        df = df.withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
-        key = "__rid"
-    cells = df.select(F.col(key).alias("__k"), F.col(col).alias("__cell")).filter(~_blank_cell(F.col("__cell")))
-    parts = cells.select("__k", F.posexplode(split_literal(F.col("__cell"), outer)).alias("__i", "__part"))
-    items = parts.select("__k", "__i", F.posexplode(split_literal(F.col("__part"), inner)).alias("__j", "__item"))
-    items = items.withColumn("__key", normalize_text("__item")) \
-                 .withColumn("__blank", strip(F.col("__item")) == "")
-    m, _ = broadcast_if_small(mapping.select(F.col("variant").alias("__v"), F.col("canonical").alias("__c")))
-    looked = items.join(m, items["__key"] == m["__v"], "left")
-    val = F.when(F.col("__blank"), F.lit("")).otherwise(F.upper(F.coalesce(F.col("__c"), F.col("__key"))))
-    grouped = (looked.select("__k", F.struct(F.col("__i").alias("i"), F.col("__j").alias("j"), val.alias("v")).alias("t"))
-                     .groupBy("__k").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.max("t.i").alias("mi")))
-    rebuilt = grouped.select(
-        "__k",
-        F.array_join(F.transform(F.sequence(F.lit(0), F.col("mi")),
-                                 lambda k: F.array_join(F.transform(F.filter(F.col("ts"), lambda t: t["i"] == k),
-                                                                    lambda t: t["v"]), inner)), outer).alias("__new"))
-    res = df.join(rebuilt, df[key] == rebuilt["__k"], "left")
-    res = res.withColumn(out, F.when(_blank_cell(F.col(col)), F.col(col)).otherwise(F.col("__new")))
-    res = res.drop("__k", "__new")
-    return res.drop("__rid") if key == "__rid" else res
+    cell = F.col(f"`{col}`")
+    found = rewritten_cells(df.select(cell), mapping, outer, inner).select(F.col("cell").alias("__cell"), F.col("rewritten").alias("__new"))
+    filled = df.filter(~_blank_cell(cell)).join(found, cell == F.col("__cell"), "left")
+    return (filled.withColumn(out, F.col("__new")).drop("__cell", "__new")
+            .unionByName(df.filter(_blank_cell(cell)).withColumn(out, cell)))

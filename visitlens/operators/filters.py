@@ -20,8 +20,10 @@ def _match(df: DataFrame, col: str, value) -> Column | None:
 
 
 def apply_filters(df: DataFrame, selection: dict[str, object | None]) -> DataFrame:
-    """AND of equalities; ``None`` means "all"; absent columns are skipped."""
-    conds = [c for c in (_match(df, k, v) for k, v in selection.items()) if c is not None]
+    """AND of equalities; ``None`` means "all"; absent columns are skipped.
+    Plain comparisons (a NULL is no match in a filter), which Spark can push
+    to the scan."""
+    conds = [F.col(k) == F.lit(v) for k, v in selection.items() if v is not None and k in df.columns]
     return df.filter(and_all(conds)) if conds else df
 
 

@@ -1,28 +1,18 @@
-"""Join-shaped operators (E1, E2, E5, E6) and the size-checked broadcast."""
+"""Join-shaped operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup table (rows) that may be shipped whole to every executor.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only behind a checked size bound; above it the frame is
-    returned as is and Spark shuffles both sides (AQE may still convert)."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
 
 def lookup(df: DataFrame, key_col: str, table: DataFrame, key: str, value: str,
-           out: str | None = None, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           out: str | None = None) -> DataFrame:
     """Left-outer lookup; a missing key maps to itself (``map.get(k, k)``).
 
-    ``table`` must be unique on ``key``."""
+    ``table`` must be unique on ``key``.  Spark broadcasts it by its measured
+    size in bytes, else shuffles both sides."""
     t = table.select(F.col(key).alias("__lk"), F.col(value).alias("__lv"))
-    t, _ = broadcast_if_small(t, max_broadcast_rows)
     joined = df.join(t, F.col(key_col) == F.col("__lk"), "left")
     return joined.withColumn(out or key_col, F.coalesce(F.col("__lv"), F.col(key_col))).drop("__lk", "__lv")
 
@@ -34,6 +24,7 @@ def anti_membership(df: DataFrame, col: str, members: DataFrame, member_col: str
 
 
 def semi_membership(df: DataFrame, col: str, members: DataFrame, member_col: str) -> DataFrame:
+    """Rows whose ``col`` is among ``members``."""
     m = members.select(F.col(member_col).alias("__m")).distinct()
     return df.join(m, F.col(col) == F.col("__m"), "left_semi")
 

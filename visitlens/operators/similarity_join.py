@@ -21,7 +21,9 @@ Lossless blocked self-join (never a cross join):
    join group, at a replication of 3-4 rows per prefix gram.
 4. Keys with no guarantee (at most ``q*D(n)`` grams: only one-character keys
    for T = 88) are equi-joined on length with every key of admissible length.
-5. Candidates are verified with the exact LCS (Arrow UDF) and the rational
+5. Candidates whose character counts differ more than a match's edits allow
+   are dropped by a native bound.
+6. The rest are verified with the exact LCS (Arrow UDF) and the rational
    threshold.
 
 Clustering then works on key-level pairs only: a key's *representative* is
@@ -61,6 +63,22 @@ def _len_hi(n, t: int):
     return F.floor(n * F.lit(200 - t) / F.lit(t)).cast("int")
 
 
+BAG_CELLS = 32
+
+
+def _bag(ts):
+    """Character counts of a key by code point modulo ``BAG_CELLS``: one insert
+    or delete changes one count by one."""
+    codes = F.transform(F.split(ts, ""), lambda ch: F.ascii(ch) % BAG_CELLS)
+    return F.transform(F.sequence(F.lit(0), F.lit(BAG_CELLS - 1)), lambda cell: F.size(F.filter(codes, lambda x: x == cell)))
+
+
+def _bags_match(bag_a, bag_b, n_a, n_b, t: int):
+    """No more count differences than a match of these lengths has edits."""
+    apart = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
+    return apart * 100 <= (n_a + n_b) * (100 - t)
+
+
 BAND_RATIO = 1.1
 
 
@@ -77,7 +95,7 @@ def _len_lo(n, t: int):
 def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD, q: int = Q) -> DataFrame:
     """Unordered candidate key pairs (ts_a, n_a, ts_b, n_b), shorter key first
     (ties by key).  Contains every pair that can match."""
-    k = keys.select("ts", "n").filter(F.col("n") > 0).distinct()
+    k = keys.select("ts", "n").filter(F.col("n") > 0).distinct().withColumn("bag", _bag(F.col("ts")))
     grams = F.transform(F.sequence(F.lit(0), F.col("n") - q), lambda i: F.substring(F.col("ts"), i + 1, q))
     grams = F.when(F.col("n") >= q, grams).otherwise(F.array().cast("array<string>"))
     k = k.withColumn("grams", grams)
@@ -88,24 +106,25 @@ def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD, q: i
          .withColumn("guaranteed", F.size("grams") > F.lit(q) * _max_edits(F.col("n"), threshold))
 
     # global gram frequencies -> rarest-first prefix of each key
-    kg = k.filter("guaranteed").select("ts", "n", F.explode("grams").alias("g"))
+    kg = k.filter("guaranteed").select("ts", "n", "bag", F.explode("grams").alias("g"))
     freq = kg.groupBy("g").agg(F.count(F.lit(1)).alias("freq"))
     w = Window.partitionBy("ts").orderBy("freq", "g")
     prefix = (kg.join(freq, "g")
                 .withColumn("r", F.row_number().over(w))
                 .filter(F.col("r") <= F.lit(q) * _max_edits(F.col("n"), threshold) + 1)
-                .select("ts", "n", "g"))
+                .select("ts", "n", "bag", "g"))
     # equi-join on (gram, length band): the probe side lists the bands that
     # overlap its admissible partner lengths [n, hi(n)] (3-4 geometric bands),
     # the exact length bound is re-checked after the join
-    probe = prefix.select(F.col("ts").alias("ts_a"), F.col("n").alias("n_a"), "g",
+    probe = prefix.select(F.col("ts").alias("ts_a"), F.col("n").alias("n_a"), F.col("bag").alias("bag_a"), "g",
                           F.explode(F.sequence(_band(F.col("n")), _band(_len_hi(F.col("n"), threshold))))
                            .alias("band"))
-    build = prefix.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_m"), F.col("g").alias("g_b"),
+    build = prefix.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_m"), F.col("bag").alias("bag_b"), F.col("g").alias("g_b"),
                           _band(F.col("n")).alias("band_b"))
     by_gram = (probe.join(build, (probe.g == build.g_b) & (probe.band == build.band_b))
                     .filter((F.col("n_m") >= F.col("n_a")) & (F.col("n_m") <= _len_hi(F.col("n_a"), threshold)))
                     .filter((F.col("n_a") < F.col("n_m")) | (F.col("ts_a") < F.col("ts_b")))
+                    .filter(_bags_match(F.col("bag_a"), F.col("bag_b"), F.col("n_a"), F.col("n_m"), threshold))
                     .select("ts_a", "n_a", "ts_b", F.col("n_m").alias("n_b")))
 
     # keys without a shared-gram guarantee: compare with every key of admissible length

@@ -73,15 +73,22 @@ def phase1_stats(raw: DataFrame, threshold: int = SIMILARITY_THRESHOLD,
 
 
 def write_proposals(proposals: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:
-    """A5: one table per column under ``path``; returns rows written per table."""
-    return write_tables(proposals, path, fmt=fmt)
+    """A5: one table per column under ``path``; returns rows written per table.
+    The rows are numbered (``orden``) in proposal order, so a reviewer's later
+    duplicate of a variant wins whatever files the table is read from."""
+    numbered = {}
+    for name, p in proposals.items():
+        # a vocabulary-sized table; numbers follow the global sort
+        ordered = p.orderBy("canonical_propuesto", F.col("similitud").desc(), "variante")
+        numbered[name] = ordered.withColumn("orden", F.monotonically_increasing_id())
+    return write_tables(numbered, path, fmt=fmt)
 
 
 def read_proposals(spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet") -> dict[str, DataFrame]:
     return {c: spark.read.format(fmt).load(f"{path.rstrip('/')}/{c}") for c in columns}
 
 
-def phase2_apply(raw: DataFrame, reviewed: dict[str, DataFrame], key: str | None = None,
+def phase2_apply(raw: DataFrame, reviewed: dict[str, DataFrame],
                  seps: dict[str, tuple[str, str]] | None = None, keep_original: bool = False) -> DataFrame:
     """Rewrite each column with its reviewed map (A4 + N4).  With
     ``keep_original`` the input cells stay beside the new ones as ``<col>__before``."""
@@ -92,7 +99,7 @@ def phase2_apply(raw: DataFrame, reviewed: dict[str, DataFrame], key: str | None
         m = load_canonical_map(reviewed[col])
         if keep_original:
             out = out.withColumn(f"{col}__before", F.col(col))
-        out = canonicalize_cell(out, col, m, outer, inner, key=key)
+        out = canonicalize_cell(out, col, m, outer, inner)
     return out
 
 

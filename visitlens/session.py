@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on: adaptive execution (partition coalescing and
 # skew-join splitting at runtime), a fixed session time zone so DATE values
@@ -45,12 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, durable
-    folder there).  Only when it is unset — local tests — a fresh scratch
-    folder is created and registered.
+    folder there).  Only on a ``local`` master — tests — may it be unset: then
+    a fresh scratch folder is created and registered.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="visitlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -61,17 +63,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared checkpoint folder for a written table."""
     import uuid
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition an under-partitioned input (e.g. one file
-    with one row group, which Spark reads as a single task) to the
-    cluster's default parallelism, so per-row work runs on every core.
-
-    A no-op when the input already has enough partitions — a large table
-    never pays this shuffle.  Meant for inputs with heavy per-row work, not
-    for small dimension tables that are broadcast anyway.  It does not keep
-    row order: do not use it before an operator that relies on file order
-    (``load_canonical_map`` without ``order_col``)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

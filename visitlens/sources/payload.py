@@ -12,20 +12,42 @@ def parse_payload(col: str = "payload"):
     return F.from_json(F.col(col), PAYLOAD_SCHEMA)
 
 
-def payload_to_rows(df: DataFrame, col: str = "payload", columns: list[str] | None = None,
-                    keep: list[str] | None = None) -> DataFrame:
-    """A10: one output row per positional row of each payload; cell ``i`` goes
-    to ``columns[i]`` (the expected header).  An empty or missing ``rows``
-    array yields nothing.  Without ``columns`` the header of the first payload
-    is used (one small array fetched to the driver)."""
+def _problem(p: "F.Column", payload: "F.Column") -> "F.Column":
+    """Why a payload cannot be used, NULL if it can."""
+    width = F.size(p["headers"])
+    return (F.when(payload.isNull() | (F.trim(payload) == ""), F.lit("empty payload"))
+            .when(p.isNull() | (p["headers"].isNull() & p["rows"].isNull()), F.lit("malformed payload"))
+            .when(p["headers"].isNotNull() & F.exists(F.coalesce(p["rows"], F.array()), lambda r: r.isNull() | (F.size(r) != width)),
+                  F.lit("row width differs from header")))
+
+
+def payload_status(df: DataFrame, col: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """A10: one row per payload: ``status`` (ok / error), ``error`` and the
+    number of ``rows`` that ``payload_to_rows`` gives for it."""
+    parsed = df.select(*(keep or []), F.col(col).alias("__raw"), parse_payload(col).alias("__p"))
+    problem = _problem(F.col("__p"), F.col("__raw"))
+    return parsed.select(*(keep or []), F.when(problem.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+                         problem.alias("error"),
+                         F.when(problem.isNull(), F.coalesce(F.size("__p.rows"), F.lit(0))).otherwise(F.lit(0)).alias("rows"))
+
+
+def payload_to_rows(df: DataFrame, columns: list[str], col: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """A10: one output row per positional row of each usable payload, with the
+    cells under ``columns`` found by the payload's own headers (by position
+    where it has none; a column it lacks is NULL).  An empty or missing
+    ``rows`` array yields nothing; unusable payloads are reported by
+    ``payload_status``, so input payloads = usable + reported."""
     keep = keep or []
-    parsed = df.select(*keep, parse_payload(col).alias("__p"))
-    if columns is None:
-        first = parsed.filter(F.col("__p.headers").isNotNull()).select("__p.headers").first()
-        columns = list(first[0]) if first else []
-    rows = parsed.select(*keep, F.posexplode(F.coalesce(F.col("__p.rows"), F.array().cast("array<array<string>>")))
-                         .alias("row_no", "__r"))
-    return rows.select(*keep, "row_no", *[F.element_at(F.col("__r"), i + 1).alias(c) for i, c in enumerate(columns)])
+    parsed = df.select(*keep, F.col(col).alias("__raw"), parse_payload(col).alias("__p"))
+    usable = parsed.filter(_problem(F.col("__p"), F.col("__raw")).isNull())
+    rows = usable.select(*keep, F.col("__p.headers").alias("__h"),
+                         F.posexplode(F.coalesce(F.col("__p.rows"), F.array().cast("array<array<string>>"))).alias("row_no", "__r"))
+
+    def cell(i: int, c: str) -> "F.Column":
+        at = F.array_position("__h", c)  # from 1; 0: not there
+        return F.when(F.col("__h").isNull(), F.get("__r", F.lit(i))).when(at > 0, F.get("__r", (at - 1).cast("int"))).alias(c)
+
+    return rows.select(*keep, "row_no", *[cell(i, c) for i, c in enumerate(columns)])
 
 
 def build_payload(df: DataFrame, batch_cols: list[str], columns: list[str], order_col: str,

@@ -1,22 +1,59 @@
 """Scans (A1-A4, A11).  Delimited text is read with every column as STRING
-(no inference, so ids never turn into ``123.0``); typing is explicit."""
+(no inference, so ids never turn into ``123.0``); typing is explicit.
+
+Exports quote cells, double quotes inside them and let a quoted cell hold line
+breaks, so records are read as ``multiLine``: a file is then one split, and a
+large input is many files.  ``multiLine=False`` may be passed for files known
+to hold no line break in a cell.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from visitlens.constants import NA_TOKENS
 from visitlens.operators.clean import clean_plan, type_followup
 
+CSV_OPTIONS = {"header": "true", "inferSchema": "false", "multiLine": "true", "quote": '"', "escape": '"'}
+#: Column of ``malformed_rows``.
+RECORD = "record"
+
+
+def na_to_null(df: DataFrame) -> DataFrame:
+    """Spellings of a missing value -> NULL, in every text column."""
+    text = {c for c, t in df.dtypes if t == "string"}
+
+    def cell(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        return F.when(~v.isin(NA_TOKENS), v).alias(c) if c in text else v
+
+    return df.select(*[cell(c) for c in df.columns])
+
+
+def _csv_options(options: dict) -> dict[str, str]:
+    return CSV_OPTIONS | {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    """Headered delimited text (all STRING) or any Spark source format."""
+    """Headered delimited text (all STRING, missing spellings as NULL) or any
+    Spark source format.  A record with fewer fields than the header is filled
+    with NULL; ``malformed_rows`` shows records whose fields do not fit."""
     if fmt == "csv":
-        opts = {"header": "true", "inferSchema": "false", "multiLine": "false"}
-        opts.update({k: str(v) for k, v in options.items()})
-        return spark.read.options(**opts).csv(path)
+        return na_to_null(spark.read.options(**_csv_options(options)).csv(path))
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def malformed_rows(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The raw records whose number of fields is not the header's: what a
+    permissive read fills up or cuts off."""
+    opts = _csv_options(options)
+    schema = spark.read.options(**opts).csv(path).schema.add(RECORD, "string")
+    rows = spark.read.options(**opts, columnNameOfCorruptRecord=RECORD, mode="PERMISSIVE").schema(schema).csv(path)
+    # the column pruner may not drop the fields that the check needs
+    return rows.filter(F.col(RECORD).isNotNull()).select(RECORD, *[F.col(f"`{c}`") for c in schema.names[:-1]]).select(RECORD)
+
+
 def read_plan(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
     """A1: plan sheet -> typed plan (``operators.clean.clean_plan``)."""
     return clean_plan(read_raw(spark, path, fmt, **options))
@@ -28,15 +65,24 @@ def read_followup(spark: SparkSession, path: str, fmt: str = "csv", **options) -
 
 
 def read_delimited_skip(spark: SparkSession, path: str, skip: int, **options) -> DataFrame:
-    """A3: a delimited file whose first ``skip`` lines are a preamble before
-    the header (single-line records).  Line numbers come from
-    ``zipWithIndex`` over the file's splits in file order, so the rest of the
-    file stays distributed."""
-    lines = spark.sparkContext.textFile(path)
-    body = lines.zipWithIndex().filter(lambda li: li[1] >= skip).map(lambda li: li[0])
-    opts = {"header": "true", "inferSchema": "false"}
-    opts.update({k: str(v) for k, v in options.items()})
-    return spark.read.options(**opts).csv(body)
+    """A3: delimited files whose first ``skip`` lines, in every file, are a
+    preamble before the header.  Files share the header of the first one by
+    name.  A file is one split (see the module's text) and is cut into records
+    - line breaks inside quotes belong to the cell - by one expression."""
+    opts = _csv_options(options)
+    whole = spark.read.text(path, wholetext=True)
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    body = F.regexp_replace(text, f"^\ufeff?(?:[^\n]*\n){{{skip}}}", "")
+    records = F.filter(F.regexp_extract_all(body, F.lit(r'((?:[^"\n]|"[^"]*")+)'), 1), lambda r: F.trim(r) != "")
+    files = whole.select(records.alias("records"))
+    first = files.select(F.get("records", F.lit(0))).first()
+    if first is None or first[0] is None:
+        raise ValueError(f"no header after {skip} lines in {path}")
+    header = spark.read.options(**opts).csv(spark.createDataFrame([(first[0],)], "line string").rdd.map(lambda r: r[0])).schema
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in header)
+    row = F.from_csv(F.col("record"), F.lit(ddl), {k: v for k, v in opts.items() if k not in ("header", "inferSchema", "multiLine")})
+    rows = files.select(F.explode(F.slice("records", 2, F.greatest(F.size("records") - 1, F.lit(0)))).alias("record"))
+    return na_to_null(rows.select(row.alias("row")).select("row.*"))
 
 
 def register(df: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ def payload_stream(spark: SparkSession, source_dir: str, columns: list[str],
     reader = spark.readStream.schema(f"`{payload_col}` string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return payload_to_rows(reader.json(source_dir), payload_col, columns)
+    return payload_to_rows(reader.json(source_dir), columns, payload_col)
 
 
 def start_payload_ingest(spark: SparkSession, source_dir: str, table_path: str, columns: list[str],

@@ -349,14 +349,14 @@ def q_cluster_stats(spark, d):
 
 def q_canonicalized(spark, d):
     raw = _raw_dirty(spark, d)
-    out = phase2_apply(raw, phase1_proposals(raw), key="ID-CT")
+    out = phase2_apply(raw, phase1_proposals(raw))
     return out.select(F.col("ID-CT").alias("center_id"), F.col("ocupaciones").alias("occupations"),
                       F.col("tareas").alias("tasks"))
 
 
 def q_change_stats(spark, d):
     raw = _raw_dirty(spark, d)
-    out = phase2_apply(raw, phase1_proposals(raw), key="ID-CT", keep_original=True)
+    out = phase2_apply(raw, phase1_proposals(raw), keep_original=True)
     return phase2_changes(out, ["ocupaciones", "tareas"])
 
 
@@ -373,11 +373,11 @@ def _payloads(spark, d):
 
 def q_payload_rows(spark, d):
     p = _payloads(spark, d).withColumnRenamed("user_id", "batch_user")
-    return payload_to_rows(p, "payload", PAYLOAD_COLUMNS, keep=["batch_user", "chunk"])
+    return payload_to_rows(p, PAYLOAD_COLUMNS, keep=["batch_user", "chunk"])
 
 
 def q_payload_ack(spark, d):
-    rows = payload_to_rows(_payloads(spark, d), "payload", PAYLOAD_COLUMNS, keep=["chunk"])
+    rows = payload_to_rows(_payloads(spark, d), PAYLOAD_COLUMNS, keep=["chunk"])
     counts = rows.groupBy(F.col("user_id").cast("bigint").alias("batch_user"), "chunk").agg(F.count(F.lit(1)).alias("rows_written"))
     return counts.select("batch_user", "chunk", result_envelope("rows_written").alias("ack"))
 
