@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from visitlens.operators import aggregates as A
-from visitlens.operators.lookup import anti_membership, broadcast_if_small, lookup, semi_membership
+from visitlens.operators.lookup import anti_membership, lookup, semi_membership
 from visitlens.operators.shape import (ensure_columns, match_columns, relabel, rename_headers,
                                        select_existing, strip_headers)
 from visitlens.plans import reports as R
@@ -19,9 +19,6 @@ def test_lookup_and_membership(spark):
     assert got == [("", ""), ("a", "A"), ("b", "b")]
     assert [r.k for r in anti_membership(df.na.drop(), "k", m, "key").collect()] == ["b"]
     assert [r.k for r in semi_membership(df, "k", m, "key").collect()] == ["a"]
-    _, small = broadcast_if_small(m, 10)
-    _, big = broadcast_if_small(m, 0)
-    assert small and not big
 
 
 def test_shape_helpers(spark):
@@ -53,9 +50,10 @@ def test_reports_compose(spark):
     pages = [R.programme_page(p, sel), R.followup_page(p, f, sel), R.indicators_page(f, sel),
              R.case_page(p, sel, segment="LUMBAR", dimension="tasks"), R.drill_page(p, sel, "diagnoses", "Brand#2"),
              R.pareto_drill_page(p, sel, "MANO_DER"), {"sheet": R.plan_sheet(p)}]
+    empty = {"segment_options"} if not p.filter("has_case").limit(1).count() else set()
     for page in pages:
         for name, df in page.items():
-            assert df.count() >= 0, name
+            assert name in empty or df.count() > 0, name
     d = R.visit_detail(p.filter(F.col("planned_date").isNotNull()), sort=True).limit(50).collect()
     dates = [tuple(reversed(x.date_text.split("-"))) for x in d]
     assert dates == sorted(dates)
@@ -75,3 +73,22 @@ def test_non_blank_and_proposal_order(spark):
     rows = [(r.canonical, r.similarity) for r in propose(vocab).collect()]
     assert rows == sorted(rows, key=lambda x: (x[0], -x[1]))
     assert {c for c, _ in rows} == {"pintora", "soldadores"}  # pintor~pintora = 92.3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kpi_plans(spark):
+    p, f = plan(spark, SF), followup(spark, SF)
+    assert "Generate" not in plan_of(A.kpi_followup(p, f))
+    for df in (A.kpi_global(p, f), A.case_summary(p)):
+        assert "Expand" not in plan_of(df)
+
+
+def test_filters_reach_the_scan(spark, tmpdir_path):
+    from visitlens.operators.filters import apply_filters
+    path = f"{tmpdir_path}/typed"
+    plan(spark, SF).select("center_id", "region", "specialist").write.parquet(path)
+    text = plan_of(apply_filters(spark.read.parquet(path), {"region": "3", "specialist": None}))
+    assert "PushedFilters: [IsNotNull(region), EqualTo(region,3)]" in text

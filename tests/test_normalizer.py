@@ -5,7 +5,7 @@ import random
 
 from visitlens.functions.similarity import lcs_length
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
-from visitlens.operators.similarity_join import cluster, similar_keys
+from visitlens.operators.similarity_join import candidate_pairs, cluster, similar_keys
 from visitlens.plans.normalizer import phase1_proposals, phase2_apply
 from visitlens.testing.adapter import plan_raw
 from visitlens.operators.cells import atomic_values
@@ -80,16 +80,18 @@ def test_cluster_properties(spark):
     assert "()" in canon and "pintor" in canon  # empty token-sort key matches only itself
 
 
-def test_canonicalize_literal_and_join_paths(spark):
-    m = spark.createDataFrame([("b", "beta"), ("x y", "xy")], "variant string, canonical string")
-    df = spark.createDataFrame([(1, "a, ,B"), (2, None), (3, "  "), (4, "X  Y || b,,c"), (5, "||")],
-                               "id int, cell string")
-    lit = {r.id: r.cell for r in canonicalize_cell(df, "cell", m).collect()}
-    assert lit == {1: "A,,BETA", 2: None, 3: "  ", 4: "XY||BETA,,C", 5: "||"}
-    joined = {r.id: r.cell for r in canonicalize_cell(df, "cell", m, key="id", literal_max_rows=0).collect()}
-    assert joined == lit
-    nokey = {r.id: r.cell for r in canonicalize_cell(df, "cell", m, literal_max_rows=0).collect()}
-    assert nokey == lit
+def test_canonicalize_cells(spark):
+    """Repeated and NULL ids, NULL and blank cells; the result does not depend
+    on the size of the map."""
+    cells = [(1, "a, ,B"), (2, None), (3, "  "), (4, "X  Y || b,,c"), (5, "||"), (1, "a,b"), (1, "c,b"), (None, "b,d"), (None, "b,d")]
+    want = ["A,,BETA", None, "  ", "XY||BETA,,C", "||", "A,BETA", "C,BETA", "BETA,D", "BETA,D"]
+    df = spark.createDataFrame(cells, "id int, cell string")
+    few = spark.createDataFrame([("b", "beta"), ("x y", "xy")], "variant string, canonical string")
+    many = few.unionByName(spark.range(25_000).selectExpr("'other ' || id AS variant", "'o' || id AS canonical"))
+    for m in (few, many):
+        got = canonicalize_cell(df, "cell", m, out="new").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(*c, w) for c, w in zip(cells, want)]))
+    assert canonicalize_cell(df.limit(0), "cell", few).count() == 0
 
 
 def test_load_canonical_map_last_wins(spark):
@@ -103,23 +105,12 @@ def test_phase2_reference_separators_pin(spark):
     raw = spark.createDataFrame([("1", "Soldadores | Pintor || Pintor", "soldar, Pintár")],
                                 "id string, ocupaciones string, tareas string")
     props = phase1_proposals(raw)
-    out = phase2_apply(raw, props, key="id").collect()[0]
+    out = phase2_apply(raw, props).collect()[0]
     # Q9: phase 2 splits occupations by "||" only, so "A | B" is one item
     assert out.ocupaciones == "SOLDADORES  PINTOR||PINTOR"
     assert out.tareas == "SOLDAR,PINTAR"
 
 
-def test_join_path_equals_literal_path_on_fixture(spark):
-    raw = plan_raw(spark, "/root/testdata/sf0.001", dirty_tasks=True)
-    props = phase1_proposals(raw)
-    m = load_canonical_map(props["tareas"])
-    lit = canonicalize_cell(raw, "tareas", m, "||", ",", out="new", key="ID-CT")
-    big = canonicalize_cell(raw, "tareas", m, "||", ",", out="new", key="ID-CT", literal_max_rows=0)
-    a = {r["ID-CT"]: r["new"] for r in lit.select("ID-CT", "new").collect()}
-    b = {r["ID-CT"]: r["new"] for r in big.select("ID-CT", "new").collect()}
-    assert a == b and len(a) == raw.count()
-
-
 def test_blocked_equals_brute_force_long_labels(spark):
     rnd = random.Random(11)
     words = ["operador", "maquina", "auxiliar", "bodega", "soldador", "pintor", "carga", "manual",
@@ -137,3 +128,16 @@ def test_blocked_equals_brute_force_long_labels(spark):
     keys.discard("")
     assert max(len(k) for k in keys) > 40
     assert blocked_pairs(spark, keys) == brute_pairs(keys)
+
+
+def test_share_of_pairs_verified_falls(spark):
+    """The native bounds leave few pairs to the verifier, fewer of more labels."""
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcdefghijklmnoprstuv") for _ in range(rnd.randint(4, 9))) for _ in range(600)})
+    labels = [" ".join(sorted(rnd.sample(words, rnd.randint(2, 4)))) for _ in range(4000)]
+    shares = []
+    for n in (1000, 4000):
+        keys = sorted(set(labels[:n]))
+        df = spark.createDataFrame([(k, len(k)) for k in keys], "ts string, n int")
+        shares.append(candidate_pairs(df, T).count() / (len(keys) * (len(keys) - 1) / 2))
+    assert shares[1] <= 0.02

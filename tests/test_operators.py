@@ -6,7 +6,7 @@ from visitlens.operators import aggregates as A
 from visitlens.operators.cells import (atomic_values, cases_per_group, count_distinct_cases,
                                        multi_value_ranking, ranked)
 from visitlens.operators.clean import clean_plan, type_followup
-from visitlens.operators.filters import (apply_filters, contains_filter, facet_options, token_filter,
+from visitlens.operators.filters import (apply_filters, contains_filter, facet_options,
                                          validate_selection)
 from visitlens.operators.pareto import pareto_concentration, pareto_from_ranking
 
@@ -139,10 +139,9 @@ def test_filters_and_facets(spark):
     assert sel == {"specialist": None, "account": "G1", "region": "2"}
 
 
-def test_contains_and_token_filter(spark):
+def test_contains_filter(spark):
     df = spark.createDataFrame([("MANO_DER",), ("mano",), ("CODO",)], "segments string")
     assert contains_filter(df, "segments", "MANO").count() == 2
-    assert token_filter(df, "segments", "mano", ["||", ",", " "]).count() == 1
 
 
 def test_indicators_and_team(spark):

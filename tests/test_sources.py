@@ -4,8 +4,10 @@ import json
 import os
 
 
-from visitlens.sources.payload import build_payload, payload_to_rows
-from visitlens.sources.readers import read_delimited_skip, read_followup, read_plan, register, sql
+from pyspark.sql import functions as F
+
+from visitlens.sources.payload import build_payload, payload_status, payload_to_rows
+from visitlens.sources.readers import malformed_rows, read_delimited_skip, read_followup, read_plan, register, sql
 from visitlens.sources.sinks import (append_rows, clear_table, init_table, refresh_table, table_info,
                                      write_tables)
 from visitlens.streaming import start_payload_ingest
@@ -14,7 +16,7 @@ from visitlens.streaming import start_payload_ingest
 def test_payload_roundtrip(spark):
     df = spark.createDataFrame([('{"headers":["a","b"],"rows":[["1","2"],["3","4"]]}',),
                                 ('{"headers":["a","b"],"rows":[]}',), ('{"headers":["a","b"]}',)], "payload string")
-    rows = payload_to_rows(df).orderBy("row_no").collect()
+    rows = payload_to_rows(df, ["a", "b"]).orderBy("row_no").collect()
     assert [(r.row_no, r.a, r.b) for r in rows] == [(0, "1", "2"), (1, "3", "4")]
     src = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 12, "z"), (1, 12, "w")], "g int, o int, v string")
     p = build_payload(src, ["g"], ["o", "v"], "o").orderBy("g").collect()
@@ -99,3 +101,34 @@ def test_read_delimited_skip_multi_split(spark, tmpdir_path):
     got = df.selectExpr("count(*) AS c", "min(cast(id AS int)) AS lo", "max(cast(id AS int)) AS hi",
                         "count(DISTINCT id) AS d").collect()[0]
     assert (got.c, got.lo, got.hi, got.d) == (n, 0, n - 1, n)
+
+
+def test_quoted_cells_and_missing_spellings(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "plan.csv")
+    with open(p, "w", encoding="utf-8", newline="") as f:
+        f.write("Region,Ergonomo,Nombre Empleador,folios,cie10,Fecha Asistencia Tecnica TMERT 2026*\n")
+        f.write('13,Ana,"Taller ""El Sol"", Ltda",F1,"linea 1\nlinea 2",04/03/2026\nN/A,NA,,,null,\n')
+    a, b = read_plan(spark, p).orderBy(F.col("region")).collect()
+    assert (a.employer, a.case_ids, a.icd10, a.month) == ('Taller "El Sol", Ltda', "F1", "linea 1\nlinea 2", 3)
+    assert (b.region, b.specialist, b.employer, b.icd10) == ("S/R", "No Asignado", None, "")
+    with open(p, "a", encoding="utf-8") as f:
+        f.write("1,2,3,4,5,6,7\n")
+    assert [r.record for r in malformed_rows(spark, p).collect()] == ["1,2,3,4,5,6,7"]
+
+
+def test_skip_every_file(spark, tmpdir_path):
+    for n in (1, 2):
+        with open(os.path.join(tmpdir_path, f"f{n}.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write(f'title "{n}\r\nline two\r\nid,label\r\n{n},"a ""b"", c\r\nd"\r\n\r\n{n}0,x\r\n')
+    got = sorted(map(tuple, read_delimited_skip(spark, tmpdir_path, 2).collect()))
+    assert got == [("1", 'a "b", c\nd'), ("10", "x"), ("2", 'a "b", c\nd'), ("20", "x")]
+
+
+def test_payload_status(spark):
+    good = '{"headers":["b","a"],"rows":[["1","2"]]}'
+    data = [good, '{"headers":["a","b"],"rows":[["1"]]}', '{"headers":["a"', "", None, '{"rows":[["1"]]}', '{"headers":["a"],"rows":[["1"],["2"]]}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(data)], "id int, payload string")
+    status = {r.id: (r.status, r.rows) for r in payload_status(df, keep=["id"]).collect()}
+    assert status == {0: ("ok", 1), 1: ("error", 0), 2: ("error", 0), 3: ("error", 0), 4: ("error", 0), 5: ("ok", 1), 6: ("ok", 2)}
+    rows = sorted((r.id, r.a, r.b) for r in payload_to_rows(df, ["a", "b"], keep=["id"]).collect())
+    assert rows == [(0, "2", "1"), (5, "1", None), (6, "1", None), (6, "2", None)]

@@ -202,3 +202,7 @@ ACCENT_SRC, ACCENT_DST = _accent_fold_table()
 # Spellings that a delimited read takes for a missing cell.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
              "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+# English month names, as free date spellings use them.
+MONTH_NAMES_EN = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+                  "November", "December"]

@@ -2,71 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import MONTH_NAMES_ES, WHITESPACE_CLASS
+from visitlens.constants import MONTH_NAMES_EN, MONTH_NAMES_ES, WHITESPACE_CLASS
 from visitlens.functions.text import _c, strip
 
-# Ordered attempts: ISO, day-first with dashes, day-first with slashes, then a
-# fixed, order-independent fallback list standing in for the source's free
-# day-first parse: month-first slashes, two-digit years (day-first, then
-# month-first), dotted dates (day-first, then month-first), compact
-# yyyyMMdd, day-first dates with a time, and year-first dates read as
-# year-month-day (a deliberate choice: a lone free parse would read
-# "2026/3/4" as year-day-month).  One-letter M/d accept one or two digits.
-DATE_PATTERNS = [
-    "yyyy-M-d",
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "M/d/yyyy",
-    "d-M-yy",
-    "d/M/yy",
-    "M/d/yy",
-    "d.M.yyyy",
-    "M.d.yyyy",
-    "yyyyMMdd",
-    "d-M-yyyy HH:mm:ss",
-    "d/M/yyyy HH:mm:ss",
-    "yyyy/M/d",
-    "yyyy-M-d HH:mm:ss",
-]
-
-
-# Digit shape of the strings each pattern can accept (a superset: one-letter
-# fields take one or two digits, yyyy four, yy two).  A pattern is only tried
-# on strings of its shape, so non-matching rows never reach the parser's
-# failure path (a thrown-and-caught exception per attempt).
-_SHAPES = {
-    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
-    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "d-M-yy": r"^\d{1,2}-\d{1,2}-\d{2}$",
-    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
-    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
-    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
-    "M.d.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
-    "yyyyMMdd": r"^\d{8}$",
-    "d-M-yyyy HH:mm:ss": r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$",
-    "d/M/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
-    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "yyyy-M-d HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+# The spellings that make up most cells, each tried only on strings of its
+# digit shape, so other rows never reach the parser's failure path.
+DATE_PATTERNS = {
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}",
+    "d-M-yyyy": r"\d{1,2}-\d{1,2}-\d{4}",
+    "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
 }
 
-
-def _guard(p: str) -> str:
-    """The shape of ``p`` with optional surrounding whitespace, tested on the
-    raw text: only the branch whose guard matches strips and parses."""
-    body = _SHAPES[p][1:-1]
+# Everything else by shape: a date part, then an optional time of day, which a
+# DATE does not keep.  Numeric dates are read day first and, where that is no
+# date, month first; year-first dates as year-month-day (a deliberate choice:
+# a free day-first parse would read 2026/3/4 as year-day-month); two-digit
+# years from 69 on lie in the last century; a missing day is the first.
+_TIME = r"(?:[Tt ]\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s?[AaPp]\.?[Mm]\.?)?(?:\s?(?:[Zz]|UTC|[+-]\d{2}:?\d{2}))?)?"
+_NAME = r"([A-Za-zÁÉÍÓÚáéíóú]+)\.?"
+YEAR_FIRST = r"(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?"
+DAY_FIRST = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
+COMPACT = r"(\d{4})(\d{2})(\d{2})"
+DAY_NAME = rf"(\d{{1,2}})(?:[ ./-]+(?:de )?|){_NAME},?(?:[ ./-]+(?:del? )?|)(\d{{4}}|\d{{2}})"
+NAME_DAY = rf"{_NAME} (?:(\d{{1,2}}),? )?(\d{{4}})"
+
+
+def _whole(body: str) -> str:
     return f"^{WHITESPACE_CLASS}*{body}{WHITESPACE_CLASS}*$"
 
 
+def _month_names() -> dict[str, str]:
+    """Spanish and English month names and their first three letters -> number."""
+    out = {}
+    for names in (MONTH_NAMES_ES, MONTH_NAMES_EN):
+        for i, name in enumerate(names, start=1):
+            out[name.lower()] = out[name[:3].lower()] = str(i)
+    return out | {"sept": "9", "set": "9"}
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    year = F.when(F.length(year) == 2, F.concat(F.when(year < "69", F.lit("20")).otherwise(F.lit("19")), year)).otherwise(year)
+    return F.try_to_timestamp(F.concat_ws("-", year, month, F.when(day == "", F.lit("1")).otherwise(day)), F.lit("yyyy-M-d"))
+
+
+def _by_shape(raw: Column) -> Column:
+    def shape(body: str):
+        regex = _whole(body + _TIME)
+        return raw.rlike(regex), [F.regexp_extract(raw, regex, i) for i in (1, 2, 3)]
+
+    names = F.create_map(*[F.lit(x) for kv in _month_names().items() for x in kv])
+    number = lambda name: F.try_element_at(names, F.lower(name))
+    numeric, (n1, n2, n3) = shape(DAY_FIRST)
+    year_first, (y1, y2, y3) = shape(YEAR_FIRST)
+    compact, (c1, c2, c3) = shape(COMPACT)
+    day_name, (d1, d2, d3) = shape(DAY_NAME)
+    name_day, (m1, m2, m3) = shape(NAME_DAY)
+    return (F.when(numeric, F.coalesce(_date(n3, n2, n1), _date(n3, n1, n2)))
+             .when(year_first, _date(y1, y2, y3)).when(compact, _date(c1, c2, c3))
+             .when(day_name & number(d2).isNotNull(), _date(d3, number(d2), d1))
+             .when(name_day & number(m1).isNotNull(), _date(m3, number(m1), m2)))
+
+
 def parse_date_flexible(c) -> Column:
-    """Mixed-format text -> DATE; blank or unparseable -> NULL."""
+    """Mixed-format text -> DATE; blank or unparseable -> NULL (how many:
+    ``parse_date_report``)."""
     raw = _c(c)
-    attempts = [F.when(raw.rlike(_guard(p)), F.try_to_timestamp(strip(raw), F.lit(p))) for p in DATE_PATTERNS]
-    return F.coalesce(*attempts).cast("date")
+    tries = [F.when(raw.rlike(_whole(shape)), F.try_to_timestamp(strip(raw), F.lit(p))) for p, shape in DATE_PATTERNS.items()]
+    # one element transformed: the long expression is evaluated only where the
+    # tries fail and stays out of the generated code of the common ones
+    rest = F.element_at(F.transform(F.array(raw), _by_shape), 1)
+    return F.coalesce(*tries, rest).cast("date")
+
+
+def parse_date_report(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: per column, the non-blank cells that are no date (``<col>``)."""
+    return df.agg(*[F.count_if((strip(F.col(f"`{c}`")) != "") & parse_date_flexible(F.col(f"`{c}`")).isNull()).alias(c) for c in cols])
 
 
 def _month_map() -> Column:

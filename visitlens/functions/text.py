@@ -105,7 +105,3 @@ def token_sort(c: ColumnOrName) -> Column:
 def strip_point_zero(c: ColumnOrName) -> Column:
     """Delete every literal ``.0`` (``'13.0'`` -> ``'13'``, also ``'10.05'`` -> ``'105'``)."""
     return F.replace(_c(c), F.lit(".0"), F.lit(""))
-
-
-def nullif_blank(c: ColumnOrName) -> Column:
-    return F.when(strip(c) == "", F.lit(None)).otherwise(_c(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitlens.constants import (PILLAR_LABEL_REPLACEMENTS, SHEET_GID_PATTERN,
+from visitlens.constants import (PILLAR_LABEL_REPLACEMENTS, SHEET_EXPORT_URL, SHEET_GID_PATTERN,
                                  SHEET_ID_PATTERN, TRUE_SPELLINGS)
 from visitlens.functions.text import _c, strip
 
@@ -53,19 +53,13 @@ def custom_order_key(c, order: list[str]) -> Column:
     return F.when(pos > 0, pos).otherwise(F.lit(len(order) + 1)).cast("int")
 
 
-def sort_by_custom_order(arr, order: list[str]) -> Column:
-    """C18 for an array column: sort by (position in ``order``, value)."""
-    keyed = F.transform(_c(arr), lambda x: F.struct(custom_order_key(x, order).alias("k"), x.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda s: s["v"])
-
-
 def export_url(c) -> Column:
     """Spreadsheet link -> CSV export link; NULL when no id is found."""
     sheet_id = F.regexp_extract(_c(c), SHEET_ID_PATTERN, 1)
     gid = F.regexp_extract(_c(c), SHEET_GID_PATTERN, 1)
     gid = F.when(gid == "", F.lit("0")).otherwise(gid)
-    url = F.concat(F.lit("https://docs.google.com/spreadsheets/d/"), sheet_id,
-                   F.lit("/export?format=csv&gid="), gid)
+    start, middle = SHEET_EXPORT_URL.split("{id}")
+    url = F.concat(F.lit(start), sheet_id, F.lit(middle.removesuffix("{gid}")), gid)
     return F.when(F.coalesce(sheet_id, F.lit("")) == "", F.lit(None).cast("string")).otherwise(url)
 
 
@@ -77,9 +71,3 @@ def sheet_id(c) -> Column:
 def sheet_gid(c) -> Column:
     v = F.regexp_extract(_c(c), SHEET_GID_PATTERN, 1)
     return F.when(v == "", F.lit("0")).otherwise(v)
-
-
-def to_json_result(**fields) -> Column:
-    """JSON envelope of a result, e.g. ``{"success":true,"rows_written":3}``."""
-    return F.to_json(F.struct(*[(_c(v) if isinstance(v, Column) else F.lit(v)).alias(k)
-                               for k, v in fields.items()]))

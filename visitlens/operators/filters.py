@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.functions.text import contains_ci, non_blank_tokens, strip
+from visitlens.functions.text import contains_ci, strip
 from visitlens.operators.shape import and_all
 
 # The five linked facets, in the order the selection is validated.
@@ -46,12 +46,6 @@ def contains_filter(df: DataFrame, col: str, text: str | None) -> DataFrame:
     return df.filter(contains_ci(col, text))
 
 
-def token_filter(df: DataFrame, col: str, value: str, seps: list[str]) -> DataFrame:
-    """Q14 option: rows where one token of the cell equals ``value`` (case-insensitive)."""
-    toks = non_blank_tokens(col, seps)
-    return df.filter(F.exists(toks, lambda t: F.upper(t) == F.upper(F.lit(value))))
-
-
 def non_blank(df: DataFrame, col: str) -> DataFrame:
     """Drop NULL/blank cells."""
     return df.filter(F.coalesce(strip(F.col(col)) != "", F.lit(False)))

@@ -50,8 +50,9 @@ def malformed_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     opts = _csv_options(options)
     schema = spark.read.options(**opts).csv(path).schema.add(RECORD, "string")
     rows = spark.read.options(**opts, columnNameOfCorruptRecord=RECORD, mode="PERMISSIVE").schema(schema).csv(path)
-    # the column pruner may not drop the fields that the check needs
-    return rows.filter(F.col(RECORD).isNotNull()).select(RECORD, *[F.col(f"`{c}`") for c in schema.names[:-1]]).select(RECORD)
+    # reading the fields keeps them from being pruned: only then are they counted
+    fields = F.concat_ws("", *[F.col(f"`{c}`") for c in schema.names[:-1]])
+    return rows.filter(F.col(RECORD).isNotNull() & (F.length(fields) >= 0)).select(RECORD)
 
 
 def read_plan(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:

@@ -36,30 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _memo(spark, ("table", sf_dir, name), lambda: _table(spark, sf_dir, name))
 
 
-# Fact-sized test tables.  The files are single row groups (one task each):
-# spreading them lets per-row work use every core; a no-op for inputs with
-# enough splits.  Dimension tables are left alone (they are broadcast).
-SPREAD_TABLES = {"orders", "documents", "events", "pages"}
-
-
-def _spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a single-split *file scan* by hash of a per-row id.
-
-    The id depends only on the split and the row position in it, so a retried
-    scan task reproduces it (deterministic for a file scan — use on scans
-    only).  Because Catalyst treats the id as non-deterministic, filters of
-    the later cleaning stay above the exchange and run on every core instead
-    of in the single scan task."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return (df.withColumn("__sid", F.monotonically_increasing_id())
-              .repartition(target, "__sid").drop("__sid"))
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return _spread_scan(df) if name in SPREAD_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c):
@@ -67,8 +45,7 @@ def _s(c):
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = (table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
-          .select("l_orderkey", "l_partkey", "l_suppkey"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     w1 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
@@ -107,7 +84,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
              .join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
 
 
@@ -140,6 +117,11 @@ def _plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool) -> DataFrame:
                 .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
     women = F.when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast("string")) \
              .otherwise(_s((F.col("o_orderkey") % 25).cast("double")))
+    # every fifth order is a visit without cases
+    case = lambda c: F.when(F.col("o_orderkey") % 5 != 0, F.col(c))
+    # some addresses hold quotes, a comma and a line break
+    address = F.when(F.col("o_custkey") % 6 == 0, F.concat(F.lit('Calle "'), _s(F.col("o_custkey")), F.lit('", piso\n2'))) \
+               .otherwise(F.concat(F.lit("Calle "), _s(F.col("o_custkey"))))
     base = _base(spark, sf_dir).join(_cells(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return base.select(
         _s(F.col("o_orderkey")).alias("ID-CT"),
@@ -150,15 +132,15 @@ def _plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool) -> DataFrame:
         _holding_raw().alias("Holding"),
         F.col("c_name").alias("Nombre Empleador"),
         F.concat(F.lit("CT-"), _s(F.col("o_orderkey"))).alias("Nombre CT"),
-        F.concat(F.lit("Calle "), _s(F.col("o_custkey"))).alias("Direccion CT"),
+        address.alias("Direccion CT"),
         F.col("n_name").alias("Comuna CT"),
         _s((F.col("o_orderkey") % 40).cast("double")).alias("N de trabajadores(as) a evaluar 2026 N hombres"),
         women.alias("N de trabajadores(as) a evaluar 2026 N mujeres"),
-        F.col("case_ids").alias("folios"),
-        F.col("occupations").alias("ocupaciones"),
-        F.col("tasks_dirty" if dirty_tasks else "tasks").alias("tareas"),
-        F.col("diagnoses").alias("diagnosticos"),
-        F.col("segments").alias("segmentos"),
+        case("case_ids").alias("folios"),
+        case("occupations").alias("ocupaciones"),
+        case("tasks_dirty" if dirty_tasks else "tasks").alias("tareas"),
+        case("diagnoses").alias("diagnosticos"),
+        case("segments").alias("segmentos"),
     )
 
 
@@ -200,5 +182,6 @@ def _followup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         pillars[2][0].alias("Pilar 3 - Diseño Cap Pract"),
         pillars[3][0].alias("Pilar 4 - Prescripción Caract"),
         diffusion.alias("Fecha AT Difusión (real)"),
-        F.lit("2026-03-31").alias("_FechaCorte"),
+        F.element_at(F.array(F.lit("2026-03-31"), F.lit("30-04-2026"), F.lit("31/05/2026")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+         .alias("_FechaCorte"),
     )

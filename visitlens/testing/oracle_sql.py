@@ -79,8 +79,7 @@ cells_line AS (
                             ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END AS task_dirty,
          p_brand AS diag,
          {SEG_LIST}[CAST(l_partkey % 6 AS INTEGER) + 1] AS seg
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R'),
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
 cells_case AS (
   SELECT l_orderkey, folio,
          string_agg(occ, ' | ' ORDER BY occ) AS occ, string_agg(task, ', ' ORDER BY task) AS task,
@@ -95,10 +94,10 @@ cells AS (
          string_agg(task_dirty, ' || ' ORDER BY task_dirty) AS tasks_dirty,
          string_agg(diag, ' || ' ORDER BY diag) AS diagnoses,
          string_agg(seg, ' || ' ORDER BY seg) AS segments
-  FROM cells_case GROUP BY l_orderkey),
+  FROM cells_case WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey),
 base AS (
   SELECT o_orderkey, o_custkey, o_orderdate, c_name, c_mktsegment, n_name
-  FROM orders JOIN customer ON o_custkey = c_custkey
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
   LEFT JOIN nation ON c_nationkey = n_nationkey),
 plan_raw AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS center_id,
@@ -111,7 +110,8 @@ plan_raw AS (
          CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE n_name END AS holding_raw,
          c_name AS employer,
          'CT-' || CAST(o_orderkey AS VARCHAR) AS center_name,
-         'Calle ' || CAST(o_custkey AS VARCHAR) AS address,
+         CASE WHEN o_custkey % 6 = 0 THEN 'Calle "' || CAST(o_custkey AS VARCHAR) || '", piso' || chr(10) || '2'
+              ELSE 'Calle ' || CAST(o_custkey AS VARCHAR) END AS address,
          n_name AS commune_raw,
          CAST(CAST(o_orderkey % 40 AS DOUBLE) AS VARCHAR) AS men_raw,
          CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_orderkey % 25 AS DOUBLE) AS VARCHAR) END AS women_raw,
@@ -156,7 +156,7 @@ fu_raw AS (
          ['TRUE', 'verdadero ', '1', 'FALSE', 'si', '', NULL][CAST((o_orderkey + 4 * o_custkey) % 7 AS INTEGER) + 1] AS p4_raw,
          CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y')
               ELSE strftime(o_orderdate, '%Y-%m-%d') END AS diffusion_raw,
-         '2026-03-31' AS cutoff_raw
+         ['2026-03-31', '30-04-2026', '31/05/2026'][CAST(o_orderkey % 3 AS INTEGER) + 1] AS cutoff_raw
   FROM base),
 fu AS (
   SELECT replace(coalesce(region_raw, 'S/R'), '.0', '') AS region,

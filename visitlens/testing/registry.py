@@ -89,7 +89,11 @@ def q_text_normalized(spark, d):
 
 
 def q_export_url(spark, d):
-    pages = table(spark, d, "pages")
+    # two of three pages stand for a spreadsheet link, every other of them with a sheet
+    k = F.col("page_id")
+    link = F.concat(F.lit("https://docs.google.com/spreadsheets/d/p_"), k.cast("string"), F.lit("-A/edit"),
+                    F.when(k % 2 == 0, F.concat(F.lit("#gid="), k.cast("string"))).otherwise(F.lit("")))
+    pages = table(spark, d, "pages").select("page_id", F.when(k % 3 != 0, link).otherwise(F.col("url")).alias("url"))
     return pages.select("page_id", sheet_id("url").alias("sheet_id"), sheet_gid("url").alias("gid"),
                         export_url("url").alias("export_url"))
 
@@ -389,14 +393,13 @@ def q_sink_refresh(spark, d):
 
 
 def q_sink_append(spark, d):
-    path = scratch_path(spark, "visit_detail")
-    detail = R.visit_detail(_prog(spark, d)).persist()  # feeds two appends
-    try:
-        init_table(spark, detail.columns, path)
-        append_rows(detail.filter(F.col("date_text").substr(4, 2) <= "06"), path)
-        append_rows(detail.filter(~(F.col("date_text").substr(4, 2) <= "06")), path)
-    finally:
-        detail.unpersist()
+    # the detail is written once, the two appends read that table
+    path, staged = scratch_path(spark, "visit_detail"), scratch_path(spark, "visit_detail_staged")
+    refresh_table(R.visit_detail(_prog(spark, d)), staged)
+    detail = spark.read.parquet(staged)
+    init_table(spark, detail.columns, path)
+    append_rows(detail.filter(F.col("date_text").substr(4, 2) <= "06"), path)
+    append_rows(detail.filter(~(F.col("date_text").substr(4, 2) <= "06")), path)
     return spark.read.parquet(path)
 
 
@@ -423,7 +426,7 @@ QUERIES.update({
 
 # ── sources through real files, SQL views, dictionary lookups ─────────────
 
-CSV_WRITE = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _as_csv(spark, df, name):
@@ -434,7 +437,10 @@ def _as_csv(spark, df, name):
 
 def q_plan_csv_roundtrip(spark, d):
     """A1: the raw plan sheet written as CSV, scanned all-STRING and typed."""
-    p = read_plan(spark, _as_csv(spark, plan_raw(spark, d), "plan_csv"))
+    raw = plan_raw(spark, d).withColumns({  # missing cells as exports spell them
+        "Ergonomo": F.coalesce("Ergonomo", F.lit("NA")), "Holding": F.coalesce("Holding", F.lit("N/A")),
+        "Region": F.coalesce("Region", F.lit("NULL"))})
+    p = read_plan(spark, _as_csv(spark, raw, "plan_csv"))
     return p.select("center_id", _iso("planned_date"), F.col("month").cast("string").alias("month"),
                     "month_name", "region", "specialist", "account", "holding", "employer", "center_name",
                     "address", "commune", "men", "women", "has_case", "case_ids", "occupations", "tasks",
@@ -443,7 +449,9 @@ def q_plan_csv_roundtrip(spark, d):
 
 def q_followup_csv_roundtrip(spark, d):
     """A2: the raw follow-up sheet written as CSV, scanned all-STRING and typed."""
-    f = read_followup(spark, _as_csv(spark, followup_raw(spark, d), "followup_csv"))
+    raw = followup_raw(spark, d).withColumns({"Ergonomo": F.coalesce("Ergonomo", F.lit("nan")),
+                                              "Holding": F.coalesce("Holding", F.lit("<NA>"))})
+    f = read_followup(spark, _as_csv(spark, raw, "followup_csv"))
     return f.select("region", "specialist", "account", "holding", "employer", "center_id",
                     "center_name", "commune", "visit_status", "goal_met", "pillar_1", "pillar_2",
                     "pillar_3", "pillar_4", _iso("diffusion_date"), _iso("cutoff_date"))
