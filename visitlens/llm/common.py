@@ -15,11 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage,
-    so a lost executor costs a re-read and not a recomputation."""
+    so a lost executor costs a re-read and not a recomputation.
+
+    ``batch_rows``: rows that go to a Python worker at a time during this job,
+    where rows are texts or long arrays and the default would hold many MB."""
+    conf = df.sparkSession.conf
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(BATCH_ROWS)
+    if batch_rows:
+        conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(BATCH_ROWS, before)
 
 
 def hex_key(*parts: Column) -> Column:

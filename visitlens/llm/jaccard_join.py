@@ -51,6 +51,8 @@ BUCKET_SIGNATURES = 2_000_000
 BATCH_SIGNATURES = 1_500_000
 #: Sets in one batch that share a signature before it is sent once for all.
 COMMON = 64
+#: Texts or sets that a worker is handed at a time.
+BATCH_ROWS = 1000
 #: Sets of a region that are compared with as many others in one row.
 CHUNK = 512
 #: Ids (of sets to verify, of rows to drop) that are broadcast to pick texts; beyond, a shuffle join.
@@ -346,7 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = cut(describe_sets(rows, words, percent))
+    described = cut(describe_sets(rows, words, percent), BATCH_ROWS)
     named = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # one node per distinct set: its smallest id
     nodes = cut(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("band").alias("band"),
@@ -356,7 +358,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(1, -(-total // BUCKET_SIGNATURES))
     blocks = signature_blocks(rows.where(F.col("doc_id").isNotNull()), buckets, words, percent)
     schema = "a long, b long, band int, gid long, hits long"
-    blocks = cut(blocks)
+    blocks = cut(blocks, BATCH_ROWS)
     met = cut(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, schema))
     members = (met.where("gid >= 0").select("a", "band", "gid")
                .unionByName(blocks.where("bucket < 0").select("keys", "bands", "found")
@@ -383,7 +385,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 .where(F.col("nth") <= -F.col("spare")).select("a", "gid"))
     sets = _sets(rows, nodes, small.select("a").unionByName(small.select(F.col("b").alias("a")))
                  .unionByName(heavy.select("a")).distinct(), words)
-    links = cut(verify(small, sets, percent).unionByName(_links_of_groups(heavy, sets, percent)))
+    links = cut(verify(small, sets, percent).unionByName(_links_of_groups(heavy, sets, percent)), BATCH_ROWS)
     classes = cut(connected_components(links, "x", "y"))
     to_class = nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     return (described.join(to_class, ["k1", "k2"], "left")
@@ -486,7 +488,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
                     out.append((k1, node, len(f), f.tobytes()))
             yield pd.DataFrame(out, columns=["k1", "node", "n", "features"])
 
-    return cut(texts.select("doc_id", "text", "k1", "k2").mapInPandas(read, "k1 long, node long, n long, features binary"))
+    return cut(texts.select("doc_id", "text", "k1", "k2").mapInPandas(read, "k1 long, node long, n long, features binary"), BATCH_ROWS)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
