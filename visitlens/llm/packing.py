@@ -15,6 +15,7 @@ packed by one task; only the last few bins of a group stay partly empty.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -33,6 +34,8 @@ GROUP_PIECES = 16_384
 END_ID = 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+LONG_BLANK = 100_000
+_LONG_BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK},}}+")
 
 _ENCODERS: dict[str, object] = {}
 
@@ -60,10 +63,29 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _other_encoder(path: str):
+    """The same vocabulary's ``tokenizers`` file, beside the ranks file."""
+    path = path.removesuffix(".tiktoken") + ".json"
+    if path not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        encoder.encode_special_tokens = True  # special strings are ordinary text
+        _ENCODERS[path] = encoder
+    return _ENCODERS[path]
+
+
 def token_ids(text: str | None, path: str | None = None, end_id: int = END_ID) -> np.ndarray:
-    """Ids of a whole text and the end id, as little-endian unsigned 32 bits."""
-    encoder = _encoder(path or vocabulary_path())
-    return np.array(encoder.encode_ordinary(text or "") + [end_id], dtype="<u4")
+    """Ids of a whole text and the end id, as little-endian unsigned 32 bits.
+
+    The ranks' splitter runs out of stack on some million blanks in a row;
+    texts that hold a long run of them take the vocabulary's other file."""
+    text, path = text or "", path or vocabulary_path()
+    if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+        ids = _other_encoder(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = _encoder(path).encode_ordinary(text)
+    return np.array(ids + [end_id], dtype="<u4")
 
 
 def piece_bounds(length: int, max_tokens: int) -> list[tuple[int, int]]:
