@@ -235,7 +235,12 @@ def test_vocabularies_agree():
     t.encode_special_tokens = True
     texts = [f"a{chr(c)}{chr(c)}1 {chr(c)}b  {chr(c)}'s" for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]
     texts += [t for t, in rows("documents", "text")] + ["<|endoftext|> x", ""]
+    blanks = [" " * 150_000 + "a", "x" + "\n " * 60_000, "b" + " " * 99_999 + "c"]  # about the length where the other file takes over
+    texts += blanks
     assert all(list(packing.token_ids(x)) == e.ids + [2] for x, e in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False)))
+    for x in blanks:
+        assert list(packing.token_ids(x))[:-1] == packing._encoder(packing.vocabulary_path()).encode_ordinary(x)
+    assert len(packing.token_ids(" " * 2_000_000)) == 2_000_001
 
 
 def check_packed(packed, texts, most=1024):
@@ -475,6 +480,24 @@ def test_html_rules():
     assert parts(page("<article><p>&lt;b&gt; a&nbsp;b</p></article>")) == ["<b> a b"]
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("<div>" * 20_000 + "deep" + "</div>" * 20_000, ["deep"]),
+    ("<b>" * 20_000 + "deep", ["deep"]),
+    ("<div>" * 20_000 + "</section>" * 20_000 + "x", ["x"]),
+    ("<a" * 50_000, ["<a" * 50_000]),
+    ("<p " + 'a="' * 50_001 + ">x", ["x"]),
+    ("<p title=it's>don't</p>z", ["don't", "z"]),
+    ("a<!-- <p>b</p>", ["a"]),
+    ("<p>q</p>r <b s", ["q", "r <b s"]),
+], ids=range(8))
+def test_html_broken_markup(markup, text):
+    """Any depth and any unclosed mark-up is read, in time linear in its length."""
+    root = html_text.parse(markup)
+    html_text.hash_subtrees(root)
+    assert len(list(html_text.candidates(root))) < len(markup)
+    assert html_text.text_blocks(root, set()) == text
+
+
 def test_html_templates(spark):
     """Subtrees that recur on a host go, prose of articles and lone pages stay."""
     strip = "<div><span>Our site</span> <a href='/x'>join us</a></div>"

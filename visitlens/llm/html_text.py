@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,64 +45,89 @@ NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
     comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup
     login pagination pager toolbar widget widgets skip""".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-                    re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+# a quote opens a string only after "="; possessive, so that broken mark-up is read in linear time
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
+_NO_TAG = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
+_ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "hash")
+    __slots__ = ("tag", "attrs", "items", "hash", "holds_article")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.items, self.hash, self.holds_article = tag, attrs, [], 0, False
 
     def attributes(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
 
 
+def elements(root: Node) -> list[Node]:
+    """All elements, each before those inside it.  Pages may nest to any depth,
+    so nothing here recurses."""
+    out = [root]
+    for node in out:
+        out.extend(x for x in node.items if isinstance(x, Node))
+    return out
+
+
 def parse(html: str) -> Node:
     """Element tree of a page; unclosed and stray tags are tolerated."""
     root = Node("")
     stack, at, n = [root], 0, len(html)
+    opened: defaultdict[str, int] = defaultdict(int)  # elements on the stack, by tag
+    last = html.rfind(">")
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
-        m = _TOKEN.search(html, at)
+        # no tag can end behind the last ">"
+        m = (_TOKEN if at <= last else _NO_TAG).search(html, at)
         if m is None:
             stack[-1].items.append(html[at:])
             break
         if m.start() > at:
             stack[-1].items.append(html[at:m.start()])
         at = m.end()
-        name = m[2]
-        if name is None:
+        if m.re is _NO_TAG or m[2] is None:
             if m[0].startswith("<![CDATA["):
                 stack[-1].items.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
-        name = name.lower()
+        name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].tag == name:
-                    del stack[k:]
+                    close(k)
                     break
                 # an inline end tag does not close the block it stands in
                 if name not in BLOCK and stack[k].tag in BLOCK:
                     break
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and (opened["p"] or opened[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     if stack[k].tag == name and name in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                        del stack[k:]
+                        close(k)
                     break
         node = Node(name, m[3])
         stack[-1].items.append(node)
+        if name in ("article", "main"):
+            for outer in reversed(stack):
+                if outer.holds_article:
+                    break
+                outer.holds_article = True
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else n
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -123,80 +149,86 @@ def never_main(node: Node, in_article: bool) -> bool:
     if tag == "article":
         return bool(words & {"comment", "comments", "reply", "replies"})
     # a wrapper named after what stands beside the article is no reason to lose it
-    return bool(words) and (in_article or not holds_article(node))
+    return bool(words) and (in_article or not node.holds_article)
 
 
-def holds_article(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in ("article", "main") or holds_article(x)) for x in node.items)
-
-
-def hash_subtrees(node: Node) -> int:
+def hash_subtrees(root: Node) -> int:
     """Fill in the hash of every element: tag, attributes and, in order, the
     hashes of its children and its white-space-normalised text."""
-    h = xxhash.xxh64(f"{node.tag}\0{' '.join(node.attrs.split())}\0")
-    for x in node.items:
-        if isinstance(x, Node):
-            h.update(hash_subtrees(x).to_bytes(8, "little"))
-        elif x := " ".join(x.split()):
-            h.update(b"\1" + x.encode("utf-8", "surrogatepass"))
-    node.hash = h.intdigest()
-    return node.hash
+    for node in reversed(elements(root)):
+        h = xxhash.xxh64(f"{node.tag}\0{' '.join(node.attrs.split())}\0")
+        for x in node.items:
+            if isinstance(x, Node):
+                h.update(x.hash.to_bytes(8, "little"))
+            elif x := " ".join(x.split()):
+                h.update(b"\1" + x.encode("utf-8", "surrogatepass"))
+        node.hash = h.intdigest()
+    return root.hash
 
 
-def candidates(node: Node, in_article: bool = False) -> Iterator[int]:
+def candidates(root: Node) -> Iterator[int]:
     """Hashes of the subtrees that may be template: all elements but the
     page's frame, articles and prose inside them."""
-    for x in node.items:
-        if isinstance(x, Node):
-            inside = in_article or x.tag in ("article", "main")
-            if x.tag in BLOCK and x.tag not in ("html", "body", "head", "article", "main") and not (inside and x.tag in PROSE):
-                yield x.hash
-            if not (inside and x.tag in PROSE):
-                yield from candidates(x, inside)
+    todo = [(root, False)]
+    while todo:
+        node, in_article = todo.pop()
+        for x in node.items:
+            if isinstance(x, Node):
+                inside = in_article or x.tag in ("article", "main")
+                if inside and x.tag in PROSE:
+                    continue
+                if x.tag in BLOCK and x.tag not in ("html", "body", "head", "article", "main"):
+                    yield x.hash
+                todo.append((x, inside))
+
+
+def marks_article(root: Node) -> bool:
+    """Whether a page has an article that is not inside what is never main text."""
+    todo = [root]
+    while todo:
+        for x in todo.pop().items:
+            if isinstance(x, Node) and not never_main(x, False):
+                if x.tag in ("article", "main"):
+                    return True
+                todo.append(x)
+    return False
 
 
 def text_blocks(root: Node, template: set[int]) -> list[str]:
     """Blocks of the main text, white space collapsed, in page order."""
-    def has_article(node: Node) -> bool:
-        return any(isinstance(x, Node) and not never_main(x, False) and (x.tag in ("article", "main") or has_article(x)) for x in node.items)
-
     blocks: list[str] = []
     run: list[str] = []
-    marked = has_article(root)
+    marked = marks_article(root)
 
     def flush() -> None:
         if text := " ".join(entities.unescape("".join(run)).split()):
             blocks.append(text)
         run.clear()
 
-    def walk(node: Node, in_article: bool) -> None:
-        for x in node.items:
-            if not isinstance(x, Node):
-                if in_article or not marked:
-                    run.append(x)
-                continue
+    # elements being read: what is left of each, whether in an article, whether it is a block
+    path = [(iter(root.items), False, False)]
+    while path:
+        items, in_article, breaks = path[-1]
+        x = next(items, None)
+        if x is None:
+            path.pop()
+            if breaks:
+                flush()
+        elif not isinstance(x, Node):
+            if in_article or not marked:
+                run.append(x)
+        else:
             inside = in_article or x.tag in ("article", "main")
-            breaks = x.tag in BLOCK
+            if x.tag in BLOCK:
+                flush()
             if never_main(x, in_article):
-                if breaks:
-                    flush()
                 continue
             if x.hash in template and x.tag in BLOCK and x.tag not in ("html", "body", "article", "main") and not (inside and x.tag in PROSE):
-                flush()
                 continue
-            if x.tag in VOID:
-                if breaks:
-                    flush()
-                else:
-                    run.append(" ")
-                continue
-            if breaks:
-                flush()
-            walk(x, inside)
-            if breaks:
-                flush()
-
-    walk(root, False)
+            if x.tag not in VOID:
+                path.append((iter(x.items), inside, x.tag in BLOCK))
+            elif x.tag not in BLOCK:
+                run.append(" ")
     flush()
     return blocks
 
