@@ -498,6 +498,16 @@ def test_html_broken_markup(markup, text):
     assert html_text.text_blocks(root, set()) == text
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("<html><head><title>T</title><body><article><p>x</p></article>", ["x"]),
+    ("<html><head><meta charset=utf-8><script>s</script><link rel=a><p>x</p>", ["x"]),
+    ("<head>\n<title>T</title>\n plain <b>x</b>", ["plain x"]),
+    ("<head><template><div>t</div></template><style>s</style></head><body>x", ["x"]),
+], ids=range(4))
+def test_html_head_left_open(markup, text):
+    assert html_text.text_blocks(html_text.parse(markup), set()) == text
+
+
 def test_html_templates(spark):
     """Subtrees that recur on a host go, prose of articles and lone pages stay."""
     strip = "<div><span>Our site</span> <a href='/x'>join us</a></div>"

@@ -37,6 +37,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption caption".
 BLOCK = PROSE | frozenset("""html head body article section main div nav header footer aside address ul ol li dl table thead tbody
     tfoot tr td th form fieldset figure details summary hr dialog menu search hgroup""".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
+# elements that may stand in a head; anything else closes one that is open
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 NEVER = RAW | frozenset("""head nav footer aside form button select option input svg canvas object template dialog menu search
     audio video map label datalist""".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -72,7 +74,9 @@ def elements(root: Node) -> list[Node]:
 
 
 def parse(html: str) -> Node:
-    """Element tree of a page; unclosed and stray tags are tolerated."""
+    """Element tree of a page; unclosed and stray tags are tolerated.  A head
+    ends where its end tag is left out: at the first tag or text that cannot
+    stand in one."""
     root = Node("")
     stack, at, n = [root], 0, len(html)
     opened: defaultdict[str, int] = defaultdict(int)  # elements on the stack, by tag
@@ -83,18 +87,23 @@ def parse(html: str) -> Node:
             opened[x.tag] -= 1
         del stack[k:]
 
+    def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            close(len(stack) - 1)
+        stack[-1].items.append(text)
+
     while at < n:
         # no tag can end behind the last ">"
         m = (_TOKEN if at <= last else _NO_TAG).search(html, at)
         if m is None:
-            stack[-1].items.append(html[at:])
+            add_text(html[at:])
             break
         if m.start() > at:
-            stack[-1].items.append(html[at:m.start()])
+            add_text(html[at:m.start()])
         at = m.end()
         if m.re is _NO_TAG or m[2] is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].items.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
+                add_text(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         name = m[2].lower()
         if m[1]:
@@ -106,6 +115,8 @@ def parse(html: str) -> Node:
                 if name not in BLOCK and stack[k].tag in BLOCK:
                     break
             continue
+        if stack[-1].tag == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
         if name in CLOSES_P and (opened["p"] or opened[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
