@@ -508,6 +508,20 @@ def test_html_head_left_open(markup, text):
     assert html_text.text_blocks(html_text.parse(markup), set()) == text
 
 
+def test_html_names_of_parts():
+    """Class names count as a whole, ids not on headings, prose, sections and inline elements."""
+    parts = lambda p: html_text.text_blocks(html_text.parse(p), set())
+    kept = ['<h2 id="social-impact">a</h2>', '<section id="related-work"><p>b</p></section>', '<p class="ad-hoc">c</p>', '<h3 id=share>d</h3>',
+            '<p><a title="the hidden cost">e</a> <span class="share-price">42</span></p>', '<div id="skip-lists"><p>f</p></div>']
+    gone = ['<div class="x ad">1</div>', '<div id="social-share">2</div>', '<p hidden>3</p>', '<p title="a" HIDDEN class=b>4</p>',
+            '<div hidden="until-found">5</div>', '<div class="ad_slot">6</div>', '<p id=a hidden>7</p>']
+    body = "<p>the text of the article</p>"
+    assert parts(page(f"<article>{body}{''.join(kept + gone)}</article>")) == ["the text of the article", "a", "b", "c", "d", "e 42", "f"]
+    assert parts(page(f"<main><article class='category-comment' id=reply-to-all>{body}</article><article id=comment-3>z</article></main>")) == ["the text of the article"]
+    for wrapper in ('class="has-sidebar"', 'class="sidebar"', "id=widget", "role=dialog"):
+        assert parts(page(f"<div class=ad>x</div><div {wrapper}>{body}<div class=promo>y</div></div>")) == ["the text of the article"]
+
+
 def test_html_templates(spark):
     """Subtrees that recur on a host go, prose of articles and lone pages stay."""
     strip = "<div><span>Our site</span> <a href='/x'>join us</a></div>"

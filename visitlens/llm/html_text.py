@@ -46,19 +46,27 @@ NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
     navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay
     comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup
     login pagination pager toolbar widget widgets skip""".split())
+# with one of the above they name a part of the page ("ad-slot"); any other word makes a name of its own ("ad-hoc")
+PART_WORDS = frozenset("area bar box buttons container form icons list section slot wrap wrapper".split())
+#: Elements whose id names a part of the page; elsewhere ids are often slugs of headings.
+ID_NAMES_PART = BLOCK - PROSE - {"article", "section", "li", "tr", "td", "th", "summary"}
 
 # a quote opens a string only after "="; possessive, so that broken mark-up is read in linear time
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
 _NO_TAG = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
+# class or id of a reader comment that is an article of its own
+_COMMENT = re.compile(r"(?:div[_-]+)?(?:comments?|reply|replies)(?:[_-]+(?:body|content|item|list|\d+))*")
+_HIDDEN = re.compile(r"(?<![^\s/\"'])hidden(?![^\s/])", re.I)
 _ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "hash", "holds_article")
+    __slots__ = ("tag", "attrs", "items", "hash", "size", "holds_article", "holds_most")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.hash, self.holds_article = tag, attrs, [], 0, False
+        self.tag, self.attrs, self.items, self.hash, self.size = tag, attrs, [], 0, 0
+        self.holds_article = self.holds_most = False
 
     def attributes(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
@@ -139,28 +147,50 @@ def parse(html: str) -> Node:
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
             opened[name] += 1
+    measure(root)
     return root
 
 
+def measure(root: Node) -> None:
+    """Fill in how many characters of text an element holds, blanks and what
+    its tag rules out left aside, and whether that is most of the page's."""
+    nodes = elements(root)
+    for node in reversed(nodes):
+        node.size = sum((0 if x.tag in NEVER else x.size) if isinstance(x, Node) else len("".join(x.split())) for x in node.items)
+    for node in nodes:
+        node.holds_most = 2 * node.size > root.size
+
+
+def names_part(name: str) -> bool:
+    """Whether a class or id as a whole is a name of what stands beside the
+    main text: all its words are, but for such as "box" or "list"."""
+    words = set(re.split(r"[_-]+", name)) - {""}
+    return bool(words & NEVER_WORDS) and words <= NEVER_WORDS | PART_WORDS
+
+
 def never_main(node: Node, in_article: bool) -> bool:
     """Whether an element is not main text by its tag or mark-up.  The page's
-    frame and its article are never ruled out by a class name; an article
-    inside an article only as a reader comment."""
+    frame, its article and what holds most of its text are never ruled out by
+    mark-up; an article inside an article only as a reader comment."""
     tag = node.tag
     if tag in NEVER or tag == "header" and not in_article:
         return True
     if tag in ("", "html", "body", "main") or tag == "article" and not in_article:
         return False
-    if "=" not in node.attrs and "hidden" not in node.attrs:
+    # a wrapper named after what stands beside the article is no reason to lose it
+    if node.holds_most and tag != "article":
+        return False
+    if not node.attrs or "=" not in node.attrs and "hidden" not in node.attrs.lower():
         return False
     a = node.attributes()
-    if a.get("role", "").lower() in NEVER_ROLES or re.search(r"(?:^|\s)hidden(?:\s|$)", node.attrs):
+    if a.get("role", "").lower() in NEVER_ROLES or "hidden" in a or _HIDDEN.search(_ATTRIBUTE.sub(" ", node.attrs)):
         return True
-    words = NEVER_WORDS & set(re.split(r"[\s_-]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    names = a.get("class", "").lower().split()
     if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "replies"})
-    # a wrapper named after what stands beside the article is no reason to lose it
-    return bool(words) and (in_article or not node.holds_article)
+        return any(map(_COMMENT.fullmatch, names + [a.get("id", "").strip().lower()]))
+    if tag in ID_NAMES_PART and (name := a.get("id", "").strip().lower()):
+        names.append(name)
+    return any(map(names_part, names)) and (in_article or not node.holds_article)
 
 
 def hash_subtrees(root: Node) -> int:
