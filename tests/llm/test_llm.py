@@ -537,6 +537,31 @@ def test_html_templates(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def html_texts(spark, pages):
+    """Texts of (url, body) pages, in order."""
+    df = spark.createDataFrame([(i, u, page(b)) for i, (u, b) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text.split("\n\n") if r.text else [] for r in sorted(html_text.extract_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_parts_of_articles_stay(spark):
+    """Items and cells go with their list or table only, and copies of one page make no template."""
+    list_ = "<ul><li>1 tsp salt</li><li>item {0}</li></ul><table><tr><th>Price</th><td><p>Yes</p></td><td>{0}</td></tr></table>"
+    rows_ = "<section><div>1 tsp salt</div><div>{0}</div></section>"
+    share = "<div><ul><li>share</li></ul></div>"
+    recipe = [("https://a.example/", f"<article><div><p>some longer text that is the body of recipe {i}, and then some more</p>{list_.format(i)}{rows_.format(i)}{share}</div></article>") for i in range(12)]
+    plain = [("https://b.example/", f"<p>own text {i}</p>{list_.format(i)}") for i in range(12)]
+    body = "<p>the one text</p><ul><li>first</li></ul><table><tr><td>cell</td></tr></table><div>note</div>"
+    copies = [("https://c.example/", f"<!-- {i} --><article>{body}<div class=ad>buy {i}</div><p><a href=/{i}>read {i}</a></p></article>") for i in range(12)]
+    whole = [("https://d.example/", f"<div class=ad>{i}</div><div>{body}</div><a href=/{i}>next {i}</a>") for i in range(12)]
+    got = html_texts(spark, recipe + plain + copies + whole)
+    for i in range(12):
+        cells = ["1 tsp salt", f"item {i}", "Price", "Yes", f"{i}"]
+        assert got[i] == [f"some longer text that is the body of recipe {i}, and then some more", *cells, "1 tsp salt", f"{i}"]
+        assert got[12 + i] == [f"own text {i}", *cells]
+        assert got[24 + i] == ["the one text", "first", "cell", "note", f"read {i}"]
+        assert got[36 + i] == ["the one text", "first", "cell", "note", f"next {i}"]
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):

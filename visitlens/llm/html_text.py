@@ -1,15 +1,18 @@
 """Main text of web pages: site template removal.
 
 Every element subtree of a page gets a hash.  Spark counts, per host, on how
-many different pages a subtree occurs; subtrees that recur on many pages of
-their host are the site's template (menus, banners, share bars, notices) and
-are deleted.  What stands in elements that are never main text (scripts,
+many pages with different main texts a subtree occurs; subtrees that recur on
+many pages of their host are the site's template (menus, banners, share bars,
+notices) and are deleted.  What stands in elements that are never main text (scripts,
 styles, forms, navigation, page headers and footers, asides) or is marked up
 as an advert, notice or reader comment goes as well.  The text of the article,
 or where a page marks none of the whole body, comes out block by block.
 
 Prose (paragraphs, headings, quotations and what they hold) inside an article
-is never taken for template: a passage that many articles quote stays.
+is never taken for template: a passage that many articles quote stays.  Of the
+rest of an article only whole blocks are, those that stand in it itself or in
+a wrapper around most of it; an item or cell never goes without its list or
+table, inside an article or out of it.
 """
 
 from __future__ import annotations
@@ -48,6 +51,12 @@ NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
     login pagination pager toolbar widget widgets skip""".split())
 # with one of the above they name a part of the page ("ad-slot"); any other word makes a name of its own ("ad-hoc")
 PART_WORDS = frozenset("area bar box buttons container form icons list section slot wrap wrapper".split())
+# never taken for template: the page's frame and its articles; parts of a list or table, which go with the whole only
+FRAME = frozenset("html head body article main".split())
+ITEMS = frozenset("li dt dd thead tbody tfoot tr th td caption".split())
+LISTS = frozenset("ul ol dl table".split())
+# what may wrap the blocks of an article
+WRAPPERS = frozenset("div section article main".split())
 #: Elements whose id names a part of the page; elsewhere ids are often slugs of headings.
 ID_NAMES_PART = BLOCK - PROSE - {"article", "section", "li", "tr", "td", "th", "summary"}
 
@@ -62,11 +71,11 @@ _ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "hash", "size", "holds_article", "holds_most")
+    __slots__ = ("tag", "attrs", "items", "hash", "size", "holds_article", "holds_most", "removable")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.items, self.hash, self.size = tag, attrs, [], 0, 0
-        self.holds_article = self.holds_most = False
+        self.holds_article = self.holds_most = self.removable = False
 
     def attributes(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
@@ -153,12 +162,27 @@ def parse(html: str) -> Node:
 
 def measure(root: Node) -> None:
     """Fill in how many characters of text an element holds, blanks and what
-    its tag rules out left aside, and whether that is most of the page's."""
+    its tag rules out left aside, whether that is most of the page's, and
+    whether the element may be template: blocks but for the page's frame and
+    parts of lists and tables; in an article only its whole blocks."""
     nodes = elements(root)
     for node in reversed(nodes):
         node.size = sum((0 if x.tag in NEVER else x.size) if isinstance(x, Node) else len("".join(x.split())) for x in node.items)
     for node in nodes:
         node.holds_most = 2 * node.size > root.size
+    # elements, the size of the article around (None outside, 0 inside a block of it), whether they are all that an item holds
+    todo: list[tuple[Node, int | None, bool]] = [(root, None, False)]
+    while todo:
+        node, around, item = todo.pop()
+        for x in node.items:
+            if isinstance(x, Node):
+                lone = x.tag in ITEMS or item and x.size == node.size and x.tag not in LISTS
+                x.removable = x.tag in BLOCK and x.tag not in FRAME and not lone and (around is None or around > 0 and x.tag not in PROSE)
+                if x.tag in ("article", "main"):
+                    inside = x.size
+                else:
+                    inside = around if not around or x.tag in WRAPPERS and 2 * x.size > around else 0
+                todo.append((x, inside, lone))
 
 
 def names_part(name: str) -> bool:
@@ -208,19 +232,8 @@ def hash_subtrees(root: Node) -> int:
 
 
 def candidates(root: Node) -> Iterator[int]:
-    """Hashes of the subtrees that may be template: all elements but the
-    page's frame, articles and prose inside them."""
-    todo = [(root, False)]
-    while todo:
-        node, in_article = todo.pop()
-        for x in node.items:
-            if isinstance(x, Node):
-                inside = in_article or x.tag in ("article", "main")
-                if inside and x.tag in PROSE:
-                    continue
-                if x.tag in BLOCK and x.tag not in ("html", "body", "head", "article", "main"):
-                    yield x.hash
-                todo.append((x, inside))
+    """Hashes of the subtrees that may be template."""
+    return (x.hash for x in elements(root) if x.removable)
 
 
 def marks_article(root: Node) -> bool:
@@ -235,8 +248,9 @@ def marks_article(root: Node) -> bool:
     return False
 
 
-def text_blocks(root: Node, template: set[int]) -> list[str]:
-    """Blocks of the main text, white space collapsed, in page order."""
+def text_blocks(root: Node, template: set[int], plain: list[str] | None = None) -> list[str]:
+    """Blocks of the main text, white space collapsed, in page order.  ``plain``
+    takes the texts that are not in a link."""
     blocks: list[str] = []
     run: list[str] = []
     marked = marks_article(root)
@@ -246,10 +260,10 @@ def text_blocks(root: Node, template: set[int]) -> list[str]:
             blocks.append(text)
         run.clear()
 
-    # elements being read: what is left of each, whether in an article, whether it is a block
-    path = [(iter(root.items), False, False)]
+    # elements being read: what is left of each, whether in an article, whether in a link, whether it is a block
+    path = [(iter(root.items), False, False, False)]
     while path:
-        items, in_article, breaks = path[-1]
+        items, in_article, linked, breaks = path[-1]
         x = next(items, None)
         if x is None:
             path.pop()
@@ -258,22 +272,30 @@ def text_blocks(root: Node, template: set[int]) -> list[str]:
         elif not isinstance(x, Node):
             if in_article or not marked:
                 run.append(x)
+                if plain is not None and not linked:
+                    plain.extend(x.split())
         else:
-            inside = in_article or x.tag in ("article", "main")
             if x.tag in BLOCK:
                 flush()
-            if never_main(x, in_article):
-                continue
-            if x.hash in template and x.tag in BLOCK and x.tag not in ("html", "body", "article", "main") and not (inside and x.tag in PROSE):
+            if never_main(x, in_article) or x.removable and x.hash in template:
                 continue
             if x.tag not in VOID:
-                path.append((iter(x.items), inside, x.tag in BLOCK))
+                path.append((iter(x.items), in_article or x.tag in ("article", "main"), linked or x.tag == "a", x.tag in BLOCK))
             elif x.tag not in BLOCK:
                 run.append(" ")
     flush()
     return blocks
 
 
+def main_text_hash(root: Node) -> int:
+    """Hash of a page's main text, template included.  Copies of a page that
+    differ in mark-up, in what is never main text or in their links have the
+    same; only where all of the text is links do these count."""
+    plain: list[str] = []
+    blocks = text_blocks(root, set(), plain)
+    return xxhash.xxh64(" ".join(plain or blocks).encode("utf-8", "surrogatepass")).intdigest()
+
+
 def _signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
@@ -286,8 +308,9 @@ def host_of(url: Column) -> Column:
 def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
                     min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hashes): the subtrees that recur on at least ``min_pages`` pages
-    and ``min_share`` of the pages of a host.  Pages with equal html count
-    once, so copies of one page do not make a template.
+    and ``min_share`` of the pages of a host.  Pages with the same main text
+    count once, so copies of one page do not make a template, though an advert,
+    a comment or a link differs.
 
     A page has a bounded number of subtrees, so at most mean subtrees /
     ``min_share`` hashes of a host can pass: the lists stay short however many
@@ -297,9 +320,9 @@ def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "htm
         for b in batches:
             out = []
             for host, html in zip(b["host"], b["html"]):
-                html = html if isinstance(html, str) else ""
-                root, page = parse(html), _signed(xxhash.xxh64(html.encode("utf-8", "surrogatepass")).intdigest())
+                root = parse(html if isinstance(html, str) else "")
                 hash_subtrees(root)
+                page = _signed(main_text_hash(root))
                 out.extend((host, _signed(h), page, False) for h in {*candidates(root)})
                 out.append((host, 0, page, True))  # the page itself
             yield pd.DataFrame(out, columns=["host", "hash", "page", "whole"])
