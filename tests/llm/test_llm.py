@@ -562,6 +562,17 @@ def test_html_parts_of_articles_stay(spark):
         assert got[36 + i] == ["the one text", "first", "cell", "note", f"next {i}"]
 
 
+def test_html_template_on_hosts_of_any_size(spark, monkeypatch):
+    """A block on five pages goes, whatever else the host holds; joined by broadcast or by a shuffle."""
+    menu = "<div><ul><li>Fish</li><li>Fowl</li></ul></div>"
+    pages = [("https://a.example/", f"{menu if i < 5 else ''}<p>own text {i}</p>") for i in range(80)]
+    pages += [("https://b.example/", f"{menu if i < 4 else ''}<p>own text {i}</p>") for i in range(20)]
+    want = [[f"own text {i}"] for i in range(80)] + [(["Fish", "Fowl"] if i < 4 else []) + [f"own text {i}"] for i in range(20)]
+    assert html_texts(spark, pages) == want
+    monkeypatch.setattr(html_text, "BROADCAST_HASHES", 0)
+    assert html_texts(spark, pages) == want
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):

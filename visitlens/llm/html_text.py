@@ -27,10 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is template if it is on that many pages of a host and share of them.
+#: A subtree is template if it is on that many pages of a host, whatever the host's size.
 MIN_PAGES = 5
-MIN_SHARE = 0.1
-#: Template hashes are broadcast up to that many, else joined by a shuffle.
+#: Hashes of pages' template subtrees are broadcast up to that many, else joined by a shuffle.
 BROADCAST_HASHES = 500_000
 
 # Fixed values of HTML: raw-text, void, block and never-main elements.
@@ -248,9 +247,10 @@ def marks_article(root: Node) -> bool:
     return False
 
 
-def text_blocks(root: Node, template: set[int], plain: list[str] | None = None) -> list[str]:
+def text_blocks(root: Node, template: set[int], plain: list[str] | None = None, met: set[int] | None = None) -> list[str]:
     """Blocks of the main text, white space collapsed, in page order.  ``plain``
-    takes the texts that are not in a link."""
+    takes the texts that are not in a link, ``met`` the hashes of the subtrees
+    read that may be template."""
     blocks: list[str] = []
     run: list[str] = []
     marked = marks_article(root)
@@ -279,6 +279,8 @@ def text_blocks(root: Node, template: set[int], plain: list[str] | None = None)
                 flush()
             if never_main(x, in_article) or x.removable and x.hash in template:
                 continue
+            if met is not None and x.removable:
+                met.add(x.hash)
             if x.tag not in VOID:
                 path.append((iter(x.items), in_article or x.tag in ("article", "main"), linked or x.tag == "a", x.tag in BLOCK))
             elif x.tag not in BLOCK:
@@ -287,12 +289,12 @@ def text_blocks(root: Node, template: set[int], plain: list[str] | None = None)
     return blocks
 
 
-def main_text_hash(root: Node) -> int:
-    """Hash of a page's main text, template included.  Copies of a page that
+def main_text_hash(root: Node, met: set[int]) -> int:
+    """Hash of a page's main text, template included; for ``met`` see ``text_blocks``.  Copies of a page that
     differ in mark-up, in what is never main text or in their links have the
     same; only where all of the text is links do these count."""
     plain: list[str] = []
-    blocks = text_blocks(root, set(), plain)
+    blocks = text_blocks(root, set(), plain, met)
     return xxhash.xxh64(" ".join(plain or blocks).encode("utf-8", "surrogatepass")).intdigest()
 
 
@@ -305,39 +307,40 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
-                    min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur on at least ``min_pages`` pages
-    and ``min_share`` of the pages of a host.  Pages with the same main text
-    count once, so copies of one page do not make a template, though an advert,
-    a comment or a link differs.
-
-    A page has a bounded number of subtrees, so at most mean subtrees /
-    ``min_share`` hashes of a host can pass: the lists stay short however many
-    pages a host has.
-    """
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, key, page, hash, read): per distinct page (``host, key, html``)
+    the subtrees that may be template, the hash of its main text and whether
+    its text has the subtree."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for host, html in zip(b["host"], b["html"]):
-                root = parse(html if isinstance(html, str) else "")
+            for host, key, html in zip(b["host"], b["key"], b["html"]):
+                root, met = parse(html if isinstance(html, str) else ""), set()
                 hash_subtrees(root)
-                page = _signed(main_text_hash(root))
-                out.extend((host, _signed(h), page, False) for h in {*candidates(root)})
-                out.append((host, 0, page, True))  # the page itself
-            yield pd.DataFrame(out, columns=["host", "hash", "page", "whole"])
+                page = _signed(main_text_hash(root, met))
+                out.extend((host, key, page, _signed(h), h in met) for h in {*candidates(root)})
+            yield pd.DataFrame(out, columns=["host", "key", "page", "hash", "read"])
+
+    return pages.select("host", "key", "html").mapInPandas(emit, "host string, key long, page long, hash long, read boolean").distinct()
 
-    seen = (pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-            .mapInPandas(emit, "host string, hash long, page long, whole boolean").distinct())
-    counts = seen.groupBy("host", "hash", "whole").agg(F.count("*").alias("pages"))
-    totals = counts.where("whole").select("host", F.col("pages").alias("all_pages"))
-    return (counts.where(~F.col("whole") & (F.col("pages") >= min_pages)).join(totals, "host")
-            .where(F.col("pages") >= F.col("all_pages") * min_share)
-            .groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")))
+
+def template_hashes(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, key, hashes): the subtrees in a page's text that recur on at least
+    ``min_pages`` pages of its host.  Pages with the same main text count once,
+    so copies of one page do not make a template, though an advert, a comment
+    or a link differs.
+
+    A list has subtrees of one page only and so stays as short as the page,
+    however many of them a host has.
+    """
+    template = (subtrees.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
+                .where(F.col("pages") >= min_pages).select("host", "hash"))
+    return (subtrees.where("read").join(template, ["host", "hash"])
+            .groupBy("host", "key").agg(F.sort_array(F.collect_list("hash")).alias("hashes")))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+                 min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
     ``text`` joins the blocks by a blank line; it is empty for NULL or empty
@@ -348,12 +351,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     from .common import cut
 
-    template = cut(template_hashes(pages, url_col, html_col, min_pages, min_share))
+    rows = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+                         F.col(html_col).cast("string").alias("html"))
+            .withColumns({"host": host_of(F.col("url")), "key": F.xxhash64("html")}))
+    template = cut(template_hashes(cut(page_subtrees(rows)), min_pages))
     total = template.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    side = template.select(F.col("host").alias("t_host"), "hashes")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                        F.col(html_col).cast("string").alias("html"))
-    joined = rows.join(F.broadcast(side) if total <= BROADCAST_HASHES else side, host_of(F.col("url")) == F.col("t_host"), "left")
+    joined = rows.join(F.broadcast(template) if total <= BROADCAST_HASHES else template, ["host", "key"], "left")
 
     def text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
