@@ -243,6 +243,18 @@ def test_vocabularies_agree():
     assert len(packing.token_ids(" " * 2_000_000)) == 2_000_001
 
 
+def test_special_strings(spark):
+    """Special strings have their own ids, as a plain call of the tokenizer gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|> <|endoftext| é's <|ENDOFTEXT|>",
+             "b" + " " * 150_000 + "<|endoftext|>  c", "no such string  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.tokenised_pieces(docs, max_tokens=10**6, with_ids=True).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [2] for i, x in enumerate(texts)} and got[0] == [64, 220, 50256, 2124, 2]
+
+
 def check_packed(packed, texts, most=1024):
     assert sorted((p.doc_id is None, p.doc_id, p.piece) for p in packed if p.piece == 0) == sorted((i is None, i, 0) for i, _ in texts)
     for i, t in {(i, t) for i, t in texts}:

@@ -34,6 +34,8 @@ GROUP_PIECES = 16_384
 END_ID = 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Special strings of the vocabulary and their ids.
+SPECIAL = {"<|endoftext|>": 50256}
 LONG_BLANK = 100_000
 _LONG_BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK},}}+")
 
@@ -43,9 +45,8 @@ _ENCODERS: dict[str, object] = {}
 def _encoder(path: str):
     """Byte-level BPE over a public ranks file, one per worker process.
 
-    The ids are those of the same vocabulary's ``tokenizers`` file, special
-    strings read as ordinary text (a test compares both over all code points);
-    this form of it is the faster one."""
+    The ids are those of the same vocabulary's ``tokenizers`` file (a test
+    compares both over all code points); this form of it is the faster one."""
     if path not in _ENCODERS:
         import base64
 
@@ -54,7 +55,7 @@ def _encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODERS[path]
 
 
@@ -69,20 +70,24 @@ def _other_encoder(path: str):
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(path)
-        encoder.encode_special_tokens = True  # special strings are ordinary text
-        _ENCODERS[path] = encoder
+        _ENCODERS[path] = Tokenizer.from_file(path)
     return _ENCODERS[path]
 
 
-def token_ids(text: str | None, path: str | None = None, end_id: int = END_ID) -> np.ndarray:
+def token_ids(text: str | None, path: str | None = None, end_id: int = END_ID, special: bool = False) -> np.ndarray:
     """Ids of a whole text and the end id, as little-endian unsigned 32 bits.
+    ``special``: special strings in the text have their own ids, as a plain
+    call of ``tokenizers`` gives; else they are ordinary text.
 
     The ranks' splitter runs out of stack on some million blanks in a row;
     texts that hold a long run of them take the vocabulary's other file."""
     text, path = text or "", path or vocabulary_path()
     if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
-        ids = _other_encoder(path).encode(text, add_special_tokens=False).ids
+        encoder = _other_encoder(path)
+        encoder.encode_special_tokens = not special
+        ids = encoder.encode(text, add_special_tokens=False).ids
+    elif special:
+        ids = _encoder(path).encode(text, allowed_special="all")
     else:
         ids = _encoder(path).encode_ordinary(text)
     return np.array(ids + [end_id], dtype="<u4")
@@ -111,7 +116,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = token_ids(text if isinstance(text, str) else None, path, end_id)
+                ids = token_ids(text if isinstance(text, str) else None, path, end_id, special=True)
                 for n, (lo, hi) in enumerate(piece_bounds(len(ids), max_tokens)):
                     part = ids[lo:hi]
                     out.append((doc_id, n, lo, hi - lo, zlib.crc32(part.tobytes())) + ((part.astype("int64"),) if with_ids else ()))
