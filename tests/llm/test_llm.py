@@ -301,6 +301,12 @@ def test_packing_constraints(spark, odd, none):
     assert zlib.crc32(np.array(ids.ids, "<u4").tobytes()) == ids.ids_crc32 and ids.ids[-1] == 2
 
 
+def test_packing_short_texts(spark):
+    """Empty texts, a token each, fill sequences to their 1024 tokens."""
+    packed = packing.pack_documents(spark.range(3000).selectExpr("id AS doc_id", "'' AS text")).collect()
+    assert sorted(Counter(r.sequence_id for r in packed).values()) == [952, 1024, 1024]
+
+
 # sharding
 
 def test_sharding(spark, odd, none):
