@@ -371,6 +371,67 @@ def test_license_templates(text, found):
     assert [s[0] for s in spans] == found
 
 
+MIT = """Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+X11_END = """ Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote
+the sale, use or other dealings in this Software without prior written authorization from the X Consortium."""
+BSD = """Copyright 2001, Some Body. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Copyright (c) 2004 Some Body
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+APACHE = """You may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License
+is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+BINARY = BSD[BSD.index("2. Red"):BSD.index("3. Nei")]
+
+
+@pytest.mark.parametrize("text, found", [
+    (MIT, ["mit"]), (MIT.replace('"', "\u201c", 1).replace('"', "\u201d", 1).replace("(the \u201cSoftware\u201d)", "(the \u201csoftware\u201d)"), ["mit"]),
+    (BSD, ["bsd"]), (BSD[:BSD.index("3. Nei")] + BSD[BSD.index("THIS SOFT"):], ["bsd"]), (ISC, ["isc"]), (APACHE, ["apache-2.0"]),
+    (MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "THE X CONSORTIUM") + X11_END, ["x11"]), (MIT + X11_END, ["x11"]),
+    (MIT.replace("WITHOUT WARRANTY", "WITH A WARRANTY"), []), (MIT[:MIT.index("THE SOFTWARE IS")], []),
+    (MIT.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil. THE SOFTWARE IS"), []),  # JSON
+    (MIT[:MIT.index(", subject")] + ". " + MIT[MIT.index("THE SOFTWARE IS"):], []),  # MIT-0
+    (BSD.replace("ARE DISCLAIMED", "ARE GIVEN"), []), (BSD.replace(BINARY, ""), []),
+    (BSD.replace("THIS SOFTWARE IS", "4. Products derived from this software may not be called Apache. THIS SOFTWARE IS"), []),
+    (ISC.replace(", provided that the\nabove copyright notice and this permission notice appear in all copies", ""), []),  # 0BSD
+    (APACHE.replace("WITHOUT WARRANTIES", "WITH WARRANTIES"), []),
+], ids=range(17))
+def test_license_whole_wording(text, found):
+    """A licence is found by its whole wording, which covers the text, and not where conditions or disclaimers differ."""
+    words = license_scan.words_of(text)
+    _, spans = license_scan.scan_words(words, license_scan.compile_templates(), [])
+    assert [s[0] for s in spans] == found and (not found or [s[1:] for s in spans] == [(0, len(words))])
+
+
 def test_automata_against_regex():
     pattern = {"a [b c] d": r"a(?: b c)? d", "a (b|c d) {2} e": r"a (?:b|c d)(?: \S+){0,2} e", "a [b|c] [d] {1} a": r"a(?: b| c)?(?: d)?(?: \S+)? a"}
     rng = np.random.default_rng(2)

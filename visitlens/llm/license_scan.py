@@ -26,27 +26,63 @@ BASE_PHRASES = (
     ("mit license", "mit"),
 )
 
-# Wording of notices as their licences give it, with mark-up.
+# Words that licences put in quotes: ASCII marks separate words, others are part of them.
+_AS_IS = "(as is|“as is”)"
+_SOFTWARE = "(software|“software”)"
+_LICENSE = "(license|“license”)"
+_HOLDER = "[copyright {16}] "
+_MIT = (f"{_HOLDER}permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        f"documentation files the {_SOFTWARE} to deal in the software without restriction including without limitation the rights to "
+        "use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "[including the next paragraph] shall be included in all copies or substantial portions of the software the software is "
+        f"provided {_AS_IS} without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and (noninfringement|non infringement) in no event shall ")
+_MIT_END = (" be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+            "or in connection with the software or the use or other dealings in the software")
+
+# Wording of notices and, over their whole length, of licences, with mark-up.
 TEMPLATES = (
     ("mit", "(released|licensed|distributed|available|published) under [the terms of] (the|an) mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files [the software] to deal in the software without restriction"),
+    ("mit", _MIT + "the (authors|author) or copyright (holders|holder)" + _MIT_END),
+    ("x11", _MIT + "the {8}" + _MIT_END + " except as contained in this notice the (name|names) of {12} shall not be used in advertising "
+            "or otherwise to promote the sale use or other dealings in this software without prior written authorization [from {8}]"),
     ("apache-2.0", "(released|licensed|distributed|available|published) under [the terms of] the apache license version 2 0 "
-                   "[the license]"),
+                   f"[the {_LICENSE}]"),
     ("apache-2.0", "you may not use this file except in compliance with the license [you may obtain a copy of the license at {12}] "
                    "unless required by applicable law or agreed to in writing software distributed under the license is "
-                   "distributed on an as is basis"),
+                   f"distributed on an {_AS_IS} basis without warranties or conditions of any kind either express or implied see the "
+                   "license for the specific language governing permissions and limitations under the license"),
     ("gpl-2.0", "licensed under [the terms of] [version 2 of] the gnu general public license [gpl] version 2 [0]"),
     ("gpl-3.0", "licensed under [the terms of] [version 3 of] the gnu general public license [gpl] version 3 [0]"),
     ("gpl-or-later", "this (program|library|software) is free software you can redistribute it and or modify it under the terms of "
                      "the gnu general public license as published by the free software foundation either version {2} of the "
-                     "license or at your option any later version"),
+                     "license or at your option any later version [this (program|library|software) is distributed in the hope that it "
+                     "will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+                     "particular purpose see the gnu general public license for more details]"),
     ("cc-by-4.0", "licensed under [a|the] [creative commons] (cc by|attribution) 4 0 [international] [license]"),
     ("cc-by-sa-4.0", "licensed under [a|the] [creative commons] (cc by sa|attribution sharealike) 4 0 [international] [license]"),
     ("cc-by-nc-4.0", "licensed under [a|the] [creative commons] (cc by nc|attribution noncommercial) 4 0 [international] [license]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-            "following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", f"{_HOLDER}redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met [1|a] redistributions of source code must retain the above copyright notice this list of "
+            "conditions and the following disclaimer [2|b] redistributions in binary form must reproduce the above copyright notice this "
+            "list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+            "[[3|c] all advertising materials mentioning features or use of this software must display the following "
+            "(acknowledgement|acknowledgment) this product includes software developed by {16}] "
+            "[[3|4|c|d] (neither the (name|names) of {16} nor the names of (its|his|her|their|any) contributors may|"
+            "the (name|names) of {16} may not) be used to endorse or promote products derived from this software without specific prior "
+            f"written permission] this software is provided by {{16}} {_AS_IS} and any express or implied warranties including but not "
+            "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+            "{16} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+            "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+            "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+            "of the use of this software even if advised of the possibility of such damage"),
+    ("isc", f"{_HOLDER}permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies the software is provided "
+            f"{_AS_IS} and {{8}} (disclaims|disclaim) all warranties with regard to this software including all implied warranties of "
+            "merchantability and fitness in no event shall {8} be liable for any special direct indirect or consequential damages or any "
+            "damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+            "tortious action arising out of or in connection with the use or performance of this software"),
     ("spdx", "spdx license identifier {1}"),
 )
 
@@ -187,7 +223,11 @@ def scan_words(words: list[bytes], automata: list[Automaton], phrases) -> tuple:
             if at >= behind and (end := a.match(words, at)) >= 0:
                 spans.append((a.label, at, end))
                 behind = end
-    return base, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+    # of a licence and one that goes on from its wording, the longer holds
+    longest: dict[int, int] = {}
+    for _, at, end in spans:
+        longest[at] = max(end, longest.get(at, 0))
+    return base, sorted((s for s in spans if s[2] == longest[s[1]]), key=lambda s: (s[1], s[2], s[0]))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
@@ -197,7 +237,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of
     characters above ASCII, over the whole text.  ``spans`` are the places the
-    templates accept (leftmost, longest, not overlapping per template);
+    templates accept (leftmost, longest, not overlapping per template; of those
+    that begin at one word the longest);
     ``labels`` are theirs and the base phrases'; ``score`` is the share of the
     text's words that lie in a span or a base phrase.  NULL and empty texts
     have no words, no labels (empty string) and score 0.  Ids may be NULL or
