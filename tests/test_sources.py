@@ -124,6 +124,18 @@ def test_skip_every_file(spark, tmpdir_path):
     assert got == [("1", 'a "b", c\nd'), ("10", "x"), ("2", 'a "b", c\nd'), ("20", "x")]
 
 
+def test_delimited_skip_files_follow_rows(spark, tmpdir_path):
+    """The query's files hold at most 10,000 rows each, however many rows there are."""
+    from visitlens.testing.checks import q_delimited_skip
+    n = 105_000
+    spark.range(n).selectExpr("id AS c_custkey", "concat('name ', id) AS c_name").write.parquet(os.path.join(tmpdir_path, "customer.parquet"))
+    out = q_delimited_skip(spark, tmpdir_path)
+    assert len(out.inputFiles()) == 14
+    got = out.selectExpr("count(*) AS c", "count(DISTINCT id) AS d", "min(id) AS lo", "max(id) AS hi",
+                         "count_if(label = concat('name ', id, ' \"x\", a\nb')) AS same").first()
+    assert tuple(got) == (n, n, 0, n - 1, n)
+
+
 def test_payload_status(spark):
     good = '{"headers":["b","a"],"rows":[["1","2"]]}'
     data = [good, '{"headers":["a","b"],"rows":[["1"]]}', '{"headers":["a"', "", None, '{"rows":[["1"]]}', '{"headers":["a"],"rows":[["1"],["2"]]}']

@@ -36,6 +36,9 @@ SPELLINGS = [
     ("yyyy/MM/dd", ""), ("yyyy-MM-dd", "T10:00:00Z"), ("dd-MMM-yyyy", " 8:15 PM"),
 ]
 
+#: ``q_delimited_skip`` deals keys to seven files, and so many of them to a file at most.
+FILE_KEYS = 10_000
+
 
 def q_date_spellings(spark, d):
     """Every order's date in one of many spellings, parsed."""
@@ -73,11 +76,14 @@ def q_payload_errors(spark, d):
 def q_delimited_skip(spark, d):
     """A3: a folder of files, each with a preamble, quotes and line breaks."""
     path = scratch_path(spark, "delimited_skip")
-    cust = table(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 7).alias("file"))
-    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(' ""x"", a\nb"\n'))
-    files = cust.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("body"))  # seven test files
-    (files.select(F.concat(F.lit('title "of\nversion 3\n\nid,label\n'), F.col("body")).alias("value"), "file")
-     .repartition(7, "file").write.partitionBy("file").text(path))
+    file = F.floor(F.col("c_custkey") / (7 * FILE_KEYS)) * 7 + F.col("c_custkey") % 7
+    cust = table(spark, d, "customer").select("c_custkey", "c_name", file.alias("file"))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(' ""x"", a\nb"'))
+    heads = cust.select("file").distinct().select("file", F.lit(None).cast("bigint").alias("at"),
+                                                  F.lit('title "of\nversion 3\n\nid,label').alias("value"))
+    rows = cust.select("file", F.col("c_custkey").cast("bigint").alias("at"), line.alias("value"))
+    (heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at")  # the preamble first
+     .select("value", "file").write.partitionBy("file").text(path))
     return read_delimited_skip(spark, f"{path}/file=*", 3).select(F.col("id").cast("bigint").alias("id"), "label")
 
 
