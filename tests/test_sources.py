@@ -2,12 +2,14 @@
 
 import json
 import os
+import random
 
-
+import pytest
 from pyspark.sql import functions as F
 
 from visitlens.sources.payload import build_payload, payload_status, payload_to_rows
 from visitlens.sources.readers import malformed_rows, read_delimited_skip, read_followup, read_plan, register, sql
+from visitlens.sources.records import cut_records, read_lines
 from visitlens.sources.sinks import (append_rows, clear_table, init_table, refresh_table, table_info,
                                      write_tables)
 from visitlens.streaming import start_payload_ingest
@@ -124,13 +126,19 @@ def test_skip_every_file(spark, tmpdir_path):
     assert got == [("1", 'a "b", c\nd'), ("10", "x"), ("2", 'a "b", c\nd'), ("20", "x")]
 
 
+def newest_scratch(spark, name):
+    from visitlens.session import checkpoint_dir
+    tables = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    return max((os.path.join(tables, t) for t in os.listdir(tables) if t.startswith(name)), key=os.path.getmtime)
+
+
 def test_delimited_skip_files_follow_rows(spark, tmpdir_path):
     """The query's files hold at most 10,000 rows each, however many rows there are."""
     from visitlens.testing.checks import q_delimited_skip
     n = 105_000
     spark.range(n).selectExpr("id AS c_custkey", "concat('name ', id) AS c_name").write.parquet(os.path.join(tmpdir_path, "customer.parquet"))
     out = q_delimited_skip(spark, tmpdir_path)
-    assert len(out.inputFiles()) == 14
+    assert len({r.file for r in read_lines(spark, f"{newest_scratch(spark, 'delimited_skip')}/file=*").select("file").distinct().collect()}) == 14
     got = out.selectExpr("count(*) AS c", "count(DISTINCT id) AS d", "min(id) AS lo", "max(id) AS hi",
                          "count_if(label = concat('name ', id, ' \"x\", a\nb')) AS same").first()
     assert tuple(got) == (n, n, 0, n - 1, n)
@@ -144,3 +152,65 @@ def test_payload_status(spark):
     assert status == {0: ("ok", 1), 1: ("error", 0), 2: ("error", 0), 3: ("error", 0), 4: ("error", 0), 5: ("ok", 1), 6: ("ok", 2)}
     rows = sorted((r.id, r.a, r.b) for r in payload_to_rows(df, ["a", "b"], keep=["id"]).collect())
     assert rows == [(0, "2", "1"), (5, "1", None), (6, "1", None), (6, "2", None)]
+
+
+def records_of(text, quote='"', sep=","):
+    """Records of a text, character by character; blank ones are left out."""
+    out, record, state = [], "", "start"
+    for i, c in enumerate(text):
+        if c == "\n" and state != "quoted":
+            out, record, state = out + [record], "", "start"
+            continue
+        record += c
+        if state == "quoted":
+            if c == quote:
+                state = "quote"
+        elif state == "quote" and c == quote:
+            state = "quoted"
+        elif c == sep:
+            state = "start"
+        else:
+            state = "quoted" if c == quote and state == "start" else "text"
+    return [r for r in out + [record] if r.strip(" ")]
+
+
+def test_records_do_not_depend_on_the_splits(spark, tmpdir_path):
+    rng = random.Random(4)
+    parts = ["a", "b", ",", ",", '"', '""', "\n", "\n", '5" x', '"q"', '"m\nn"', "long " * 9]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for i, t in enumerate(texts):
+        with open(os.path.join(tmpdir_path, f"f{i}.csv"), "w", newline="") as f:
+            f.write('one "\n\n' + t)
+    conf = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": "0"}
+    for size in ("5", "17", "64", "1m"):
+        for k, v in conf.items():
+            spark.conf.set(k, v or size)
+        try:
+            rows = cut_records(read_lines(spark, tmpdir_path), 2).orderBy("file", "number").collect()
+        finally:
+            for k in conf:
+                spark.conf.unset(k)
+        got = {}
+        for r in rows:
+            got.setdefault(int(r.file.rsplit("f", 1)[1][:-4]), []).append(r.record)
+        assert all(got.get(i, []) == records_of(t) for i, t in enumerate(texts))
+
+
+def test_long_cells_and_stray_quotes(spark, tmpdir_path):
+    big = "y" * 10_000_000
+    with open(os.path.join(tmpdir_path, "a.csv"), "w", newline="") as f:
+        f.write(f'note\nid,label\n1,{big}\n2,5" pipe\n3,"{big}\n{big}"\n' + ",".join(["z" * 9] * 300) + "\n")
+    with open(os.path.join(tmpdir_path, "b.csv"), "w", newline="") as f:
+        f.write('note\nlabel,id,more\ntwo,4,x\n')
+    df = read_delimited_skip(spark, tmpdir_path, 1)
+    assert df.columns == ["id", "label", "more"]
+    got = {r.id: (r.n, r.more, r.start) for r in df.selectExpr("id", "length(label) AS n", "more", "left(label, 7) AS start").collect()}
+    assert got == {"1": (len(big), None, "y" * 7), "2": (7, None, '5" pipe'), "3": (2 * len(big) + 1, None, "y" * 7), "z" * 9: (9, None, "z" * 7), "4": (3, "x", "two")}
+
+
+def test_empty_files(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "empty.csv")
+    open(p, "w").close()
+    assert read_followup(spark, p).count() == 0
+    with pytest.raises(ValueError):
+        read_delimited_skip(spark, p, 0)

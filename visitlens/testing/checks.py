@@ -87,6 +87,29 @@ def q_delimited_skip(spark, d):
     return read_delimited_skip(spark, f"{path}/file=*", 3).select(F.col("id").cast("bigint").alias("id"), "label")
 
 
+def q_delimited_records(spark, d):
+    """A3: cells of 100,000 characters and more without quotes, quotes that belong to
+    the text, line breaks in cells, and files that name their columns in another order."""
+    path = scratch_path(spark, "delimited_records")
+    key = F.col("p_partkey").cast("bigint")
+    file = F.floor(key / (7 * FILE_KEYS)) * 7 + key % 7
+    label = (F.when(key % 500 == 3, F.concat(F.repeat(F.lit("long "), 20_000 + (key % 7).cast("int")), F.col("p_name")))
+             .when(key % 5 == 0, F.concat(F.lit('5" of '), F.col("p_name")))
+             .when(key % 5 == 1, F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""x""\n\n,'), key.cast("string"), F.lit('"')))
+             .when(key % 5 == 2, F.lit('""')).otherwise(F.col("p_name")))
+    parts = table(spark, d, "part").select(key.alias("key"), file.alias("file"), label.alias("label"))
+    swapped = F.col("file") % 2 == 1
+    heads = parts.select("file").distinct().select("file", F.lit(None).cast("bigint").alias("key"),
+                                                   F.when(swapped, F.lit('say "hi\nlabel,size,id')).otherwise(F.lit('title\nid,label')).alias("value"))
+    rows = parts.select("file", "key", F.when(swapped, F.concat("label", F.lit(","), F.length("label"), F.lit(","), "key"))
+                        .otherwise(F.concat("key", F.lit(","), "label")).alias("value"))
+    (heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "key")
+     .select("value", "file").write.partitionBy("file").text(path))
+    got = read_delimited_skip(spark, f"{path}/file=*", 1)
+    return got.select(F.col("id").cast("bigint").alias("id"), F.length("label").cast("bigint").alias("chars"), F.md5("label").alias("label"),
+                      F.col("size").cast("bigint").alias("written"))
+
+
 def q_canonical_map(spark, d):
     """A4: a reviewed table with blank, NULL, NA and repeated variants."""
     k = F.col("p_partkey")
@@ -195,6 +218,15 @@ SELECT event_id, CASE WHEN event_id % 6 IN (2, 3, 4) THEN 'error' ELSE 'ok' END
        CASE WHEN event_id % 6 IN (0, 1, 5) THEN CAST(event_id AS VARCHAR) END AS id,
        CASE WHEN event_id % 6 IN (0, 1, 5) THEN event_type END AS kind FROM events""",
         "delimited_skip": "SELECT c_custkey AS id, c_name || ' \"x\", a' || chr(10) || 'b' AS label FROM customer",
+        "delimited_records": """
+WITH cells AS (
+  SELECT p_partkey AS id, (p_partkey // 70000 * 7 + p_partkey % 7) % 2 = 1 AS swapped,
+         CASE WHEN p_partkey % 500 = 3 THEN repeat('long ', 20000 + p_partkey % 7) || p_name
+              WHEN p_partkey % 5 = 0 THEN '5" of ' || p_name
+              WHEN p_partkey % 5 = 1 THEN p_name || ', "x"' || chr(10) || chr(10) || ',' || p_partkey
+              WHEN p_partkey % 5 = 3 OR p_partkey % 5 = 4 THEN p_name END AS label,
+         CASE WHEN p_partkey % 500 <> 3 AND p_partkey % 5 = 1 THEN 4 WHEN p_partkey % 500 <> 3 AND p_partkey % 5 = 2 THEN 2 ELSE 0 END AS marks FROM part)
+SELECT id, length(label) AS chars, md5(label) AS label, CASE WHEN swapped THEN coalesce(length(label), 0) + marks END AS written FROM cells""",
         "canonical_map": """
 SELECT split_part(p_name, ' ', 1) AS variant, arg_max(p_brand, p_partkey) AS canonical
 FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 GROUP BY 1""",
