@@ -5,7 +5,7 @@ import random
 
 from visitlens.functions.similarity import lcs_length
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
-from visitlens.operators.similarity_join import candidate_pairs, cluster, similar_keys
+from visitlens.operators.similarity_join import candidate_pairs, cluster, segment_pairs, similar_keys
 from visitlens.plans.normalizer import phase1_proposals, phase2_apply
 from visitlens.testing.adapter import plan_raw
 from visitlens.operators.cells import atomic_values
@@ -130,14 +130,23 @@ def test_blocked_equals_brute_force_long_labels(spark):
     assert blocked_pairs(spark, keys) == brute_pairs(keys)
 
 
-def test_share_of_pairs_verified_falls(spark):
-    """The native bounds leave few pairs to the verifier, fewer of more labels."""
+def test_few_pairs_leave_the_join(spark):
+    """Keys meet over whole segments in place; what leaves the join stays near
+    what matches, however many labels there are."""
     rnd = random.Random(5)
     words = sorted({"".join(rnd.choice("abcdefghijklmnoprstuv") for _ in range(rnd.randint(4, 9))) for _ in range(600)})
-    labels = [" ".join(sorted(rnd.sample(words, rnd.randint(2, 4)))) for _ in range(4000)]
-    shares = []
-    for n in (1000, 4000):
+    labels = [" ".join(sorted(rnd.sample(words, rnd.randint(2, 4)))) for _ in range(8000)]
+    for n in (1000, 8000):
         keys = sorted(set(labels[:n]))
-        df = spark.createDataFrame([(k, len(k)) for k in keys], "ts string, n int")
-        shares.append(candidate_pairs(df, T).count() / (len(keys) * (len(keys) - 1) / 2))
-    assert shares[1] <= 0.02
+        df = spark.createDataFrame([(k, len(k)) for k in keys], "ts string, n int").repartition(4)
+        assert segment_pairs(df, T).count() <= 0.005 * len(keys) ** 2 / 2
+        assert candidate_pairs(df, T).count() <= 0.02 * len(keys)
+
+
+def test_blocked_equals_brute_force_other_thresholds(spark):
+    rnd = random.Random(3)
+    keys = sorted({"".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 9))).strip() for _ in range(120)} - {""})
+    df = spark.createDataFrame([(k, len(k)) for k in keys], "ts string, n int")
+    for t in (30, 60, 75, 95):
+        want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if 200 * lcs_length(a, b) >= t * (len(a) + len(b))}
+        assert {(min(r.ts_a, r.ts_b), max(r.ts_a, r.ts_b)) for r in similar_keys(df, t).collect()} == want

@@ -5,11 +5,13 @@ normalize(item)))``; items and cases are re-joined with the *bare*
 separators, positions and empty items kept; a NULL or blank cell is left
 as it is.
 
-The rewrite works on *distinct* cells: distinct cell -> explode to (case,
-item) with positions -> join the map -> re-assemble -> join back on the cell
-value.  It needs no row id, gives the same result at every map size, and a
-cell that a third of all rows hold is rewritten once; in the join back its
-partner is a single row, so a skewed partition can be split.
+The rewrite works on one dictionary of distinct (column, cell), made in one pass
+over the table: distinct items are normalised and joined with the maps, cells put
+together again from the labels of their items, and the table is read once more to be
+joined with it.  It needs no row id, gives the same result at every map size, and a
+cell that a third of all rows hold is rewritten once; in the join back its partner is
+a single row, so a skewed partition can be split.  NULL and blank cells, which have no
+partner, are spread by their row's hash.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from visitlens.constants import NA_TOKENS
 from visitlens.functions.text import normalize_text, split_literal, strip
+from visitlens.session import checkpoint_dir
 
 
 def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str = "canonical_propuesto",
@@ -43,33 +46,62 @@ def _blank_cell(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-def rewritten_cells(cells: DataFrame, mapping: DataFrame, outer: str = "||", inner: str = ",") -> DataFrame:
-    """(cell, rewritten) of the distinct non-blank values of the one-column
-    frame ``cells``."""
-    col = cells.columns[0]
-    distinct = cells.select(F.col(f"`{col}`").alias("cell")).filter(~_blank_cell(F.col("cell"))).distinct()
-    parts = distinct.select("cell", F.posexplode(split_literal(F.col("cell"), outer)).alias("i", "part"))
-    items = (parts.select("cell", "i", F.posexplode(split_literal(F.col("part"), inner)).alias("j", "item"))
-             .select("cell", "i", "j", normalize_text("item").alias("key"), (strip(F.col("item")) == "").alias("blank")))
-    table = mapping.select(F.col("variant").alias("key"), "canonical")
-    label = F.when(F.col("blank"), F.lit("")).otherwise(F.upper(F.coalesce("canonical", "key")))
-
-    def joined(c: str, sep: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda t: t["v"]), sep)
-
-    cases = (items.join(table, "key", "left").select("cell", "i", F.struct("j", label.alias("v")).alias("t"))
-             .groupBy("cell", "i").agg(joined("t", inner).alias("v")))
-    return (cases.select("cell", F.struct("i", "v").alias("t")).groupBy("cell")
-            .agg(joined("t", outer).alias("rewritten")))
+def _splitter(sep: str):
+    return lambda part: split_literal(part, sep)
+
+
+def _relabeller(sep: str):
+    return lambda part: F.array_join(F.transform(split_literal(part, sep), lambda x: F.element_at("labels", x)), sep)
+
+
+def rewritten_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]]) -> DataFrame:
+    """(column, cell, rewritten) of the distinct non-blank cells of the columns in
+    ``mappings``, in the shared checkpoint folder."""
+    cells = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in mappings])).alias("s"))
+             .select("s.*").filter(~_blank_cell(F.col("cell"))).distinct())
+    nested = F.lit(None).cast("array<array<string>>")
+    for c, (outer, inner) in seps.items():
+        nested = F.when(F.col("column") == c, F.transform(split_literal(F.col("cell"), outer), _splitter(inner))).otherwise(nested)
+    cells = cells.select("column", "cell", nested.alias("nested"))
+    items = cells.select("column", "cell", F.explode(F.array_distinct(F.flatten("nested"))).alias("item"))
+    table = None
+    for c, m in mappings.items():
+        own = m.select(F.lit(c).alias("column"), F.col("variant").alias("key"), "canonical")
+        table = own if table is None else table.unionByName(own)
+    spelled = items.select("column", "item").distinct().withColumn("key", normalize_text("item"))
+    label = F.when(strip(F.col("item")) == "", F.lit("")).otherwise(F.upper(F.coalesce("canonical", "key")))
+    labels = spelled.join(table, ["column", "key"], "left").select("column", "item", label.alias("label"))
+    known = (items.join(labels, ["column", "item"]).groupBy("column", "cell")
+             .agg(F.map_from_entries(F.collect_list(F.struct("item", "label"))).alias("labels")))
+    nested = F.lit(None).cast("string")
+    for c, (outer, inner) in seps.items():
+        parts = F.transform(split_literal(F.col("cell"), outer), _relabeller(inner))
+        nested = F.when(F.col("column") == c, F.array_join(parts, outer)).otherwise(nested)
+    checkpoint_dir(df.sparkSession)
+    return known.select("column", "cell", nested.alias("rewritten")).checkpoint()
+
+
+def canonicalize_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]],
+                       out: dict[str, str] | None = None) -> DataFrame:
+    """N4 over several columns: each is rewritten with its map (variant, canonical;
+    unique on variant) and its (outer, inner) separators, into column ``out[c]`` or
+    in place.  NULL and blank cells stay as they are."""
+    if not mappings:
+        return df
+    found = rewritten_cells(df, mappings, {c: seps[c] for c in mappings})
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and t != "variant"]), F.lit(1024))
+    rows = df
+    for n, c in enumerate(mappings):
+        blank = _blank_cell(F.col(f"`{c}`").cast("string"))
+        rows = rows.withColumns({f"__cell{n}": F.when(~blank, F.col(f"`{c}`").cast("string")), f"__spread{n}": F.when(blank, spread).otherwise(-1)})
+    for n, c in enumerate(mappings):
+        own = found.filter(F.col("column") == c).select(F.col("cell").alias("__key"), F.lit(-1).cast("long").alias("__none"), F.col("rewritten").alias("__new"))
+        rows = rows.join(own, (F.col(f"__cell{n}") == F.col("__key")) & (F.col(f"__spread{n}") == F.col("__none")), "left")
+        rows = rows.withColumn((out or {}).get(c, c), F.coalesce("__new", F.col(f"`{c}`"))).drop("__key", "__none", "__new", f"__cell{n}", f"__spread{n}")
+    return rows
 
 
 def canonicalize_cell(df: DataFrame, col: str, mapping: DataFrame, outer: str = "||", inner: str = ",",
                       out: str | None = None) -> DataFrame:
-    """N4 over a DataFrame; ``mapping`` has columns (variant, canonical) unique
-    on variant.  NULL and blank cells bypass the join and stay as they are."""
-    out = out or col
-    cell = F.col(f"`{col}`")
-    found = rewritten_cells(df.select(cell), mapping, outer, inner).select(F.col("cell").alias("__cell"), F.col("rewritten").alias("__new"))
-    filled = df.filter(~_blank_cell(cell)).join(found, cell == F.col("__cell"), "left")
-    return (filled.withColumn(out, F.col("__new")).drop("__cell", "__new")
-            .unionByName(df.filter(_blank_cell(cell)).withColumn(out, cell)))
+    """N4 over one column."""
+    return canonicalize_cells(df, {col: mapping}, {col: (outer, inner)}, {col: out or col})

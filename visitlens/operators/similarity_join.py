@@ -9,18 +9,18 @@ Lossless blocked self-join (never a cross join):
 1. Distinct labels are collapsed to distinct token-sort keys ``ts``; equal
    keys score 100 without any comparison.
 2. Length bound: a match needs ``min(n) * (200 - T) >= T * max(n)``.
-3. q-gram prefix filter (q = 2; Gravano et al. 2001, Xiao et al. 2008):
-   with ``D(n) = floor((100 - T) * 2n / T)`` the indel distance of any match
-   of a key of length ``n`` is at most ``D(n)``; each insert/delete breaks at
-   most q grams, so two matching keys share a gram among the first
-   ``q*D(n) + 1`` grams of each under one global rarest-first order
-   (occurrences numbered, so multisets are respected).  Prefix grams are
-   equi-joined on ``(gram, length band)`` — the probe side is exploded over
-   the few geometric bands its admissible partner lengths overlap, which
-   splits a frequent gram by length instead of letting it form one huge
-   join group, at a replication of 3-4 rows per prefix gram.
-4. Keys with no guarantee (at most ``q*D(n)`` grams: only one-character keys
-   for T = 88) are equi-joined on length with every key of admissible length.
+3. Segment signatures (after Pass-Join, Li et al. 2011, for inserts and deletes).
+   Two keys of lengths ``a <= b`` match within ``D(a, b)`` edits.  Cut the shorter
+   key into ``D + 1`` segments and give every edit to one of them: going from the
+   left, the first segment ``i`` with no more than ``i`` edits up to its end is
+   intact and has exactly ``i`` edits before it and at most ``D - i`` after it.  It
+   is therefore found in the longer key moved by one of ``-i, -i + 2, .., i``
+   characters, and no further than ``D - i`` from where the right end would put it.
+   Segments are equi-joined with those few substrings on (both lengths, number,
+   text): a match is never lost, and a key meets only keys that share a whole
+   segment in place.
+4. Lengths at which the shorter key has fewer characters than segments (not for
+   T = 88) are equi-joined on the lengths alone.
 5. Candidates whose character counts differ more than a match's edits allow
    are dropped by a native bound.
 6. The rest are verified with the exact LCS (Arrow UDF) and the rational
@@ -44,8 +44,6 @@ from visitlens.functions.similarity import lcs, meets_threshold, ratio_from_lcs
 from visitlens.functions.text import token_sort
 from visitlens.session import checkpoint_dir
 
-Q = 2
-
 
 def label_keys(values: DataFrame, col: str = "value") -> DataFrame:
     """(value, ts, n): each distinct label with its token-sort key and length."""
@@ -54,8 +52,11 @@ def label_keys(values: DataFrame, col: str = "value") -> DataFrame:
                   .withColumn("n", F.length("ts")))
 
 
-def _max_edits(n, t: int):
-    return F.floor((F.lit(100 - t) * 2 * n) / F.lit(t)).cast("int")
+def _max_edits(a, b, t: int):
+    """Most inserts and deletes of a match of these lengths; their number is even
+    where the lengths' sum is."""
+    most = F.floor((a + b) * F.lit(100 - t) / F.lit(100)).cast("int")
+    return most - (most + a + b) % 2
 
 
 def _len_hi(n, t: int):
@@ -63,88 +64,83 @@ def _len_hi(n, t: int):
     return F.floor(n * F.lit(200 - t) / F.lit(t)).cast("int")
 
 
-BAG_CELLS = 32
-
-
-def _bag(ts):
-    """Character counts of a key by code point modulo ``BAG_CELLS``: one insert
-    or delete changes one count by one."""
-    codes = F.transform(F.split(ts, ""), lambda ch: F.ascii(ch) % BAG_CELLS)
-    return F.transform(F.sequence(F.lit(0), F.lit(BAG_CELLS - 1)), lambda cell: F.size(F.filter(codes, lambda x: x == cell)))
+def _len_lo(n, t: int):
+    """Shortest admissible partner length of a key of length n."""
+    return F.ceil(n * F.lit(t) / F.lit(200 - t)).cast("int")
 
 
-def _bags_match(bag_a, bag_b, n_a, n_b, t: int):
-    """No more count differences than a match of these lengths has edits."""
-    apart = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-    return apart * 100 <= (n_a + n_b) * (100 - t)
+BAG_CELLS = 16
 
 
-BAND_RATIO = 1.1
+def _bags(ts):
+    """Character counts of a key by code point modulo 32, at most 15 each, in two
+    longs of 16 cells: one insert or delete changes one count by one at most."""
+    codes = F.transform(F.split(ts, ""), lambda ch: F.ascii(ch) % (2 * BAG_CELLS))
 
+    def packed(first: int):
+        cells = F.transform(F.sequence(F.lit(first), F.lit(first + BAG_CELLS - 1)),
+                            lambda cell: F.least(F.size(F.filter(codes, lambda x: x == cell)), F.lit(15)).cast("long"))
+        return F.aggregate(cells, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 4).bitwiseOR(x))
 
-def _band(n):
-    """Geometric length band (~10 % wide); monotone in n."""
-    return F.floor(F.log(BAND_RATIO, n.cast("double"))).cast("int")
+    return packed(0), packed(BAG_CELLS)
 
 
-def _len_lo(n, t: int):
-    """Shortest admissible partner length of a key of length n."""
-    return F.ceil(n * F.lit(t) / F.lit(200 - t)).cast("int")
+def _bags_match(bags_a, bags_b, n_a, n_b, t: int):
+    """No more count differences than a match of these lengths has edits."""
+    apart = F.lit(0).cast("long")
+    for x, y in zip(bags_a, bags_b):
+        for cell in range(BAG_CELLS):
+            apart += F.abs(F.shiftrightunsigned(x, 4 * cell).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * cell).bitwiseAND(F.lit(15)))
+    return apart * 100 <= (n_a + n_b) * (100 - t)
 
 
-def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD, q: int = Q) -> DataFrame:
+def _segment(a, d, i):
+    """(start, length) of segment ``i`` of a key of length ``a`` cut into ``d + 1``."""
+    start = F.floor(i * a / (d + 1)).cast("int")
+    return start, F.floor((i + 1) * a / (d + 1)).cast("int") - start
+
+
+def segment_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
+    """Key pairs (ts_a, n_a, ts_b, n_b, and bags) that share a segment in place, once
+    per segment, shorter key first (ties by key)."""
+    bag_lo, bag_hi = _bags(F.col("ts"))
+    k = keys.select("ts", "n").filter(F.col("n") > 0).distinct().select("ts", "n", bag_lo.alias("x"), bag_hi.alias("y"))
+    edits = _max_edits(F.col("n_a"), F.col("n_b"), threshold)
+    start, length = _segment(F.col("n_a"), F.col("d"), F.col("i"))
+
+    def numbered(side: DataFrame) -> DataFrame:
+        cut = side.withColumn("d", edits)
+        numbers = F.when(F.col("d") < F.col("n_a"), F.sequence(F.lit(0), F.col("d"))).otherwise(F.array(F.lit(-1)))
+        return cut.withColumn("i", F.explode(numbers)).withColumns({"start": start, "length": length})
+
+    # without enough characters for the segments (number -1) the lengths alone are the key
+    own = numbered(k.select(F.col("ts").alias("ts_a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"),
+                            F.explode(F.sequence(F.col("n"), _len_hi(F.col("n"), threshold))).alias("n_b")))
+    own = own.select("ts_a", "n_a", "x_a", "y_a", F.col("n_b").alias("to"), F.col("i").alias("at"),
+                     F.when(F.col("i") < 0, F.lit("")).otherwise(F.substring("ts_a", F.col("start") + 1, F.col("length"))).alias("segment"))
+    other = numbered(k.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"),
+                              F.explode(F.sequence(_len_lo(F.col("n"), threshold), F.col("n"))).alias("n_a")))
+    moves = F.when(F.col("i") < 0, F.array(F.lit(0))).otherwise(F.sequence(-F.col("i"), F.col("i"), F.lit(2)))
+    moved = (F.abs(F.col("n_b") - F.col("n_a") - F.col("move")) <= F.col("d") - F.col("i"))
+    inside = (F.col("start") + F.col("move") >= 0) & (F.col("start") + F.col("move") + F.col("length") <= F.col("n_b"))
+    other = (other.withColumn("move", F.explode(moves)).filter((F.col("i") < 0) | (moved & inside))
+             .select("ts_b", "n_b", "x_b", "y_b", F.col("n_a").alias("from"), "i",
+                     F.when(F.col("i") < 0, F.lit("")).otherwise(F.substring("ts_b", F.col("start") + F.col("move") + 1, F.col("length"))).alias("text")))
+    return own.join(other, (F.col("n_a") == F.col("from")) & (F.col("to") == F.col("n_b")) & (F.col("at") == F.col("i"))
+                    & (F.col("segment") == F.col("text")) & ((F.col("n_a") < F.col("n_b")) | (F.col("ts_a") < F.col("ts_b"))))
+
+
+def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
     """Unordered candidate key pairs (ts_a, n_a, ts_b, n_b), shorter key first
     (ties by key).  Contains every pair that can match."""
-    k = keys.select("ts", "n").filter(F.col("n") > 0).distinct().withColumn("bag", _bag(F.col("ts")))
-    grams = F.transform(F.sequence(F.lit(0), F.col("n") - q), lambda i: F.substring(F.col("ts"), i + 1, q))
-    grams = F.when(F.col("n") >= q, grams).otherwise(F.array().cast("array<string>"))
-    k = k.withColumn("grams", grams)
-    numbered = F.transform(
-        F.col("grams"),
-        lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(F.col("grams"), 1, i), lambda x: x == g)).cast("string")))
-    k = k.withColumn("grams", numbered) \
-         .withColumn("guaranteed", F.size("grams") > F.lit(q) * _max_edits(F.col("n"), threshold))
-
-    # global gram frequencies -> rarest-first prefix of each key
-    kg = k.filter("guaranteed").select("ts", "n", "bag", F.explode("grams").alias("g"))
-    freq = kg.groupBy("g").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("ts").orderBy("freq", "g")
-    prefix = (kg.join(freq, "g")
-                .withColumn("r", F.row_number().over(w))
-                .filter(F.col("r") <= F.lit(q) * _max_edits(F.col("n"), threshold) + 1)
-                .select("ts", "n", "bag", "g"))
-    # equi-join on (gram, length band): the probe side lists the bands that
-    # overlap its admissible partner lengths [n, hi(n)] (3-4 geometric bands),
-    # the exact length bound is re-checked after the join
-    probe = prefix.select(F.col("ts").alias("ts_a"), F.col("n").alias("n_a"), F.col("bag").alias("bag_a"), "g",
-                          F.explode(F.sequence(_band(F.col("n")), _band(_len_hi(F.col("n"), threshold))))
-                           .alias("band"))
-    build = prefix.select(F.col("ts").alias("ts_b"), F.col("n").alias("n_m"), F.col("bag").alias("bag_b"), F.col("g").alias("g_b"),
-                          _band(F.col("n")).alias("band_b"))
-    by_gram = (probe.join(build, (probe.g == build.g_b) & (probe.band == build.band_b))
-                    .filter((F.col("n_m") >= F.col("n_a")) & (F.col("n_m") <= _len_hi(F.col("n_a"), threshold)))
-                    .filter((F.col("n_a") < F.col("n_m")) | (F.col("ts_a") < F.col("ts_b")))
-                    .filter(_bags_match(F.col("bag_a"), F.col("bag_b"), F.col("n_a"), F.col("n_m"), threshold))
-                    .select("ts_a", "n_a", "ts_b", F.col("n_m").alias("n_b")))
-
-    # keys without a shared-gram guarantee: compare with every key of admissible length
-    short = k.filter(~F.col("guaranteed")).select("ts", "n")
-    probe_s = short.select(F.col("ts").alias("ts_s"), F.col("n").alias("n_s"),
-                           F.explode(F.sequence(_len_lo(F.col("n"), threshold),
-                                                _len_hi(F.col("n"), threshold))).alias("m"))
-    allk = k.select(F.col("ts").alias("ts_o"), F.col("n").alias("n_o"))
-    sp = (probe_s.join(allk, probe_s.m == allk.n_o).filter(F.col("ts_s") != F.col("ts_o")))
-    a_first = (F.col("n_s") < F.col("n_o")) | ((F.col("n_s") == F.col("n_o")) & (F.col("ts_s") < F.col("ts_o")))
-    by_len = sp.select(F.when(a_first, F.col("ts_s")).otherwise(F.col("ts_o")).alias("ts_a"),
-                       F.when(a_first, F.col("n_s")).otherwise(F.col("n_o")).alias("n_a"),
-                       F.when(a_first, F.col("ts_o")).otherwise(F.col("ts_s")).alias("ts_b"),
-                       F.when(a_first, F.col("n_o")).otherwise(F.col("n_s")).alias("n_b"))
-    return by_gram.unionByName(by_len).distinct()
-
-
-def similar_keys(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD, q: int = Q) -> DataFrame:
+    # becomes part of the join's condition: only close pairs leave the join
+    near = _bags_match((F.col("x_a"), F.col("y_a")), (F.col("x_b"), F.col("y_b")), F.col("n_a"), F.col("n_b"), threshold)
+    return segment_pairs(keys, threshold).filter(near).select("ts_a", "n_a", "ts_b", "n_b").distinct()
+
+
+def similar_keys(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
     """E3 at key level: verified matching key pairs (ts_a, n_a, ts_b, n_b, lcs, score)."""
-    cand = candidate_pairs(keys, threshold, q)
+    cand = candidate_pairs(keys, threshold)
     ver = cand.withColumn("lcs", lcs("ts_a", "ts_b"))
     ok = ver.filter(meets_threshold(F.col("lcs"), F.col("n_a"), F.col("n_b"), threshold))
     return ok.withColumn("score", ratio_from_lcs(F.col("lcs"), F.col("n_a"), F.col("n_b")))

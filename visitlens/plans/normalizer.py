@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from visitlens.constants import SIMILARITY_THRESHOLD
 from visitlens.operators.aggregates import change_stats
-from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
+from visitlens.operators.canonicalize import canonicalize_cells, load_canonical_map
 from visitlens.operators.cells import atomic_values_by_column
 from visitlens.operators.similarity_join import cluster, propose
 from visitlens.session import checkpoint_dir
@@ -92,15 +92,10 @@ def phase2_apply(raw: DataFrame, reviewed: dict[str, DataFrame],
                  seps: dict[str, tuple[str, str]] | None = None, keep_original: bool = False) -> DataFrame:
     """Rewrite each column with its reviewed map (A4 + N4).  With
     ``keep_original`` the input cells stay beside the new ones as ``<col>__before``."""
-    out = raw
-    for col, (outer, inner) in (seps or PHASE2_SEPS).items():
-        if col not in raw.columns or col not in reviewed:
-            continue
-        m = load_canonical_map(reviewed[col])
-        if keep_original:
-            out = out.withColumn(f"{col}__before", F.col(col))
-        out = canonicalize_cell(out, col, m, outer, inner)
-    return out
+    seps = {c: s for c, s in (seps or PHASE2_SEPS).items() if c in raw.columns and c in reviewed}
+    before = {f"{c}__before": F.col(c) for c in seps} if keep_original else {}
+    maps = {c: load_canonical_map(reviewed[c]) for c in seps}
+    return canonicalize_cells(raw.withColumns(before) if before else raw, maps, seps)
 
 
 def phase2_changes(applied: DataFrame, columns: list[str]) -> DataFrame:
