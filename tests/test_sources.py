@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visitlens.sources.payload import build_payload, payload_status, payload_to_rows
 from visitlens.sources.readers import malformed_rows, read_delimited_skip, read_followup, read_plan, register, sql
 from visitlens.sources.records import cut_records, read_lines
-from visitlens.sources.sinks import (append_rows, clear_table, init_table, refresh_table, table_info,
+from visitlens.sources.sinks import (append_rows, clear_table, init_table, read_table, refresh_table, table_info,
                                      write_tables)
 from visitlens.streaming import start_payload_ingest
 
@@ -214,3 +214,59 @@ def test_empty_files(spark, tmpdir_path):
     assert read_followup(spark, p).count() == 0
     with pytest.raises(ValueError):
         read_delimited_skip(spark, p, 0)
+
+
+def test_failed_refresh_leaves_the_table(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "t")
+    refresh_table(spark.range(5), path)
+    failing = spark.range(1000).select(F.when(F.col("id") == 999, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        refresh_table(failing, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(5))
+    assert refresh_table(spark.read.parquet(path).where("id > 1"), path) == 3  # from itself
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert os.listdir(tmpdir_path) == ["t"]
+
+
+def test_appends_keep_the_order(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "t")
+    init_table(spark, ["a", "b"], path, numbered=True)
+    assert table_info(spark.read.parquet(path)).first().updated == "sin datos"
+    names = [f"n{i}" for i in range(40)]
+    for lot in (names[:25], [], names[25:]):
+        rows = spark.createDataFrame([(x, i) for i, x in enumerate(lot)], "x string, y int").repartition(3).orderBy("y")
+        assert append_rows(rows, path) == len(lot)
+    assert [r.a for r in read_table(spark, path).collect()] == names
+    assert [r._row for r in spark.read.parquet(path).orderBy("_row").collect()] == list(range(1, 41))
+    assert tuple(table_info(spark.read.parquet(path)).first()) == (40, "n0")
+    assert clear_table(spark, path) == 0 and append_rows(spark.createDataFrame([("z", 1)], "x string, y int"), path) == 1
+    with pytest.raises(ValueError):
+        table_info(spark.range(3))
+
+
+def test_wide_rows_without_headers_are_reported(spark):
+    df = spark.createDataFrame([(1, '{"rows":[["a"],["b","c","d","e"]]}'), (2, '{"rows":[["a"],["b","c"]]}')], "id int, payload string")
+    assert [(r.status, r.error) for r in payload_status(df, columns=["x", "y"]).collect()] == [("error", "row wider than the table"), ("ok", None)]
+    assert [(r.x, r.y) for r in payload_to_rows(df, ["x", "y"]).collect()] == [("a", None), ("b", "c")]
+
+
+def test_stream_keeps_rejected_payloads(spark, tmpdir_path):
+    src, table = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "table")
+    os.makedirs(src)
+    good, bad = '{"headers":["k"],"rows":[["1"],["2"]]}', '{"headers":["k"]'
+
+    def put(name, payloads):
+        with open(os.path.join(src, name), "w") as f:
+            f.writelines(json.dumps({"payload": p}) + "\n" for p in payloads)
+
+    def run(state):
+        start_payload_ingest(spark, src, table, ["k"], os.path.join(tmpdir_path, state)).awaitTermination(120)
+        log = spark.read.parquet(f"{table}_log")
+        return spark.read.parquet(table).count(), sorted((r.status, r.payload) for r in log.collect())
+
+    put("a.json", [good, bad])
+    put("b.json", [bad])
+    assert run("s1") == (2, [("error", bad), ("error", bad), ("ok", None)])
+    put("c.json", [good])
+    assert run("s2") == (4, [("error", bad), ("error", bad), ("ok", None), ("ok", None)])  # s1 was lost
+    assert run("s2") == run("s1") == (4, [("error", bad), ("error", bad), ("ok", None), ("ok", None)])

@@ -63,3 +63,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-path of the shared checkpoint folder for a written table."""
     import uuid
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return bool(fs.exists(at))
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished folder ``new`` in the place of ``path``.  What was there is
+    moved aside first and deleted last; if the new folder cannot be moved it comes back."""
+    import uuid
+    at, fs = _path(spark, path)
+    fresh, _ = _path(spark, new)
+    aside, _ = _path(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}")
+    had = fs.exists(at)
+    if had and not fs.rename(at, aside):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(fresh, at):
+        if had:
+            fs.rename(aside, at)
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        fs.delete(aside, True)
+    spark.catalog.refreshByPath(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)

@@ -12,20 +12,24 @@ def parse_payload(col: str = "payload"):
     return F.from_json(F.col(col), PAYLOAD_SCHEMA)
 
 
-def _problem(p: "F.Column", payload: "F.Column") -> "F.Column":
-    """Why a payload cannot be used, NULL if it can."""
+def _problem(p: "F.Column", payload: "F.Column", columns: list[str] | None = None) -> "F.Column":
+    """Why a payload cannot be used, NULL if it can.  Without headers of its own, no
+    row may have more cells than there are ``columns``."""
     width = F.size(p["headers"])
+    most = F.lit(len(columns)) if columns is not None else F.lit(2**31 - 1)
     return (F.when(payload.isNull() | (F.trim(payload) == ""), F.lit("empty payload"))
             .when(p.isNull() | (p["headers"].isNull() & p["rows"].isNull()), F.lit("malformed payload"))
             .when(p["headers"].isNotNull() & F.exists(F.coalesce(p["rows"], F.array()), lambda r: r.isNull() | (F.size(r) != width)),
-                  F.lit("row width differs from header")))
+                  F.lit("row width differs from header"))
+            .when(p["headers"].isNull() & F.exists(F.coalesce(p["rows"], F.array()), lambda r: r.isNull() | (F.size(r) > most)),
+                  F.lit("row wider than the table")))
 
 
-def payload_status(df: DataFrame, col: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def payload_status(df: DataFrame, col: str = "payload", keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """A10: one row per payload: ``status`` (ok / error), ``error`` and the
-    number of ``rows`` that ``payload_to_rows`` gives for it."""
+    number of ``rows`` that ``payload_to_rows`` gives for it (under ``columns``)."""
     parsed = df.select(*(keep or []), F.col(col).alias("__raw"), parse_payload(col).alias("__p"))
-    problem = _problem(F.col("__p"), F.col("__raw"))
+    problem = _problem(F.col("__p"), F.col("__raw"), columns)
     return parsed.select(*(keep or []), F.when(problem.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
                          problem.alias("error"),
                          F.when(problem.isNull(), F.coalesce(F.size("__p.rows"), F.lit(0))).otherwise(F.lit(0)).alias("rows"))
@@ -39,7 +43,7 @@ def payload_to_rows(df: DataFrame, columns: list[str], col: str = "payload", kee
     ``payload_status``, so input payloads = usable + reported."""
     keep = keep or []
     parsed = df.select(*keep, F.col(col).alias("__raw"), parse_payload(col).alias("__p"))
-    usable = parsed.filter(_problem(F.col("__p"), F.col("__raw")).isNull())
+    usable = parsed.filter(_problem(F.col("__p"), F.col("__raw"), columns).isNull())
     rows = usable.select(*keep, F.col("__p.headers").alias("__h"),
                          F.posexplode(F.coalesce(F.col("__p.rows"), F.array().cast("array<array<string>>"))).alias("row_no", "__r"))
 

@@ -21,7 +21,8 @@ from visitlens.plans import reports as R
 from visitlens.session import scratch_path
 from visitlens.sources.payload import payload_status, payload_to_rows
 from visitlens.sources.readers import read_delimited_skip
-from visitlens.sources.sinks import append_rows, clear_table, refresh_table, write_tables
+from visitlens.sources.sinks import append_rows, clear_table, refresh_table, table_info, write_tables
+from visitlens.streaming import start_payload_ingest
 from visitlens.testing import oracle_queries as O
 from visitlens.testing.adapter import plan_raw, table
 from visitlens.testing.oracle_sql import with_base
@@ -56,8 +57,7 @@ def q_unparsed_dates(spark, d):
     return parse_date_report(raw, ["planned"])
 
 
-def q_payload_errors(spark, d):
-    """A10: good, malformed, ragged and re-ordered payloads, one per event."""
+def _mixed_payloads(spark, d):
     k, e = F.col("event_id") % 6, F.col("event_id").cast("string")
     q = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     payload = (F.when(k == 0, q('{"headers":["id","kind"],"rows":[["', e, '","', F.col("event_type"), '"]]}'))
@@ -66,13 +66,50 @@ def q_payload_errors(spark, d):
                 .when(k == 3, q('{"headers":["id","kind"],"rows":[["', e, '","x","y"]]}'))
                 .when(k == 4, q('{"headers":["id"', e))
                 .otherwise(q('{"rows":[["', e, '","', F.col("event_type"), '"]]}')))
-    events = table(spark, d, "events").select("event_id", payload.alias("payload"))
+    return table(spark, d, "events").select("event_id", payload.alias("payload"))
+
+
+def q_payload_errors(spark, d):
+    """A10: good, malformed, ragged and re-ordered payloads, one per event."""
+    events = _mixed_payloads(spark, d)
     status = payload_status(events, keep=["event_id"])
     rows = payload_to_rows(events, ["id", "kind"], keep=["event_id"]).withColumnRenamed("event_id", "row_event")
     return (status.join(rows, F.col("event_id") == F.col("row_event"), "left")
             .select("event_id", "status", "error", F.col("rows").cast("bigint").alias("n_rows"), "id", "kind"))
 
 
+def q_payload_stream(spark, d):
+    """A10 as a stream, run, then run again without its checkpoint: every payload is
+    in the log once, and the table has the rows of the good ones once."""
+    base = scratch_path(spark, "payload_stream")
+    _mixed_payloads(spark, d).select("payload").repartition(6).write.json(f"{base}/in")
+    for run in (1, 2):
+        start_payload_ingest(spark, f"{base}/in", f"{base}/table", ["id", "kind"], f"{base}/state{run}", max_files_per_trigger=4).awaitTermination()
+    log = spark.read.parquet(f"{base}/table_log").groupBy("status", "error").agg(F.count("*").alias("payloads"), F.sum("rows").alias("n_rows"))
+    rows = spark.read.parquet(f"{base}/table").agg(F.lit("table").alias("status"), F.lit(None).cast("string").alias("error"),
+                                                   F.count_distinct("id").alias("payloads"), F.count("*").alias("n_rows"))
+    return log.unionByName(rows)
+
+
+def q_numbered_rows(spark, d):
+    """A numbered table refreshed, appended to twice and refreshed from itself."""
+    path = scratch_path(spark, "numbered")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    lines = [li.filter(F.col("l_linenumber") == n).orderBy("l_orderkey") for n in (1, 2, 3)]
+    refresh_table(lines[0], path, numbered=True)
+    for batch in lines[1:]:
+        append_rows(batch.select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y")), path)
+    refresh_table(spark.read.parquet(path).withColumn("l_linenumber", F.col("l_linenumber") * 10), path)
+    return spark.read.parquet(path).select(F.col("_row").alias("nth"), "l_orderkey", F.col("l_linenumber").cast("int").alias("line"))
+
+
+def q_numbered_info(spark, d):
+    """Rows and first cell of a numbered table, without a column that orders it."""
+    path = scratch_path(spark, "numbered_info")
+    refresh_table(table(spark, d, "customer").orderBy(F.desc("c_custkey")).select("c_name", "c_custkey"), path, numbered=True)
+    return table_info(spark.read.parquet(path))
+
+
 def q_delimited_skip(spark, d):
     """A3: a folder of files, each with a preamble, quotes and line breaks."""
     path = scratch_path(spark, "delimited_skip")
@@ -217,6 +254,15 @@ SELECT event_id, CASE WHEN event_id % 6 IN (2, 3, 4) THEN 'error' ELSE 'ok' END
        CASE WHEN event_id % 6 IN (2, 3, 4) THEN 0 ELSE 1 END AS n_rows,
        CASE WHEN event_id % 6 IN (0, 1, 5) THEN CAST(event_id AS VARCHAR) END AS id,
        CASE WHEN event_id % 6 IN (0, 1, 5) THEN event_type END AS kind FROM events""",
+        "payload_stream": """
+SELECT CASE WHEN event_id % 6 IN (2, 3, 4) THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN event_id % 6 IN (2, 3) THEN 'row width differs from header' WHEN event_id % 6 = 4 THEN 'malformed payload' END AS error,
+       count(*) AS payloads, count(*) FILTER (WHERE event_id % 6 IN (0, 1, 5)) AS n_rows FROM events GROUP BY 1, 2
+UNION ALL SELECT 'table', NULL, count(*), count(*) FROM events WHERE event_id % 6 IN (0, 1, 5)""",
+        "numbered_rows": """
+SELECT row_number() OVER (ORDER BY l_linenumber, l_orderkey) AS nth, l_orderkey, CAST(l_linenumber * 10 AS INTEGER) AS line
+FROM lineitem WHERE l_linenumber <= 3""",
+        "numbered_info": "SELECT count(*) AS rows, max_by(c_name, c_custkey) AS updated FROM customer",
         "delimited_skip": "SELECT c_custkey AS id, c_name || ' \"x\", a' || chr(10) || 'b' AS label FROM customer",
         "delimited_records": """
 WITH cells AS (
