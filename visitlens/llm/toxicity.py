@@ -183,14 +183,16 @@ def held_out(doc_id: Column) -> Column:
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
     """(text, toxic share) of the labelled rows to learn from.  Ids that have both
-    labels are left out, NULL ids and labels too; equal texts are one row."""
+    labels are left out, NULL ids and labels too; an id has one text (the smallest of
+    its rows'), and equal texts are one row."""
     chosen = (labels.select(F.col(id_col).cast("long").alias("s_id"), F.col(label_col).cast("int").alias("s_label"))
               .where(F.col("s_id").isNotNull() & F.col("s_label").isin(0, 1) & ~held_out(F.col("s_id")))
               .groupBy("s_id").agg(F.min("s_label").alias("s_label"), F.max("s_label").alias("s_max"))
               .where(F.col("s_label") == F.col("s_max")).orderBy(F.xxhash64("s_id"), "s_id").limit(max_rows))
     return (docs.select(F.col(id_col).cast("long").alias("s_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
             .join(F.broadcast(chosen.select("s_id", "s_label")), "s_id")
-            .groupBy("text").agg(F.avg("s_label").alias("toxic")).orderBy(F.xxhash64("text"), "text").limit(max_rows))
+            .groupBy("s_id").agg(F.min("text").alias("text"), F.first("s_label").alias("s_label"))
+            .groupBy("text").agg(F.avg("s_label").alias("toxic")))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
