@@ -206,3 +206,10 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # English month names, as free date spellings use them.
 MONTH_NAMES_EN = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
                   "November", "December"]
+
+#: Display labels of the visit detail.  Fixed values.
+DETAIL_LABELS = {
+    "date_text": "Fecha", "region": "Region", "specialist": "Ergónomo", "employer": "Nombre Empleador",
+    "center_name": "Centro de Trabajo", "commune": "Comuna", "address": "Dirección", "men": "N° Hombres",
+    "women": "N° Mujeres", "total_workers": "Total Trabajadores",
+}

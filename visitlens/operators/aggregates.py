@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from visitlens.constants import OVERDUE_STATUS, PILLAR_HEADERS
 from visitlens.functions.dates import format_date, month_name_es
-from visitlens.functions.text import non_blank_tokens
 from visitlens.constants import OUTER_SEP
 from visitlens.functions.values import n_pct_label, pct, short_label_text
 from visitlens.operators.cells import ranked
 from visitlens.operators.lookup import attach_scalars
+from visitlens.operators.measures import distinct_of, measure, rows_where, scalars
 
 PILLARS = ["pillar_1", "pillar_2", "pillar_3", "pillar_4"]
 PILLAR_LABELS = [short_label_text(h) for h in PILLAR_HEADERS]
@@ -100,22 +100,26 @@ def specialist_vs_team(fu_filtered: DataFrame, fu_all: DataFrame) -> DataFrame:
                       "efficiency")
 
 
-def specialist_vs_team_selection(fu: DataFrame, selection: dict) -> DataFrame:
-    """P6 in one scan of the follow-up: per specialist, the indicators of the
-    rows passing ``selection`` and the % goal over *all* rows (for the team
-    mean); the mean is a global aggregate of that one small result."""
+def specialist_counts(fu: DataFrame, selection: dict) -> DataFrame:
+    """One scan of the follow-up: per specialist (NULL dropped), rows and goals of all
+    rows, and rows, goals and pillars of those that pass ``selection``."""
     from visitlens.operators.filters import _match
-    conds = [c for c in (_match(fu, k, v) for k, v in selection.items()) if c is not None]
     sel = F.lit(True)
-    for c in conds:
-        sel = sel & c
+    for c in (_match(fu, k, v) for k, v in selection.items()):
+        sel = sel if c is None else sel & c
     pillars = [p for p in PILLARS if p in fu.columns]
     goal = F.coalesce(F.col("goal_met"), F.lit(False)) if "goal_met" in fu.columns else F.lit(False)
-    agg = (fu.filter(F.col("specialist").isNotNull()).groupBy("specialist")
-             .agg(F.count(F.lit(1)).alias("centers_all"), F.count_if(goal).alias("goals_all"),
-                  F.count_if(sel).alias("centers"), F.count_if(sel & any_flag(pillars)).alias("with_any"),
-                  F.count_if(sel & goal).alias("goals")))
-    agg = agg.withColumn("goal10_all", tenths(F.col("goals_all"), F.col("centers_all")))
+    return (fu.filter(F.col("specialist").isNotNull()).groupBy("specialist")
+            .agg(F.count(F.lit(1)).alias("centers_all"), F.count_if(goal).alias("goals_all"),
+                 F.count_if(sel).alias("centers"), F.count_if(sel & any_flag(pillars)).alias("with_any"),
+                 F.count_if(sel & goal).alias("goals"),
+                 *[F.count_if(sel & F.coalesce(F.col(p), F.lit(False))).alias(p) for p in pillars]))
+
+
+def vs_team_of(counts: DataFrame) -> DataFrame:
+    """P6 from ``specialist_counts``; the team mean is a global aggregate of that one
+    small result."""
+    agg = counts.withColumn("goal10_all", tenths(F.col("goals_all"), F.col("centers_all")))
     mean = agg.agg(F.coalesce(F.try_divide(F.sum("goal10_all"), F.count(F.lit(1)).cast("double")),
                               F.lit(0.0)).alias("mean_goal10"))
     out = attach_scalars(agg.filter(F.col("centers") > 0), mean)
@@ -127,19 +131,37 @@ def specialist_vs_team_selection(fu: DataFrame, selection: dict) -> DataFrame:
         pct(F.col("goals"), F.col("with_any")).alias("efficiency"))
 
 
+def specialist_vs_team_selection(fu: DataFrame, selection: dict) -> DataFrame:
+    """P6 in one scan of the follow-up: the indicators of the rows passing
+    ``selection`` and the difference to the mean over all rows."""
+    return vs_team_of(specialist_counts(fu, selection))
+
+
+def team_mean_of(counts: DataFrame) -> DataFrame:
+    """F13 over all rows, from ``specialist_counts``."""
+    return team_mean(counts.select(tenths(F.col("goals_all"), F.col("centers_all")).alias("goal10")))
+
+
+def _pillar_counts(fu: DataFrame) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("centers")]
+    aggs += [F.count_if(F.coalesce(F.col(p), F.lit(False))).alias(p) for p in PILLARS if p in fu.columns]
+    return fu.filter(F.col("specialist").isNotNull()).groupBy("specialist").agg(*aggs)
+
+
 def pillar_progress(fu: DataFrame) -> DataFrame:
     """long table specialist x pillar -> count and % of the specialist's
-    centres.  One aggregation, then ``unpivot`` of the four pillar counts."""
-    pillars = [p for p in PILLARS if p in fu.columns]
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(F.coalesce(F.col(p), F.lit(False))).alias(p) for p in pillars]
-    wide = fu.filter(F.col("specialist").isNotNull()).groupBy("specialist").agg(*aggs)
+    centres.  One aggregation, then the four pillar counts as rows."""
+    return pillar_progress_of(_pillar_counts(fu))
+
+
+def pillar_progress_of(counts: DataFrame) -> DataFrame:
+    """F14 from (specialist, centers, pillars)."""
     labels = dict(zip(PILLARS, PILLAR_LABELS))
     stacked = F.explode(F.array(*[F.struct(F.lit(labels[p]).alias("pillar"), F.col(p).alias("n"))
-                                  for p in pillars]))
-    return (wide.select("specialist", "total", stacked.alias("s"))
-                .select("specialist", F.col("s.pillar").alias("pillar"), F.col("s.n").alias("n"),
-                        pct(F.col("s.n"), F.col("total")).alias("pct")))
+                                  for p in PILLARS if p in counts.columns]))
+    return (counts.select("specialist", "centers", stacked.alias("s"))
+                  .select("specialist", F.col("s.pillar").alias("pillar"), F.col("s.n").alias("n"),
+                          pct(F.col("s.n"), F.col("centers")).alias("pct")))
 
 
 def pivot_pillars(long: DataFrame) -> DataFrame:
@@ -152,13 +174,14 @@ def pivot_pillars(long: DataFrame) -> DataFrame:
 
 def pillar_wide(fu: DataFrame) -> DataFrame:
     """F14+F15 in one aggregation (no pivot shuffle): the same wide table."""
-    pillars = [p for p in PILLARS if p in fu.columns]
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(F.coalesce(F.col(p), F.lit(False))).alias(p) for p in pillars]
-    wide = fu.filter(F.col("specialist").isNotNull()).groupBy("specialist").agg(*aggs)
+    return pillar_wide_of(_pillar_counts(fu))
+
+
+def pillar_wide_of(counts: DataFrame) -> DataFrame:
+    """F14+F15 from (specialist, centers, pillars)."""
     labels = dict(zip(PILLARS, PILLAR_LABELS))
-    return wide.select("specialist", *[n_pct_label(F.col(p), pct(F.col(p), F.col("total"))).alias(labels[p])
-                                       for p in pillars])
+    return counts.select("specialist", *[n_pct_label(F.col(p), pct(F.col(p), F.col("centers"))).alias(labels[p])
+                                         for p in PILLARS if p in counts.columns])
 
 
 def crosstab_flag(fu: DataFrame, row: str = "region", flag: str = "goal_met") -> DataFrame:
@@ -168,22 +191,22 @@ def crosstab_flag(fu: DataFrame, row: str = "region", flag: str = "goal_met") ->
               .agg(F.count_if(~f).alias("n_false"), F.count_if(f).alias("n_true")))
 
 
-def _scheduled_count(plan: DataFrame, month: int | None) -> DataFrame:
-    """Scheduled rows, optionally of one month: nothing but the plan rows."""
+def _is_scheduled(month: int | None):
+    """Plan rows with a planned date, optionally in one month."""
     sched = F.col("planned_date").isNotNull()
-    if month is not None:
-        sched = sched & (F.col("month") == month)
-    return plan.agg(F.count_if(sched).alias("scheduled"))
+    return sched if month is None else sched & (F.col("month") == month)
 
 
-def _case_count(plan: DataFrame) -> DataFrame:
-    """Distinct cases, combined map-side (one distinct: no expanded rows)."""
-    return (plan.select(F.explode(non_blank_tokens("case_ids", [OUTER_SEP])).alias("case_id"))
-            .agg(F.count_distinct("case_id").alias("n_cases")))
+def plan_entries(month: int | None = None) -> list:
+    """What F17 and F18 count in the plan."""
+    return [rows_where("scheduled", _is_scheduled(month)), distinct_of("n_cases", "case_ids", seps=[OUTER_SEP]),
+            distinct_of("employers_with_cases", "employer", condition=F.col("has_case"))]
 
 
-def _employer_count(plan: DataFrame, name: str) -> DataFrame:
-    return plan.agg(F.count_distinct("employer").alias(name))
+def summary_entries(condition=None) -> list:
+    """What F19 counts in a subset."""
+    return [distinct_of("n_cases", "case_ids", seps=[OUTER_SEP], condition=condition),
+            distinct_of("n_employers", "employer", condition=condition), rows_where("n_visits", condition)]
 
 
 def _fu_counts(fu: DataFrame) -> DataFrame:
@@ -201,11 +224,14 @@ def _fu_counts(fu: DataFrame) -> DataFrame:
 def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> DataFrame:
     """scheduled visits; goals met and % of the scheduled plan (NULL
     when there is no follow-up data, Q17); distinct cases; employers with
-    cases (0 when there is no case).  Populations as in the source (Q8)."""
-    # one-row aggregates side by side
-    both = attach_scalars(_scheduled_count(plan, month), _fu_counts(fu))
-    both = attach_scalars(both, _case_count(plan))
-    both = attach_scalars(both, _employer_count(plan.filter("has_case"), "employers_with_cases"))
+    cases (0 when there is no case).  Populations as in the source (Q8).
+    One scan of each table."""
+    return kpi_global_of(measure(plan, plan_entries(month)), _fu_counts(fu))
+
+
+def kpi_global_of(measures: DataFrame, fu_counts: DataFrame) -> DataFrame:
+    """F17 from the plan's measures and the follow-up's counts."""
+    both = attach_scalars(scalars(measures, ["scheduled", "n_cases", "employers_with_cases"]), fu_counts)
     has_fu = F.col("fu_rows") > 0
     return both.select(
         "scheduled",
@@ -219,7 +245,12 @@ def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Data
 def kpi_followup(plan: DataFrame, fu: DataFrame, month: int | None = None) -> DataFrame:
     """plan universe, goals, overdue visits, progress % and the four
     pillar sums with their % of the universe."""
-    both = attach_scalars(_scheduled_count(plan, month), _fu_counts(fu))
+    return kpi_followup_of(plan.agg(F.count_if(_is_scheduled(month)).alias("scheduled")), _fu_counts(fu))
+
+
+def kpi_followup_of(universe: DataFrame, fu_counts: DataFrame) -> DataFrame:
+    """F18 from one row with the plan's ``scheduled`` rows and the follow-up's counts."""
+    both = attach_scalars(universe, fu_counts)
     cols = [F.col("scheduled").alias("universe"), "goals", "overdue",
             pct(F.col("goals"), F.col("scheduled")).alias("progress_pct")]
     for p_ in PILLARS:
@@ -228,10 +259,8 @@ def kpi_followup(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Da
 
 
 def case_summary(df: DataFrame) -> DataFrame:
-    """distinct cases, distinct employers and visits of a subset, as
-    one-row aggregates side by side."""
-    both = attach_scalars(_case_count(df), _employer_count(df, "n_employers"))
-    return attach_scalars(both, row_count(df, "n_visits"))
+    """distinct cases, distinct employers and visits of a subset, in one scan."""
+    return scalars(measure(df, summary_entries()), ["n_cases", "n_employers", "n_visits"])
 
 
 def status_count(df: DataFrame, value: str = OVERDUE_STATUS, col: str = "visit_status") -> DataFrame:

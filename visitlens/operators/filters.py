@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.functions.text import contains_ci, strip
+from visitlens.constants import OUTER_SEP, SEGMENT_EXTRA_SEPS
+from visitlens.functions.text import contains_ci, non_blank_tokens, strip
 from visitlens.operators.shape import and_all
 
 # The five linked facets, in the order the selection is validated.
 FACETS = ["specialist", "account", "holding", "employer", "region"]
+#: D7 asks for every subset of the chosen values.
+MAX_CHOSEN = 10
+#: Separators inside a case's part of a cell.
+TOKEN_SEPS = {"segments": [",", *SEGMENT_EXTRA_SEPS], "occupations": [" | "]}
 
 
 def _match(df: DataFrame, col: str, value) -> Column | None:
@@ -46,6 +51,17 @@ def contains_filter(df: DataFrame, col: str, text: str | None) -> DataFrame:
     return df.filter(contains_ci(col, text))
 
 
+def has_token(col: str, value: str) -> Column:
+    """Whether a token of the cell equals ``value``, whatever the case."""
+    seps = [OUTER_SEP, *TOKEN_SEPS.get(col, [","])]
+    return F.exists(F.coalesce(non_blank_tokens(col, seps), F.array().cast("array<string>")), lambda t: F.upper(t) == value.strip().upper())
+
+
+def token_filter(df: DataFrame, col: str, value: str | None) -> DataFrame:
+    """D4 by whole tokens (Q14: the source's filter takes any substring); ``None`` = all."""
+    return df if value is None else df.filter(has_token(col, value))
+
+
 def non_blank(df: DataFrame, col: str) -> DataFrame:
     """Drop NULL/blank cells."""
     return df.filter(F.coalesce(strip(F.col(col)) != "", F.lit(False)))
@@ -86,12 +102,14 @@ def validate_selection(df: DataFrame, selection: dict[str, object | None],
     selection is available exactly when some row matches all active
     selections.  So one aggregation answers "does any row match subset S"
     for every subset S of the initial selections (at most 2^k conditional
-    counts, k = 5), and the reset rounds are replayed on those booleans."""
+    counts; k = 5, more than ``MAX_CHOSEN`` are refused), and the reset rounds are replayed on those booleans."""
     facets = [f for f in facets if f in df.columns]
     sel = {f: selection.get(f) for f in facets}
     chosen = [f for f in facets if sel[f] is not None]
     if not chosen:
         return sel
+    if len(chosen) > MAX_CHOSEN:
+        raise ValueError(f"at most {MAX_CHOSEN} facets can be validated together, not {len(chosen)}")
     match = {f: F.coalesce(F.col(f) == F.lit(sel[f]), F.lit(False)) for f in chosen}
     subsets = []
     for mask in range(1, 1 << len(chosen)):

@@ -202,8 +202,8 @@ def cluster(values: DataFrame, col: str = "value", threshold: int = SIMILARITY_T
 
 def propose(values: DataFrame, col: str = "value", threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
     """Proposals (variant, canonical, similarity) for every non-canonical
-    label, ordered canonical ascending, similarity descending (H2)."""
-    return cluster(values, col, threshold)["proposals"].orderBy("canonical", F.col("similarity").desc())
+    label, ordered canonical ascending, similarity descending, then variant (H2)."""
+    return cluster(values, col, threshold)["proposals"].orderBy("canonical", F.col("similarity").desc(), "variant")
 
 
 def cluster_stats(values: DataFrame, col: str = "value", threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:

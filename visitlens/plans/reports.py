@@ -1,34 +1,43 @@
-"""Report compositions (P1-P12).  Each returns a dict of lazy DataFrames;
-nothing is computed until the caller runs an action.  Cache the typed plan
-when several reports of one page read it."""
+"""Report compositions (P1-P12).  Each returns a dict of DataFrames.  The counts of
+a page come from one scan of the plan and one of the follow-up (``operators.measures``),
+made when the page is built; lists of rows (``visit_detail``, ``detail``, ``records``)
+are lazy and read their table themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import RANKING_TOP, SEGMENT_EXTRA_SEPS, SEGMENT_ORDER
-from visitlens.functions.dates import format_date
+from visitlens.constants import DETAIL_LABELS, OUTER_SEP, RANKING_TOP, SEGMENT_EXTRA_SEPS, SEGMENT_ORDER
+from visitlens.functions.dates import format_date, month_name_es
 from visitlens.functions.values import custom_order_key
+from visitlens.functions.text import contains_ci
 from visitlens.operators import aggregates as A
-from visitlens.operators.cells import cases_per_group, multi_value_ranking, ranked
-from visitlens.operators.filters import apply_filters, contains_filter, only_cases, scheduled
-from visitlens.operators.pareto import pareto, pareto_concentration
-from visitlens.operators.shape import row_total, select_existing
+from visitlens.operators import measures as M
+from visitlens.operators.cells import ranked
+from visitlens.operators.filters import apply_filters, has_token, only_cases, scheduled
+from visitlens.operators.pareto import pareto_concentration, pareto_from_ranking
+from visitlens.operators.shape import relabel, row_total, select_existing
+from visitlens.session import checkpoint_dir
 
 
 def visit_detail(prog: DataFrame, sort: bool = False) -> DataFrame:
     """P3 table: formatted date, place, specialist, workers and their total.
-    ``sort`` orders by the real date (quirk Q7: not by the day-first text)."""
+    ``sort`` orders by the real date (quirk Q7: not by the day-first text), then centre."""
     out = prog.select(format_date("planned_date", "dd-MM-yyyy").alias("date_text"), "region",
                       "specialist", "employer", "center_name", "commune", "address", "men", "women",
                       row_total("men", "women").alias("total_workers"),
                       F.col("planned_date").alias("__d"))
     if sort:
-        out = out.orderBy("__d")
+        out = out.orderBy("__d", "center_name")
     return out.drop("__d")
 
 
+def visit_table(prog: DataFrame) -> DataFrame:
+    """P3 as shown and exported: by real date, under display labels."""
+    return relabel(visit_detail(prog, sort=True), DETAIL_LABELS)
+
+
 def followup_detail(fu: DataFrame) -> DataFrame:
     """P5 table: the follow-up columns that exist, dates as ``dd-MM-yyyy`` or ``''``."""
     cols = ["region", "specialist", "employer", "center_id", "center_name", "address", "commune",
@@ -47,70 +56,117 @@ def drill_records(drill: DataFrame) -> DataFrame:
 
 
 def programme_page(plan: DataFrame, selection: dict, month: int | None = None) -> dict[str, DataFrame]:
-    """P1 + P2: monthly load, by region, top specialists/communes, worker totals."""
+    """P1 + P2: monthly load, by region, top specialists/communes, worker totals; P3."""
     prog = scheduled(apply_filters(plan, selection), month)
+    counts = [M.rows_where(c, key=c) for c in ("month", "region", "specialist", "commune")]
+    m = M.measured(prog, [*counts, M.amount_of("men", "men"), M.amount_of("women", "women")])
+    months = M.part(m, "month", "month").select(F.col("month").cast("int").alias("month"), "cnt")
     return {
-        "monthly_load": A.monthly_load(prog),
-        "by_region": A.value_counts(prog, "region"),
-        "top_specialists": A.value_counts(prog, "specialist", RANKING_TOP),
-        "top_communes": A.value_counts(prog, "commune", RANKING_TOP),
-        "worker_totals": A.worker_totals(prog),
-        "visit_detail": visit_detail(prog),
+        "monthly_load": months.select("month", month_name_es("month").alias("month_name"), "cnt").orderBy("month"),
+        "by_region": ranked(M.part(m, "region", "region"), name_col="region"),
+        "top_specialists": ranked(M.part(m, "specialist", "specialist"), RANKING_TOP, name_col="specialist"),
+        "top_communes": ranked(M.part(m, "commune", "commune"), RANKING_TOP, name_col="commune"),
+        "worker_totals": M.scalars(m, amounts=["men", "women"]).select(
+            (F.col("men") + F.col("women")).cast("bigint").alias("total_workers"),
+            F.col("men").cast("bigint").alias("total_men"), F.col("women").cast("bigint").alias("total_women")),
+        "visit_detail": visit_table(prog),
     }
 
 
 def followup_page(plan: DataFrame, fu: DataFrame, selection: dict, month: int | None = None) -> dict[str, DataFrame]:
     """P4 + P5: KPIs, pillar sums, region x goal crosstab, detail."""
-    p = apply_filters(plan, selection)
     f = apply_filters(fu, selection)
+    m = M.measured(apply_filters(plan, selection), A.plan_entries(month))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in f.columns else F.lit(False)
+    overdue = F.col("visit_status") == A.OVERDUE_STATUS if "visit_status" in f.columns else F.lit(False)
+    entries = [M.rows_where("fu_rows"), M.rows_where("goals", flag("goal_met")), M.rows_where("overdue", overdue),
+               *[M.rows_where(p, flag(p)) for p in A.PILLARS],
+               M.rows_where("n_true", flag("goal_met"), "region"), M.rows_where("n_false", ~flag("goal_met"), "region")]
+    n = M.measured(f, entries)
+    counts = M.scalars(n, ["fu_rows", "goals", "overdue", *A.PILLARS])
+    cell = lambda name: F.coalesce(F.max(F.when(F.col("measure") == name, F.col("n"))), F.lit(0)).alias(name)
     return {
-        "kpi_global": A.kpi_global(p, f, month),
-        "kpi_followup": A.kpi_followup(p, f, month),
-        "region_goal": A.crosstab_flag(f),
+        "kpi_global": A.kpi_global_of(m, counts),
+        "kpi_followup": A.kpi_followup_of(M.scalars(m, ["scheduled"]), counts),
+        "region_goal": (n.filter(F.col("measure").isin("n_false", "n_true")).groupBy(F.col("key").alias("region"))
+                        .agg(cell("n_false"), cell("n_true"))),
         "detail": followup_detail(f),
     }
 
 
 def indicators_page(fu: DataFrame, selection: dict) -> dict[str, DataFrame]:
     """P6 + P7: indicators vs the unfiltered team mean, pillar progress."""
-    f = apply_filters(fu, selection)
-    ind = A.specialist_vs_team_selection(fu, selection)
+    checkpoint_dir(fu.sparkSession)
+    counts = A.specialist_counts(fu, selection).checkpoint()
+    shown = counts.filter(F.col("centers") > 0)
+    ind = A.vs_team_of(counts)
     return {
         "indicators": ind.orderBy(F.col("pct_goal").desc(), "specialist"),   # H5 table
         "indicators_chart": ind.orderBy(F.col("pct_goal").asc(), "specialist"),  # H5 chart
-        "team_mean": A.team_mean(A.specialist_indicators(fu)),
-        "pillar_long": A.pillar_progress(f),
-        "pillar_wide": A.pillar_wide(f),
+        "team_mean": A.team_mean_of(counts),
+        "pillar_long": A.pillar_progress_of(shown),
+        "pillar_wide": A.pillar_wide_of(shown),
     }
 
 
-def case_page(plan: DataFrame, selection: dict, segment: str | None = None,
-              dimension: str = "occupations") -> dict[str, DataFrame]:
-    """P8 + P9: summary, top diagnoses/employers, Pareto within a segment."""
-    ep = only_cases(apply_filters(plan, selection))
-    inner = " | " if dimension == "occupations" else ","
-    seg_ranking = multi_value_ranking(ep, "segments", ",", extra=SEGMENT_EXTRA_SEPS)
-    p = pareto(contains_filter(ep, "segments", segment), dimension, inner)
+def _pareto_inner(dimension: str) -> str:
+    return " | " if dimension == "occupations" else ","
+
+
+def _case_entries(dimension: str, chosen) -> list:
+    """What P8 and P9 count; ``chosen``: the rows of the segment."""
+    return [*A.summary_entries(), M.tokens_of("diagnoses", "diagnoses", [OUTER_SEP, ","]),
+            M.distinct_of("employers", "case_ids", "employer", [OUTER_SEP]),
+            M.tokens_of("segments", "segments", [OUTER_SEP, ",", *SEGMENT_EXTRA_SEPS]),
+            M.tokens_of("dimension", dimension, [OUTER_SEP, _pareto_inner(dimension)], chosen)]
+
+
+def _segment_options(m: DataFrame) -> DataFrame:
+    return M.part(m, "segments").select("name").orderBy(custom_order_key("name", SEGMENT_ORDER), "name")
+
+
+def _case_tables(m: DataFrame) -> dict[str, DataFrame]:
+    p = pareto_from_ranking(M.part(m, "dimension"))
     return {
-        "summary": A.case_summary(ep),
-        "top_diagnoses": ranked(multi_value_ranking(ep, "diagnoses", ","), RANKING_TOP),
-        "top_employers": ranked(cases_per_group(ep, "employer"), RANKING_TOP, count_col="n_cases",
-                                name_col="employer"),
-        "segment_options": seg_ranking.select("name").orderBy(custom_order_key("name", SEGMENT_ORDER), "name"),
+        "summary": M.scalars(m, ["n_cases", "n_employers", "n_visits"]),
+        "top_diagnoses": ranked(M.part(m, "diagnoses"), RANKING_TOP),
+        "top_employers": ranked(M.part(m, "employers", "employer", "n_cases"), RANKING_TOP, count_col="n_cases", name_col="employer"),
+        "segment_options": _segment_options(m),
         "pareto": p,
         "concentration": pareto_concentration(p),
     }
 
 
-def drill_page(plan: DataFrame, selection: dict, by: str = "segments", value: str | None = None) -> dict[str, DataFrame]:
-    """P10: drill-down by segment or diagnosis (substring of the cell, Q14)."""
+def case_page(plan: DataFrame, selection: dict, segment: str | None = None,
+              dimension: str = "occupations") -> dict[str, DataFrame]:
+    """P8 + P9: summary, top diagnoses/employers, Pareto within a segment."""
+    chosen = None if segment is None else contains_ci("segments", segment)
+    return _case_tables(M.measured(only_cases(apply_filters(plan, selection)), _case_entries(dimension, chosen)))
+
+
+def _drill_entries(chosen) -> list:
+    """What P10 counts; ``chosen``: the rows of the drill-down."""
+    return [*A.summary_entries(chosen), M.distinct_of("employers", "case_ids", "employer", [OUTER_SEP], chosen),
+            M.tokens_of("occupations", "occupations", [OUTER_SEP, " | "], chosen), M.tokens_of("tasks", "tasks", [OUTER_SEP, ","], chosen),
+            M.tokens_of("segments", "segments", [OUTER_SEP, ",", *SEGMENT_EXTRA_SEPS]), M.tokens_of("diagnoses", "diagnoses", [OUTER_SEP, ","])]
+
+
+def drill_page(plan: DataFrame, selection: dict, by: str = "segments", value: str | None = None,
+               whole_token: bool = False) -> dict[str, DataFrame]:
+    """P10: drill-down by segment or diagnosis.  The value is a substring of the cell
+    (Q14) or, with ``whole_token``, one of its tokens.  ``segment_options`` and
+    ``diagnosis_options`` are what can be chosen, over all rows with cases."""
     ep = only_cases(apply_filters(plan, selection))
-    drill = contains_filter(ep, by, value)
+    chosen = None if value is None else has_token(by, value) if whole_token else contains_ci(by, value)
+    m = M.measured(ep, _drill_entries(chosen))
+    drill = ep if chosen is None else ep.filter(chosen)
     return {
-        "summary": A.case_summary(drill),
-        "employers": cases_per_group(drill, "employer"),
-        "occupations": multi_value_ranking(drill, "occupations", " | "),
-        "tasks": multi_value_ranking(drill, "tasks", ","),
+        "summary": M.scalars(m, ["n_cases", "n_employers", "n_visits"]),
+        "employers": M.part(m, "employers", "employer", "n_cases"),
+        "occupations": M.part(m, "occupations"),
+        "tasks": M.part(m, "tasks"),
+        "segment_options": _segment_options(m),
+        "diagnosis_options": M.part(m, "diagnoses").select("name").orderBy("name"),
         "records": drill_records(drill),
     }
 

@@ -7,9 +7,12 @@ own lists.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import H_HOLDING, H_PLANNED
+from visitlens.constants import H_HOLDING, H_PLANNED, OVERDUE_STATUS, PARETO_TOP, RANKING_TOP
 from visitlens.functions.dates import format_date, parse_date_flexible, parse_date_report
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
 from visitlens.operators.clean import clean_plan
@@ -18,15 +21,16 @@ from visitlens.operators.lookup import anti_membership, semi_membership
 from visitlens.operators.shape import drop_empty_rows, ensure_columns, relabel, rename_headers
 from visitlens.constants import HEADER_ALIASES
 from visitlens.plans import reports as R
+from visitlens.plans.normalizer import PHASE1_SEPS, phase1_proposals
 from visitlens.session import scratch_path
 from visitlens.sources.payload import payload_status, payload_to_rows
 from visitlens.sources.readers import read_delimited_skip
-from visitlens.sources.sinks import append_rows, clear_table, refresh_table, table_info, write_tables
+from visitlens.sources.sinks import append_rows, clear_table, number_rows, refresh_table, table_info, write_tables
 from visitlens.streaming import start_payload_ingest
 from visitlens.testing import oracle_queries as O
 from visitlens.testing.adapter import plan_raw, table
-from visitlens.testing.oracle_sql import with_base
-from visitlens.testing.registry import SEGMENT, followup, plan
+from visitlens.testing.oracle_sql import pct, tokens, with_base
+from visitlens.testing.registry import DIAGNOSIS, SEGMENT, TEAM_FILTER, followup, plan
 
 #: Spelling of a date per order: Spark's pattern letters, and text put after it.
 SPELLINGS = [
@@ -238,6 +242,66 @@ def q_plan_sheet(spark, d):
     return R.plan_sheet(clean_plan(plan_raw(spark, d))).withColumn("planned_date", format_date("planned_date", "yyyy-MM-dd"))
 
 
+def _parts(page, parts):
+    """Tables of a page as rows (part, name, cnt): {table: (name column, count column)}."""
+    out = [page[t].select(F.lit(t).alias("part"), (F.col(n) if n else F.lit(None)).cast("string").alias("name"), F.col(c).cast("bigint").alias("cnt"))
+           for t, (n, c) in parts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _summary(page, table):
+    return reduce(DataFrame.unionByName, [page[table].select(F.lit(table).alias("part"), F.lit(c).alias("name"), F.col(c).cast("bigint").alias("cnt"))
+                                          for c in page[table].columns])
+
+
+def q_programme_page(spark, d):
+    """Every table of the programme page, from one scan of the plan."""
+    page = R.programme_page(plan(spark, d), TEAM_FILTER)
+    return _parts(page, {"monthly_load": ("month", "cnt"), "by_region": ("region", "cnt"), "top_specialists": ("specialist", "cnt"),
+                         "top_communes": ("commune", "cnt")}).unionByName(_summary(page, "worker_totals"))
+
+
+def q_followup_page(spark, d):
+    """KPIs and crosstab of one selection."""
+    page = R.followup_page(plan(spark, d), followup(spark, d), TEAM_FILTER)
+    cross = _parts(page | {"n_false": page["region_goal"], "n_true": page["region_goal"]}, {"n_false": ("region", "n_false"), "n_true": ("region", "n_true")})
+    kpis = page["kpi_global"].select("scheduled", "goals_met", "n_cases", "employers_with_cases")
+    sums = page["kpi_followup"].select("overdue", *[f"pillar_{i}_n" for i in (1, 2, 3, 4)])
+    return cross.unionByName(_summary({"kpis": kpis}, "kpis")).unionByName(_summary({"sums": sums}, "sums"))
+
+
+def q_case_page(spark, d):
+    """Summary, rankings and the Pareto of one segment."""
+    page = R.case_page(plan(spark, d), TEAM_FILTER, SEGMENT, "tasks")
+    return _parts(page, {"top_diagnoses": ("name", "cnt"), "top_employers": ("employer", "n_cases"), "pareto": ("name", "cnt")}) \
+        .unionByName(_summary(page, "summary"))
+
+
+def q_drill_page(spark, d):
+    """P10: drill-down by a whole diagnosis token, with the diagnoses to choose from."""
+    page = R.drill_page(plan(spark, d), {}, "diagnoses", DIAGNOSIS + "1", whole_token=True)
+    options = number_rows(page["diagnosis_options"]).select(F.lit("options").alias("part"), "name", F.col("_row").alias("cnt"))
+    return (_parts(page, {"employers": ("employer", "n_cases"), "occupations": ("name", "cnt"), "tasks": ("name", "cnt")})
+            .unionByName(_summary(page, "summary")).unionByName(options))
+
+
+def q_visit_table(spark, d):
+    """The visit detail as shown, numbered in its order."""
+    return number_rows(R.visit_table(plan(spark, d).filter(F.col("planned_date").isNotNull())))
+
+
+def q_proposal_order(spark, d):
+    """H2: proposals numbered in their order."""
+    rows = phase1_proposals(plan_raw(spark, d, dirty_tasks=True), seps={"tareas": PHASE1_SEPS["tareas"]})["tareas"]
+    return number_rows(rows)
+
+
+def q_indicator_order(spark, d):
+    """H5: the indicator table and its chart, numbered in their orders."""
+    page = R.indicators_page(followup(spark, d), TEAM_FILTER)
+    return reduce(DataFrame.unionByName, [number_rows(page[t]).select(F.lit(t).alias("part"), "_row", "specialist", "pct_goal") for t in ("indicators", "indicators_chart")])
+
+
 CHECKS = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
@@ -273,6 +337,53 @@ WITH cells AS (
               WHEN p_partkey % 5 = 3 OR p_partkey % 5 = 4 THEN p_name END AS label,
          CASE WHEN p_partkey % 500 <> 3 AND p_partkey % 5 = 1 THEN 4 WHEN p_partkey % 500 <> 3 AND p_partkey % 5 = 2 THEN 2 ELSE 0 END AS marks FROM part)
 SELECT id, length(label) AS chars, md5(label) AS label, CASE WHEN swapped THEN coalesce(length(label), 0) + marks END AS written FROM cells""",
+        "programme_page": with_base(f"""
+SELECT 'monthly_load' AS part, CAST(month AS VARCHAR) AS name, count(*) AS cnt FROM prog GROUP BY month
+UNION ALL SELECT 'by_region', region, count(*) FROM prog GROUP BY region
+UNION ALL (SELECT 'top_specialists', specialist, count(*) FROM prog GROUP BY specialist ORDER BY 3 DESC, 2 LIMIT {RANKING_TOP})
+UNION ALL (SELECT 'top_communes', commune, count(*) FROM prog GROUP BY commune ORDER BY 3 DESC, 2 LIMIT {RANKING_TOP})
+UNION ALL SELECT 'worker_totals', 'total_workers', CAST(sum(coalesce(men, 0) + coalesce(women, 0)) AS BIGINT) FROM prog
+UNION ALL SELECT 'worker_totals', 'total_men', CAST(sum(men) AS BIGINT) FROM prog
+UNION ALL SELECT 'worker_totals', 'total_women', CAST(sum(women) AS BIGINT) FROM prog""", f"""
+prog AS (SELECT * FROM plan WHERE planned_date IS NOT NULL AND account = '{TEAM_FILTER['account']}')"""),
+        "followup_page": with_base(f"""
+SELECT 'n_false' AS part, region AS name, count(*) FILTER (WHERE NOT goal_met) AS cnt FROM f GROUP BY region
+UNION ALL SELECT 'n_true', region, count(*) FILTER (WHERE goal_met) FROM f GROUP BY region
+UNION ALL SELECT 'kpis', 'scheduled', count(*) FROM p WHERE planned_date IS NOT NULL
+UNION ALL SELECT 'kpis', 'goals_met', count(*) FROM f WHERE goal_met
+UNION ALL SELECT 'kpis', 'n_cases', count(DISTINCT c) FROM (SELECT unnest({tokens('case_ids', ['||'])}) AS c FROM p)
+UNION ALL SELECT 'kpis', 'employers_with_cases', count(DISTINCT employer) FROM p WHERE has_case
+UNION ALL SELECT 'sums', 'overdue', count(*) FROM f WHERE visit_status = '{OVERDUE_STATUS}'
+""" + "".join(f"UNION ALL SELECT 'sums', 'pillar_{i}_n', count(*) FROM f WHERE pillar_{i}\n" for i in (1, 2, 3, 4)), f"""
+f AS (SELECT * FROM fu WHERE account = '{TEAM_FILTER['account']}'), p AS (SELECT * FROM plan WHERE account = '{TEAM_FILTER['account']}')"""),
+        "case_page": with_base(f"""
+(SELECT 'top_diagnoses' AS part, name, cnt FROM ({O.ranking('ep', 'diagnoses', ['||', ','])}) ORDER BY cnt DESC, name LIMIT {RANKING_TOP})
+UNION ALL (SELECT 'top_employers', employer, n_cases FROM ({O.cases_per_employer_sql('ep')}) ORDER BY n_cases DESC, employer LIMIT {RANKING_TOP})
+UNION ALL (SELECT 'pareto', name, cnt FROM ({O.ranking('seg', 'tasks', ['||', ','])}) ORDER BY cnt DESC, name LIMIT {PARETO_TOP})
+UNION ALL SELECT 'summary', 'n_cases', n_cases FROM s UNION ALL SELECT 'summary', 'n_employers', n_employers FROM s
+UNION ALL SELECT 'summary', 'n_visits', n_visits FROM s""", f"""
+ep AS (SELECT * FROM plan WHERE has_case AND account = '{TEAM_FILTER['account']}'),
+seg AS (SELECT * FROM ep WHERE {O.contains('segments', SEGMENT)}), s AS ({O.case_summary_sql('ep')})"""),
+        "drill_page": with_base(f"""
+SELECT 'employers' AS part, employer AS name, n_cases AS cnt FROM ({O.cases_per_employer_sql('dr')})
+UNION ALL SELECT 'occupations', name, cnt FROM ({O.ranking('dr', 'occupations', ['||', ' | '])})
+UNION ALL SELECT 'tasks', name, cnt FROM ({O.ranking('dr', 'tasks', ['||', ','])})
+UNION ALL SELECT 'options', name, row_number() OVER (ORDER BY name) FROM ({O.ranking('ep', 'diagnoses', ['||', ','])})
+UNION ALL SELECT 'summary', 'n_cases', n_cases FROM s UNION ALL SELECT 'summary', 'n_employers', n_employers FROM s
+UNION ALL SELECT 'summary', 'n_visits', n_visits FROM s""", f"""
+ep AS (SELECT * FROM plan WHERE has_case),
+dr AS (SELECT * FROM ep WHERE list_contains({tokens('diagnoses', ['||', ','])}, '{DIAGNOSIS}1')), s AS ({O.case_summary_sql('dr')})"""),
+        "visit_table": with_base("""
+SELECT row_number() OVER (ORDER BY planned_date, center_name) AS "_row", strftime(planned_date, '%d-%m-%Y') AS "Fecha", region AS "Region",
+       specialist AS "Ergónomo", employer AS "Nombre Empleador", center_name AS "Centro de Trabajo", commune AS "Comuna", address AS "Dirección",
+       men AS "N° Hombres", women AS "N° Mujeres", coalesce(men, 0.0) + coalesce(women, 0.0) AS "Total Trabajadores"
+FROM plan WHERE planned_date IS NOT NULL"""),
+        "proposal_order": f"""
+SELECT row_number() OVER (ORDER BY canonical_propuesto, similitud DESC, variante) AS "_row", * FROM ({O.build_extra()['canonical_proposals']})""",
+        "indicator_order": with_base(f"""
+SELECT t.part, row_number() OVER (PARTITION BY t.part ORDER BY t.sign * pct_goal, specialist) AS "_row", specialist, pct_goal
+FROM (SELECT specialist, {pct('goals', 'centers')} AS pct_goal FROM i), (VALUES ('indicators', -1), ('indicators_chart', 1)) t(part, sign)""",
+            O.indicators_cte("i", f"(SELECT * FROM fu WHERE account = '{TEAM_FILTER['account']}')")),
         "canonical_map": """
 SELECT split_part(p_name, ' ', 1) AS variant, arg_max(p_brand, p_partkey) AS canonical
 FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 GROUP BY 1""",
