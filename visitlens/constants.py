@@ -213,3 +213,7 @@ DETAIL_LABELS = {
     "center_name": "Centro de Trabajo", "commune": "Comuna", "address": "Dirección", "men": "N° Hombres",
     "women": "N° Mujeres", "total_workers": "Total Trabajadores",
 }
+
+# Weekday names, Monday first, as free date spellings use them.
+WEEKDAY_NAMES_ES = ["lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo"]
+WEEKDAY_NAMES_EN = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import MONTH_NAMES_EN, MONTH_NAMES_ES, WHITESPACE_CLASS
+from visitlens.constants import MONTH_NAMES_EN, MONTH_NAMES_ES, WEEKDAY_NAMES_EN, WEEKDAY_NAMES_ES, WHITESPACE_CLASS
 from visitlens.functions.text import _c, strip
 
 # The spellings that make up most cells, each tried only on strings of its
@@ -16,54 +16,67 @@ DATE_PATTERNS = {
     "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
 }
 
-# Everything else by shape: a date part, then an optional time of day, which a
-# DATE does not keep.  Numeric dates are read day first and, where that is no
-# date, month first; year-first dates as year-month-day (a deliberate choice:
-# a free day-first parse would read 2026/3/4 as year-day-month); two-digit
-# years from 69 on lie in the last century; a missing day is the first.
-_TIME = r"(?:[Tt ]\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s?[AaPp]\.?[Mm]\.?)?(?:\s?(?:[Zz]|UTC|[+-]\d{2}:?\d{2}))?)?"
-_NAME = r"([A-Za-zÁÉÍÓÚáéíóú]+)\.?"
-YEAR_FIRST = r"(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?"
-DAY_FIRST = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
-COMPACT = r"(\d{4})(\d{2})(\d{2})"
-DAY_NAME = rf"(\d{{1,2}})(?:[ ./-]+(?:de )?|){_NAME},?(?:[ ./-]+(?:del? )?|)(\d{{4}}|\d{{2}})"
-NAME_DAY = rf"{_NAME} (?:(\d{{1,2}}),? )?(\d{{4}})"
+# Everything else is read by a small grammar.  A time of day and its zone are cut out
+# (a DATE does not keep them), the rest is taken apart into numbers and words; weekday
+# names, ordinal endings and "de", "del", "of", "the" say nothing; a word that is no
+# month makes it no date.  What is left is matched by kind: n (one or two digits), y
+# (four) and m (month name).  Numeric dates are read day first and, where that is no
+# date, month first; year-first dates as year-month-day (a deliberate choice: a free
+# day-first parse would read 2026/3/4 as year-day-month); two-digit years from 69 on lie
+# in the last century; a missing day is the first.
+#: Kinds -> places of year, month and day, tried in turn.
+DATE_RULES = {
+    "nny": [(2, 1, 0), (2, 0, 1)], "nnn": [(2, 1, 0), (2, 0, 1)], "ynn": [(0, 1, 2)], "yn": [(0, 1, None)],
+    "nmy": [(2, 1, 0)], "nmn": [(2, 1, 0)], "mny": [(2, 0, 1)], "mnn": [(2, 0, 1)], "ymn": [(0, 1, 2)],
+    "my": [(1, 0, None)], "ym": [(0, 1, None)], "mn": [(1, 0, None)],
+}
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s?[ap]\.?\s?m\b\.?)?(?:\s?(?:z|utc|gmt)\b|\s?[+-]\d{2}:?\d{2})?"
+_TIME = rf"(?:^|(?<=\d)t|[ ,]\s*){_CLOCK}(?=$|[ ,])"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[t ]?\d{4}(?:\d{2})?z?)?$"
+_BETWEEN = r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)"
+_SILENT = ["de", "del", "of", "the", "st", "nd", "rd", "th"]
 
 
 def _whole(body: str) -> str:
     return f"^{WHITESPACE_CLASS}*{body}{WHITESPACE_CLASS}*$"
 
 
-def _month_names() -> dict[str, str]:
-    """Spanish and English month names and their first three letters -> number."""
-    out = {}
-    for names in (MONTH_NAMES_ES, MONTH_NAMES_EN):
-        for i, name in enumerate(names, start=1):
-            out[name.lower()] = out[name[:3].lower()] = str(i)
-    return out | {"sept": "9", "set": "9"}
+def _with_short(names: list[str]) -> dict[str, int]:
+    """Names in plain lower case and their first three letters -> number."""
+    plain = [n.lower().translate(str.maketrans("áéíóú", "aeiou")) for n in names]
+    return {k: i for i, n in enumerate(plain, start=1) for k in (n, n[:3])}
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     year = F.when(F.length(year) == 2, F.concat(F.when(year < "69", F.lit("20")).otherwise(F.lit("19")), year)).otherwise(year)
-    return F.try_to_timestamp(F.concat_ws("-", year, month, F.when(day == "", F.lit("1")).otherwise(day)), F.lit("yyyy-M-d"))
-
-
-def _by_shape(raw: Column) -> Column:
-    def shape(body: str):
-        regex = _whole(body + _TIME)
-        return raw.rlike(regex), [F.regexp_extract(raw, regex, i) for i in (1, 2, 3)]
-
-    names = F.create_map(*[F.lit(x) for kv in _month_names().items() for x in kv])
-    number = lambda name: F.try_element_at(names, F.lower(name))
-    numeric, (n1, n2, n3) = shape(DAY_FIRST)
-    year_first, (y1, y2, y3) = shape(YEAR_FIRST)
-    compact, (c1, c2, c3) = shape(COMPACT)
-    day_name, (d1, d2, d3) = shape(DAY_NAME)
-    name_day, (m1, m2, m3) = shape(NAME_DAY)
-    return (F.when(numeric, F.coalesce(_date(n3, n2, n1), _date(n3, n1, n2)))
-             .when(year_first, _date(y1, y2, y3)).when(compact, _date(c1, c2, c3))
-             .when(day_name & number(d2).isNotNull(), _date(d3, number(d2), d1))
-             .when(name_day & number(m1).isNotNull(), _date(m3, number(m1), m2)))
+    return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d"))
+
+
+def _by_grammar(raw: Column) -> Column:
+    months = _with_short(MONTH_NAMES_ES) | _with_short(MONTH_NAMES_EN) | {"sept": 9, "set": 9}
+    weekdays = [w for w in [*_with_short(WEEKDAY_NAMES_ES), *_with_short(WEEKDAY_NAMES_EN)] if w not in months]
+    numbers = F.create_map(*[F.lit(str(x)) for kv in months.items() for x in kv])
+    text = F.trim(F.translate(F.lower(strip(raw)), "áéíóú", "aeiou"))
+    plain = F.trim(F.regexp_replace(text, _TIME, " "))
+    parts = F.split(F.regexp_replace(F.regexp_replace(plain, _BETWEEN, " "), r"[ ./,\-]+", " "), " ")
+    parts = F.filter(parts, lambda p: (p != "") & ~p.isin(_SILENT))
+    # one weekday at most
+    days = F.size(F.filter(parts, lambda p: p.isin(weekdays)))
+    parts = F.filter(parts, lambda p: ~p.isin(weekdays))
+    # "mar" is a month, but a weekday before a whole date
+    both = [w for w in _with_short(WEEKDAY_NAMES_ES) if w in months]
+    parts = F.when((F.size(parts) == 4) & F.get(parts, F.lit(0)).isin(both), F.slice(parts, 2, 3)).otherwise(parts)
+    kinds = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d{1,2}$"), F.lit("n")).when(p.rlike(r"^\d{4}$"), F.lit("y"))
+                                     .when(F.map_contains_key(numbers, p), F.lit("m")).otherwise(F.lit("x"))), "")
+    parts = F.transform(parts, lambda p: F.coalesce(F.try_element_at(numbers, p), p))
+
+    def at(place: int | None) -> Column:
+        return F.lit("1") if place is None else F.get(parts, F.lit(place))
+
+    found = F.when(text.rlike(_COMPACT), _date(*[F.regexp_extract(text, _COMPACT, i) for i in (1, 2, 3)]))
+    for kind, rules in DATE_RULES.items():
+        found = found.when((kinds == kind) & (days <= 1), F.coalesce(*[_date(at(y), at(m), at(d)) for y, m, d in rules]))
+    return found
 
 
 def parse_date_flexible(c) -> Column:
@@ -73,7 +86,7 @@ def parse_date_flexible(c) -> Column:
     tries = [F.when(raw.rlike(_whole(shape)), F.try_to_timestamp(strip(raw), F.lit(p))) for p, shape in DATE_PATTERNS.items()]
     # one element transformed: the long expression is evaluated only where the
     # tries fail and stays out of the generated code of the common ones
-    rest = F.element_at(F.transform(F.array(raw), _by_shape), 1)
+    rest = F.element_at(F.transform(F.array(raw), _by_grammar), 1)
     return F.coalesce(*tries, rest).cast("date")
 
 
@@ -82,6 +95,16 @@ def parse_date_report(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.count_if((strip(F.col(f"`{c}`")) != "") & parse_date_flexible(F.col(f"`{c}`")).isNull()).alias(c) for c in cols])
 
 
+def date_shapes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """How a table spells its dates: (column, shape, cells, parsed) of the non-blank
+    cells, digits as 9 and words as a."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), strip(F.col(f"`{c}`").cast("string")).alias("cell")) for c in cols])
+    rows = df.select(F.explode(cells).alias("c")).select("c.*").filter(F.col("cell") != "")
+    shape = F.regexp_replace(F.regexp_replace("cell", r"\d", "9"), r"\p{L}+", "a")
+    return (rows.groupBy("column", shape.alias("shape"))
+            .agg(F.count(F.lit(1)).alias("cells"), F.count(parse_date_flexible("cell")).alias("parsed")))
+
+
 def _month_map() -> Column:
     kv = []
     for i, name in enumerate(MONTH_NAMES_ES, start=1):

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import H_HOLDING, H_PLANNED, OVERDUE_STATUS, PARETO_TOP, RANKING_TOP
-from visitlens.functions.dates import format_date, parse_date_flexible, parse_date_report
+from visitlens.constants import (H_HOLDING, H_PLANNED, MONTH_NAMES_ES, OVERDUE_STATUS, PARETO_TOP, RANKING_TOP,
+                                 WEEKDAY_NAMES_ES)
+from visitlens.functions.dates import date_shapes, format_date, parse_date_flexible, parse_date_report
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
 from visitlens.operators.clean import clean_plan
 from visitlens.operators.filters import non_blank
@@ -55,6 +56,28 @@ def q_date_spellings(spark, d):
     return rows.select("o_orderkey", format_date(parse_date_flexible("spelled"), "yyyy-MM-dd").alias("parsed"))
 
 
+def q_date_grammar(spark, d):
+    """Weekdays, ordinals, month names in two languages, compact times, zones."""
+    k, o = F.col("o_orderkey") % 10, F.col("o_orderdate")
+    part = lambda p: F.date_format(o, p)
+    in_es = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), n)
+    es_day, es_month = in_es(WEEKDAY_NAMES_ES, F.weekday(o) + 1), in_es(MONTH_NAMES_ES, F.month(o))
+    join = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    text = (F.when(k == 0, part("EEE dd MMM yyyy")).when(k == 1, join(es_day, " ", part("d"), " de ", es_month, " de ", part("yyyy")))
+            .when(k == 2, join(part("yyyyMMdd"), " 1030")).when(k == 3, join(part("EEEE, MMMM d"), "th, ", part("yyyy"), " 8:15 p.m."))
+            .when(k == 4, join("10:30 ", part("dd/MM/yyyy"))).when(k == 5, join(part("yyyyMMdd"), "T103000Z"))
+            .when(k == 6, join(F.upper(es_day), ", ", part("dd-MM-yyyy"), " 10:30:00 +03:00")).when(k == 7, join(part("d"), F.substring(es_month, 1, 3), part("yy")))
+            .when(k == 8, join(part("yyyy"), " ", es_month, " ", part("d"))).otherwise(join("some ", part("EEE d MMM yyyy"))))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("spelled"))
+    return rows.select("o_orderkey", format_date(parse_date_flexible("spelled"), "yyyy-MM-dd").alias("parsed"))
+
+
+def q_date_shapes(spark, d):
+    """How the raw plan spells its planned dates."""
+    raw = rename_headers(plan_raw(spark, d), HEADER_ALIASES).select(F.col(f"`{H_PLANNED}`").alias("planned"))
+    return date_shapes(raw, ["planned"])
+
+
 def q_unparsed_dates(spark, d):
     """Non-blank planned dates that are no dates."""
     raw = rename_headers(plan_raw(spark, d), HEADER_ALIASES).select(F.col(f"`{H_PLANNED}`").alias("planned"))
@@ -310,6 +333,10 @@ def check_sql() -> dict[str, str]:
     seg = f"(SELECT * FROM plan WHERE has_case AND {O.contains('segments', SEGMENT)})"
     return {
         "date_spellings": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed FROM orders",
+        "date_grammar": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 9 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed FROM orders",
+        "date_shapes": """
+SELECT 'planned' AS column, CASE o_orderkey % 7 WHEN 2 THEN 'a a' WHEN 3 THEN '99-99-9999' WHEN 4 THEN '99/99/9999' ELSE '9999-99-99' END AS shape,
+       count(*) AS cells, count(*) FILTER (WHERE o_orderkey % 7 <> 2) AS parsed FROM orders WHERE o_orderkey % 7 > 1 GROUP BY ALL""",
         "unparsed_dates": "SELECT count(*) AS planned FROM orders WHERE o_orderkey % 7 = 2",
         "payload_errors": """
 SELECT event_id, CASE WHEN event_id % 6 IN (2, 3, 4) THEN 'error' ELSE 'ok' END AS status,
