@@ -6,18 +6,19 @@
    between pieces, as no phrase spans two.  Word counts come from the dictionaries.
 2. **Fingerprints.**  With P[i] = sum of h(word j) B^j over j < i, modulo 2^64, the
    phrase of words i to i + k has the fingerprint (P[i + k] - P[i]) B^-i: one numpy
-   expression for all phrases of a block.  A block hands on (fingerprint, count,
-   block, place of one occurrence) once for each phrase.
-3. **Aggregation.**  The shuffle brings the entries of a fingerprint together; those
-   of fingerprints with fewer than ``min_count`` occurrences go.
-4. **Verification.**  The places left are looked up in their blocks.  Occurrences are
-   compared word by word inside a block and phrase by phrase between blocks, so a
-   collision of fingerprints counts as the phrases that it is made of.  Only frequent
-   phrases become strings.
-
-A phrase holding an infrequent word or pair of words is infrequent itself.  Frequent
-words, then pairs, are therefore marked in a bitmap of fixed size; phrases that it
-rules out are not handed on.  A full bitmap would rule out less and change no result.
+   expression for all phrases of a block.  A block compares the words of occurrences
+   that share a fingerprint and hands on, once for each phrase, its fingerprint, count,
+   count times a second fingerprint by another base, and a pointer to one occurrence.
+3. **Aggregation.**  The shuffle adds up both sums and keeps one pointer a fingerprint.
+   Fingerprints with fewer than ``min_count`` occurrences go.
+4. **Verification.**  The pointers left are followed into the text: only frequent phrases
+   become strings.  If all occurrences were of the phrase found there, the second sum is
+   their count times its second fingerprint.  Where it is not, phrases have collided; then
+   all pointers of that fingerprint are followed and counted by their text.
+
+A phrase holding an infrequent pair of words is infrequent itself.  Frequent pairs are
+therefore marked in a bitmap of fixed size, and longer phrases that it rules out are
+not handed on.  A full bitmap would rule out less and change no result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +43,8 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Characters a block of one language is gathered from.
-BLOCK_CHARS = 16_000_000
-#: Bits of the bitmap of frequent words or pairs: 8 MB whatever the data.
+BLOCK_CHARS = 4_000_000
+#: Bits of the bitmap of frequent pairs: 8 MB whatever the data.
 FILTER_BITS = 26
 
 _SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -49,10 +52,12 @@ _TOKEN = re.compile(r"[.,;:!?\n-\r]+|[^ \t.,;:!?\n-\r]+")
 _SEPARATOR = re.compile(r"[.,;:!?\n-\r]")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_SECOND = 0xD6E8FEB86659FD93
 
-_BLOCK = "block long, lang string, n long, words array<string>, counts array<long>, hashes array<long>, ids binary"
-_ENTRY = "fp long, cnt long, block long, at int, k int"
+_BLOCK = "block long, lang string, n long, words array<string>, counts array<long>, ids binary"
+_ENTRY = "fp long, cnt long, second long, pointer long"
+#: A pointer: number of the task, of its block, place in that, words of the phrase.
+_TASK_BITS, _SEQUENCE_BITS, _PLACE_BITS, _SIZE_BITS = 21, 11, 27, 4
 
 
 def _parts(text: str, size: int) -> Iterator[str]:
@@ -84,36 +89,51 @@ class _Gathered:
         self.chars += len(part) + 1
 
     def row(self, block: int, lang: str) -> tuple:
-        """Words in lower case, most frequent first; -1 stands between pieces."""
+        """Words in lower case, most frequent first, numbered from 1; 0 stands between
+        pieces.  The numbers' bytes are laid out by significance, as most are small."""
         ids, words = np.concatenate(self.ids), {}
-        to = np.array([-1 if w[0] in _SEPARATORS else words.setdefault(w.translate(_LOWER), len(words)) for w in self.raw], "int32")
+        to = np.array([0 if w[0] in _SEPARATORS else words.setdefault(w.translate(_LOWER), len(words) + 1) for w in self.raw], "int32")
         ids = to[ids]
-        ids = ids[(ids >= 0) | np.concatenate((ids[1:] >= 0, [False]))]
-        counts = np.bincount(ids[ids >= 0], minlength=len(words))
+        ids = ids[(ids > 0) | np.concatenate((ids[1:] > 0, [False]))]
+        counts = np.bincount(ids, minlength=len(words) + 1)[1:]
         order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(words) + 1, "int32")
-        rank[order], rank[-1] = np.arange(len(words)), -1
+        rank = np.zeros(len(words) + 1, "<i4")
+        rank[order + 1] = np.arange(1, len(words) + 1)
         names = np.array(list(words), dtype=object)[order]
-        hashes = pd.util.hash_array(names, categorize=False).view("int64") if len(names) else np.zeros(0, "int64")
-        return block, lang, int(counts.sum()), names.tolist(), counts[order], hashes, rank[ids].tobytes()
+        return block, lang, int(counts.sum()), names.tolist(), counts[order], rank[ids].view("uint8").reshape(-1, 4).T.tobytes()
+
+
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(ids, "uint8").reshape(4, -1).T).view("<i4").ravel()
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """One of 64 bits a word, 0 for the mark between pieces."""
+    names = np.array(list(words), dtype=object)
+    return np.concatenate((np.zeros(1, "uint64"), pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, "uint64")))
 
 
 def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block; NULL texts have no words, a NULL language is ``und``."""
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: defaultdict[str, _Gathered] = defaultdict(_Gathered)
-        first = TaskContext.get().partitionId() << 32
-        made = 0
+        task, made = TaskContext.get().partitionId(), 0
+        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())),
+                            ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
 
-        def flush(langs: list[str]) -> Iterator[pd.DataFrame]:
+        def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang in langs:
+                if task >= 1 << _TASK_BITS or made >= 1 << _SEQUENCE_BITS:
+                    raise ValueError("more tasks, or blocks in a task, than pointers can tell apart: raise block_chars")
+                row = waiting.pop(lang).row(task << _SEQUENCE_BITS | made, lang)
                 made += 1
-                yield pd.DataFrame([waiting.pop(lang).row(first + made, lang)], columns=["block", "lang", "n", "words", "counts", "hashes", "ids"])
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                for part in _parts(text, block_chars):
+            for lang, text in zip(b.column("lang"), b.column("text")):
+                lang = lang.as_py()
+                for part in _parts(text.as_py(), block_chars):
                     waiting[lang].add(part)
                     if waiting[lang].chars >= block_chars:
                         yield from flush([lang])
@@ -122,7 +142,7 @@ def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         yield from flush(list(waiting))
 
     return (docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-            .where("text <> ''").mapInPandas(gather, _BLOCK))
+            .where("text <> ''").mapInArrow(gather, _BLOCK))
 
 
 def mixed(fp: np.ndarray, lang: str, k: int) -> np.ndarray:
@@ -155,6 +175,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype="uint64")
 
 
+class Fingerprints:
+    """Prefix polynomial of a sequence of word hashes."""
+
+    def __init__(self, hashes: np.ndarray, base: int) -> None:
+        with np.errstate(over="ignore"):
+            self.down = _powers(pow(base, -1, 2**64), len(hashes))
+            self.prefix = np.concatenate((np.zeros(1, "uint64"), np.cumsum(hashes * _powers(base, len(hashes)), dtype="uint64")))
+
+    def at(self, at: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.prefix[at + k] - self.prefix[at]) * self.down[at]
+
+
 def entries(fp: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, count, place of one occurrence) of each phrase among the places
     ``at``: places of one fingerprint whose words differ are entries of their own."""
@@ -172,65 +205,76 @@ def entries(fp: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     return fp[starts], np.diff(np.append(starts, len(fp))), at[starts]
 
 
-def _phrases(blocks: DataFrame, sizes: range, words: np.ndarray, pairs: np.ndarray | None) -> DataFrame:
-    """Entries of the phrases of ``sizes`` words that the bitmaps do not rule out."""
-    sc = blocks.sparkSession.sparkContext
-    known, known_pairs = sc.broadcast(words), sc.broadcast(pairs) if pairs is not None else None
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _second(hashes: np.ndarray, lang: str, at: np.ndarray, k: int) -> np.ndarray:
+    """Second fingerprints, of 16 bits: times any count they fit a long."""
+    return (mixed(Fingerprints(hashes, _SECOND).at(at, k), lang, k) >> np.uint64(48)).astype("int64")
+
+
+def phrase_entries(blocks: DataFrame, sizes: range, pairs: np.ndarray | None = None, bits: int = 64) -> DataFrame:
+    """Entries of the phrases of ``sizes`` words; of those with an unmarked pair none."""
+    known = blocks.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
+    keep = np.uint64(64 - bits)
+
+    def of_block(block: int, lang: str, ids: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, first = len(ids), Fingerprints(hashes, _BASE)
+        pair = (ids[:-1] > 0) & (ids[1:] > 0)
+        if known is not None:
+            at = np.flatnonzero(pair)
+            pair[at] = _marked(known.value, mixed(first.at(at, 2), lang, 2) >> keep)
+        for k in sizes:
+            if n < k:
+                continue
+            fits = pair[:n - k + 1].copy()
+            for j in range(1, k - 1):
+                fits &= pair[j:n - k + 1 + j]
+            at = np.flatnonzero(fits)
+            fp, cnt, at = entries(mixed(first.at(at, k), lang, k) >> keep, at, ids, k)
+            pointer = np.int64(block << (_PLACE_BITS + _SIZE_BITS)) | (at << _SIZE_BITS) | k
+            columns = [fp.view("int64"), cnt, cnt * _second(hashes, lang, at, k), pointer]
+            for i in range(0, len(fp), 100_000):
+                yield pa.record_batch([pa.array(c[i:i + 100_000]) for c in columns], ["fp", "cnt", "second", "pointer"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples():
-                ids, hashes = np.frombuffer(r.ids, "int32"), np.asarray(r.hashes).astype("int64").view("uint64")
-                n = len(ids)
-                if n < 2:
-                    continue
-                with np.errstate(over="ignore"):
-                    up, down = _powers(_BASE, n), _powers(_INVERSE, n)
-                    prefix = np.concatenate((np.zeros(1, "uint64"), np.cumsum(np.append(hashes, np.uint64(0))[ids] * up, dtype="uint64")))
-                frequent = np.append(_marked(known.value, mixed(hashes, r.lang, 1)), False)[ids]
-                pair = frequent[:-1] & frequent[1:]
-                if known_pairs is not None:
-                    at = np.flatnonzero(pair)
-                    pair[at] = _marked(known_pairs.value, mixed((prefix[at + 2] - prefix[at]) * down[at], r.lang, 2))
-                for k in sizes:
-                    if n < k:
-                        continue
-                    fits = pair[:n - k + 1].copy()
-                    for j in range(1, k - 1):
-                        fits &= pair[j:n - k + 1 + j]
-                    at = np.flatnonzero(fits)
-                    fp, cnt, at = entries(mixed((prefix[at + k] - prefix[at]) * down[at], r.lang, k), at, ids, k)
-                    for i in range(0, len(fp), 200_000):
-                        part = slice(i, i + 200_000)
-                        yield pd.DataFrame({"fp": fp[part].view("int64"), "cnt": cnt[part], "block": r.block, "at": at[part], "k": k})
-
-    return blocks.select("block", "lang", "hashes", "ids").mapInPandas(find, _ENTRY)
-
-
-def _frequent(found: DataFrame, min_count: int) -> DataFrame:
-    """Entries of fingerprints with ``min_count`` occurrences.  A block has one entry
-    a phrase, so the most frequent one has as many as there are blocks."""
-    return found.withColumn("total", F.sum("cnt").over(Window.partitionBy("fp"))).where(F.col("total") >= min_count).drop("total")
-
-
-def _look_up(blocks: DataFrame, places: DataFrame) -> DataFrame:
-    """(lang, phrase, k, cnt) of entries, read from their blocks."""
-    def read(block: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block) and len(at):
-            words, ids = block["words"].iloc[0], np.frombuffer(block["ids"].iloc[0], "int32")
-            for start, k, cnt in zip(at["at"].to_numpy(), at["k"].to_numpy(), at["cnt"].to_numpy()):
-                out.append((block["lang"].iloc[0], " ".join([words[i] for i in ids[start:start + k]]), k, cnt))
-        return pd.DataFrame(out, columns=["lang", "phrase", "k", "cnt"])
+            for block, lang, words, ids in zip(*(b.column(c) for c in ("block", "lang", "words", "ids"))):
+                numbers = _numbers(ids.as_py())
+                if len(numbers) > 1:
+                    yield from of_block(block.as_py(), lang.as_py(), numbers, _hashes(words.as_py())[numbers])
+
+    return blocks.select("block", "lang", "words", "ids").mapInArrow(find, _ENTRY)
+
 
-    return (blocks.select("block", "lang", "words", "ids").groupBy("block").cogroup(places.drop("fp").groupBy("block"))
-            .applyInPandas(read, "lang string, phrase string, k int, cnt long"))
+def frequent(found: DataFrame, min_count: int) -> DataFrame:
+    """One entry a fingerprint of ``min_count`` occurrences, with the sums of both counts."""
+    return (found.groupBy("fp").agg(F.sum("cnt").alias("cnt"), F.sum("second").alias("second"), F.min("pointer").alias("pointer"))
+            .where(F.col("cnt") >= min_count))
+
+
+def _follow(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """(lang, phrase, k, cnt, fp, longer, agrees) of entries, read where they point to."""
+    def read(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block) and len(own):
+            lang, words, ids = block["lang"].iloc[0], block["words"].iloc[0], _numbers(block["ids"].iloc[0])
+            hashes = _hashes(words)[ids]
+            own = own.assign(k=own["pointer"] % (1 << _SIZE_BITS), at=own["pointer"] // (1 << _SIZE_BITS) % (1 << _PLACE_BITS))
+            for k, group in own.groupby("k"):
+                at = group["at"].to_numpy()
+                agrees = group["cnt"].to_numpy() * _second(hashes, lang, at, int(k)) == group["second"].to_numpy()
+                out += [(lang, " ".join([words[i - 1] for i in ids[a:a + k]]), k, c, fp, k > 2, ok)
+                        for a, c, fp, ok in zip(at, group["cnt"], group["fp"], agrees)]
+        return pd.DataFrame(out, columns=["lang", "phrase", "k", "cnt", "fp", "longer", "agrees"])
+
+    own = found.withColumn("block", F.shiftright("pointer", _PLACE_BITS + _SIZE_BITS))
+    return (blocks.select("block", "lang", "words", "ids").groupBy("block").cogroup(own.groupBy("block"))
+            .applyInPandas(read, "lang string, phrase string, k int, cnt long, fp long, longer boolean, agrees boolean"))
 
 
 def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT,
-                   max_words: int = MAX_WORDS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+                   max_words: int = MAX_WORDS, block_chars: int = BLOCK_CHARS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(words and phrases of up to ``max_words`` words that occur ``min_count`` times:
-    lang, phrase, k, a; all words of each language: lang, n)."""
+    lang, phrase, k, a; all words of each language: lang, n).  ``bits``: width of the
+    fingerprints; fewer collide more and give the same result."""
     spark = docs.sparkSession
     path = scratch_path(spark, "blocks")
     word_blocks(docs, lang_col, text_col, block_chars).write.option("compression", "zstd").parquet(path)
@@ -239,34 +283,29 @@ def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     words = cut(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
                 .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
                 .where(F.col("a") >= min_count).select("lang", "phrase", F.lit(1).alias("k"), "a"))
-    seen = _bitmap(words.select(_fingerprint("lang", "phrase").alias("fp")))
-    pairs = cut(_frequent(_phrases(blocks, range(2, 3), seen, None), min_count))
-    longer = _frequent(_phrases(blocks, range(3, max_words + 1), seen, _bitmap(pairs)), min_count)
-    phrases = cut(_look_up(blocks, pairs.unionByName(longer)).groupBy("lang", "phrase", "k").agg(F.sum("cnt").alias("a"))
-                  .where(F.col("a") >= min_count))
+    entered = [phrase_entries(blocks, range(2, 3), bits=bits)]
+    kept = [cut(frequent(entered[0], min_count))]
+    if max_words > 2:
+        entered.append(phrase_entries(blocks, range(3, max_words + 1), _bitmap(kept[0]), bits))
+        kept.append(cut(frequent(entered[1], min_count)))
+    entered, kept = ([df.withColumn("longer", F.lit(i > 0)) for i, df in enumerate(own)] for own in (entered, kept))
+    read = cut(_follow(blocks, reduce(DataFrame.unionByName, kept)))
+    phrases = read.where("agrees")
+    collided = read.where("NOT agrees").select("fp", "longer")
+    if not collided.isEmpty():
+        every = reduce(DataFrame.unionByName, entered).join(collided, ["fp", "longer"], "left_semi")
+        phrases = phrases.unionByName(_follow(blocks, every))
+    phrases = cut(phrases.groupBy("lang", "phrase", "k").agg(F.sum("cnt").alias("a")).where(F.col("a") >= min_count))
     drop_scratch(spark, path)
     return words.unionByName(phrases.where(F.col("k") <= max_words)), n
 
 
-def _fingerprint(lang: str, word: str) -> Column:
-    """The fingerprint of a word, as the blocks have it."""
-    @F.pandas_udf("long")
-    def of(langs: pd.Series, words: pd.Series) -> pd.Series:
-        hashes, out = pd.util.hash_array(words.to_numpy(dtype=object), categorize=False), np.zeros(len(words), "uint64")
-        for name in langs.unique():
-            here = (langs == name).to_numpy()
-            out[here] = mixed(hashes[here], name, 1)
-        return pd.Series(out.view("int64"))
-
-    return of(F.col(lang), F.col(word))
-
-
 def _words(start: int | Column, length: int | Column) -> Column:
     return F.array_join(F.slice(F.split("phrase", " "), start, length), " ")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT,
-                 max_words: int = MAX_WORDS, top: int = TOP, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                 max_words: int = MAX_WORDS, top: int = TOP, block_chars: int = BLOCK_CHARS, bits: int = 64) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A phrase of 2 to ``max_words`` words with a >= ``min_count`` occurrences scores
@@ -274,7 +313,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     two parts.  Phrases inside a longer one that is as frequent are left out: as counts
     never rise with length, looking one word further is enough.  NULL and empty texts
     count for nothing, repeated rows count each time, other columns are ignored."""
-    grams, n = frequent_grams(docs, lang_col, text_col, min_count, max_words, block_chars)
+    grams, n = frequent_grams(docs, lang_col, text_col, min_count, max_words, block_chars, bits)
     found = grams.where("k > 1")
     longer = found.where("k > 2")
     inside = (longer.select("lang", _words(F.lit(1), F.col("k") - 1).alias("phrase"), F.col("a").alias("longer"))
