@@ -150,3 +150,24 @@ def test_blocked_equals_brute_force_other_thresholds(spark):
     for t in (30, 60, 75, 95):
         want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if 200 * lcs_length(a, b) >= t * (len(a) + len(b))}
         assert {(min(r.ts_a, r.ts_b), max(r.ts_a, r.ts_b)) for r in similar_keys(df, t).collect()} == want
+
+
+def test_index_grows_to_the_full_result(spark, tmpdir_path):
+    import os
+    from visitlens.operators.similarity_join import propose
+    from visitlens.plans.vocabulary_index import add_labels, proposals, read_index
+    rnd = random.Random(9)
+    words = ["operador", "maquina", "auxiliar", "bodega", "soldador", "pintor", "carga", "grua"]
+    labels = sorted({" ".join(rnd.choice(words) + rnd.choice(["", "", "s", "a"]) for _ in range(rnd.randint(1, 3))) for _ in range(400)} | {"()", "a"})[:170]
+    rnd.shuffle(labels)
+    frame = lambda vs: spark.createDataFrame([(v,) for v in vs], "value string")
+    path = os.path.join(tmpdir_path, "index")
+    assert add_labels(frame(labels[:90]), path) == 90
+    assert add_labels(frame(labels[60:130]), path) == 40 and add_labels(frame(labels[:130]), path) == 0
+    old = {r.ts for r in read_index(spark, path)["labels"].collect()}
+    assert add_labels(frame(labels[130:]), path) == len(labels) - 130
+    want = list(map(tuple, propose(frame(labels)).collect()))
+    assert want and list(map(tuple, proposals(spark, path).collect())) == want
+    last = spark.read.parquet(os.path.join(path, "batch=000002", "pairs")).collect()
+    assert last and all(r.ts_a not in old or r.ts_b not in old for r in last)  # never old with old
+    assert proposals(spark, os.path.join(tmpdir_path, "none")).count() == 0

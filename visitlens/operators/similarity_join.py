@@ -100,9 +100,9 @@ def _segment(a, d, i):
     return start, F.floor((i + 1) * a / (d + 1)).cast("int") - start
 
 
-def segment_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
-    """Key pairs (ts_a, n_a, ts_b, n_b, and bags) that share a segment in place, once
-    per segment, shorter key first (ties by key)."""
+def segment_index(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(own, other): the segments of the keys as shorter ones, and the substrings that
+    they are looked for under as longer ones."""
     bag_lo, bag_hi = _bags(F.col("ts"))
     k = keys.select("ts", "n").filter(F.col("n") > 0).distinct().select("ts", "n", bag_lo.alias("x"), bag_hi.alias("y"))
     edits = _max_edits(F.col("n_a"), F.col("n_b"), threshold)
@@ -126,26 +126,46 @@ def segment_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> Dat
     other = (other.withColumn("move", F.explode(moves)).filter((F.col("i") < 0) | (moved & inside))
              .select("ts_b", "n_b", "x_b", "y_b", F.col("n_a").alias("from"), "i",
                      F.when(F.col("i") < 0, F.lit("")).otherwise(F.substring("ts_b", F.col("start") + F.col("move") + 1, F.col("length"))).alias("text")))
+    return own, other
+
+
+def meet(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Key pairs (ts_a, n_a, ts_b, n_b, and bags) that share a segment in place, once
+    per segment, shorter key first (ties by key)."""
     return own.join(other, (F.col("n_a") == F.col("from")) & (F.col("to") == F.col("n_b")) & (F.col("at") == F.col("i"))
                     & (F.col("segment") == F.col("text")) & ((F.col("n_a") < F.col("n_b")) | (F.col("ts_a") < F.col("ts_b"))))
 
 
+def segment_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
+    """``meet`` of the keys with each other."""
+    return meet(*segment_index(keys, threshold))
+
+
+def close_pairs(met: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
+    """The pairs of ``meet`` whose character counts allow a match, each once."""
+    # becomes part of the join's condition: only close pairs leave the join
+    near = _bags_match((F.col("x_a"), F.col("y_a")), (F.col("x_b"), F.col("y_b")), F.col("n_a"), F.col("n_b"), threshold)
+    return met.filter(near).select("ts_a", "n_a", "ts_b", "n_b").distinct()
+
+
 def candidate_pairs(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
     """Unordered candidate key pairs (ts_a, n_a, ts_b, n_b), shorter key first
     (ties by key).  Contains every pair that can match."""
-    # becomes part of the join's condition: only close pairs leave the join
-    near = _bags_match((F.col("x_a"), F.col("y_a")), (F.col("x_b"), F.col("y_b")), F.col("n_a"), F.col("n_b"), threshold)
-    return segment_pairs(keys, threshold).filter(near).select("ts_a", "n_a", "ts_b", "n_b").distinct()
+    return close_pairs(segment_pairs(keys, threshold), threshold)
 
 
-def similar_keys(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
-    """E3 at key level: verified matching key pairs (ts_a, n_a, ts_b, n_b, lcs, score)."""
-    cand = candidate_pairs(keys, threshold)
-    ver = cand.withColumn("lcs", lcs("ts_a", "ts_b"))
+def matching(candidates: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
+    """Candidates that match, with ``lcs`` and ``score``."""
+    ver = candidates.withColumn("lcs", lcs("ts_a", "ts_b"))
     ok = ver.filter(meets_threshold(F.col("lcs"), F.col("n_a"), F.col("n_b"), threshold))
     return ok.withColumn("score", ratio_from_lcs(F.col("lcs"), F.col("n_a"), F.col("n_b")))
 
 
+def similar_keys(keys: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> DataFrame:
+    """E3 at key level: verified matching key pairs (ts_a, n_a, ts_b, n_b, lcs, score)."""
+    return matching(candidate_pairs(keys, threshold), threshold)
+
+
 def _symmetric(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """(x, y, score) for both directions of every matching pair plus (x, x, 100)."""
     fwd = pairs.select(F.col("ts_a").alias("x"), F.col("ts_b").alias("y"), "score")
@@ -182,8 +202,12 @@ def cluster(values: DataFrame, col: str = "value", threshold: int = SIMILARITY_T
     # scan, the explode and the LCS verification run exactly once.
     checkpoint_dir(values.sparkSession)
     labels = label_keys(values, col).checkpoint()
+    return clustered(labels, similar_keys(labels.select("ts", "n").distinct(), threshold).checkpoint(), threshold)
+
+
+def clustered(labels: DataFrame, pairs: DataFrame, threshold: int = SIMILARITY_THRESHOLD) -> dict[str, DataFrame]:
+    """The clusters of labels (value, ts, n) whose keys' matching pairs are known."""
     keys = labels.select("ts", "n").distinct()
-    pairs = similar_keys(keys, threshold).checkpoint()
     sym = _symmetric(pairs, keys)
     reps = choose_canonicals(labels, sym)
     # the canonical set feeds the anti-join, the nearest-canonical search and

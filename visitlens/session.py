@@ -97,3 +97,9 @@ def replace_path(spark: SparkSession, new: str, path: str) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     at, fs = _path(spark, path)
     fs.delete(at, True)
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, in order."""
+    at, fs = _path(spark, pattern)
+    return sorted(str(f.getPath()) for f in fs.globStatus(at) or [])

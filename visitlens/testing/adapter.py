@@ -56,11 +56,14 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k5 == 2, F.translate("p_name", "aeo", "áéó"))
               .when(k5 == 3, F.concat(F.lit("  "), F.replace(F.col("p_name"), F.lit(" "), F.lit("   ")), F.lit(" ")))
               .otherwise(F.concat(w2, F.lit(" "), w1)))
+    occ = F.concat(F.upper("p_type"), F.lit(" "), F.upper(w2))
+    occ_dirty = (F.when(k5 == 0, F.concat(F.lower(occ), F.lit("s"))).when(k5 == 1, F.concat(F.upper(w2), F.lit(" "), F.upper("p_type")))
+                 .when(k5 == 2, F.concat(occ, F.lit(" A"))).otherwise(occ))
     seg = F.element_at(F.array(*[F.lit(s) for s in FIXTURE_SEGMENTS]), (F.col("l_partkey") % 6 + 1).cast("int"))
     lines = j.select(
         "l_orderkey",
         F.concat(F.lit("F"), _s(F.col("l_orderkey") % 500), F.lit("-"), _s(F.col("l_suppkey") % 3)).alias("folio"),
-        F.concat(F.upper("p_type"), F.lit(" "), F.upper(w2)).alias("occ"),
+        occ.alias("occ"), occ_dirty.alias("occ_dirty"),
         F.col("p_name").alias("task"), dirty.alias("task_dirty"),
         F.col("p_brand").alias("diag"), seg.alias("seg"))
 
@@ -71,11 +74,12 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     # levels (order, case) and (order), and the later join on the order key
     lines = lines.repartition("l_orderkey")
     per_case = lines.groupBy("l_orderkey", "folio").agg(
-        agg_sorted("occ", " | ").alias("occ"), agg_sorted("task", ", ").alias("task"),
+        agg_sorted("occ", " | ").alias("occ"), agg_sorted("occ_dirty", " | ").alias("occ_dirty"), agg_sorted("task", ", ").alias("task"),
         agg_sorted("task_dirty", ", ").alias("task_dirty"), agg_sorted("diag", ", ").alias("diag"),
         agg_sorted("seg", " ").alias("seg"))
     return per_case.groupBy("l_orderkey").agg(
         agg_sorted("folio", " || ").alias("case_ids"), agg_sorted("occ", " || ").alias("occupations"),
+        agg_sorted("occ_dirty", " || ").alias("occupations_dirty"),
         agg_sorted("task", " || ").alias("tasks"), agg_sorted("task_dirty", " || ").alias("tasks_dirty"),
         agg_sorted("diag", " || ").alias("diagnoses"), agg_sorted("seg", " || ").alias("segments"))
 
@@ -137,7 +141,7 @@ def _plan_raw(spark: SparkSession, sf_dir: str, dirty_tasks: bool) -> DataFrame:
         _s((F.col("o_orderkey") % 40).cast("double")).alias("N de trabajadores(as) a evaluar 2026 N hombres"),
         women.alias("N de trabajadores(as) a evaluar 2026 N mujeres"),
         case("case_ids").alias("folios"),
-        case("occupations").alias("ocupaciones"),
+        case("occupations_dirty" if dirty_tasks else "occupations").alias("ocupaciones"),
         case("tasks_dirty" if dirty_tasks else "tasks").alias("tareas"),
         case("diagnoses").alias("diagnosticos"),
         case("segments").alias("segmentos"),

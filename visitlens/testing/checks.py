@@ -22,7 +22,8 @@ from visitlens.operators.lookup import anti_membership, semi_membership
 from visitlens.operators.shape import drop_empty_rows, ensure_columns, relabel, rename_headers
 from visitlens.constants import HEADER_ALIASES
 from visitlens.plans import reports as R
-from visitlens.plans.normalizer import PHASE1_SEPS, phase1_proposals
+from visitlens.plans.normalizer import PHASE1_SEPS, phase1_proposals, vocabulary
+from visitlens.plans.vocabulary_index import add_labels, proposals
 from visitlens.session import scratch_path
 from visitlens.sources.payload import payload_status, payload_to_rows
 from visitlens.sources.readers import read_delimited_skip
@@ -325,6 +326,17 @@ def q_indicator_order(spark, d):
     return reduce(DataFrame.unionByName, [number_rows(page[t]).select(F.lit(t).alias("part"), "_row", "specialist", "pct_goal") for t in ("indicators", "indicators_chart")])
 
 
+def q_incremental_proposals(spark, d):
+    """Proposals of a vocabulary that came in three lots, some labels twice."""
+    path = scratch_path(spark, "vocabulary")
+    words = vocabulary(plan_raw(spark, d, dirty_tasks=True), {"tareas": PHASE1_SEPS["tareas"]})
+    lot = F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(4))
+    for lots in ((0, 1), (1, 2), (3, 0)):
+        add_labels(words.filter(lot.isin(*lots)), path)
+    return proposals(spark, path).select(F.col("variant").alias("variante"), F.col("canonical").alias("canonical_propuesto"),
+                                         F.col("similarity").alias("similitud"))
+
+
 CHECKS = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
@@ -407,6 +419,7 @@ SELECT row_number() OVER (ORDER BY planned_date, center_name) AS "_row", strftim
 FROM plan WHERE planned_date IS NOT NULL"""),
         "proposal_order": f"""
 SELECT row_number() OVER (ORDER BY canonical_propuesto, similitud DESC, variante) AS "_row", * FROM ({O.build_extra()['canonical_proposals']})""",
+        "incremental_proposals": O.build_extra()["canonical_proposals"],
         "indicator_order": with_base(f"""
 SELECT t.part, row_number() OVER (PARTITION BY t.part ORDER BY t.sign * pct_goal, specialist) AS "_row", specialist, pct_goal
 FROM (SELECT specialist, {pct('goals', 'centers')} AS pct_goal FROM i), (VALUES ('indicators', -1), ('indicators_chart', 1)) t(part, sign)""",

@@ -305,7 +305,7 @@ def norm_ctes(p: str, values_sql: str) -> str:
   WHERE v.value NOT IN (SELECT canonical FROM {p}canon) AND n.score >= {T})"""
 
 
-RAW_DIRTY = "(SELECT center_id, occupations AS ocupaciones, tasks_dirty AS tareas FROM plan_raw)"
+RAW_DIRTY = "(SELECT center_id, occupations_dirty AS ocupaciones, tasks_dirty AS tareas FROM plan_raw)"
 
 
 def _rewrite(cell: str, m: str, outer: str, inner: str) -> str:

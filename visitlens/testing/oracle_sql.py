@@ -71,6 +71,10 @@ cells_line AS (
   SELECT l_orderkey,
          'F' || CAST(l_orderkey % 500 AS VARCHAR) || '-' || CAST(l_suppkey % 3 AS VARCHAR) AS folio,
          upper(p_type) || ' ' || upper(split_part(p_name, ' ', 2)) AS occ,
+         CASE p_partkey % 5 WHEN 0 THEN lower(p_type || ' ' || split_part(p_name, ' ', 2)) || 's'
+                            WHEN 1 THEN upper(split_part(p_name, ' ', 2)) || ' ' || upper(p_type)
+                            WHEN 2 THEN upper(p_type || ' ' || split_part(p_name, ' ', 2)) || ' A'
+                            ELSE upper(p_type || ' ' || split_part(p_name, ' ', 2)) END AS occ_dirty,
          p_name AS task,
          CASE p_partkey % 5 WHEN 0 THEN p_name
                             WHEN 1 THEN upper(p_name) || 'S'
@@ -82,7 +86,7 @@ cells_line AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 cells_case AS (
   SELECT l_orderkey, folio,
-         string_agg(occ, ' | ' ORDER BY occ) AS occ, string_agg(task, ', ' ORDER BY task) AS task,
+         string_agg(occ, ' | ' ORDER BY occ) AS occ, string_agg(occ_dirty, ' | ' ORDER BY occ_dirty) AS occ_dirty, string_agg(task, ', ' ORDER BY task) AS task,
          string_agg(task_dirty, ', ' ORDER BY task_dirty) AS task_dirty,
          string_agg(diag, ', ' ORDER BY diag) AS diag, string_agg(seg, ' ' ORDER BY seg) AS seg
   FROM cells_line GROUP BY l_orderkey, folio),
@@ -90,6 +94,7 @@ cells AS (
   SELECT l_orderkey,
          string_agg(folio, ' || ' ORDER BY folio) AS case_ids,
          string_agg(occ, ' || ' ORDER BY occ) AS occupations,
+         string_agg(occ_dirty, ' || ' ORDER BY occ_dirty) AS occupations_dirty,
          string_agg(task, ' || ' ORDER BY task) AS tasks,
          string_agg(task_dirty, ' || ' ORDER BY task_dirty) AS tasks_dirty,
          string_agg(diag, ' || ' ORDER BY diag) AS diagnoses,
@@ -115,7 +120,7 @@ plan_raw AS (
          n_name AS commune_raw,
          CAST(CAST(o_orderkey % 40 AS DOUBLE) AS VARCHAR) AS men_raw,
          CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_orderkey % 25 AS DOUBLE) AS VARCHAR) END AS women_raw,
-         case_ids, occupations, tasks, tasks_dirty, diagnoses, segments
+         case_ids, occupations, occupations_dirty, tasks, tasks_dirty, diagnoses, segments
   FROM base LEFT JOIN cells ON o_orderkey = l_orderkey),
 plan AS (
   SELECT center_id,
