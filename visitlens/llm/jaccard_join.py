@@ -13,15 +13,19 @@ sets share) without losing a link.
 
 Signatures are met in buckets: a block of 32-bit signatures per input batch
 and bucket, cut by hash, with as many buckets as the number of signatures
-asks for.  A signature that many sets of one batch share is sent once, with a
-mark.  Then
+asks for.  A block holds 40 bits of its set's key beside each signature, so it
+is as large in many buckets as in few; sets that agree in those bits are
+candidates themselves.  A signature that many sets of one batch share is sent
+once, with a mark.  Then
 
 * groups of up to ``SMALL`` sets give all their pairs, and a pair stays if it
   shares more of them than both sets could have left out;
 * larger groups matter only to sets whose signatures are so common that they
   cannot leave them all out (members of large groups of near copies).  Those
-  keep their rarest ones, and sets connected by these are compared chunk by
-  chunk, each two chunks of a connected region in one row of a join.
+  keep their rarest ones, and sets connected by these form a region.  All sets
+  of a large region are first compared with a few of them, then with a few that
+  were not linked to the rest; what is still apart is compared chunk by chunk,
+  chunks of one component never with each other.
 
 Every pair is verified on the whole sets; one that is already connected need
 not be, as the result are components.
@@ -53,8 +57,13 @@ BATCH_SIGNATURES = 1_500_000
 COMMON = 64
 #: Texts or sets that a worker is handed at a time.
 BATCH_ROWS = 1000
-#: Sets of a region that are compared with as many others in one row.
+#: Sets of a region that are compared with as many others in one row, and their features.
 CHUNK = 512
+CHUNK_FEATURES = 1_000_000
+#: Sets of a large region that all others are compared with, by round.
+PIVOTS = (4, 4)
+#: Bits of a set's key that stand beside a signature.
+KEY_BITS = 40
 #: Ids (of sets to verify, of rows to drop) that are broadcast to pick texts; beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -168,6 +177,15 @@ def signatures(features: np.ndarray, percent: int = PERCENT) -> list[tuple[int,
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes laid out by significance."""
+    return x.astype("<u4").view("uint8").reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "uint8").reshape(4, -1).T).view("<u4").ravel()
+
+
 def _key(features: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(features.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -192,14 +210,14 @@ def describe_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def signature_blocks(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
-    """Blocks of signatures by bucket.  A block lists its (set, band) entries
-    (``keys``, ``bands``), how many of ``found`` belong to each (``counts``)
-    and which signatures are ``common``.  Rows with bucket -1 hold the sets
-    (``keys``, ``bands``) of one common signature (``found``) of a batch."""
-    schema = "bucket int, keys binary, bands binary, counts binary, found binary, common binary"
+    """Blocks of signatures by bucket, by rising signature (``found``: the steps),
+    with the key (``low``, ``high``) and band of the set of each, and which are
+    ``common``.  Rows with bucket -1 hold the sets (``low``: whole keys, ``bands``) of
+    one common signature (``found``) of a batch."""
+    schema = "bucket int, low binary, high binary, bands binary, found binary, common binary"
 
     def flush(keys: list[int], band: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
-        entry_key, entry_band = np.array(keys, "int64"), np.array(band, "uint8")
+        entry_key, entry_band = np.array(keys, "int64") & ((1 << KEY_BITS) - 1), np.array(band, "uint8")
         entry = np.repeat(np.arange(len(parts), dtype="int32"), [len(p) for p in parts])
         sig = np.concatenate(parts)
         order = np.argsort(sig, kind="stable")
@@ -209,22 +227,21 @@ def signature_blocks(docs: DataFrame, buckets: int, words: int, percent: int) ->
         rows, drop, common = [], np.zeros(len(sig), bool), np.zeros(len(sig), bool)
         for at, n in zip(first[size >= COMMON].tolist(), size[size >= COMMON].tolist()):
             members = entry[at:at + n]
-            rows.append((-1, entry_key[members].tobytes(), entry_band[members].tobytes(), b"", sig[at:at + 1].tobytes(), b""))
+            rows.append((-1, entry_key[members].tobytes(), b"", entry_band[members].tobytes(), sig[at:at + 1].tobytes(), b""))
             drop[at + 1:at + n] = True
             common[at] = True
         sig, entry, common = sig[~drop], entry[~drop], common[~drop]
         bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)  # rises with the signature
-        edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
-        for b in range(buckets):
-            lo, hi = edge[b], edge[b + 1]
-            if lo == hi:
-                continue
-            by_entry = np.argsort(entry[lo:hi], kind="stable")
-            e, s = entry[lo:hi][by_entry], (sig[lo:hi][by_entry] & _U(0xFFFFFFFF)).astype("uint32")
-            own, count = np.unique(e, return_counts=True)
-            rows.append((b, entry_key[own].tobytes(), entry_band[own].tobytes(), count.astype("uint32").tobytes(), s.tobytes(),
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(sig) else np.zeros(1, int)
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            part = (sig[lo:hi] & _U(0xFFFFFFFF)).astype("uint32")
+            order = np.argsort(part, kind="stable")
+            e, part = entry[lo:hi][order], part[order]
+            key = entry_key[e]
+            rows.append((int(bucket[lo]), _planes(key & 0xFFFFFFFF), (key >> 32).astype("uint8").tobytes(), entry_band[e].tobytes(),
+                         _planes(np.diff(part, prepend=np.uint32(0))),
                          (sig[lo:hi][common[lo:hi]] & _U(0xFFFFFFFF)).astype("uint32").tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "keys", "bands", "counts", "found", "common"])
+        return pd.DataFrame(rows, columns=["bucket", "low", "high", "bands", "found", "common"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()  # copies in this task's rows
@@ -254,10 +271,9 @@ def signature_blocks(docs: DataFrame, buckets: int, words: int, percent: int) ->
 
 
 def _unpack(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, "int64") for x in block["keys"]])
+    keys = np.concatenate([_numbers(x).astype("int64") | np.frombuffer(y, "uint8").astype("int64") << 32 for x, y in zip(block["low"], block["high"])])
     bands_ = np.concatenate([np.frombuffer(x, "uint8") for x in block["bands"]])
-    counts = np.concatenate([np.frombuffer(x, "uint32") for x in block["counts"]])
-    return np.repeat(keys, counts), np.repeat(bands_, counts), np.concatenate([np.frombuffer(x, "uint32") for x in block["found"]])
+    return keys, bands_, np.concatenate([np.cumsum(_numbers(x), dtype="uint32") for x in block["found"]])
 
 
 def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +324,7 @@ def common_members(buckets: int):
     """Members of the common signatures of a batch, with their group."""
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for keys, band, found in zip(b["keys"], b["bands"], b["found"]):
+            for keys, band, found in zip(b["low"], b["bands"], b["found"]):
                 sig = int(np.frombuffer(found, _U)[0])
                 gid = ((sig >> 32) * buckets >> 32) << 32 | sig & 0xFFFFFFFF
                 a = np.frombuffer(keys, "int64")
@@ -318,8 +334,8 @@ def common_members(buckets: int):
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) set keys to linked (x, y) node ids, by the whole sets."""
-    left = sets.select(F.col("k1").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("features").alias("fx"))
-    right = sets.select(F.col("k1").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("features").alias("fy"))
+    left = sets.select("a", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("features").alias("fx"))
+    right = sets.select(F.col("a").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("features").alias("fy"))
     sized = (pairs.join(left.drop("fx"), "a").join(right.drop("fy"), "b")
              .where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
              .where("x <> y").select("a", "b").distinct())
@@ -353,7 +369,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one node per distinct set: its smallest id
     nodes = cut(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("band").alias("band"),
                                               F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1"),
-                                              F.max("found").alias("found")))
+                                              F.max("found").alias("found"))
+                .withColumn("a", F.col("k1").bitwiseAND(F.lit((1 << KEY_BITS) - 1))))
     total = nodes.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_SIGNATURES))
     blocks = signature_blocks(rows.where(F.col("doc_id").isNotNull()), buckets, words, percent)
@@ -361,11 +378,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = cut(blocks, BATCH_ROWS)
     met = cut(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, schema))
     members = (met.where("gid >= 0").select("a", "band", "gid")
-               .unionByName(blocks.where("bucket < 0").select("keys", "bands", "found")
+               .unionByName(blocks.where("bucket < 0").select("low", "bands", "found")
                             .mapInPandas(common_members(buckets), "a long, band int, gid long")).distinct())
 
     # a linked pair agrees on more than slack signatures; those not in a small group are in a large one
-    per_band = (nodes.select(F.col("k1").alias("a"), F.explode(F.array(
+    per_band = (nodes.select("a", F.explode(F.array(
         F.struct(F.col("band").alias("band"), F.col("slack0").alias("slack")),
         F.struct((F.col("band") + 1).alias("band"), F.col("slack1").alias("slack")))).alias("s"))
         .groupBy("a", "s.band").agg(F.min("s.slack").alias("slack")))
@@ -376,7 +393,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = (met.where("gid < 0").groupBy("a", "b", "band").agg(F.sum("hits").alias("hits"))
              .join(spare.drop("large"), ["a", "band"]).join(other, ["b", "band"])
              .where("hits > spare AND hits > spare2").select("a", "b").distinct())
-    small = cut(small)
+    alike = nodes.groupBy("a").agg(F.count("*").alias("sets")).where("sets > 1").select("a", F.col("a").alias("b"))
+    small = cut(small.unionByName(alike))
 
     # members of large groups that cannot do without them keep their rarest
     sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
@@ -397,39 +415,88 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _links_of_groups(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y): links that span the components of sets that share large groups.
 
-    Sets connected by such groups form a region; a region is cut into chunks
-    by hash, every two chunks meet in one row, and a meeting sends on a
-    spanning forest of its links: linear in the chunk, not its pairs.
+    Sets connected by such groups form a region.  A region of one chunk is compared
+    whole.  In a larger one all sets meet a few pivots, one row a chunk, which leaves
+    few components where most sets are copies of one text; then chunks of different
+    components meet.  A meeting sends on a spanning forest of its links.
     """
     star = (heavy.join(heavy.groupBy("gid").agg(F.min("a").alias("center")), "gid").where("a <> center")
             .select("a", "center").distinct())
     regions = cut(connected_components(star, "a", "center"))
-    chunks = regions.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = (sets.join(regions.withColumnRenamed("node", "k1"), "k1").join(chunks, "component")
-              .withColumn("chunk", F.pmod(F.xxhash64("k1", "node"), F.col("chunks")).cast("int"))
-              .select(F.col("component").alias("region"), "chunk", "node", "n", "features"))
-
+    placed = (sets.join(regions.withColumnRenamed("node", "a"), "a")
+              .select(F.col("component").alias("region"), "node", "n", "features"))
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_FEATURES)).cast("int")
+    sizes = cut(placed.groupBy("region").agg(chunks.alias("chunks")))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("string")
+    packed = cut(_packed(placed.join(sizes, "region").withColumns({"cell": own, "label": F.col("node")})))
+    links = cut(packed.join(sizes.where("chunks = 1"), "region").mapInPandas(_meeting(percent), "x long, y long"), BATCH_ROWS)
+    large = packed.join(sizes.where("chunks > 1").select("region"), "region")
+    members = cut(placed.join(sizes.where("chunks > 1").select("region"), "region").select("region", "node"))
+    label = F.coalesce("component", "node").alias("label")
+    classes = members.select("region", "node", F.col("node").alias("label"))
+    for pivots in PIVOTS:
+        counts = classes.groupBy("region", "label").agg(F.count("*").alias("sets"))
+        main = counts.groupBy("region").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.max("sets").alias("most"))
+        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
+        chosen = (classes.join(main, "region").where("label <> main OR most = 1").withColumn("nth", nth)
+                  .where(F.col("nth") <= pivots).select("region", "node"))
+        pivot = _packed(placed.join(chosen, ["region", "node"]).withColumns({"cell": F.lit("pivots"), "label": F.col("node")}))
+        met = large.join(_other(pivot), "region").mapInPandas(_meeting(percent), "x long, y long")
+        links = cut(links.unionByName(met).distinct())
+        joined = connected_components(links, "x", "y")
+        classes = cut(members.join(joined, "node", "left").select("region", "node", label))
+
+    # cells of one component where it fills some, else of several small ones
+    counts = classes.groupBy("region", "label").agg(F.count("*").alias("sets"))
+    apart = counts.groupBy("region").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("sets") <= CHUNK // 4, F.col("sets"))).alias("small")).where("labels > 1")
+    whole = F.col("sets") > CHUNK // 4
+    cell = F.when(whole, F.concat_ws("/", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / CHUNK)).cast("string"))) \
+            .otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / CHUNK)).cast("string"))
+    rest = (placed.join(classes, ["region", "node"]).join(counts, ["region", "label"]).join(apart, "region")
+            .withColumns({"cell": cell, "pure": F.when(whole, F.col("label"))}))
+    cells = cut(_packed(rest))
+    card = cells.select("region", "cell", "pure")
+    meetings = (card.join(card.toDF("region", "cell2", "pure2"), "region")
+                .where("cell <= cell2 AND NOT (pure IS NOT NULL AND pure <=> pure2)").select("region", "cell", "cell2"))
+    met = (meetings.join(cells, ["region", "cell"]).join(_other(cells), ["region", "cell2"])
+           .mapInPandas(_meeting(percent), "x long, y long"))
+    return links.unionByName(met)
+
+
+_PACKED = "region long, cell string, pure long, nodes binary, labels binary, sizes binary, features binary"
+
+
+def _packed(placed: DataFrame) -> DataFrame:
+    """One row per (region, cell) with all its sets."""
     def pack(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], key[1], frame["node"].to_numpy("int64").tobytes(), frame["n"].to_numpy("int64").tobytes(),
-                              b"".join(frame["features"]))], columns=["region", "chunk", "nodes", "sizes", "features"])
+        raw = lambda c: frame[c].to_numpy("int64").tobytes()
+        pure = None if pd.isna(frame["pure"].iloc[0]) else int(frame["pure"].iloc[0])
+        return pd.DataFrame({"region": [key[0]], "cell": [key[1]], "pure": pd.array([pure], "Int64"), "nodes": [raw("node")], "labels": [raw("label")],
+                             "sizes": [raw("n")], "features": [b"".join(frame["features"])]})
+
+    pure = F.col("pure") if "pure" in placed.columns else F.lit(None).cast("long").alias("pure")
+    return placed.select("region", "cell", pure, "node", "label", "n", "features").groupBy("region", "cell").applyInPandas(pack, _PACKED)
+
+
+def _other(packed: DataFrame) -> DataFrame:
+    """Packed rows as the other side of a meeting."""
+    return packed.select("region", *[F.col(c).alias(f"{c}2") for c in ("cell", "nodes", "labels", "sizes", "features")])
 
-    packed = cut(placed.groupBy("region", "chunk").applyInPandas(pack, "region long, chunk int, nodes binary, sizes binary, features binary"))
-    card = packed.select("region", "chunk")
-    meetings = card.join(card.withColumnRenamed("chunk", "chunk2"), "region").where("chunk <= chunk2")
-    other = packed.select("region", F.col("chunk").alias("chunk2"), F.col("nodes").alias("nodes2"), F.col("sizes").alias("sizes2"),
-                          F.col("features").alias("features2"))
 
+def _meeting(percent: int):
+    """Links of each row's sets with those of the other side or, without one or with
+    itself, among each other."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                mine, theirs = _split(r.sizes, r.features), _split(r.sizes2, r.features2)
-                found = spanning_links(mine, None if r.chunk == r.chunk2 else theirs, percent)
-                x, y = np.frombuffer(r.nodes, "int64"), np.frombuffer(r.nodes2, "int64")
+            for r in b.to_dict("records"):
+                one = r.get("cell2", r["cell"]) == r["cell"]
+                x, mine, label = np.frombuffer(r["nodes"], "int64"), _split(r["sizes"], r["features"]), np.frombuffer(r["labels"], "int64")
+                y, theirs, label2 = (x, None, None) if one else (np.frombuffer(r["nodes2"], "int64"), _split(r["sizes2"], r["features2"]),
+                                                               np.frombuffer(r["labels2"], "int64"))
+                found = spanning_links(mine, theirs, percent, label, label2)
                 yield pd.DataFrame({"x": x[[i for i, _ in found]], "y": y[[j for _, j in found]]}, dtype="int64")
 
-    return (meetings.join(packed, ["region", "chunk"]).join(other, ["region", "chunk2"])
-            .select("chunk", "nodes", "sizes", "features", "chunk2", "nodes2", "sizes2", "features2")
-            .mapInPandas(compare, "x long, y long"))
+    return compare
 
 
 def _split(sizes: bytes, features: bytes) -> list[np.ndarray]:
@@ -443,9 +510,11 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
                      for f in sets])
 
 
-def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, percent: int,
+                   labels: np.ndarray | None = None, labels2: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Positions of verified links that span all links of two lists of sets,
-    or of one where ``theirs`` is None.  Pairs whose parities differ too often
+    or of one where ``theirs`` is None, of sets with different labels where there
+    are labels.  Pairs whose parities differ too often
     are out; of the rest those not yet connected are compared in full."""
     one = theirs is None
     theirs = mine if one else theirs
@@ -456,6 +525,8 @@ def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, perc
     if one:
         open_ = np.triu(open_, 1)
     label = np.arange(len(mine) if one else len(mine) + len(theirs))
+    if labels is not None:
+        label = np.unique(labels if one else np.concatenate((labels, labels2)), return_inverse=True)[1]
     shift, found = 0 if one else len(mine), []
     while True:
         open_ &= label[:len(mine), None] != label[None, shift:shift + len(theirs)]
@@ -474,8 +545,8 @@ def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, perc
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(k1, node, n, features) of the sets to verify, read from their texts again."""
-    chosen = cut(nodes.join(wanted.withColumnRenamed("a", "k1"), "k1").select("k1", "k2", "node", "n"))
+    """(a, node, n, features) of the sets to verify, read from their texts again."""
+    chosen = cut(nodes.join(wanted, "a").select("a", "k1", "k2", "node"))
     side = chosen.withColumnRenamed("node", "doc_id")
     texts = rows.join(F.broadcast(side) if chosen.count() <= BROADCAST_IDS else side, "doc_id")
 
@@ -485,10 +556,10 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
             for node, text, k1, k2 in zip(b["doc_id"], b["text"], b["k1"], b["k2"]):
                 f = shingle_set(text if isinstance(text, str) else None, words)
                 if _key(f) == (k1, k2):
-                    out.append((k1, node, len(f), f.tobytes()))
-            yield pd.DataFrame(out, columns=["k1", "node", "n", "features"])
+                    out.append((k1 & ((1 << KEY_BITS) - 1), node, len(f), f.tobytes()))
+            yield pd.DataFrame(out, columns=["a", "node", "n", "features"])
 
-    return cut(texts.select("doc_id", "text", "k1", "k2").mapInPandas(read, "k1 long, node long, n long, features binary"), BATCH_ROWS)
+    return cut(texts.select("doc_id", "text", "k1", "k2").mapInPandas(read, "a long, node long, n long, features binary"), BATCH_ROWS)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
