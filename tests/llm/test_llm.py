@@ -691,3 +691,23 @@ def test_pipeline_odd_rows(spark, odd, none, tmp_path):
 def test_kept_digest(spark):
     got = {r.doc_id: r.kept_sha256 for r in QUERIES["op2_line_dedup"](spark, SF).collect()}
     assert got == {i: hashlib.sha256("\n".join(k).encode()).hexdigest() for i, _, k, _ in lines_kept(rows("documents", "doc_id, text"))}
+
+
+def test_mixed_rows_that_differ_elsewhere(spark):
+    """Equal id, text and source, other columns not: every row has its own turn, in
+    any order of the input."""
+    rows_ = [(1, "a b c", "s", 10), (1, "a b c", "s", 20), (1, "a b c", "s", 20), (2, "d e", "s", 30), (3, "f", None, 40)]
+    got = [sorted(map(tuple, mixed_corpus(spark.createDataFrame(r, "doc_id long, text string, source string, other int")).collect()), key=str)
+           for r in (rows_, rows_[::-1])]
+    assert got[0] == got[1] and {r[3] for r in got[0]} >= {10, 20}
+    taken = mix_documents(spark.createDataFrame(rows_, "doc_id long, text string, source string, other int")).collect()
+    assert len(got[0]) == sum(r.passes for r in taken)
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    """The same sample, hence the same model, whatever the order of the labels."""
+    docs = spark.createDataFrame([(i, "good plain words " * (i % 7 + 1) if i % 2 else "##|| " * (i % 5 + 1)) for i in range(120)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(120)] + [(i, 1 - i % 2) for i in range(0, 120, 3)]
+    models = [quality.train(docs, spark.createDataFrame(ls, "doc_id long, quality int").repartition(n)) for ls, n in ((labels, 1), (labels[::-1], 5))]
+    x = np.random.default_rng(2).random((50, len(quality.STATISTICS))) * 5
+    assert (models[0].score(x) == models[1].score(x)).all()

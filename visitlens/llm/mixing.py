@@ -123,13 +123,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  **params) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, a row once per pass that
-    serves it.  Repeated rows share the sum of their passes."""
+    """The mixed corpus: the columns of ``docs``, a row once per pass that serves it.
+    Rows that repeat id, text and source have places of their own in the queue, in the
+    order of their other columns, and each is served by its own passes."""
     place = hex_key(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    taken = (mix_documents(docs, id_col, text_col, source_col, **params).where("passes > 0")
-             .groupBy(F.col("place").alias("m_place"), F.col("source").alias("m_source")).agg(F.sum("passes").alias("m_times")))
-    own = docs.select(F.struct(*docs.columns).alias("row"), place.alias("place"), F.col(source_col).alias("own_source"))
-    one = own.withColumn("nth", F.row_number().over(Window.partitionBy("place", "own_source").orderBy("place"))).where("nth = 1")
-    return (one.join(taken, (F.col("place") == F.col("m_place")) & F.col("own_source").eqNullSafe(F.col("m_source")))
-            .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("m_times").cast("int"))))
+    queue = Window.partitionBy("m_place", "m_source").orderBy("finish", "passes")
+    taken = (mix_documents(docs, id_col, text_col, source_col, **params)
+             .select(F.col("place").alias("m_place"), F.col("source").alias("m_source"), "finish", "passes")
+             .withColumn("m_nth", F.row_number().over(queue)).where("passes > 0"))
+    rest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    own = docs.select(F.struct(*docs.columns).alias("row"), place.alias("place"), F.col(source_col).alias("own_source"), rest.alias("rest"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("place", "own_source").orderBy("rest")))
+    return (own.join(taken, (F.col("place") == F.col("m_place")) & F.col("own_source").eqNullSafe(F.col("m_source")) & (F.col("nth") == F.col("m_nth")))
+            .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
             .select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

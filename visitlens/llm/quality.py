@@ -157,11 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that are not held out.
 
     At most ``max_rows`` of them, by hash of the id; NULL ids and labels are
-    left out, a repeated label row counts once.  The sample's ids are broadcast
+    left out, ids that have both labels too, a repeated label row counts once.  The sample's ids are broadcast
     (bounded by ``max_rows``), their texts' statistics come to the driver.
     """
     sample = (labels.select(F.col(id_col).cast("long").alias("s_id"), F.col(label_col).cast("int").alias("s_label"))
-              .where(F.col("s_label").isin(0, 1) & ~held_out(F.col("s_id"))).dropDuplicates(["s_id"])
+              .where(F.col("s_label").isin(0, 1) & ~held_out(F.col("s_id")))
+              .groupBy("s_id").agg(F.min("s_label").alias("s_label"), F.max("s_label").alias("s_other"))
+              .where(F.col("s_label") == F.col("s_other")).drop("s_other")
               .orderBy(F.xxhash64("s_id"), "s_id").limit(max_rows))
     rows = (docs.select(F.col(id_col).cast("long").alias("s_id"), F.col(text_col).cast("string").alias("text"))
             .join(F.broadcast(sample), "s_id"))
