@@ -72,3 +72,25 @@ def test_facets_validated_together_are_bounded(spark):
     with pytest.raises(ValueError):
         validate_selection(df, dict.fromkeys(names, "x"), names)
     assert validate_selection(df, dict.fromkeys(names[:4], "x"), names) == dict.fromkeys(names[:4], "x") | dict.fromkeys(names[4:])
+
+
+def test_index_equals_direct_answers(spark, sheets, tmp_path):
+    from visitlens.operators.case_index import CaseIndex, build_case_index
+    from visitlens.operators.cells import cases_per_group
+    from visitlens.operators.filters import apply_filters, facet_options, only_cases
+    p, fu = sheets
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    built = build_case_index(p, fu, str(tmp_path))
+    assert built["combos"] <= p.count() and set(built) == {"cases", "combos", "bits", "followup"}
+    index = CaseIndex(spark, str(tmp_path))
+    some = p.filter("has_case").first()
+    for sel in ({}, {"account": "MACHINERY"}, {"region": "3", "specialist": some.specialist}, {"employer": some.employer}, {"holding": "none such"}):
+        q, f = apply_filters(p, sel), apply_filters(fu, sel)
+        for month in (None, 3):
+            assert rows(index.kpi_global(sel, month)) == rows(A.kpi_global(q, f, month))
+            assert rows(index.kpi_followup(sel, month)) == rows(A.kpi_followup(q, f, month))
+        assert rows(index.case_summary(sel)) == rows(A.case_summary(only_cases(q)))
+        assert rows(index.cases_by("employer", sel)) == rows(cases_per_group(q, "employer"))
+        assert rows(index.facet_options(sel)) == rows(facet_options(p, sel))
+    build_case_index(p.limit(0), fu.limit(0), str(tmp_path / "none"))
+    assert rows(CaseIndex(spark, str(tmp_path / "none")).kpi_global({})) == [(0, None, None, 0, 0)]

@@ -209,16 +209,17 @@ def summary_entries(condition=None) -> list:
             distinct_of("n_employers", "employer", condition=condition), rows_where("n_visits", condition)]
 
 
+def followup_counts(fu: DataFrame) -> list:
+    """What F17 and F18 count in the follow-up; 0 for columns that it lacks."""
+    def where(name: str, col: str, condition) -> "F.Column":
+        return (F.count_if(F.coalesce(condition, F.lit(False))) if col in fu.columns else F.lit(0).cast("bigint")).alias(name)
+
+    return [F.count(F.lit(1)).alias("fu_rows"), where("goals", "goal_met", F.col("goal_met")),
+            where("overdue", "visit_status", F.col("visit_status") == OVERDUE_STATUS), *[where(p, p, F.col(p)) for p in PILLARS]]
+
+
 def _fu_counts(fu: DataFrame) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("fu_rows")]
-    aggs.append(F.count_if(F.coalesce(F.col("goal_met"), F.lit(False))).alias("goals")
-                if "goal_met" in fu.columns else F.lit(0).cast("bigint").alias("goals"))
-    aggs.append(F.count_if(F.coalesce(F.col("visit_status") == OVERDUE_STATUS, F.lit(False))).alias("overdue")
-                if "visit_status" in fu.columns else F.lit(0).cast("bigint").alias("overdue"))
-    for p in PILLARS:
-        aggs.append(F.count_if(F.coalesce(F.col(p), F.lit(False))).alias(p) if p in fu.columns
-                    else F.lit(0).cast("bigint").alias(p))
-    return fu.agg(*aggs)
+    return fu.agg(*followup_counts(fu))
 
 
 def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> DataFrame:
@@ -231,7 +232,11 @@ def kpi_global(plan: DataFrame, fu: DataFrame, month: int | None = None) -> Data
 
 def kpi_global_of(measures: DataFrame, fu_counts: DataFrame) -> DataFrame:
     """F17 from the plan's measures and the follow-up's counts."""
-    both = attach_scalars(scalars(measures, ["scheduled", "n_cases", "employers_with_cases"]), fu_counts)
+    return kpi_global_row(attach_scalars(scalars(measures, ["scheduled", "n_cases", "employers_with_cases"]), fu_counts))
+
+
+def kpi_global_row(both: DataFrame) -> DataFrame:
+    """F17 from one row of all counts."""
     has_fu = F.col("fu_rows") > 0
     return both.select(
         "scheduled",

@@ -16,6 +16,7 @@ from visitlens.constants import (H_HOLDING, H_PLANNED, MONTH_NAMES_ES, OVERDUE_S
                                  WEEKDAY_NAMES_ES)
 from visitlens.functions.dates import date_shapes, format_date, parse_date_flexible, parse_date_report
 from visitlens.operators.canonicalize import canonicalize_cell, load_canonical_map
+from visitlens.operators.case_index import CaseIndex, build_case_index
 from visitlens.operators.clean import clean_plan
 from visitlens.operators.filters import non_blank
 from visitlens.operators.lookup import anti_membership, semi_membership
@@ -32,7 +33,7 @@ from visitlens.streaming import start_payload_ingest
 from visitlens.testing import oracle_queries as O
 from visitlens.testing.adapter import plan_raw, table
 from visitlens.testing.oracle_sql import pct, tokens, with_base
-from visitlens.testing.registry import DIAGNOSIS, SEGMENT, TEAM_FILTER, followup, plan
+from visitlens.testing.registry import DIAGNOSIS, FACET_SELECTION, MONTH, SEGMENT, TEAM_FILTER, followup, plan
 
 #: Spelling of a date per order: Spark's pattern letters, and text put after it.
 SPELLINGS = [
@@ -337,6 +338,30 @@ def q_incremental_proposals(spark, d):
                                          F.col("similarity").alias("similitud"))
 
 
+def _index(spark, d):
+    path = scratch_path(spark, "case_index")
+    build_case_index(plan(spark, d), followup(spark, d), path)
+    return CaseIndex(spark, path)
+
+
+def q_indexed_kpis(spark, d):
+    """F17-F19 of one selection and all, from the stored index."""
+    index = _index(spark, d)
+    out = []
+    for name, sel in (("all", {}), ("account", TEAM_FILTER), ("region", {"region": "3"})):
+        out += [index.kpi_global(sel, MONTH).select(F.lit(name).alias("part"), F.lit("kpi").alias("kind"), "scheduled", "n_cases", F.col("employers_with_cases").alias("employers")),
+                index.case_summary(sel).select(F.lit(name), F.lit("summary"), "n_visits", "n_cases", "n_employers")]
+    return reduce(DataFrame.union, out)
+
+
+def q_indexed_cases(spark, d):
+    """Distinct cases per employer and per region, facet options, from the index."""
+    index = _index(spark, d)
+    per = [index.cases_by(f, TEAM_FILTER).select(F.lit(f).alias("part"), F.col(f).alias("name"), F.col("n_cases").cast("bigint").alias("cnt")) for f in ("employer", "region")]
+    options = index.facet_options(FACET_SELECTION).select("facet", "value", F.lit(0).cast("bigint"))
+    return reduce(DataFrame.union, [*per, options])
+
+
 CHECKS = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
@@ -419,6 +444,18 @@ SELECT row_number() OVER (ORDER BY planned_date, center_name) AS "_row", strftim
 FROM plan WHERE planned_date IS NOT NULL"""),
         "proposal_order": f"""
 SELECT row_number() OVER (ORDER BY canonical_propuesto, similitud DESC, variante) AS "_row", * FROM ({O.build_extra()['canonical_proposals']})""",
+        "indexed_kpis": with_base("\nUNION ALL\n".join(f"""
+SELECT '{name}' AS part, 'kpi' AS kind, (SELECT count(*) FROM p WHERE planned_date IS NOT NULL AND month = {MONTH}) AS scheduled,
+       (SELECT count(DISTINCT c) FROM (SELECT unnest({tokens('case_ids', ['||'])}) AS c FROM p)) AS n_cases,
+       (SELECT count(DISTINCT employer) FROM p WHERE has_case) AS employers
+UNION ALL SELECT '{name}', 'summary', n_visits, n_cases, n_employers FROM ({O.case_summary_sql('(SELECT * FROM p WHERE has_case)')})"""
+            .replace(" p ", f" (SELECT * FROM plan WHERE {cond}) ").replace(" p)", f" (SELECT * FROM plan WHERE {cond}))")
+            for name, cond in (("all", "true"), ("account", f"account = '{TEAM_FILTER['account']}'"), ("region", "region = '3'")))),
+        "indexed_cases": with_base(f"""
+SELECT 'employer' AS part, employer AS name, n_cases AS cnt FROM ({O.cases_per_employer_sql('p')})
+UNION ALL SELECT 'region', region, count(DISTINCT c) FROM (SELECT region, unnest({tokens('case_ids', ['||'])}) AS c FROM p) GROUP BY region
+UNION ALL SELECT facet, value, 0 FROM ({O.facet_options_sql(FACET_SELECTION)})""",
+            f"p AS (SELECT * FROM plan WHERE account = '{TEAM_FILTER['account']}')"),
         "incremental_proposals": O.build_extra()["canonical_proposals"],
         "indicator_order": with_base(f"""
 SELECT t.part, row_number() OVER (PARTITION BY t.part ORDER BY t.sign * pct_goal, specialist) AS "_row", specialist, pct_goal
