@@ -603,6 +603,36 @@ def test_html_names_of_parts():
         assert parts(page(f"<div class=ad>x</div><div {wrapper}>{body}<div class=promo>y</div></div>")) == ["the text of the article"]
 
 
+def test_html_wrappers_of_parts():
+    """Qualified names count on wrappers, inside an article and out of it."""
+    parts = lambda p: html_text.text_blocks(html_text.parse(p), set())
+    body = "<h1>Title of it</h1><p>" + "the text of the article " * 6 + "</p>"
+    want = parts(page(f"<article>{body}</article>"))
+    inside = ['<section id="comments"><p>x</p></section>', '<div class="comment-body">x</div>', '<div class="post-comments">x</div>', '<ul class="related-posts"><li>x</ul>',
+              '<div class="google-ad">x</div>', '<div class="advert-300x250">x</div>', '<div class="social-links">x</div>']
+    for part in inside:
+        assert parts(page(f"<article>{body}{part}</article>")) == want, part
+    for name in """site-header main-nav site-footer page-footer left-sidebar sidebar-left post-comments comment-thread user-comments related-articles
+                   ads-top site-notice global-navigation footer-links top-bar""".split():
+        assert parts(page(f'<div class="{name}">x</div>{body}<div id="{name}"><p>y</p></div>')) == want, name
+    long_talk = "<div class=comments>" + "<p>readers write and write</p>" * 40 + "</div>"
+    assert parts(page(body + long_talk)) == want
+    kept = ['<div class="post-content"><p>k</p></div>', '<div class="article-header"><p>k</p></div>', '<p class="user-comments">k</p>', '<section id="related-posts"><p>k</p></section>']
+    for part in kept:
+        assert parts(page(f"<article>{body}{part}</article>")) == [*want, "k"], part
+
+
+def test_html_quotations_stay_outside_articles(spark):
+    """Prose that recurs on a host without its neighbour is no template."""
+    quote, note = "<p>To be, or not to be, that is the question.</p>", "<p>Sent once a week.</p><div>About this site</div>"
+    pages = [("https://a.example/", f"<h1>page {i}</h1><p>own {i}</p>{quote if i % 80 == 3 else ''}<p>more {i}</p>{note}") for i in range(400)]
+    pages += [("https://b.example/", f"<p>own {i}</p>{quote}") for i in range(9)]
+    got = html_texts(spark, pages)
+    line = ["To be, or not to be, that is the question."]
+    assert got[:400] == [[f"page {i}", f"own {i}", *(line if i % 80 == 3 else []), f"more {i}"] for i in range(400)]
+    assert got[400:] == [[f"own {i}", *line] for i in range(9)]
+
+
 def test_html_templates(spark):
     """Subtrees that recur on a host go, prose of articles and lone pages stay."""
     strip = "<div><span>Our site</span> <a href='/x'>join us</a></div>"

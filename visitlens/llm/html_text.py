@@ -12,7 +12,10 @@ Prose (paragraphs, headings, quotations and what they hold) inside an article
 is never taken for template: a passage that many articles quote stays.  Of the
 rest of an article only whole blocks are, those that stand in it itself or in
 a wrapper around most of it; an item or cell never goes without its list or
-table, inside an article or out of it.
+table, inside an article or out of it.  Outside an article a block must recur in
+its place: beside the same neighbour or, unless it is prose, at the same end of
+its parent; only a block that is mostly links recurs anywhere.  The neighbour of
+prose must not be prose itself, so a passage that several pages quote stays.
 """
 
 from __future__ import annotations
@@ -46,16 +49,23 @@ NEVER = RAW | frozenset("""head nav footer aside form button select option input
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar
     navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay
-    comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup
+    comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup
     login pagination pager toolbar widget widgets skip""".split())
 # with one of the above they name a part of the page ("ad-slot"); any other word makes a name of its own ("ad-hoc")
 PART_WORDS = frozenset("area bar box buttons container form icons list section slot wrap wrapper".split())
+# what else the name of a wrapper may hold beside one of the first ("left-sidebar", "comment-body"); sizes and numbers too
+QUALIFIERS = frozenset("""site page main global top bottom left right user users reader readers post posts article articles google body content
+    item items thread links link inner outer unit primary secondary first second col column rail fixed sticky mobile desktop""".split())
+HEADER_OF = frozenset("site page main global top web".split())
 # never taken for template: the page's frame and its articles; parts of a list or table, which go with the whole only
 FRAME = frozenset("html head body article main".split())
 ITEMS = frozenset("li dt dd thead tbody tfoot tr th td caption".split())
 LISTS = frozenset("ul ol dl table".split())
 # what may wrap the blocks of an article
 WRAPPERS = frozenset("div section article main".split())
+#: Blocks around others: their names may be qualified.
+WRAPS = frozenset("div section ul ol dl table aside figure address details fieldset hgroup".split())
+_SIZE = re.compile(r"\d+(?:x\d+)?(?:px)?")
 #: Elements whose id names a part of the page; elsewhere ids are often slugs of headings.
 ID_NAMES_PART = BLOCK - PROSE - {"article", "section", "li", "tr", "td", "th", "summary"}
 
@@ -70,11 +80,12 @@ _ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "hash", "size", "holds_article", "holds_most", "removable")
+    __slots__ = ("tag", "attrs", "items", "hash", "size", "linked", "holds_article", "holds_most", "holds_all", "removable", "in_place", "keys")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.hash, self.size = tag, attrs, [], 0, 0
-        self.holds_article = self.holds_most = self.removable = False
+        self.tag, self.attrs, self.items, self.hash, self.size, self.linked = tag, attrs, [], 0, 0, 0
+        self.holds_article = self.holds_most = self.holds_all = self.removable = self.in_place = False
+        self.keys: tuple[int, ...] = ()
 
     def attributes(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
@@ -161,14 +172,17 @@ def parse(html: str) -> Node:
 
 def measure(root: Node) -> None:
     """Fill in how many characters of text an element holds, blanks and what
-    its tag rules out left aside, whether that is most of the page's, and
-    whether the element may be template: blocks but for the page's frame and
-    parts of lists and tables; in an article only its whole blocks."""
+    its tag rules out left aside, and how many of them in links, whether that is
+    most or nearly all of the page's, and whether the element may be template: blocks
+    but for the page's frame and parts of lists and tables; in an article only its
+    whole blocks; outside, where links do not prevail, only ``in_place``."""
     nodes = elements(root)
     for node in reversed(nodes):
         node.size = sum((0 if x.tag in NEVER else x.size) if isinstance(x, Node) else len("".join(x.split())) for x in node.items)
+        node.linked = node.size if node.tag == "a" else sum(x.linked for x in node.items if isinstance(x, Node) and x.tag not in NEVER)
     for node in nodes:
         node.holds_most = 2 * node.size > root.size
+        node.holds_all = root.size - node.size < 40
     # elements, the size of the article around (None outside, 0 inside a block of it), whether they are all that an item holds
     todo: list[tuple[Node, int | None, bool]] = [(root, None, False)]
     while todo:
@@ -177,6 +191,7 @@ def measure(root: Node) -> None:
             if isinstance(x, Node):
                 lone = x.tag in ITEMS or item and x.size == node.size and x.tag not in LISTS
                 x.removable = x.tag in BLOCK and x.tag not in FRAME and not lone and (around is None or around > 0 and x.tag not in PROSE)
+                x.in_place = around is None and 2 * x.linked < x.size
                 if x.tag in ("article", "main"):
                     inside = x.size
                 else:
@@ -184,11 +199,19 @@ def measure(root: Node) -> None:
                 todo.append((x, inside, lone))
 
 
-def names_part(name: str) -> bool:
-    """Whether a class or id as a whole is a name of what stands beside the
-    main text: all its words are, but for such as "box" or "list"."""
+def names_part(name: str, wrapper: bool = False) -> bool:
+    """Whether a class or id as a whole is a name of what stands beside the main
+    text: all its words are, but for such as "box" or "list" and, for a wrapper, the
+    words that qualify them."""
     words = set(re.split(r"[_-]+", name)) - {""}
-    return bool(words & NEVER_WORDS) and words <= NEVER_WORDS | PART_WORDS
+    if words & NEVER_WORDS and words <= NEVER_WORDS | PART_WORDS:
+        return True
+    if not wrapper:
+        return False
+    words = {w for w in words if not _SIZE.fullmatch(w)}
+    if words == {"top", "bar"} or "header" in words and len(words) > 1 and words - {"header"} <= HEADER_OF | PART_WORDS:
+        return True
+    return bool(words & NEVER_WORDS) and words <= NEVER_WORDS | PART_WORDS | QUALIFIERS
 
 
 def never_main(node: Node, in_article: bool) -> bool:
@@ -200,20 +223,20 @@ def never_main(node: Node, in_article: bool) -> bool:
         return True
     if tag in ("", "html", "body", "main") or tag == "article" and not in_article:
         return False
-    # a wrapper named after what stands beside the article is no reason to lose it
-    if node.holds_most and tag != "article":
-        return False
     if not node.attrs or "=" not in node.attrs and "hidden" not in node.attrs.lower():
         return False
     a = node.attributes()
+    names, own_id = a.get("class", "").lower().split(), a.get("id", "").strip().lower()
+    # a wrapper named after what stands beside the article is no reason to lose it; readers may write more than the author
+    if node.holds_most and tag != "article":
+        return tag in WRAPS and not node.holds_all and any(map(_COMMENT.fullmatch, [*names, own_id]))
     if a.get("role", "").lower() in NEVER_ROLES or "hidden" in a or _HIDDEN.search(_ATTRIBUTE.sub(" ", node.attrs)):
         return True
-    names = a.get("class", "").lower().split()
     if tag == "article":
-        return any(map(_COMMENT.fullmatch, names + [a.get("id", "").strip().lower()]))
-    if tag in ID_NAMES_PART and (name := a.get("id", "").strip().lower()):
-        names.append(name)
-    return any(map(names_part, names)) and (in_article or not node.holds_article)
+        return any(map(_COMMENT.fullmatch, [*names, own_id]))
+    if own_id and (tag in ID_NAMES_PART or tag == "section" and _COMMENT.fullmatch(own_id)):
+        names.append(own_id)
+    return any(names_part(n, tag in WRAPS) for n in names) and (in_article or not node.holds_article)
 
 
 def hash_subtrees(root: Node) -> int:
@@ -227,12 +250,27 @@ def hash_subtrees(root: Node) -> int:
             elif x := " ".join(x.split()):
                 h.update(b"\1" + x.encode("utf-8", "surrogatepass"))
         node.hash = h.intdigest()
+    for node in elements(root):
+        own = [x for x in node.items if isinstance(x, Node) and x.tag not in VOID]
+        for before, x, after in zip([None, *own], own, [*own[1:], None]):
+            if x.removable:
+                x.keys = _places(node, before, x, after) if x.in_place else (x.hash,)
     return root.hash
 
 
+def _places(parent: Node, before: Node | None, x: Node, after: Node | None) -> tuple[int, ...]:
+    """Hashes of an element with its neighbours or, but for prose, its parent's end."""
+    prose, out = x.tag in PROSE, []
+    for side, y in (("<", before), (">", after)):
+        if y is None and prose or y is not None and prose and y.tag in PROSE:
+            continue
+        out.append(xxhash.xxh64(f"{side}{x.hash} {parent.tag if y is None else y.hash}").intdigest())
+    return tuple(out)
+
+
 def candidates(root: Node) -> Iterator[int]:
-    """Hashes of the subtrees that may be template."""
-    return (x.hash for x in elements(root) if x.removable)
+    """Keys of the subtrees that may be template: their hashes, or their places."""
+    return (k for x in elements(root) if x.removable for k in x.keys)
 
 
 def marks_article(root: Node) -> bool:
@@ -249,7 +287,7 @@ def marks_article(root: Node) -> bool:
 
 def text_blocks(root: Node, template: set[int], plain: list[str] | None = None, met: set[int] | None = None) -> list[str]:
     """Blocks of the main text, white space collapsed, in page order.  ``plain``
-    takes the texts that are not in a link, ``met`` the hashes of the subtrees
+    takes the texts that are not in a link, ``met`` the keys of the subtrees
     read that may be template."""
     blocks: list[str] = []
     run: list[str] = []
@@ -277,10 +315,10 @@ def text_blocks(root: Node, template: set[int], plain: list[str] | None = None,
         else:
             if x.tag in BLOCK:
                 flush()
-            if never_main(x, in_article) or x.removable and x.hash in template:
+            if never_main(x, in_article) or x.removable and not template.isdisjoint(x.keys):
                 continue
             if met is not None and x.removable:
-                met.add(x.hash)
+                met.update(x.keys)
             if x.tag not in VOID:
                 path.append((iter(x.items), in_article or x.tag in ("article", "main"), linked or x.tag == "a", x.tag in BLOCK))
             elif x.tag not in BLOCK:
