@@ -364,13 +364,40 @@ def test_license_base(spark, odd):
     ("Licensed under the Apache License, Version 2.0.", ["apache-2.0"]), ("licensed under the apache license version 3 0", []),
     ("Distributed under the terms of the MIT license", ["mit"]), ("distributed under some terms of the mit license", []),
     ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]), ("licensed under a Creative Commons Attribution 4.0 International License", ["cc-by-4.0"]),
-    ("work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("SPDX-License-Identifier: MIT", ["spdx"]),
+    ("work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("SPDX-License-Identifier: MIT", ["mit", "spdx"]),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", ["gpl-2.0-or-later"]), ("SPDX-License-Identifier: Foo-1.0", ["spdx"]),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", ["apache-2.0", "bsd-3-clause", "mit"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["gpl-2.0"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", ["gpl-3.0"]),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["lgpl-or-later"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["agpl-or-later"]),
+    ("This program is free software: you can sell it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", []),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", ["gpl-3.0"]),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to change verbatim copies of this license document.", []),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.", ["apache-2.0"]),
+    ("Mozilla Public License Version 2.0\n==================\n1. Definitions", ["mpl-2.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["mpl-2.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/1.1/.", []),
+    ("To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to this work.", ["cc0-1.0"]),
+    ("To the extent possible under law, Jo Doe has kept all copyright and related or neighboring rights to this work.", []),
+    ("licensed under CC BY-NC-ND 4.0", ["cc-by-nc-nd-4.0"]), ("licensed under CC BY-NC-ND 7.0", []),
+    ("BSD 3-Clause License\nCopyright", ["bsd"]), ("BSD 9-Clause License", []),
 ])
 def test_license_templates(text, found):
     _, spans = license_scan.scan_words(license_scan.words_of(text), license_scan.compile_templates(), [])
     assert [s[0] for s in spans] == found
 
 
+def test_license_short_texts_whole():
+    """zlib and Unlicense, over their whole wording; a changed condition is refused."""
+    zlib_ = next(m for label, m in license_scan.TEMPLATES if label == "zlib")
+    unlicense = next(m for label, m in license_scan.TEMPLATES if label == "unlicense")
+    plain = lambda m: re.sub(r"\[[^\]]*\] ?|\{\d+\}", "", re.sub(r"\(([^|)]*)\|[^)]*\)", r"\1", m))
+    for label, markup, word, other in (("zlib", zlib_, "must not claim", "may claim"), ("unlicense", unlicense, "free to copy", "paid to copy")):
+        found = lambda t: [s for s, _, _ in license_scan.scan_words(license_scan.words_of(t), license_scan.compile_templates(), [])[1]]
+        assert found(plain(markup)) == [label] and found(plain(markup).replace(word, other)) == []
+
+
 MIT = """Copyright (c) 2020 A. Holder
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the

@@ -41,6 +41,39 @@ _MIT = (f"{_HOLDER}permission is hereby granted free of charge to any person obt
 _MIT_END = (" be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
             "or in connection with the software or the use or other dealings in the software")
 
+_TERMS = "you can redistribute it and or modify it under the terms of the "
+_FSF = " general public license as published by the free software foundation "
+_LATER = "either version {2} of the license or at your option any later version"
+_HOPE = ("[this (program|library|software) is distributed in the hope that it will be useful but without any warranty without even the implied "
+         "warranty of merchantability or fitness for a particular purpose see the gnu {1} general public license for more details]")
+_FREE = "this (program|library|software) is free software "
+_VERBATIM = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
+
+# Identifiers of licences and of exceptions in expressions, as words.
+SPDX_IDS = tuple("""mit|x11|isc|zlib|unlicense|0bsd|apache 2 0|mpl 2 0|epl 2 0|bsl 1 0|cc0 1 0|bsd 2 clause|bsd 3 clause|cc by 4 0|cc by sa 4 0|
+    gpl 2 0|gpl 3 0|gpl 2 0 only|gpl 3 0 only|gpl 2 0 or later|gpl 3 0 or later|lgpl 2 1|lgpl 3 0|lgpl 2 1 only|lgpl 3 0 only|
+    lgpl 2 1 or later|lgpl 3 0 or later|agpl 3 0|agpl 3 0 only|agpl 3 0 or later""".replace("\n    ", "").split("|"))
+SPDX_EXCEPTIONS = "(classpath exception 2 0|gcc exception 3 1|llvm exception|linux syscall note|autoconf exception 3 0|bison exception 2 2|font exception 2 0)"
+#: Further licences of an expression before and after the one that a template names.
+SPDX_TERMS = 2
+
+
+def spdx_label(words: str) -> str:
+    """``gpl 2 0 or later`` as an identifier: numbers joined by a point."""
+    return re.sub(r"(?<=\d)-(?=\d)", ".", words.replace(" ", "-"))
+
+
+def spdx_templates(ids: tuple[str, ...] = SPDX_IDS, terms: int = SPDX_TERMS) -> list[tuple[str, str]]:
+    """A template per identifier: expressions (AND, OR, WITH) that name it, whatever
+    other licences stand before and after it."""
+    exception = f"[with {SPDX_EXCEPTIONS}]"
+    other = f"({'|'.join(ids)}) {exception}"
+    before = after = ""
+    for _ in range(terms):
+        before, after = f"[{other} (and|or) {before}]", f"[(and|or) {other} {after}]"
+    return [(spdx_label(i), f"spdx license identifier {before} {i} {exception} {after}") for i in ids]
+
+
 # Wording of notices and, over their whole length, of licences, with mark-up.
 TEMPLATES = (
     ("mit", "(released|licensed|distributed|available|published) under [the terms of] (the|an) mit license"),
@@ -55,11 +88,44 @@ TEMPLATES = (
                    "license for the specific language governing permissions and limitations under the license"),
     ("gpl-2.0", "licensed under [the terms of] [version 2 of] the gnu general public license [gpl] version 2 [0]"),
     ("gpl-3.0", "licensed under [the terms of] [version 3 of] the gnu general public license [gpl] version 3 [0]"),
-    ("gpl-or-later", "this (program|library|software) is free software you can redistribute it and or modify it under the terms of "
-                     "the gnu general public license as published by the free software foundation either version {2} of the "
-                     "license or at your option any later version [this (program|library|software) is distributed in the hope that it "
-                     "will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
-                     "particular purpose see the gnu general public license for more details]"),
+    ("gpl-or-later", _FREE + _TERMS + "gnu" + _FSF + _LATER + _HOPE),
+    ("gpl-2.0", _FREE + _TERMS + "gnu (general public license version 2 as published by the free software foundation|"
+                                 "general public license as published by the free software foundation version 2 [of the license])" + _HOPE),
+    ("gpl-3.0", _FREE + _TERMS + "gnu (general public license version 3 as published by the free software foundation|"
+                                 "general public license as published by the free software foundation version 3 [of the license])" + _HOPE),
+    ("lgpl-or-later", _FREE + _TERMS + "gnu (lesser|library)" + _FSF + _LATER + _HOPE),
+    ("agpl-or-later", _FREE + _TERMS + "gnu affero" + _FSF + _LATER + _HOPE),
+    ("gpl-2.0", "gnu general public license version 2 june 1991 copyright {20} " + _VERBATIM),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright {20} " + _VERBATIM),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999 copyright {20} " + _VERBATIM),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007 copyright {20} " + _VERBATIM),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007 copyright {20} " + _VERBATIM),
+    ("apache-2.0", "apache license version 2 0 january 2004 {6} terms and conditions for use reproduction and distribution 1 definitions"),
+    ("mpl-2.0", "mozilla public license version 2 0 {2} 1 definitions"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+                "with this file you can obtain one at (http|https) [www] mozilla org mpl 2 0"),
+    ("cc0-1.0", "to the extent possible under law {16} (has|have) (waived|dedicated) all copyright and related or neighboring rights to {16}"),
+    ("cc0-1.0", "(released|licensed|distributed|available|published) under [the terms of] [a|the] [creative commons] (cc0|zero) 1 0 [universal] [license]"),
+    ("cc-by-nc-nd-4.0", "licensed under [a|the] [creative commons] (cc by nc nd|attribution noncommercial noderivatives) 4 0 [international] [license]"),
+    ("cc-by-nc-sa-4.0", "licensed under [a|the] [creative commons] (cc by nc sa|attribution noncommercial sharealike) 4 0 [international] [license]"),
+    ("cc-by-nd-4.0", "licensed under [a|the] [creative commons] (cc by nd|attribution noderivatives) 4 0 [international] [license]"),
+    ("bsd", "(the|a|an) bsd [2 clause|3 clause|4 clause|two clause|three clause] [simplified|new|modified|revised|original] license"),
+    ("bsd", "bsd (2 clause|3 clause|4 clause) [simplified|new|modified|revised|original] license"),
+    ("zlib", f"this software is provided {_AS_IS} without any express or implied warranty in no event will {{8}} be held liable for any damages "
+             "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+             "applications and to alter it and redistribute it freely subject to the following restrictions [1] the origin of this software must "
+             "not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+             "(acknowledgment|acknowledgement) in the product documentation would be appreciated but is not required [2] altered source versions "
+             "must be plainly marked as such and must not be misrepresented as being the original software [3] this notice may not be removed or "
+             "altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
+                  "or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial "
+                  "and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all "
+                  "copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to "
+                  "the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all "
+                  f"present and future rights to this software under copyright law the software is provided {_AS_IS} without warranty of any kind "
+                  "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+                  "noninfringement in no event shall the authors" + _MIT_END + " [for more information please refer to {4}]"),
     ("cc-by-4.0", "licensed under [a|the] [creative commons] (cc by|attribution) 4 0 [international] [license]"),
     ("cc-by-sa-4.0", "licensed under [a|the] [creative commons] (cc by sa|attribution sharealike) 4 0 [international] [license]"),
     ("cc-by-nc-4.0", "licensed under [a|the] [creative commons] (cc by nc|attribution noncommercial) 4 0 [international] [license]"),
@@ -84,6 +150,7 @@ TEMPLATES = (
             "damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
             "tortious action arising out of or in connection with the use or performance of this software"),
     ("spdx", "spdx license identifier {1}"),
+    *spdx_templates(),
 )
 
 # One byte to one byte: A-Z lower-cased, ASCII other than letters and digits to
