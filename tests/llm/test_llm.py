@@ -485,7 +485,7 @@ def test_jaccard_hub(spark, monkeypatch, key_bits):
     """A large group of edited copies at all distances, with small limits so
     that common signatures, regions, pivots and chunks are all at work; with
     few key bits many sets are alike in them."""
-    for name, value in (("KEY_BITS", key_bits), ("PIVOTS", (2, 1)), ("SMALL", 4), ("COMMON", 6), ("CHUNK", 16), ("BUCKET_SIGNATURES", 900), ("BATCH_SIGNATURES", 3000)):
+    for name, value in (("KEY_BITS", key_bits), ("PIVOTS", 2), ("SMALL", 4), ("COMMON", 6), ("CHUNK", 16), ("BUCKET_SIGNATURES", 900), ("BATCH_SIGNATURES", 3000)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(400)]

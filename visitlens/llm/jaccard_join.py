@@ -23,9 +23,8 @@ once, with a mark.  Then
 * larger groups matter only to sets whose signatures are so common that they
   cannot leave them all out (members of large groups of near copies).  Those
   keep their rarest ones, and sets connected by these form a region.  All sets
-  of a large region are first compared with a few of them, then with a few that
-  were not linked to the rest; what is still apart is compared chunk by chunk,
-  chunks of one component never with each other.
+  of a large region are first compared with a few of them, the pivots; what these
+  do not connect is compared chunk by chunk.
 
 Every pair is verified on the whole sets; one that is already connected need
 not be, as the result are components.
@@ -60,8 +59,8 @@ BATCH_ROWS = 1000
 #: Sets of a region that are compared with as many others in one row, and their features.
 CHUNK = 512
 CHUNK_FEATURES = 1_000_000
-#: Sets of a large region that all others are compared with, by round.
-PIVOTS = (4, 4)
+#: Sets of a large region that all others are compared with first.
+PIVOTS = 8
 #: Bits of a set's key that stand beside a signature.
 KEY_BITS = 40
 #: Ids (of sets to verify, of rows to drop) that are broadcast to pick texts; beyond, a shuffle join.
@@ -416,85 +415,124 @@ def _links_of_groups(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """(x, y): links that span the components of sets that share large groups.
 
     Sets connected by such groups form a region.  A region of one chunk is compared
-    whole.  In a larger one all sets meet a few pivots, one row a chunk, which leaves
-    few components where most sets are copies of one text; then chunks of different
-    components meet.  A meeting sends on a spanning forest of its links.
+    whole.  In a larger one all sets meet a few pivots, one row a chunk: sets that are
+    linked to the same pivot, or to pivots that some set connects, have one label.
+    That leaves few labels where most sets are copies of one text; then chunks of
+    different labels meet.  A meeting sends on a spanning forest of its links.
     """
     star = (heavy.join(heavy.groupBy("gid").agg(F.min("a").alias("center")), "gid").where("a <> center")
             .select("a", "center").distinct())
-    regions = cut(connected_components(star, "a", "center"))
-    placed = (sets.join(regions.withColumnRenamed("node", "a"), "a")
-              .select(F.col("component").alias("region"), "node", "n", "features"))
+    regions = cut(connected_components(star, "a", "center").select(F.col("node").alias("a"), F.col("component").alias("region")))
+    members = cut(sets.select("a", "node", "n").join(regions, "a").select("region", "node", "n"))
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_FEATURES)).cast("int")
-    sizes = cut(placed.groupBy("region").agg(chunks.alias("chunks")))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("string")
-    packed = cut(_packed(placed.join(sizes, "region").withColumns({"cell": own, "label": F.col("node")})))
-    links = cut(packed.join(sizes.where("chunks = 1"), "region").mapInPandas(_meeting(percent), "x long, y long"), BATCH_ROWS)
-    large = packed.join(sizes.where("chunks > 1").select("region"), "region")
-    members = cut(placed.join(sizes.where("chunks > 1").select("region"), "region").select("region", "node"))
-    label = F.coalesce("component", "node").alias("label")
-    classes = members.select("region", "node", F.col("node").alias("label"))
-    for pivots in PIVOTS:
-        counts = classes.groupBy("region", "label").agg(F.count("*").alias("sets"))
-        main = counts.groupBy("region").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.max("sets").alias("most"))
-        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        chosen = (classes.join(main, "region").where("label <> main OR most = 1").withColumn("nth", nth)
-                  .where(F.col("nth") <= pivots).select("region", "node"))
-        pivot = _packed(placed.join(chosen, ["region", "node"]).withColumns({"cell": F.lit("pivots"), "label": F.col("node")}))
-        met = large.join(_other(pivot), "region").mapInPandas(_meeting(percent), "x long, y long")
-        links = cut(links.unionByName(met).distinct())
-        joined = connected_components(links, "x", "y")
-        classes = cut(members.join(joined, "node", "left").select("region", "node", label))
-
-    # cells of one component where it fills some, else of several small ones
+    sizes = members.groupBy("region").agg(chunks.alias("chunks"))
+    keys = members.join(sizes, "region").select("region", "chunks", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("string").alias("cell"))
+    packed = cut(_packed(sets.join(keys, "node").withColumns({"label": F.col("node"), "pure": F.col("chunks").cast("long")})))
+    whole = packed.where("pure = 1").mapInPandas(_meeting(percent), "x long, y long")
+
+    large = packed.where("pure > 1")
+    first = Window.partitionBy("region").orderBy("h", "node")
+    pivots = (large.select("region", "nodes", "sizes", "features").mapInPandas(_smallest, "region long, h long, node long, n long, features binary")
+              .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS))
+    pivots = _packed(pivots.withColumns({"cell": F.lit("pivots"), "label": F.col("node"), "pure": F.lit(None).cast("long")}))
+    met = cut(large.join(_other(pivots), "region").select("region", *_SIDE, "nodes2", "labels2", "sizes2", "features2")
+              .mapInPandas(_meeting(percent, "region"), "region long, x long, y long"))
+    least = met.groupBy("region", "x").agg(F.min("y").alias("pivot"))
+    joined = (met.join(least, ["region", "x"]).select("region", F.col("pivot").alias("p"), F.col("y").alias("q"))
+              .unionByName(met.select("region", F.col("y").alias("p"), F.col("y").alias("q"))).distinct())
+    # at most a row per two pivots of a region
+    roots = joined.groupBy("region").applyInPandas(_roots, "region long, pivot long, root long")
+    label = F.coalesce("root", "node")
+    classes = cut(members.join(sizes.where("chunks > 1").select("region"), "region").select("region", "node")
+                  .join(least.withColumnRenamed("x", "node"), ["region", "node"], "left").join(roots, ["region", "pivot"], "left")
+                  .select("region", "node", label.alias("label")))
+
+    # cells of one label where it fills some, else of several small ones
     counts = classes.groupBy("region", "label").agg(F.count("*").alias("sets"))
     apart = counts.groupBy("region").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("sets") <= CHUNK // 4, F.col("sets"))).alias("small")).where("labels > 1")
-    whole = F.col("sets") > CHUNK // 4
-    cell = F.when(whole, F.concat_ws("/", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / CHUNK)).cast("string"))) \
+    full = F.col("sets") > CHUNK // 4
+    cell = F.when(full, F.concat_ws("/", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / CHUNK)).cast("string"))) \
             .otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / CHUNK)).cast("string"))
-    rest = (placed.join(classes, ["region", "node"]).join(counts, ["region", "label"]).join(apart, "region")
-            .withColumns({"cell": cell, "pure": F.when(whole, F.col("label"))}))
-    cells = cut(_packed(rest))
+    keys = (classes.join(counts, ["region", "label"]).join(apart, "region")
+            .select("region", "node", "label", cell.alias("cell"), F.when(full, F.col("label")).alias("pure")))
+    rest = large.join(apart.select("region"), "region").select("nodes", "sizes", "features").mapInPandas(_unpacked, "node long, n long, features binary")
+    cells = cut(_packed(rest.join(keys, "node")))
     card = cells.select("region", "cell", "pure")
     meetings = (card.join(card.toDF("region", "cell2", "pure2"), "region")
                 .where("cell <= cell2 AND NOT (pure IS NOT NULL AND pure <=> pure2)").select("region", "cell", "cell2"))
-    met = (meetings.join(cells, ["region", "cell"]).join(_other(cells), ["region", "cell2"])
-           .mapInPandas(_meeting(percent), "x long, y long"))
-    return links.unionByName(met)
+    across = (meetings.join(cells, ["region", "cell"]).join(_other(cells), ["region", "cell2"])
+              .mapInPandas(_meeting(percent), "x long, y long"))
+    return whole.unionByName(met.select("x", "y")).unionByName(across)
 
 
+_SIDE = ["cell", "nodes", "labels", "sizes", "features"]
 _PACKED = "region long, cell string, pure long, nodes binary, labels binary, sizes binary, features binary"
 
 
 def _packed(placed: DataFrame) -> DataFrame:
-    """One row per (region, cell) with all its sets."""
+    """One row per (region, cell) with all its sets; ``pure`` is the same for all of them."""
     def pack(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         raw = lambda c: frame[c].to_numpy("int64").tobytes()
         pure = None if pd.isna(frame["pure"].iloc[0]) else int(frame["pure"].iloc[0])
         return pd.DataFrame({"region": [key[0]], "cell": [key[1]], "pure": pd.array([pure], "Int64"), "nodes": [raw("node")], "labels": [raw("label")],
                              "sizes": [raw("n")], "features": [b"".join(frame["features"])]})
 
-    pure = F.col("pure") if "pure" in placed.columns else F.lit(None).cast("long").alias("pure")
-    return placed.select("region", "cell", pure, "node", "label", "n", "features").groupBy("region", "cell").applyInPandas(pack, _PACKED)
+    return placed.select("region", "cell", "pure", "node", "label", "n", "features").groupBy("region", "cell").applyInPandas(pack, _PACKED)
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of packed rows."""
+    for b in batches:
+        for nodes, sizes, features in zip(b["nodes"], b["sizes"], b["features"]):
+            yield pd.DataFrame({"node": np.frombuffer(nodes, "int64"), "n": np.frombuffer(sizes, "int64"),
+                                "features": [f.tobytes() for f in _split(sizes, features)]})
+
+
+def _smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ``PIVOTS`` sets of each packed row that come first by hash."""
+    for b in batches:
+        for region, nodes, sizes, features in zip(b["region"], b["nodes"], b["sizes"], b["features"]):
+            node, n, own = np.frombuffer(nodes, "int64"), np.frombuffer(sizes, "int64"), _split(sizes, features)
+            with np.errstate(over="ignore"):
+                h = _mix(node.view(_U) + _STEP).view("int64")
+            at = np.argsort(h, kind="stable")[:PIVOTS]
+            yield pd.DataFrame({"region": region, "h": h[at], "node": node[at], "n": n[at], "features": [own[i].tobytes() for i in at]})
+
+
+def _roots(edges: pd.DataFrame) -> pd.DataFrame:
+    """(region, pivot, root): the smallest pivot that edges between pivots lead to."""
+    root = {p: p for p in edges["p"].tolist() + edges["q"].tolist()}
+    for _ in root:
+        for p, q in zip(edges["p"].tolist(), edges["q"].tolist()):
+            root[p] = root[q] = min(root[p], root[q])
+    return pd.DataFrame({"region": edges["region"].iloc[0], "pivot": list(root), "root": list(root.values())})
 
 
 def _other(packed: DataFrame) -> DataFrame:
     """Packed rows as the other side of a meeting."""
-    return packed.select("region", *[F.col(c).alias(f"{c}2") for c in ("cell", "nodes", "labels", "sizes", "features")])
+    return packed.select("region", *[F.col(c).alias(f"{c}2") for c in _SIDE])
 
 
-def _meeting(percent: int):
+def _meeting(percent: int, *keep: str):
     """Links of each row's sets with those of the other side or, without one or with
-    itself, among each other."""
+    itself, among each other, beside the columns ``keep``.  Without a cell of its own the
+    other side is one of pivots: all links with them count, also of a set with several."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.to_dict("records"):
-                one = r.get("cell2", r["cell"]) == r["cell"]
+                one = "nodes2" not in r or r.get("cell2") == r["cell"]
                 x, mine, label = np.frombuffer(r["nodes"], "int64"), _split(r["sizes"], r["features"]), np.frombuffer(r["labels"], "int64")
-                y, theirs, label2 = (x, None, None) if one else (np.frombuffer(r["nodes2"], "int64"), _split(r["sizes2"], r["features2"]),
-                                                               np.frombuffer(r["labels2"], "int64"))
-                found = spanning_links(mine, theirs, percent, label, label2)
-                yield pd.DataFrame({"x": x[[i for i, _ in found]], "y": y[[j for _, j in found]]}, dtype="int64")
+                if one:
+                    y, found = x, spanning_links(mine, None, percent, label)
+                else:
+                    y, theirs = np.frombuffer(r["nodes2"], "int64"), _split(r["sizes2"], r["features2"])
+                    if "cell2" in r:
+                        found = spanning_links(mine, theirs, percent, label, np.frombuffer(r["labels2"], "int64"))
+                    else:
+                        found = [(i, k) for k, t in enumerate(theirs) for i, _ in spanning_links(mine, [t], percent)]
+                links = [(i, k) for i, k in found if x[i] != y[k]]
+                yield pd.DataFrame({**{c: r[c] for c in keep}, "x": x[[i for i, _ in links]], "y": y[[k for _, k in links]]},
+                                   columns=[*keep, "x", "y"]).astype("int64")
 
     return compare
 
