@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlens.session import scratch_path
+from visitlens.session import delete_path, scratch_path
 
-from .common import cut, drop_scratch
+from .common import cut
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -296,7 +296,7 @@ def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         every = reduce(DataFrame.unionByName, entered).join(collided, ["fp", "longer"], "left_semi")
         phrases = phrases.unionByName(_follow(blocks, every))
     phrases = cut(phrases.groupBy("lang", "phrase", "k").agg(F.sum("cnt").alias("a")).where(F.col("a") >= min_count))
-    drop_scratch(spark, path)
+    delete_path(spark, path)
     return words.unionByName(phrases.where(F.col("k") <= max_words)), n
 
 

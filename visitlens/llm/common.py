@@ -40,9 +40,3 @@ def hex_key(*parts: Column) -> Column:
     It orders rows in a way that is random with respect to their content and
     the same in every run."""
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts]))
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a written table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
