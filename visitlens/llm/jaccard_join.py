@@ -26,8 +26,10 @@ once, with a mark.  Then
   of a large region are first compared with a few of them, the pivots; what these
   do not connect is compared chunk by chunk.
 
-Every pair is verified on the whole sets; one that is already connected need
-not be, as the result are components.
+A pair whose parities over 512 cells of the feature domain differ more often than
+linked sets differ in features is out, before any set is read again.  Every other
+pair is verified on the whole sets; one that is already connected need not be, as
+the result are components.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ CHUNK = 512
 CHUNK_FEATURES = 1_000_000
 #: Sets of a large region that all others are compared with first.
 PIVOTS = 8
+#: Cells of the parities that rule pairs out before sets are read again.
+PARITY_CELLS = 512
 #: Bits of a set's key that stand beside a signature.
 KEY_BITS = 40
 #: Ids (of sets to verify, of rows to drop) that are broadcast to pick texts; beyond, a shuffle join.
@@ -192,7 +196,8 @@ def _key(features: np.ndarray) -> tuple[int, int]:
 
 def describe_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: ``doc_id, n, k1, k2`` (key of the set) and, for its own and the
-    next band, ``slack0, slack1``; ``found``: the number of its signatures."""
+    next band, ``slack0, slack1``; ``found``: the number of its signatures;
+    ``parity``: see ``parity``."""
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -200,19 +205,19 @@ def describe_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 f = shingle_set(text if isinstance(text, str) else None, words)
                 s = signatures(f, percent)
                 out.append((doc_id, len(f), *_key(f), s[0][0] if s else 0, s[0][1] if s else 0, s[1][1] if len(s) > 1 else 0,
-                            sum(len(x[2]) for x in s)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "band", "slack0", "slack1", "found"])
+                            sum(len(x[2]) for x in s), parity(f, PARITY_CELLS).tobytes()))
+            frame = pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "band", "slack0", "slack1", "found", "parity"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.mapInPandas(describe, "doc_id long, n long, k1 long, k2 long, band int, slack0 int, slack1 int, found long")
+    return docs.mapInPandas(describe, "doc_id long, n long, k1 long, k2 long, band int, slack0 int, slack1 int, found long, parity binary")
 
 
 def signature_blocks(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
     """Blocks of signatures by bucket, by rising signature (``found``: the steps),
     with the key (``low``, ``high``) and band of the set of each, and which are
-    ``common``.  Rows with bucket -1 hold the sets (``low``: whole keys, ``bands``) of
-    one common signature (``found``) of a batch."""
+    ``common``.  Rows without ``high`` hold the sets (``low``: whole keys, ``bands``) of
+    one common signature (``found``) of a batch; they may lie in any bucket."""
     schema = "bucket int, low binary, high binary, bands binary, found binary, common binary"
 
     def flush(keys: list[int], band: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
@@ -226,7 +231,8 @@ def signature_blocks(docs: DataFrame, buckets: int, words: int, percent: int) ->
         rows, drop, common = [], np.zeros(len(sig), bool), np.zeros(len(sig), bool)
         for at, n in zip(first[size >= COMMON].tolist(), size[size >= COMMON].tolist()):
             members = entry[at:at + n]
-            rows.append((-1, entry_key[members].tobytes(), b"", entry_band[members].tobytes(), sig[at:at + 1].tobytes(), b""))
+            anywhere = (int(sig[at]) ^ int(entry_key[members[0]])) % buckets
+            rows.append((anywhere, entry_key[members].tobytes(), b"", entry_band[members].tobytes(), sig[at:at + 1].tobytes(), b""))
             drop[at + 1:at + n] = True
             common[at] = True
         sig, entry, common = sig[~drop], entry[~drop], common[~drop]
@@ -275,7 +281,20 @@ def _unpack(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, bands_, np.concatenate([np.cumsum(_numbers(x), dtype="uint32") for x in block["found"]])
 
 
-def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
+_MET = "a long, b long, band int, gid long, hits long"
+
+
+def meet(buckets: int):
+    """What a bucket's blocks give, as rows of ``_MET``."""
+    def of_bucket(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
+        whole = block["high"].str.len() == 0
+        out = [common_members(block[whole], buckets)] + ([met_pairs(key[0], block[~whole])] if not whole.all() else [])
+        return pd.concat(out, ignore_index=True)
+
+    return of_bucket
+
+
+def met_pairs(bucket: int, block: pd.DataFrame) -> pd.DataFrame:
     """Pairs of small groups (``a, b, band`` and their ``hits``, the groups they
     share) and members of large ones (``a, band`` and the group ``gid``) of one
     bucket."""
@@ -311,7 +330,7 @@ def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
                                          | (band[i[1:]] != band[i[:-1]])))) if len(i) else np.zeros(0, int)
     hits, i, j = np.diff(np.append(new, len(i))), i[new], j[new]
     member = np.repeat(large, size)
-    gid = (np.int64(key[0]) << np.int64(32)) | sig[member].astype("int64")
+    gid = (np.int64(bucket) << np.int64(32)) | sig[member].astype("int64")
     return pd.DataFrame({"a": np.concatenate((keys[i], keys[member])),
                          "b": np.concatenate((keys[j], np.zeros(member.sum(), "int64"))),
                          "band": np.concatenate((band[i], band[member])).astype("int32"),
@@ -319,16 +338,32 @@ def meet(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
                          "hits": np.concatenate((hits, np.zeros(member.sum(), "int64")))})
 
 
-def common_members(buckets: int):
-    """Members of the common signatures of a batch, with their group."""
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for keys, band, found in zip(b["low"], b["bands"], b["found"]):
-                sig = int(np.frombuffer(found, _U)[0])
-                gid = ((sig >> 32) * buckets >> 32) << 32 | sig & 0xFFFFFFFF
-                a = np.frombuffer(keys, "int64")
-                yield pd.DataFrame({"a": a, "band": np.frombuffer(band, "uint8").astype("int32"), "gid": np.full(len(a), gid)})
-    return members
+def common_members(block: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Members of the common signatures of batches, with their group."""
+    out = [np.zeros((4, 0), "int64")]
+    for keys, band, found in zip(block["low"], block["bands"], block["found"]):
+        sig = int(np.frombuffer(found, _U)[0])
+        gid = ((sig >> 32) * buckets >> 32) << 32 | sig & 0xFFFFFFFF
+        a = np.frombuffer(keys, "int64")
+        out.append(np.stack([a, np.zeros(len(a), "int64"), np.frombuffer(band, "uint8").astype("int64"), np.full(len(a), gid)]))
+    a, b, band, gid = np.concatenate(out, axis=1)
+    return pd.DataFrame({"a": a, "b": b, "band": band.astype("int32"), "gid": gid, "hits": np.zeros(len(a), "int64")})
+
+
+def parity(features: np.ndarray, cells: int) -> np.ndarray:
+    """The parity of a set's number of features in each cell, as 64-bit words.  Two
+    sets' parities differ in at most as many cells as the sets in features."""
+    return np.packbits(np.bincount((features >> _U(5)).astype("int64") & (cells - 1), minlength=cells).astype("uint8") & 1).view(_U)
+
+
+def _may_link(percent: int):
+    """Whether sets of these sizes and parities can be linked."""
+    @F.pandas_udf("boolean")
+    def may(n: pd.Series, n2: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+        words = [np.frombuffer(b"".join(x), _U).reshape(-1, PARITY_CELLS // 64) for x in (one, two)]
+        return pd.Series(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype="int64") <= differences(n.to_numpy(), n2.to_numpy(), percent))
+
+    return may
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -368,17 +403,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one node per distinct set: its smallest id
     nodes = cut(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("band").alias("band"),
                                               F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1"),
-                                              F.max("found").alias("found"))
+                                              F.max("found").alias("found"), F.max("parity").alias("parity"))
                 .withColumn("a", F.col("k1").bitwiseAND(F.lit((1 << KEY_BITS) - 1))))
     total = nodes.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_SIGNATURES))
     blocks = signature_blocks(rows.where(F.col("doc_id").isNotNull()), buckets, words, percent)
-    schema = "a long, b long, band int, gid long, hits long"
-    blocks = cut(blocks, BATCH_ROWS)
-    met = cut(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, schema))
-    members = (met.where("gid >= 0").select("a", "band", "gid")
-               .unionByName(blocks.where("bucket < 0").select("low", "bands", "found")
-                            .mapInPandas(common_members(buckets), "a long, band int, gid long")).distinct())
+    met = cut(blocks.groupBy("bucket").applyInPandas(meet(buckets), _MET), BATCH_ROWS)
+    members = met.where("gid >= 0").select("a", "band", "gid").distinct()
 
     # a linked pair agrees on more than slack signatures; those not in a small group are in a large one
     per_band = (nodes.select("a", F.explode(F.array(
@@ -393,7 +424,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .join(spare.drop("large"), ["a", "band"]).join(other, ["b", "band"])
              .where("hits > spare AND hits > spare2").select("a", "b").distinct())
     alike = nodes.groupBy("a").agg(F.count("*").alias("sets")).where("sets > 1").select("a", F.col("a").alias("b"))
-    small = cut(small.unionByName(alike))
+    side = nodes.select("a", "n", "parity")
+    small = cut(small.unionByName(alike).join(side, "a").join(side.toDF("b", "n2", "parity2"), "b")
+                .where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+                .where(_may_link(percent)("n", "n2", "parity", "parity2")).select("a", "b").distinct())
 
     # members of large groups that cannot do without them keep their rarest
     sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
@@ -541,13 +575,6 @@ def _split(sizes: bytes, features: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(features, _U), np.cumsum(np.frombuffer(sizes, "int64"))[:-1])
 
 
-def _parities(sets: list[np.ndarray]) -> np.ndarray:
-    """Per set, the parity of its number of features in each of 2048 cells.
-    Two sets' parities differ in at most as many cells as the sets in features."""
-    return np.array([np.packbits(np.bincount((f >> _U(5)).astype("int64") & 2047, minlength=2048).astype("uint8") & 1).view(_U)
-                     for f in sets])
-
-
 def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, percent: int,
                    labels: np.ndarray | None = None, labels2: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Positions of verified links that span all links of two lists of sets,
@@ -556,7 +583,7 @@ def spanning_links(mine: list[np.ndarray], theirs: list[np.ndarray] | None, perc
     are out; of the rest those not yet connected are compared in full."""
     one = theirs is None
     theirs = mine if one else theirs
-    p, q = _parities(mine), _parities(theirs)
+    p, q = (np.array([parity(f, 2048) for f in side]) for side in (mine, theirs))
     a, b = np.array([len(f) for f in mine]), np.array([len(f) for f in theirs])
     limit = (a[:, None] + b[None, :]) * (100 - percent) // (100 + percent)
     open_ = np.array([np.bitwise_count(q ^ x).sum(axis=1, dtype="int64") for x in p]) <= limit
