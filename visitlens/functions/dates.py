@@ -86,7 +86,8 @@ def parse_date_flexible(c) -> Column:
     tries = [F.when(raw.rlike(_whole(shape)), F.try_to_timestamp(strip(raw), F.lit(p))) for p, shape in DATE_PATTERNS.items()]
     # one element transformed: the long expression is evaluated only where the
     # tries fail and stays out of the generated code of the common ones
-    rest = F.element_at(F.transform(F.array(raw), _by_grammar), 1)
+    # (only where there is a digit: a date has one)
+    rest = F.when(raw.rlike(r"\d"), F.element_at(F.transform(F.array(raw), _by_grammar), 1))
     return F.coalesce(*tries, rest).cast("date")
 
 
