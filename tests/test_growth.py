@@ -3,9 +3,32 @@
 import pytest
 from pyspark.sql import functions as F
 
+from visitlens.plans import reports as R
 from visitlens.sources.records import _ends_quoted
 
 
+def _plan(spark, rows=400):
+    i = F.col("id")
+    text = lambda x: F.concat(F.lit(x), (i % 7).cast("string"))
+    return spark.range(rows).select(
+        F.lit(None).cast("date").alias("planned_date"), F.lit(None).cast("int").alias("month"), text("r").alias("region"), text("s").alias("specialist"),
+        text("a").alias("account"), text("h").alias("holding"), text("e").alias("employer"), F.concat(F.lit("CT-"), i.cast("string")).alias("center_name"),
+        text("street ").alias("address"), text("c").alias("commune"), F.lit(1.0).alias("men"), F.lit(None).cast("double").alias("women"),
+        (i % 2 == 0).alias("has_case"), F.when(i % 2 == 0, F.concat(F.lit("F"), i.cast("string"))).otherwise(F.lit("")).alias("case_ids"),
+        F.lit("OP A | OP B").alias("occupations"), F.lit("lift, pull").alias("tasks"), F.lit("x").alias("diagnoses"),
+        F.when(i % 4 == 0, F.lit("LUMBAR")).otherwise(F.lit("MANO_DER")).alias("segments"), F.lit("").alias("icd10"), F.lit("").alias("notes"))
+
+
+def test_plan_sheet_spreads_visits_without_date(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sheet = R.plan_sheet(_plan(spark, 4000).repartition(4))
+        parts = sheet.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in parts) == 4000 and max(r["count"] for r in parts) < 2000
+
+
 def _open_after(line, inside, sep):
     """The states of a line, character by character."""
     quoted, i, start = inside, 0, True

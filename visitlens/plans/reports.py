@@ -184,7 +184,9 @@ def plan_sheet(plan: DataFrame, path: str | None = None) -> DataFrame:
     ``path`` when given (A5)."""
     cols = ["planned_date", "region", "specialist", "account", "holding", "employer", "center_name",
             "address", "commune", "men", "women"]
-    sheet = select_existing(plan, cols).orderBy("planned_date")
+    sheet = select_existing(plan, cols)
+    # visits of one date, or of none, come in the order of a hash: no task sorts them all
+    sheet = sheet.orderBy("planned_date", F.xxhash64(*[F.col(c) for c in sheet.columns]))
     if path:
         from visitlens.sources.sinks import refresh_table
         refresh_table(sheet, path)
