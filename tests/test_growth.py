@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from visitlens.operators import measures
 from visitlens.plans import reports as R
 from visitlens.sources.records import _ends_quoted
 
@@ -53,3 +54,15 @@ def test_line_states(spark, sep):
     states = df.select("n", *[_ends_quoted(F.col("line"), inside, '"', sep).alias(str(inside)) for inside in (False, True)])
     assert "aggregate(" not in states._jdf.queryExecution().analyzed().toString()  # no interpreted loop over a line's parts
     assert [(r["False"], r["True"]) for r in states.orderBy("n").collect()] == [tuple(_open_after(x, inside, sep) for inside in (False, True)) for x in lines]
+
+
+def test_pareto_and_drill_are_counted_together(spark, monkeypatch):
+    p, calls = _plan(spark), []
+    alone = {f"pareto_{k}": v for k, v in R.case_page(p, {}, "LUMBAR").items()} | {f"drill_{k}": v for k, v in R.drill_page(p, {}, "segments", "LUMBAR").items()}
+    real = measures.measured
+    monkeypatch.setattr(measures, "measured", lambda df, entries: calls.append(1) or real(df, entries))
+    page = R.pareto_drill_page(p, {}, "LUMBAR")
+    assert len(calls) == 1 and page.keys() == alone.keys()
+    for name, table in page.items():
+        assert table.columns == alone[name].columns, name
+        assert sorted(map(str, table.collect())) == sorted(map(str, alone[name].collect())), name

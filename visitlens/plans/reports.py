@@ -144,11 +144,29 @@ def case_page(plan: DataFrame, selection: dict, segment: str | None = None,
     return _case_tables(M.measured(only_cases(apply_filters(plan, selection)), _case_entries(dimension, chosen)))
 
 
+def _chosen_entries(chosen, prefix: str = "") -> list:
+    """What P10 counts in ``chosen``, the rows of the drill-down."""
+    return [*A.summary_entries(chosen, prefix), M.distinct_of(f"{prefix}employers", "case_ids", "employer", [OUTER_SEP], chosen),
+            M.tokens_of(f"{prefix}occupations", "occupations", [OUTER_SEP, " | "], chosen), M.tokens_of(f"{prefix}tasks", "tasks", [OUTER_SEP, ","], chosen)]
+
+
 def _drill_entries(chosen) -> list:
-    """What P10 counts; ``chosen``: the rows of the drill-down."""
-    return [*A.summary_entries(chosen), M.distinct_of("employers", "case_ids", "employer", [OUTER_SEP], chosen),
-            M.tokens_of("occupations", "occupations", [OUTER_SEP, " | "], chosen), M.tokens_of("tasks", "tasks", [OUTER_SEP, ","], chosen),
-            M.tokens_of("segments", "segments", [OUTER_SEP, ",", *SEGMENT_EXTRA_SEPS]), M.tokens_of("diagnoses", "diagnoses", [OUTER_SEP, ","])]
+    """What P10 counts."""
+    return [*_chosen_entries(chosen), M.tokens_of("segments", "segments", [OUTER_SEP, ",", *SEGMENT_EXTRA_SEPS]),
+            M.tokens_of("diagnoses", "diagnoses", [OUTER_SEP, ","])]
+
+
+def _drill_tables(m: DataFrame, drill: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
+    summary = M.scalars(m, [f"{prefix}{c}" for c in ("n_cases", "n_employers", "n_visits")])
+    return {
+        "summary": summary.toDF("n_cases", "n_employers", "n_visits"),
+        "employers": M.part(m, f"{prefix}employers", "employer", "n_cases"),
+        "occupations": M.part(m, f"{prefix}occupations"),
+        "tasks": M.part(m, f"{prefix}tasks"),
+        "segment_options": _segment_options(m),
+        "diagnosis_options": M.part(m, "diagnoses").select("name").orderBy("name"),
+        "records": drill_records(drill),
+    }
 
 
 def drill_page(plan: DataFrame, selection: dict, by: str = "segments", value: str | None = None,
@@ -159,24 +177,17 @@ def drill_page(plan: DataFrame, selection: dict, by: str = "segments", value: st
     ep = only_cases(apply_filters(plan, selection))
     chosen = None if value is None else has_token(by, value) if whole_token else contains_ci(by, value)
     m = M.measured(ep, _drill_entries(chosen))
-    drill = ep if chosen is None else ep.filter(chosen)
-    return {
-        "summary": M.scalars(m, ["n_cases", "n_employers", "n_visits"]),
-        "employers": M.part(m, "employers", "employer", "n_cases"),
-        "occupations": M.part(m, "occupations"),
-        "tasks": M.part(m, "tasks"),
-        "segment_options": _segment_options(m),
-        "diagnosis_options": M.part(m, "diagnoses").select("name").orderBy("name"),
-        "records": drill_records(drill),
-    }
+    return _drill_tables(m, ep if chosen is None else ep.filter(chosen))
 
 
 def pareto_drill_page(plan: DataFrame, selection: dict, segment: str | None = None,
                       dimension: str = "occupations") -> dict[str, DataFrame]:
-    """Pareto and drill-down on the same segment subset (P9 + P10)."""
-    out = {f"pareto_{k}": v for k, v in case_page(plan, selection, segment, dimension).items()}
-    out.update({f"drill_{k}": v for k, v in drill_page(plan, selection, "segments", segment).items()})
-    return out
+    """Pareto and drill-down on the same segment subset (P9 + P10), counted together."""
+    ep = only_cases(apply_filters(plan, selection))
+    chosen = None if segment is None else contains_ci("segments", segment)
+    m = M.measured(ep, [*_case_entries(dimension, chosen), *_chosen_entries(chosen, "drill_")])
+    drill = _drill_tables(m, ep if chosen is None else ep.filter(chosen), "drill_")
+    return {f"pareto_{k}": v for k, v in _case_tables(m).items()} | {f"drill_{k}": v for k, v in drill.items()}
 
 
 def plan_sheet(plan: DataFrame, path: str | None = None) -> DataFrame:
