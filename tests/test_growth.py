@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from visitlens.operators import measures
 from visitlens.plans import reports as R
 from visitlens.sources.records import _ends_quoted
+from visitlens.testing import registry
 
 
 def _plan(spark, rows=400):
@@ -20,6 +21,17 @@ def _plan(spark, rows=400):
         F.when(i % 4 == 0, F.lit("LUMBAR")).otherwise(F.lit("MANO_DER")).alias("segments"), F.lit("").alias("icd10"), F.lit("").alias("notes"))
 
 
+def _counted(spark, df, column):
+    """``df`` and an accumulator of the times that a row's column was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(seen, "string").asNondeterministic()(column)), made
+
+
 def test_plan_sheet_spreads_visits_without_date(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -66,3 +78,13 @@ def test_pareto_and_drill_are_counted_together(spark, monkeypatch):
     for name, table in page.items():
         assert table.columns == alone[name].columns, name
         assert sorted(map(str, table.collect())) == sorted(map(str, alone[name].collect())), name
+
+
+@pytest.mark.parametrize("name", ["canonicalized", "change_stats"])
+def test_normaliser_builds_its_input_once(spark, monkeypatch, name):
+    rows = spark.createDataFrame([(str(i), f"Operator {i % 3} || Cook", "lift boxes, lift box" if i % 2 else "lift boxes") for i in range(30)], "`ID-CT` string, ocupaciones string, tareas string")
+    raw, made = _counted(spark, rows, "tareas")
+    monkeypatch.setattr(registry, "plan_raw", lambda *a, **k: raw)
+    got = registry.QUERIES[name](spark, "").collect()
+    assert made.value == 30
+    assert len(got) == 30 and {r["tasks"] for r in got} == {"LIFT BOXES,LIFT BOXES", "LIFT BOXES"} if name == "canonicalized" else got[0]["changed_tareas"] == 30
