@@ -88,3 +88,22 @@ def test_normaliser_builds_its_input_once(spark, monkeypatch, name):
     got = registry.QUERIES[name](spark, "").collect()
     assert made.value == 30
     assert len(got) == 30 and {r["tasks"] for r in got} == {"LIFT BOXES,LIFT BOXES", "LIFT BOXES"} if name == "canonicalized" else got[0]["changed_tareas"] == 30
+
+
+def test_index_reads_the_plan_once_and_stores_words(spark, tmp_path):
+    from visitlens.operators.case_index import CaseIndex, build_case_index
+    fu = registry.followup(spark, "/root/testdata/sf0.001")
+    plan, made = _counted(spark, _plan(spark), "case_ids")
+    build_case_index(plan, fu, str(tmp_path))
+    assert made.value == 400
+    index = CaseIndex(spark, str(tmp_path))
+    # 200 cases, more than a word's; a word of a combination takes eight bytes, not a block of 4,096
+    assert dict(index.bits.dtypes)["bits"] == "bigint" and index.bits.count() <= 200
+    assert index.case_summary({}).collect() == [(200, 7, 200)]
+    assert {r.employer: r.n_cases for r in index.cases_by("employer").collect()} == {f"e{k}": sum(i % 7 == k for i in range(0, 400, 2)) for k in range(7)}
+
+
+def test_date_grammar_stands_in_the_plan_once(spark):
+    from visitlens.functions.dates import parse_date_flexible
+    df = spark.range(1).select(parse_date_flexible(F.col("id").cast("string")).alias("d"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 200_000
