@@ -107,3 +107,34 @@ def test_date_grammar_stands_in_the_plan_once(spark):
     from visitlens.functions.dates import parse_date_flexible
     df = spark.range(1).select(parse_date_flexible(F.col("id").cast("string")).alias("d"))
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_items_do_not_carry_their_cell(spark):
+    import hashlib
+    import time
+    from visitlens.operators.canonicalize import canonicalize_cell
+    items = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(1500)]
+    cell = ", ".join(items)
+
+    def shuffled():
+        time.sleep(2)
+        return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    rows = spark.createDataFrame([(cell,), (" ,||",), ("||",), (" ",), (None,)], "cell string")
+    mapping = spark.createDataFrame([(items[0], "First")], "variant string, canonical string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        out = {r.cell: r.new for r in canonicalize_cell(rows, "cell", mapping, out="new").collect()}
+        assert shuffled() - before < 20_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert out == {cell: ",".join(["FIRST", *[i.upper() for i in items[1:]]]), " ,||": ",||", "||": "||", " ": " ", None: None}
+
+
+def test_plain_texts_normalise_as_all(spark):
+    from visitlens.functions.text import normalize_text
+    texts = {" Lift  Box ": "lift box", "lift box": "lift box", "  a": "a", "a\tb": "a b", "Ñandú / (x).-": "nandu / (x).-", "a # b": "a  b", "": "", None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", normalize_text("t").alias("n")).collect()} == texts

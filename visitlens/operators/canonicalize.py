@@ -6,9 +6,9 @@ separators, positions and empty items kept; a NULL or blank cell is left
 as it is.
 
 The rewrite works on one dictionary of distinct (column, cell), made in one pass
-over the table: distinct items are normalised and joined with the maps, cells put
-together again from the labels of their items, and the table is read once more to be
-joined with it.  It needs no row id, gives the same result at every map size, and a
+over the table: their distinct items, each with its cell's number, are normalised and
+joined with the maps, cells put together again from the labels of their items, and the
+table is read once more to be joined with it.  It needs no row id, gives the same result at every map size, and a
 cell that a third of all rows hold is rewritten once; in the join back its partner is
 a single row, so a skewed partition can be split.  NULL and blank cells, which have no
 partner, are spread by their row's hash.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from visitlens.constants import NA_TOKENS
 from visitlens.functions.text import normalize_text, split_literal, strip
-from visitlens.session import checkpoint_dir
+from visitlens.session import delete_path, scratch_path
 
 
 def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str = "canonical_propuesto",
@@ -51,34 +51,40 @@ def _splitter(sep: str):
 
 
 def _relabeller(sep: str):
-    return lambda part: F.array_join(F.transform(split_literal(part, sep), lambda x: F.element_at("labels", x)), sep)
+    label = lambda x: F.when(strip(x) == "", F.lit("")).otherwise(F.element_at("labels", x))
+    return lambda part: F.array_join(F.transform(split_literal(part, sep), label), sep)
 
 
 def rewritten_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]]) -> DataFrame:
     """(column, cell, rewritten) of the distinct non-blank cells of the columns in
     ``mappings``, in the shared checkpoint folder."""
+    spark = df.sparkSession
     cells = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in mappings])).alias("s"))
              .select("s.*").filter(~_blank_cell(F.col("cell"))).distinct())
-    nested = F.lit(None).cast("array<array<string>>")
-    for c, (outer, inner) in seps.items():
-        nested = F.when(F.col("column") == c, F.transform(split_literal(F.col("cell"), outer), _splitter(inner))).otherwise(nested)
-    cells = cells.select("column", "cell", nested.alias("nested"))
-    items = cells.select("column", "cell", F.explode(F.array_distinct(F.flatten("nested"))).alias("item"))
-    table = None
-    for c, m in mappings.items():
-        own = m.select(F.lit(c).alias("column"), F.col("variant").alias("key"), "canonical")
-        table = own if table is None else table.unionByName(own)
-    spelled = items.select("column", "item").distinct().withColumn("key", normalize_text("item"))
-    label = F.when(strip(F.col("item")) == "", F.lit("")).otherwise(F.upper(F.coalesce("canonical", "key")))
-    labels = spelled.join(table, ["column", "key"], "left").select("column", "item", label.alias("label"))
-    known = (items.join(labels, ["column", "item"]).groupBy("column", "cell")
-             .agg(F.map_from_entries(F.collect_list(F.struct("item", "label"))).alias("labels")))
-    nested = F.lit(None).cast("string")
-    for c, (outer, inner) in seps.items():
-        parts = F.transform(split_literal(F.col("cell"), outer), _relabeller(inner))
-        nested = F.when(F.col("column") == c, F.array_join(parts, outer)).otherwise(nested)
-    checkpoint_dir(df.sparkSession)
-    return known.select("column", "cell", nested.alias("rewritten")).checkpoint()
+    staged = scratch_path(spark, "cells")
+    try:
+        # written once with a number each, which its items take along instead of the text
+        cells.withColumn("id", F.monotonically_increasing_id()).write.parquet(staged)
+        cells = spark.read.parquet(staged)
+        nested = F.lit(None).cast("array<array<string>>")
+        for c, (outer, inner) in seps.items():
+            nested = F.when(F.col("column") == c, F.transform(split_literal(F.col("cell"), outer), _splitter(inner))).otherwise(nested)
+        items = cells.select("id", "column", F.explode(F.array_distinct(F.flatten(nested))).alias("item")).filter(strip(F.col("item")) != "")
+        table = None
+        for c, m in mappings.items():
+            own = m.select(F.lit(c).alias("column"), F.col("variant").alias("key"), "canonical")
+            table = own if table is None else table.unionByName(own)
+        labels = items.withColumn("key", normalize_text("item")).join(table, ["column", "key"], "left")
+        labels = labels.select("id", F.struct("item", F.upper(F.coalesce("canonical", "key")).alias("label")).alias("pair"))
+        known = labels.groupBy("id").agg(F.map_from_entries(F.collect_list("pair")).alias("labels"))
+        rewritten = F.lit(None).cast("string")
+        for c, (outer, inner) in seps.items():
+            parts = F.transform(split_literal(F.col("cell"), outer), _relabeller(inner))
+            rewritten = F.when(F.col("column") == c, F.array_join(parts, outer)).otherwise(rewritten)
+        # a cell of nothing but separators and blanks has no items
+        return cells.join(known, "id", "left").select("column", "cell", rewritten.alias("rewritten")).checkpoint()
+    finally:
+        delete_path(spark, staged)
 
 
 def canonicalize_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]],
