@@ -226,6 +226,33 @@ def test_top_k_brute_force(spark, monkeypatch, cells):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_sends_no_copies_through_the_driver(spark, monkeypatch):
+    """Query blocks, one copy for each vector block, were broadcast where the queries
+    themselves are few; stripes and larger blocks give the same."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-300, 300, (900, 8))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scores = x @ x.T
+    want = {(i, int(scores[i, j]), int(j)) for i in range(0, 900, 4) for j in [j for j in np.lexsort((np.arange(900), -scores[i])) if j != i][:5]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for few, stripe in ((64, 256), (2, 2)):
+            for name, value in (("BLOCK_VECTORS", 20), ("BLOCK_QUERIES", 10), ("FEW_BLOCKS", few), ("STRIPE", stripe), ("PAIRS", 100)):
+                monkeypatch.setattr(vector_topk, name, value, raising=False)
+            got = vector_topk.top_k(df, F.col("vec_id") % 4 == 0)
+            assert {(r.query_id, r.score, r.vec_id) for r in got.collect()} == want
+            assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_packed_numbers():
+    for top in (0.0, -0.0, 2.0**15 - 1, -(2.0**15), 2.0**31 - 1, -(2.0**31), 1e300, float("inf")):
+        x = np.array([[1.0, -3.0], [top, 0.0]])
+        back = vector_topk.unpacked(vector_topk.packed(x), 2, 2)
+        assert back.tobytes() == x.tobytes()
+
+
 # packing
 
 def test_vocabularies_agree():
