@@ -138,3 +138,33 @@ def test_plain_texts_normalise_as_all(spark):
     texts = {" Lift  Box ": "lift box", "lift box": "lift box", "  a": "a", "a\tb": "a b", "Ñandú / (x).-": "nandu / (x).-", "a # b": "a  b", "": "", None: None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.n for r in df.select("t", normalize_text("t").alias("n")).collect()} == texts
+
+
+def test_canonicalize_frees_its_shuffles(spark):
+    """Neither shuffle files nor written tables of the dictionary's jobs are left: they
+    added up on disk until the last join ended."""
+    import os
+    from visitlens.operators.canonicalize import canonicalize_cells, rewritten_cells
+    from visitlens.session import checkpoint_dir
+
+    dirs = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {f for d in dirs for b, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    tables = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    written = lambda: set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    data = [(f"Item {i}, none {i % 7} ,,\u00a0||  ITEM {i}, \u00bf, ||\u00e1\u00bfrbol  x" if i % 5 else None, f"B {i % 3}||c" if i % 4 else " ") for i in range(300)]
+    rows = spark.createDataFrame(data, "a string, b string")
+    few = spark.createDataFrame([(f"item {i}", f"label {i}") for i in range(0, 300, 2)] + [("", "nothing"), ("none 3", None)], "variant string, canonical string")
+    other = spark.createDataFrame([("b 1", "one")], "variant string, canonical string")
+    maps, seps = {"a": few, "b": other}, {"a": ("||", ","), "b": ("||", "||")}
+    shuffles, scratch = held(), written()
+    found = rewritten_cells(rows, maps, seps)
+    assert not held() - shuffles and written() == scratch
+    assert found.count() == len({a for a, _ in data if a}) + 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+    def new(i):
+        item = f"LABEL {i}" if i % 2 == 0 else f"ITEM {i}"
+        return f"{item},NONE {i % 7},,||{item},NOTHING,||ARBOL X"
+    want = {(i, new(i) if i % 5 else None, ("ONE" if i % 3 == 1 else f"B {i % 3}") + "||C" if i % 4 else " ") for i in range(300)}
+    got = canonicalize_cells(rows.withColumn("i", F.monotonically_increasing_id()), maps, seps).select("a", "b").collect()
+    assert sorted((r.a or "", r.b) for r in got) == sorted((a or "", b) for _, a, b in want)

@@ -6,9 +6,9 @@ separators, positions and empty items kept; a NULL or blank cell is left
 as it is.
 
 The rewrite works on one dictionary of distinct (column, cell), made in one pass
-over the table: their distinct items, each with its cell's number, are normalised and
-joined with the maps, cells put together again from the labels of their items, and the
-table is read once more to be joined with it.  It needs no row id, gives the same result at every map size, and a
+over the table: their distinct items, each with its cell's number and its place, are
+normalised and joined with the maps, cells put together again from the labels found, and
+the table is read once more to be joined with it.  It needs no row id, gives the same result at every map size, and a
 cell that a third of all rows hold is rewritten once; in the join back its partner is
 a single row, so a skewed partition can be split.  NULL and blank cells, which have no
 partner, are spread by their row's hash.
@@ -16,12 +16,14 @@ partner, are spread by their row's hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.constants import NA_TOKENS
+from visitlens.constants import NA_TOKENS, WHITESPACE_CLASS
 from visitlens.functions.text import normalize_text, split_literal, strip
-from visitlens.session import delete_path, scratch_path
+from visitlens.session import checkpoint_dir, delete_path, freed_shuffles, scratch_path
 
 
 def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str = "canonical_propuesto",
@@ -42,49 +44,71 @@ def load_canonical_map(df: DataFrame, variant: str = "variante", canonical: str
              .groupBy("variant").agg(F.max_by("canonical", F.struct("__ord", "canonical")).alias("canonical")))
 
 
+def _blank(c: Column) -> Column:
+    return c.rlike(f"^{WHITESPACE_CLASS}*\\z")
+
+
 def _blank_cell(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | _blank(c)
 
 
 def _splitter(sep: str):
     return lambda part: split_literal(part, sep)
 
 
-def _relabeller(sep: str):
-    label = lambda x: F.when(strip(x) == "", F.lit("")).otherwise(F.element_at("labels", x))
-    return lambda part: F.array_join(F.transform(split_literal(part, sep), label), sep)
+def _relabeller(sep: str, labels: Column):
+    return lambda part: F.array_join(F.transform(split_literal(part, sep), lambda x: F.element_at(labels, x)), sep)
+
+
+def _bound(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
+
+
+def _nested(column: Column, seps: dict[str, tuple[str, str]], build) -> Column:
+    """``build(outer, inner)`` of a cell's own column."""
+    out = F
+    for c, (outer, inner) in seps.items():
+        out = out.when(column == c, build(outer, inner))
+    return out
 
 
 def rewritten_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]]) -> DataFrame:
     """(column, cell, rewritten) of the distinct non-blank cells of the columns in
-    ``mappings``, in the shared checkpoint folder."""
+    ``mappings``, in the shared checkpoint folder.
+
+    Three jobs, each of which frees its shuffles when it ends: cells are written once
+    with a number each; items go to the map with their cell's number and their place, and
+    only the labels found come back; cells meet their labels by number.  Items without a
+    label are normalised again where the cell is put together."""
     spark = df.sparkSession
+    seps = {c: seps[c] for c in mappings}
     cells = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in mappings])).alias("s"))
              .select("s.*").filter(~_blank_cell(F.col("cell"))).distinct())
-    staged = scratch_path(spark, "cells")
-    try:
-        # written once with a number each, which its items take along instead of the text
-        cells.withColumn("id", F.monotonically_increasing_id()).write.parquet(staged)
-        cells = spark.read.parquet(staged)
-        nested = F.lit(None).cast("array<array<string>>")
-        for c, (outer, inner) in seps.items():
-            nested = F.when(F.col("column") == c, F.transform(split_literal(F.col("cell"), outer), _splitter(inner))).otherwise(nested)
-        items = cells.select("id", "column", F.explode(F.array_distinct(F.flatten(nested))).alias("item")).filter(strip(F.col("item")) != "")
-        table = None
-        for c, m in mappings.items():
-            own = m.select(F.lit(c).alias("column"), F.col("variant").alias("key"), "canonical")
-            table = own if table is None else table.unionByName(own)
-        labels = items.withColumn("key", normalize_text("item")).join(table, ["column", "key"], "left")
-        labels = labels.select("id", F.struct("item", F.upper(F.coalesce("canonical", "key")).alias("label")).alias("pair"))
-        known = labels.groupBy("id").agg(F.map_from_entries(F.collect_list("pair")).alias("labels"))
-        rewritten = F.lit(None).cast("string")
-        for c, (outer, inner) in seps.items():
-            parts = F.transform(split_literal(F.col("cell"), outer), _relabeller(inner))
-            rewritten = F.when(F.col("column") == c, F.array_join(parts, outer)).otherwise(rewritten)
-        # a cell of nothing but separators and blanks has no items
-        return cells.join(known, "id", "left").select("column", "cell", rewritten.alias("rewritten")).checkpoint()
-    finally:
-        delete_path(spark, staged)
+    own_items = F.array_distinct(F.flatten(_nested(F.col("column"), seps, lambda outer, inner: F.transform(split_literal(F.col("cell"), outer), _splitter(inner)))))
+    staged, met = scratch_path(spark, "cells"), scratch_path(spark, "labels")
+    checkpoint_dir(spark)
+    with freed_shuffles(spark):
+        try:
+            cells.withColumn("id", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staged)
+            cells = spark.read.schema("column string, cell string, id long").parquet(staged)
+            items = cells.select("id", "column", F.posexplode(own_items).alias("place", "item")).filter(~_blank(F.col("item")))
+            items = items.select("id", "column", "place", normalize_text("item").alias("key"))
+            # a column at a time: its items and its map are both dealt by the text alone
+            found = [items.filter(F.col("column") == c).drop("column").join(m.select(F.col("variant").alias("key"), F.upper("canonical").alias("label")), "key", "left")
+                     # the second condition is never true and keeps the join an outer one: the map may be broadcast, but not the items
+                     .where(F.col("label").isNotNull() | (F.rand() < 0)).select("id", "place", "label") for c, m in mappings.items()]
+            reduce(DataFrame.unionByName, found).write.option("compression", "zstd").parquet(met)
+            labels = (spark.read.schema("id long, place int, label string").parquet(met)
+                      .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "label"))).alias("found")))
+            label = lambda x, i: F.when(_blank(x), F.lit("")).otherwise(F.coalesce(F.element_at("found", i), F.upper(normalize_text(x))))
+            joined = lambda own: _nested(F.col("column"), seps, lambda outer, inner: F.array_join(
+                F.transform(split_literal(F.col("cell"), outer), _relabeller(inner, own)), outer))
+            rewritten = _bound(own_items, lambda x: _bound(F.map_from_arrays(x, F.transform(x, label)), joined))
+            return cells.join(labels, "id", "left").select("column", "cell", rewritten.alias("rewritten")).checkpoint()
+        finally:
+            delete_path(spark, staged)
+            delete_path(spark, met)
 
 
 def canonicalize_cells(df: DataFrame, mappings: dict[str, DataFrame], seps: dict[str, tuple[str, str]],
