@@ -173,6 +173,46 @@ def test_collisions_change_no_result(odd, bits):
     assert sorted(map(tuple, got)) == mined(ODD, 2)
 
 
+def test_gathered_words_are_freed_at_once():
+    """A block's dictionary held itself and stayed in the worker long after its block."""
+    import gc
+    gathered = phrases._Gathered()
+    gathered.add("one two, two three")
+    gc.collect()
+    gc.disable()
+    try:
+        assert gathered.row(7, "en")[:3] == (7, "en", 4)
+        del gathered
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+@pytest.mark.parametrize("bits", [9, 64])
+def test_blocks_and_pointers_go_to_python_in_bounded_parts(spark, odd, monkeypatch, bits):
+    """All blocks of a partition went to Python at once, and all pointers of the first
+    blocks, which most phrases point to."""
+    rows, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", phrases.cut
+    before, seen, largest = spark.conf.get(rows), [], []
+
+    def watched(df):
+        seen.append((int(spark.conf.get(rows)), int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))))
+        return cut(df)
+
+    def follow(blocks, found, real=phrases._follow):
+        out = real(blocks, found)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        largest.append("part" in plan.split("FlatMapCoGroupsInPandas")[1].split("]")[0])
+        return out
+    monkeypatch.setattr(phrases, "cut", watched)
+    monkeypatch.setattr(phrases, "_follow", follow)
+    monkeypatch.setattr(phrases, "FOLLOWED", 2, raising=False)
+    got = phrases.collocations(odd, min_count=2, block_chars=1000, bits=bits).collect()
+    assert sorted(map(tuple, got)) == mined(ODD, 2)
+    assert [s for s in seen[:4]] == [(1, 2)] * 4 and all(largest)
+    assert spark.conf.get(rows) == before
+
+
 def test_no_phrases(none, odd):
     assert phrases.collocations(none).count() == 0 and phrases.collocations(odd.where("text IS NULL")).count() == 0
 

@@ -12,9 +12,10 @@
 3. **Aggregation.**  The shuffle adds up both sums and keeps one pointer a fingerprint.
    Fingerprints with fewer than ``min_count`` occurrences go.
 4. **Verification.**  The pointers left are followed into the text: only frequent phrases
-   become strings.  If all occurrences were of the phrase found there, the second sum is
-   their count times its second fingerprint.  Where it is not, phrases have collided; then
-   all pointers of that fingerprint are followed and counted by their text.
+   become strings.  Most point to the first blocks, which therefore go to several groups.
+   If all occurrences were of the phrase found there, the second sum is their count times
+   its second fingerprint.  Where it is not, phrases have collided; then all pointers of
+   that fingerprint are followed and counted by their text.
 
 A phrase holding an infrequent pair of words is infrequent itself.  Frequent pairs are
 therefore marked in a bitmap of fixed size, and longer phrases that it rules out are
@@ -35,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlens.session import delete_path, scratch_path
+from visitlens.session import delete_path, freed_shuffles, scratch_path, settings
 
-from .common import cut
+from .common import BATCH_ROWS, cut
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -58,6 +59,14 @@ _BLOCK = "block long, lang string, n long, words array<string>, counts array<lon
 _ENTRY = "fp long, cnt long, second long, pointer long"
 #: A pointer: number of the task, of its block, place in that, words of the phrase.
 _TASK_BITS, _SEQUENCE_BITS, _PLACE_BITS, _SIZE_BITS = 21, 11, 27, 4
+#: Pointers followed into a block at a time.
+FOLLOWED = 100_000
+#: Blocks are large rows: few at a time go to a row group, are decoded at a time and go to Python.
+_ROW_GROUP = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
+_DECODED = {"spark.sql.parquet.columnarReaderBatchSize": 2}
+_SINGLE = _DECODED | {BATCH_ROWS: 1}
+#: Documents that go to Python at a time.
+_DOCUMENTS = {BATCH_ROWS: 1000}
 
 
 def _parts(text: str, size: int) -> Iterator[str]:
@@ -92,6 +101,7 @@ class _Gathered:
         """Words in lower case, most frequent first, numbered from 1; 0 stands between
         pieces.  The numbers' bytes are laid out by significance, as most are small."""
         ids, words = np.concatenate(self.ids), {}
+        self.raw.default_factory = None  # it holds the dictionary, which would stay until some late collection of garbage
         to = np.array([0 if w[0] in _SEPARATORS else words.setdefault(w.translate(_LOWER), len(words) + 1) for w in self.raw], "int32")
         ids = to[ids]
         ids = ids[(ids > 0) | np.concatenate((ids[1:] > 0, [False]))]
@@ -266,7 +276,12 @@ def _follow(blocks: DataFrame, found: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["lang", "phrase", "k", "cnt", "fp", "longer", "agrees"])
 
     own = found.withColumn("block", F.shiftright("pointer", _PLACE_BITS + _SIZE_BITS))
-    return (blocks.select("block", "lang", "words", "ids").groupBy("block").cogroup(own.groupBy("block"))
+    # a row for each block, as many as MB of text
+    parts = F.broadcast(own.groupBy("block").agg(F.ceil(F.count("*") / FOLLOWED).cast("int").alias("parts")))
+    own = own.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("fp", "pointer"), "parts").cast("int")).drop("parts")
+    held = (blocks.select("block", "lang", "words", "ids").join(parts, "block")
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    return (held.groupBy("block", "part").cogroup(own.groupBy("block", "part"))
             .applyInPandas(read, "lang string, phrase string, k int, cnt long, fp long, longer boolean, agrees boolean"))
 
 
@@ -277,25 +292,31 @@ def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     fingerprints; fewer collide more and give the same result."""
     spark = docs.sparkSession
     path = scratch_path(spark, "blocks")
-    word_blocks(docs, lang_col, text_col, block_chars).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(_BLOCK).parquet(path)
-    n = cut(blocks.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
-    words = cut(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-                .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
-                .where(F.col("a") >= min_count).select("lang", "phrase", F.lit(1).alias("k"), "a"))
-    entered = [phrase_entries(blocks, range(2, 3), bits=bits)]
-    kept = [cut(frequent(entered[0], min_count))]
-    if max_words > 2:
-        entered.append(phrase_entries(blocks, range(3, max_words + 1), _bitmap(kept[0]), bits))
-        kept.append(cut(frequent(entered[1], min_count)))
-    entered, kept = ([df.withColumn("longer", F.lit(i > 0)) for i, df in enumerate(own)] for own in (entered, kept))
-    read = cut(_follow(blocks, reduce(DataFrame.unionByName, kept)))
-    phrases = read.where("agrees")
-    collided = read.where("NOT agrees").select("fp", "longer")
-    if not collided.isEmpty():
-        every = reduce(DataFrame.unionByName, entered).join(collided, ["fp", "longer"], "left_semi")
-        phrases = phrases.unionByName(_follow(blocks, every))
-    phrases = cut(phrases.groupBy("lang", "phrase", "k").agg(F.sum("cnt").alias("a")).where(F.col("a") >= min_count))
+    with freed_shuffles(spark):
+        with settings(spark, _DOCUMENTS):
+            word_blocks(docs, lang_col, text_col, block_chars).write.options(**_ROW_GROUP).parquet(path)
+        blocks = spark.read.schema(_BLOCK).parquet(path)
+        with settings(spark, _SINGLE):
+            n = cut(blocks.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
+            words = cut(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+                        .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
+                        .where(F.col("a") >= min_count).select("lang", "phrase", F.lit(1).alias("k"), "a"))
+            entered = [phrase_entries(blocks, range(2, 3), bits=bits)]
+            kept = [cut(frequent(entered[0], min_count))]
+            if max_words > 2:
+                entered.append(phrase_entries(blocks, range(3, max_words + 1), _bitmap(kept[0]), bits))
+                kept.append(cut(frequent(entered[1], min_count)))
+        entered, kept = ([df.withColumn("longer", F.lit(i > 0)) for i, df in enumerate(own)] for own in (entered, kept))
+        with settings(spark, _DECODED):
+            read = cut(_follow(blocks, reduce(DataFrame.unionByName, kept)))
+        phrases = read.where("agrees")
+        collided = read.where("NOT agrees").select("fp", "longer")
+        if not collided.isEmpty():
+            with settings(spark, _SINGLE):
+                every = cut(reduce(DataFrame.unionByName, entered).join(collided, ["fp", "longer"], "left_semi"))
+            with settings(spark, _DECODED):
+                phrases = phrases.unionByName(cut(_follow(blocks, every)))
+        phrases = cut(phrases.groupBy("lang", "phrase", "k").agg(F.sum("cnt").alias("a")).where(F.col("a") >= min_count))
     delete_path(spark, path)
     return words.unionByName(phrases.where(F.col("k") <= max_words)), n
 
